@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pii, secrets
+from . import mixing, pii, secrets, simhash, topk
 
-MODULES = (pii, secrets)
+MODULES = (pii, secrets, simhash, mixing, topk)
 
 
 def queries() -> dict:
