@@ -4,8 +4,8 @@ Targets: the sources, ordered by code point with null last, weigh 5, 2, 1, repea
 of all sizes; no target passes EPOCHS times its source's size, the excess is shared again by weight.
 
 Each source's documents fall into permuted blocks by a seeded hash. A target is met with whole epochs
-and, for the rest, with a prefix of a permutation of the blocks; the block on the border is filled
-document by document, so a source misses its target by half a document at most. One block in one epoch
+and, for the rest, with a prefix of a permutation of the blocks; the few blocks on the border
+give single documents, so a source comes as near its target as those allow. One block in one epoch
 is a unit. The tree starts from each source's exact number of units and splits it between the halves of
 the shard range with a multivariate hypergeometric draw, down to single shards; a shard then takes the
 next units of a second permutation, so units are disjoint and every quota is exact. Within a shard,
@@ -24,6 +24,7 @@ from __future__ import annotations
 from math import ceil
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,6 +34,8 @@ from .common import Cut, n_words, small_side, table
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, 8
 #: Documents of a block, about, and most blocks of a source.
 BLOCK_DOCS, MOST_BLOCKS = 64, 4096
+#: Blocks whose documents are taken one by one to meet a source's target.
+BORDER = 4
 #: A shard holds about this many words; there are SHARDS of them at least.
 SHARD_WORDS, SHARDS = 1 << 26, 64
 MOST_SOURCES = 100_000
@@ -94,12 +97,16 @@ class Mix:
 
         same = self.sized.df.alias("d").join(self.sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
         self.blocked = same.select("id", "d.source", "size", "h", "source_size", "target", "epochs", "rest", F.pmod(F.xxhash64(F.lit(SEED + 1), "h"), "blocks").cast("int").alias("block"))
-        # the border: the block in which the rest of the target ends, and how many words it still gives
+        # the border: the block in which the rest of the target ends and a few after it, and how many words they still give
         turn = W.partitionBy("source").orderBy(F.xxhash64(F.lit(SEED + 2), "block"), "block")
         held = self.blocked.groupBy("source", "block").agg(F.sum("size").alias("w"), F.max("rest").alias("rest"), F.max("epochs").alias("epochs"))
         placed = held.withColumn("before", F.sum("w").over(turn.rowsBetween(W.unboundedPreceding, 0)) - F.col("w"))
-        left = F.col("rest") - F.col("before")
-        part = F.when(left <= 0, 0.0).when(left >= F.col("w"), -1.0).otherwise(left)  # -1: the whole block
+        placed = placed.withColumn("at", F.row_number().over(turn)).withColumn("left", F.col("rest") - F.col("before"))
+        here = (F.col("left") > 0) & (F.col("left") < F.col("w"))
+        all_ = W.partitionBy("source")
+        placed = placed.withColumns({"room": F.max(F.when(here, F.col("left"))).over(all_), "from": F.min(F.when(here, F.col("at"))).over(all_)})
+        near = F.col("room").isNotNull() & (F.col("at") >= F.col("from")) & (F.col("at") < F.col("from") + BORDER)
+        part = F.when(near, F.col("room")).when(F.col("left") <= 0, 0.0).otherwise(-1.0)  # -1: the whole block
         placed = Cut(placed.select("source", "block", "epochs", part.alias("part")), "blocks")
 
         count = F.col("epochs") + (F.col("part") != 0).cast("int")
@@ -121,10 +128,24 @@ class Mix:
         rows = self.blocked.alias("d").join(small_side(self.by_block).alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
         rows = rows.select("id", "d.source", "h", "size", "source_size", "target", "epochs", "d.block", "part", "units")
         whole = rows.where("part <= 0").select("id", "source", "h", "size", "source_size", "target", "units")
-        # one block of a source is on the border; its documents are taken in order while their middle lies inside
-        ahead = F.sum("size").over(W.partitionBy("source", "block").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2
-        border = rows.where("part > 0").withColumn("take", F.col("epochs") + (ahead <= F.col("part")).cast("int"))
-        return whole.unionByName(border.select("id", "source", "h", "size", "source_size", "target", F.slice("units", F.lit(1), F.col("take")).alias("units")))
+        # at most BORDER blocks of a source are on the border; their documents are taken in shuffled order wherever they still fit
+        border = rows.where("part > 0")
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in border.schema)
+        filled = border.groupBy("source").applyInPandas(_fill, f"{kind}, take int")
+        return whole.unionByName(filled.select("id", "source", "h", "size", "source_size", "target", F.slice("units", F.lit(1), F.col("epochs") + F.col("take")).alias("units")))
+
+
+def _fill(border: pd.DataFrame) -> pd.DataFrame:
+    """take: 1 for the documents, in the order of h, that the rest of the target has room for, and for one more if that comes nearer."""
+    border = border.sort_values(["h", "size"], kind="stable")
+    room, take = float(border["part"].iloc[0]), []
+    for size in border["size"].tolist():
+        take.append(int(size <= room))
+        room -= size * take[-1]
+    over = [(size - room, i) for i, (size, t) in enumerate(zip(border["size"].tolist(), take, strict=True)) if not t and size - room < room]
+    if over:
+        take[min(over)[1]] = 1
+    return border.assign(take=np.array(take, np.int32))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None) -> DataFrame:
