@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, secrets, simhash, topk
+from . import decontam, mixing, pii, quotes, secrets, simhash, topk
 
-MODULES = (pii, secrets, simhash, mixing, topk)
+MODULES = (decontam, quotes, pii, secrets, simhash, mixing, topk)
 
 
 def queries() -> dict:
