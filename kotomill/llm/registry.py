@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, pii, quotes, secrets, simhash, topk
+from . import decontam, html, licences, mixing, pii, quality, quotes, secrets, simhash, topk
 
-MODULES = (decontam, quotes, pii, secrets, simhash, mixing, topk)
+MODULES = (decontam, html, quality, quotes, pii, secrets, simhash, mixing, topk, licences)
 
 
 def queries() -> dict:
