@@ -1,21 +1,49 @@
-"""The corpus pipeline: quality, near duplicates, decontamination, personal data, mixing."""
+"""The corpus pipeline: quality, near duplicates, decontamination, personal data, mixing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last
+return the columns of ``documents``. The last returns every copy that the mix takes, with mix_copy and
+mix_shard. Defined edge cases are those of the operators; documents without a doc_id stay unless quality,
+duplication or a leak removes them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kotomill.llm import decontam, mixing, pii, quality, simhash
+from kotomill.llm.common import Cut, small_side, table
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
 
-from kotomill.llm import pii
-from kotomill.llm.common import Cut
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    found = simhash.near_duplicates(docs)
+    # a group's rows other than those of its smallest id; a group of null ids only has no smallest
+    extra = Cut(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_extra")).distinct(), "extra")
+    return docs.join(small_side(extra), F.col("doc_id") == F.col("_extra"), "left_anti")
+
+
+def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked in place; n_chars follows the new text."""
-    from pyspark.sql import functions as F
-
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
-STAGES = [("pii", private)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in the mix, as often as it takes them, dealt to shards."""
+    return mixing.mixed(docs)
+
+
+STAGES = [("quality", good), ("near_duplicates", distinct), ("decontamination", unleaked), ("personal_data", private), ("mixing", mix)]
 
 #: No stage has an exact SQL form; tests/llm holds the brute-force versions.
 ORACLE_SQL = None
@@ -23,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
