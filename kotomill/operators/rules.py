@@ -71,7 +71,7 @@ def running(values: Column, block: int = 512) -> Column:
 
     def whole(v: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(v) / block).cast("int") - 1)), lambda b: _sums(F.slice(v, b * block + 1, F.lit(block))))
-        shifted = lambda p: let(_sums(F.transform(p, lambda x: F.coalesce(F.element_at(x, F.lit(-1)), F.lit(0)))), lambda base: F.flatten(F.transform(p, lambda x, b: F.transform(x, lambda y: y + F.coalesce(F.get(base, b - 1), F.lit(0))))))
+        shifted = lambda p: let(_sums(F.transform(p, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0)))), lambda base: F.flatten(F.transform(p, lambda x, b: F.transform(x, lambda y: y + F.coalesce(F.get(base, b - 1), F.lit(0))))))
         return let(parts, shifted)
 
     return let(values, whole)
