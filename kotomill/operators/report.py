@@ -62,7 +62,7 @@ def semantic_problems(text: Column, finding: Column) -> Column:
     start, end = f["range"]["start"], f["range"]["end"]
     bad = lambda c, name: F.when(~F.coalesce(c, F.lit(False)), F.lit(name))
     # a UTF-16 slice of text without wide characters is a substring; with them the slice is cut from its encoding
-    part = F.when(units == F.length(text), F.substring(text, start + 1, end - start)).otherwise(F.decode(F.substring(F.encode(text, "UTF-16BE"), start * 2 + 1, (end - start) * 2), F.lit("UTF-16BE")))
+    part = F.when(units == F.length(text), F.substring(text, start + 1, end - start)).otherwise(F.decode(F.substring(F.encode(text, "UTF-16BE"), start * 2 + 1, (end - start) * 2), "UTF-16BE"))
     inside = F.forall(f["evidence"], lambda e: F.contains(part, e))
     return F.coalesce(
         bad(f["ruleId"].isin(*SEMANTIC_RULES), "rule"),

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from ..functions import markdown, sentences
 from ..schema import STRUCTURE
 
-FILLER = "﷐"
+#: Stands for one UTF-16 unit of code.
+FILLER = "\ufdd0"
 _WIDE = re.compile("[\U00010000-\U0010ffff]")
 
 
@@ -52,7 +53,7 @@ def describe(text: str) -> dict:
     masked, last = [], 0
     for s, e, _ in parsed.code:
         if e > last:
-            masked += [text[last : max(s, last)], FILLER * (e - max(s, last))]
+            masked += [text[last : max(s, last)], FILLER * (at(e) - at(max(s, last)))]
             last = e
     masked.append(text[last:])
     homes = [(s, e) for _, s, e in parsed.paragraphs]
