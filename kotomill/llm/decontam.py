@@ -71,13 +71,14 @@ def leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "t
             of_items = of_items.unionByName(items.df.where(F.col("n") == n).select("item", F.explode(half).alias("s")))
     known = Cut(of_items.select("item", F.col("s.h").alias("h"), F.col("s.pos").alias("at")), "item-seeds")
 
-    cut = docs.select(F.col(key).alias("k"), tokens(text).alias("dt"))
+    docs = docs.select(F.col(key).alias("dk"), F.col(text).alias("body"))
+    cut = docs.select(F.col("dk").alias("k"), tokens("body").alias("dt"))
     spread = cut.withColumn("n", F.size("dt")).select("k", F.explode(seeds(F.col("dt"), F.col("n"), shapes)).alias("s")).select("k", F.col("s.h").alias("h"), F.col("s.pos").alias("pos"))
     hits = Cut(spread.join(small_side(known), "h").select("k", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "hits")
 
     # only documents with hits are read again and cut into tokens
     hit = Cut(hits.df.select(F.col("k").alias("hk")).distinct(), "hit-docs")
-    again = docs.join(small_side(hit), F.col(key).eqNullSafe(F.col("hk")), "left_semi").select(F.col(key).alias("dk"), tokens(text).alias("dt"))
+    again = docs.join(small_side(hit), F.col("dk").eqNullSafe(F.col("hk")), "left_semi").select("dk", tokens("body").alias("dt"))
     pairs = again.join(small_side(hits), F.col("dk").eqNullSafe(F.col("k"))).join(small_side(items), "item")
     lo, hi = F.greatest(F.lit(0), -F.col("shift")), F.least(F.col("n"), F.size("dt") - F.col("shift"))
     # 1 where item and document agree; positions of the item outside the document are 0
@@ -94,8 +95,8 @@ def leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "t
 
 def clean(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without any leak, columns unchanged."""
-    leaked = Cut(leaks(docs, bench, key, text).select(F.col(key).alias("_leaked")).distinct(), "leaked")
-    return docs.join(small_side(leaked), F.col(key).eqNullSafe(F.col("_leaked")), "left_anti")
+    leaked = small_side(Cut(leaks(docs, bench, key, text).select(F.col(key).alias("leaked")).distinct(), "leaked"))
+    return docs.join(leaked, docs[key].eqNullSafe(leaked["leaked"]), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

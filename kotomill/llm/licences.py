@@ -31,6 +31,8 @@ from .learn import fit_softmax, softmax
 
 SAMPLE, NEGATIVES, VARIATIONS = 400, 4000, 120
 WINDOW, SURE, CONFIRM, SEED = 48, 0.8, 0.6, 10
+#: A word in the templates of this many families tells none of them apart.
+SHARED = 4
 
 # Notices by family.
 TEMPLATES = {
@@ -83,10 +85,10 @@ def windows(text: str) -> Iterator[tuple[int, int, list[str]]]:
         at += len(line) + 1
 
 
-def vary(tokens: list[str], rng: random.Random, fill: list[str]) -> list[str]:
-    """A variation: words lost or replaced, the end cut off, foreign words around."""
+def vary(tokens: list[str], rng: random.Random, fill: list[str], common: frozenset[str] = frozenset()) -> list[str]:
+    """A variation: common words lost or replaced, the end cut off, foreign words around; words that tell families apart stay."""
     cut = tokens[: rng.randint(max(3, len(tokens) // 2), len(tokens))] if rng.random() < 0.4 and len(tokens) > 3 else tokens
-    out = [rng.choice(fill) if fill and rng.random() < 0.03 else t for t in cut if len(cut) < 6 or rng.random() > 0.05]
+    out = [rng.choice(fill) if fill and t in common and rng.random() < 0.03 else t for t in cut if len(cut) < 6 or t not in common or rng.random() > 0.05]
     extra = [rng.choice(fill) for _ in range(rng.choice((0, 0, 0, 2, 6)))] if fill else []
     return [*extra, *out] if rng.random() < 0.5 else [*out, *extra]
 
@@ -130,7 +132,9 @@ def train(paragraphs: list[list[str]]) -> Model:
     clean = [p for p in paragraphs if not any(len(pairs(p) & t) >= max(2, len(t) / 2) for t in every)]
     rng.shuffle(clean)
     fill = [w for p in clean[:200] for w in p] or ["the", "of", "and"]
-    rows = [(vary(rng.choice(group), rng, fill), k) for k, group in enumerate(notices) for _ in range(VARIATIONS)]
+    known = [{w for t in group for w in t} for group in notices]
+    common = frozenset(w for w in set().union(*known) if sum(w in k for k in known) >= SHARED)
+    rows = [(vary(rng.choice(group), rng, fill, common), k) for k, group in enumerate(notices) for _ in range(VARIATIONS)]
     rows += [(t, k) for k, group in enumerate(notices) for t in group for _ in range(5)]
     unknown = len(FAMILIES) - 1
     rows += [(p, unknown) for p in clean[:NEGATIVES]]

@@ -156,11 +156,12 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """
     plan = Mix(docs, key, text, source, shards).plan
     taken = plan.where(F.size("units") > 0).groupBy("id").agg(F.max("units").alias("units"), F.min("h").alias("h"))
-    taken = small_side(Cut(taken.select(F.col("id").alias("_mix_id"), "units", "h"), "taken"))
+    taken = small_side(Cut(taken, "taken"))
     rest = [c for c in docs.columns if c not in ("mix_copy", "mix_shard")]
-    rows = docs.select(*rest).join(taken, F.col(key).eqNullSafe(F.col("_mix_id"))).select(*(docs[c] for c in rest), "h", F.explode("units").alias("unit"))
-    rows = rows.select(*rest, F.col("unit.copy").alias("mix_copy"), F.col("unit.shard").alias("mix_shard"), F.xxhash64(F.lit(SEED + 4), "h", "unit.copy").alias("_at"))
-    return rows.repartition(F.col("mix_shard")).sortWithinPartitions("mix_shard", "_at").drop("_at")
+    whole = docs.select(F.col(f"`{key}`").alias("key"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"))  # packed: no column of the input can clash
+    rows = whole.join(taken, F.col("key").eqNullSafe(F.col("id"))).select("row", "h", F.explode("units").alias("unit"))
+    dealt = rows.select("row", F.col("unit.copy").alias("copy"), F.col("unit.shard").alias("shard"), F.xxhash64(F.lit(SEED + 4), "h", "unit.copy").alias("at"))
+    return dealt.repartition(F.col("shard")).sortWithinPartitions("shard", "at").select("row.*", F.col("copy").alias("mix_copy"), F.col("shard").alias("mix_shard"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
