@@ -24,8 +24,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id."""
     found = simhash.near_duplicates(docs)
     # a group's rows other than those of its smallest id; a group of null ids only has no smallest
-    extra = Cut(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_extra")).distinct(), "extra")
-    return docs.join(small_side(extra), F.col("doc_id") == F.col("_extra"), "left_anti")
+    extra = small_side(Cut(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("extra")).distinct(), "extra"))
+    return docs.join(extra, docs["doc_id"] == extra["extra"], "left_anti")
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
