@@ -55,10 +55,10 @@ P_STOPS = frozenset("button table td th caption html body article main section d
 NOISE_TAGS = frozenset("nav footer aside form button select input head object audio video canvas dialog".split())
 NOISE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside complementary contentinfo widget widgets ad ads advert adverts advertisement advertising "
-    "adsense sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
+    "adsense banner sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "search share sharing social related recommended recommendations comment comments disqus respond reply replies pagination pager toolbar copyright skip hidden outbrain taboola".split()
 )
-TOP_WORDS = frozenset("header masthead banner topbar".split())  # only outside an article
+TOP_WORDS = frozenset("header masthead topbar".split())  # only outside an article
 COMMENT_WORDS = frozenset("comment comments reply replies disqus respond related recommended sponsored ad ads advert promo".split())
 MAIN_WORDS = frozenset("content maincontent articlebody articlecontent postcontent entrycontent story".split())
 ROOTS = frozenset("html body article main".split())
@@ -106,12 +106,13 @@ def _style(tag: str, attrs: str) -> tuple[str, frozenset[str], bool, bool]:
 def blocks(html: str) -> list[tuple[str, str, int]]:
     """(style path, text, tier) of the blocks in page order; tier 3 lies in an article, 2 in main, 1 in a part named as content.
 
-    Blocks under a style without importance are left out.
+    Blocks under a style without importance are left out, and outside any such part those of links alone (menus).
     """
     out: list[tuple[str, str, int]] = []
     stack = [Node("", "", False, 0)]
     open_: Counter = Counter()
     text: list[str] = []
+    plain = False  # whether the block has text outside links
 
     def drop(i: int) -> None:
         for n in stack[i:]:
@@ -119,11 +120,13 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
         del stack[i:]
 
     def flush() -> None:
+        nonlocal plain
         if text:
             top = stack[-1]
-            if not top.noise and (words := " ".join(unescape("".join(text)).split())):
+            if not top.noise and (plain or top.main) and (words := " ".join(unescape("".join(text)).split())):
                 out.append((top.path, words, top.main))
             text.clear()
+            plain = False
 
     at, end = 0, len(html)
     while at < end:
@@ -133,6 +136,7 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
         if lt > at:
             if not stack[-1].noise:
                 text.append(html[at:lt])
+                plain = plain or (not open_["a"] and not text[-1].isspace())
             at = lt
             continue
         if html.startswith("<!--", at):
@@ -150,6 +154,7 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
             else:
                 if not stack[-1].noise:
                     text.append("&lt;")
+                    plain = plain or not open_["a"]
                 at += 1
             continue
         at = m.end()
@@ -208,9 +213,8 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
         main = max(top.main, 3 if tag == "article" else 2 if tag == "main" or (marked and "main" in words) else 1 if marked else 0)
         if noise and not top.noise:
             flush()
-        if tag in BLOCK or not m[3].endswith("/"):
-            stack.append(Node(tag, f"{top.path}>{label}" if tag in BLOCK and len(stack) < DEPTH else top.path, noise, main))
-            open_[tag] += 1
+        stack.append(Node(tag, f"{top.path}>{label}" if tag in BLOCK and len(stack) < DEPTH else top.path, noise, main))
+        open_[tag] += 1
     flush()
     return out
 

@@ -21,6 +21,8 @@ PAGES = [
     ("a < b & c &lt;p&gt;", "a < b & c <p>"),
     ("<article><p>x</p><!-- c --><p hidden>h</p><p style='display:none'>n</p></article>", "x"),
     ("<div role=main><p>r</p></div><p>out</p>", "r"),
+    ("<div class=x><a href=/>Home</a> <a href=/b>News</a></div><p>See <a href=/c>this</a>.</p>", "See this."),
+    ("<article><p><a href=/>linked</a></p></article>", "linked"),
     ("", ""),
     ("<!-- unclosed", ""),
     ("plain", "plain"),
