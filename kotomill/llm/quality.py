@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Cut, small_side, table
 from .learn import fit_logistic, platt, sigmoid
 
-MOST_LABELLED, MOST_POOL = 8000, 4000
+MOST_LABELLED, MOST_POOL = 5000, 3000
 ROUNDS, EXCHANGE, SURE = 4, 250, 0.97
 LOSS = 0.002
 SEED = 3
@@ -49,7 +49,7 @@ def _slot(word: str) -> tuple[int, int]:
     if found is None:
         shape = _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", word)))[:12]
         found = crc32(word.encode()) % WORD_DIMS, WORD_DIMS + crc32(shape.encode()) % SHAPE_DIMS
-        if len(_slots) < 200_000 and len(word) < 40:
+        if len(_slots) < 50_000 and len(word) < 40:
             _slots[word] = found
     return found
 
@@ -165,15 +165,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     """The model of a bounded sample of the documents."""
     order = F.xxhash64(F.lit(SEED), "k")
     mean = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    labelled = Cut(mean.orderBy(order, "k").limit(MOST_LABELLED * 2), "labelled")  # some may have no document
+    labelled = Cut(mean.orderBy(order, "k").limit(MOST_LABELLED), "labelled")  # those without a document are not made up for
     pool = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).orderBy(order, "k").limit(MOST_POOL)
     chosen = Cut(labelled.df.unionByName(pool.join(small_side(labelled).select("k"), "k", "left_anti").distinct().withColumn("y", F.lit(-1))), "chosen")
     rows = docs.select(F.col(key).alias("k"), *COLUMNS).join(small_side(chosen), "k").dropDuplicates(["k"])
     packed = F.pandas_udf(_packed, "struct<t:binary,m:binary>")
-    found = rows.select("k", "y", packed(*COLUMNS).alias("f")).select("k", "y", order.alias("h"), "f.t", "f.m").orderBy("h", "k").limit(MOST_LABELLED + MOST_POOL).toPandas()
-    if not len(found):
+    found = rows.select("k", "y", packed(*COLUMNS).alias("f")).select("k", "y", order.alias("h"), "f.t", "f.m").orderBy("h", "k").limit(MOST_LABELLED + MOST_POOL).toArrow()
+    if not found.num_rows:
         return constant(1.0)
-    text, meta = (np.frombuffer(b"".join(found[c]), np.float32).reshape(len(found), -1) for c in ("t", "m"))
+    text, meta = (np.frombuffer(b"".join(found[c].to_pylist()), np.float32).reshape(found.num_rows, -1) for c in ("t", "m"))
     return cotrain(text, meta, found["y"].to_numpy())
 
 
