@@ -25,7 +25,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -37,7 +37,7 @@ BLOCK_DOCS, MOST_BLOCKS = 64, 4096
 #: Blocks whose documents are taken one by one to meet a source's target.
 BORDER = 4
 #: A shard holds about this many words; there are SHARDS of them at least.
-SHARD_WORDS, SHARDS = 1 << 26, 64
+SHARD_WORDS, SHARDS = 1 << 24, 64
 MOST_SOURCES = 100_000
 
 
@@ -75,13 +75,16 @@ def split(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
+def _order(key: Column) -> Column:
+    return F.xxhash64(F.lit(SEED), key)
+
+
 class Mix:
     """The plan of a mix: ``docs`` with size, source's size, target, copies, and the shards of the copies."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None):
         spark = docs.sparkSession
-        order = F.xxhash64(F.lit(SEED), F.col(key))
-        self.sized = Cut(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), n_words(text).alias("size"), order.alias("h")), "sized")
+        self.sized = Cut(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), n_words(text).alias("size"), _order(F.col(key)).alias("h")), "sized")
         found = self.sized.df.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
         if len(found) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources; group them before mixing")
@@ -90,16 +93,17 @@ class Mix:
         self.target = targets(words)
         epochs = [int(t / w + 1e-9) if w else 0 for t, w in zip(self.target, words, strict=True)]
         blocks = [max(1, min(MOST_BLOCKS, ceil(r.docs / BLOCK_DOCS))) for r in found]
-        self.schema = "source string, source_size long, target double, epochs int, rest double, blocks int"
+        schema = "source string, source_size long, target double, epochs int, rest double, blocks int"
         rest = [max(0.0, t - e * w) for t, e, w in zip(self.target, epochs, words, strict=True)]
-        per_source = spark.createDataFrame([(r.source, w, t, e, x, b) for r, w, t, e, x, b in zip(found, words, self.target, epochs, rest, blocks, strict=True)], self.schema)
+        per_source = spark.createDataFrame([(r.source, w, t, e, x, b) for r, w, t, e, x, b in zip(found, words, self.target, epochs, rest, blocks, strict=True)], schema)
         self.sources = F.broadcast(per_source)  # at most MOST_SOURCES rows
 
+        self._block = F.pmod(F.xxhash64(F.lit(SEED + 1), "h"), "blocks").cast("int")
         same = self.sized.df.alias("d").join(self.sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-        self.blocked = same.select("id", "d.source", "size", "h", "source_size", "target", "epochs", "rest", F.pmod(F.xxhash64(F.lit(SEED + 1), "h"), "blocks").cast("int").alias("block"))
+        blocked = same.select("d.source", "size", "epochs", "rest", self._block.alias("block"))
         # the border: the block in which the rest of the target ends and a few after it, and how many words they still give
         turn = W.partitionBy("source").orderBy(F.xxhash64(F.lit(SEED + 2), "block"), "block")
-        held = self.blocked.groupBy("source", "block").agg(F.sum("size").alias("w"), F.max("rest").alias("rest"), F.max("epochs").alias("epochs"))
+        held = blocked.groupBy("source", "block").agg(F.sum("size").alias("w"), F.max("rest").alias("rest"), F.max("epochs").alias("epochs"))
         placed = held.withColumn("before", F.sum("w").over(turn.rowsBetween(W.unboundedPreceding, 0)) - F.col("w"))
         placed = placed.withColumn("at", F.row_number().over(turn)).withColumn("left", F.col("rest") - F.col("before"))
         here = (F.col("left") > 0) & (F.col("left") < F.col("w"))
@@ -122,17 +126,25 @@ class Mix:
         by_block = placed.df.alias("p").join(drawn.alias("u"), F.col("p.source").eqNullSafe(F.col("u.source")) & (F.col("p.block") == F.col("u.block")), "left")
         self.by_block = Cut(by_block.select("p.source", "p.block", "part", F.coalesce("units", F.array().cast("array<struct<copy:int,shard:int>>")).alias("units")), "block-shards")
 
+    def placed(self, rows: DataFrame, source: str = "source") -> DataFrame:
+        """Rows of (source, h, ...) with epochs, part and units of their block; the block follows from source and h alone."""
+        rows = rows.alias("d").join(self.sources.alias("s"), F.col(f"d.{source}").eqNullSafe(F.col("s.source"))).select("d.*", "source_size", "target", "epochs", self._block.alias("block"))
+        both = F.col(f"d.{source}").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block"))
+        return rows.alias("d").join(small_side(self.by_block).alias("b"), both).select("d.*", "b.part", "b.units")
+
+    @property
+    def border(self) -> DataFrame:
+        """The plan's rows on the borders: at most BORDER blocks of a source; their documents are taken in shuffled order wherever they still fit."""
+        rows = self.placed(self.sized.df).where("part > 0")
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        filled = rows.groupBy("source").applyInPandas(_fill, f"{kind}, take int")
+        return filled.select("id", "source", "h", "size", "source_size", "target", F.slice("units", F.lit(1), F.col("epochs") + F.col("take")).alias("units"))
+
     @property
     def plan(self) -> DataFrame:
         """(id, source, h, size, source_size, target, units): units has a (copy, shard) for each time the mix takes the row."""
-        rows = self.blocked.alias("d").join(small_side(self.by_block).alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
-        rows = rows.select("id", "d.source", "h", "size", "source_size", "target", "epochs", "d.block", "part", "units")
-        whole = rows.where("part <= 0").select("id", "source", "h", "size", "source_size", "target", "units")
-        # at most BORDER blocks of a source are on the border; their documents are taken in shuffled order wherever they still fit
-        border = rows.where("part > 0")
-        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in border.schema)
-        filled = border.groupBy("source").applyInPandas(_fill, f"{kind}, take int")
-        return whole.unionByName(filled.select("id", "source", "h", "size", "source_size", "target", F.slice("units", F.lit(1), F.col("epochs") + F.col("take")).alias("units")))
+        whole = self.placed(self.sized.df).where("part <= 0").select("id", "source", "h", "size", "source_size", "target", "units")
+        return whole.unionByName(self.border)
 
 
 def _fill(border: pd.DataFrame) -> pd.DataFrame:
@@ -151,15 +163,17 @@ def _fill(border: pd.DataFrame) -> pd.DataFrame:
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None) -> DataFrame:
     """The mix itself: every taken copy of a row with its columns, plus mix_copy and mix_shard, dealt to its shard in shuffled order.
 
-    The columns mix_copy and mix_shard replace any of these names. Rows are matched to their plan by key, so the
-    key has to be unique and not null here; rows without a key or with a repeated one are placed together.
+    The columns mix_copy and mix_shard replace any of these names. A row's block tells its copies, without a join by
+    key; only the few rows of the border blocks look their copies up by key, where repeated keys are taken alike.
     """
-    plan = Mix(docs, key, text, source, shards).plan
-    taken = plan.where(F.size("units") > 0).groupBy("id").agg(F.max("units").alias("units"), F.min("h").alias("h"))
-    taken = small_side(Cut(taken, "taken"))
+    mix = Mix(docs, key, text, source, shards)
     rest = [c for c in docs.columns if c not in ("mix_copy", "mix_shard")]
-    whole = docs.select(F.col(f"`{key}`").alias("key"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"))  # packed: no column of the input can clash
-    rows = whole.join(taken, F.col("key").eqNullSafe(F.col("id"))).select("row", "h", F.explode("units").alias("unit"))
+    # packed: no column of the input can clash
+    whole = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").alias("source"), _order(F.col(f"`{key}`")).alias("h"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"))
+    edge = mix.border.groupBy("id").agg(F.max("units").alias("own"))
+    rows = mix.placed(whole).alias("w").join(small_side(Cut(edge, "border")).alias("e"), (F.col("w.part") > 0) & F.col("w.id").eqNullSafe(F.col("e.id")), "left")
+    units = F.when(F.col("part") > 0, F.col("own")).otherwise(F.col("units"))
+    rows = rows.select("row", "h", F.explode(units).alias("unit"))
     dealt = rows.select("row", F.col("unit.copy").alias("copy"), F.col("unit.shard").alias("shard"), F.xxhash64(F.lit(SEED + 4), "h", "unit.copy").alias("at"))
     return dealt.repartition(F.col("shard")).sortWithinPartitions("shard", "at").select("row.*", F.col("copy").alias("mix_copy"), F.col("shard").alias("mix_shard"))
 
