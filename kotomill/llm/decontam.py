@@ -3,7 +3,8 @@
 Texts become lower-case tokens of letters and digits. A seed hashes five tokens at fixed offsets and
 ignores those between, so a substituted word only spoils the seeds that look at it. The two masks are
 chosen so that any 13 tokens with two substitutions, and any 20 with four, keep at least one seed whole.
-Items too short for the masks are seeded by their two halves, one of which survives one substitution.
+Items shorter than that are seeded by their parts, one more than the substitutions that SHARE allows them,
+of which one survives.
 
 Seeds of documents and of benchmark items are joined; a hit fixes an alignment (item, document position
 minus item position). Around each hit the aligned tokens are compared: it is a leak if some WINDOW
@@ -28,7 +29,7 @@ TOKEN = r"[\p{L}\p{N}]+"
 MASKS = ((0, 2, 4, 5, 6), (0, 5, 6, 8, 9))
 WINDOW, SHARE, LEAST = 13, 0.8, 5
 #: Items from here on are seeded by the masks.
-MASKED = 10
+MASKED = WINDOW
 
 
 def tokens(text: str) -> Column:
@@ -49,8 +50,11 @@ def seeds(words: Column, n: Column, shapes: list[tuple[int, ...]]) -> Column:
     return F.concat(*map(of, shapes))
 
 
-def _halves(n: int) -> tuple[int, int]:
-    return (n + 1) // 2, n // 2
+def _parts(n: int) -> list[tuple[int, int]]:
+    """(start, length) of the parts of an item of n tokens: one more than it may have substitutions."""
+    count = n - ceil(n * SHARE) + 1
+    cuts = [n * k // count for k in range(count + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _starts(at: int):
@@ -61,14 +65,13 @@ def leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "t
     """(key, item, n_tokens, agree, share): one row per leaked pair."""
     items = Cut(bench.select(F.col(item).alias("item"), tokens(item_text).alias("it")).withColumn("n", F.size("it")).where(F.col("n") >= LEAST).distinct(), "items")
     short = sorted(r.n for r in items.df.where(F.col("n") < MASKED).select("n").distinct().collect())  # at most MASKED lengths
-    runs = sorted({h for n in short for h in _halves(n)})
+    runs = sorted({size for n in short for _, size in _parts(n)})
     shapes = [*MASKS, *(tuple(range(h)) for h in runs)]
     of_items = items.df.where(F.col("n") >= MASKED).select("item", F.explode(seeds(F.col("it"), F.col("n"), list(MASKS))).alias("s"))
     for n in short:
-        first, second = _halves(n)
-        for h, start in ((first, 0), (second, first)):
-            half = F.filter(seeds(F.col("it"), F.col("n"), [tuple(range(h))]), _starts(start))
-            of_items = of_items.unionByName(items.df.where(F.col("n") == n).select("item", F.explode(half).alias("s")))
+        for start, size in _parts(n):
+            part = F.filter(seeds(F.col("it"), F.col("n"), [tuple(range(size))]), _starts(start))
+            of_items = of_items.unionByName(items.df.where(F.col("n") == n).select("item", F.explode(part).alias("s")))
     known = Cut(of_items.select("item", F.col("s.h").alias("h"), F.col("s.pos").alias("at")), "item-seeds")
 
     docs = docs.select(F.col(key).alias("dk"), F.col(text).alias("body"))
@@ -104,4 +107,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_decontamination": op1_decontamination}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+dt AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+it AS (SELECT item_id, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM i WHERE len(w) >= 5),
+same AS (SELECT doc_id, item_id, n, dt.p - it.p AS shift, it.p FROM dt JOIN it USING (t)),
+near AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS c FROM same),
+lines AS (SELECT doc_id, item_id, n, shift, count(*) AS agree, max(c) AS best, least(13, n) AS width FROM near GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_tokens, CAST(max(agree) AS INTEGER) AS agree, max(best / width) AS share
+FROM lines WHERE best >= ceil(width * 0.8) GROUP BY doc_id, item_id, n
+"""
+}
