@@ -48,11 +48,10 @@ def none() -> Column:
 def matches(text: Column, alternatives: str) -> Column:
     """array<(text, start, end)> of the leftmost matches in UTF-16 units.
 
-    One scan pairs each match with the gap in front of it; a fold over the few matches adds the lengths up.
+    Each match is paired with the gap in front of it; running sums over the few matches give the offsets.
     """
-    pattern = F.lit(rf"(?s)(.*?)(?:({alternatives})|\z)")
-    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("hit"))
-    sized = F.transform(F.filter(pairs, lambda p: p["hit"] != ""), lambda p: F.struct(p["hit"].alias("text"), utf16.length(p["gap"]).alias("gap"), utf16.length(p["hit"]).alias("n")))
+    pairs = F.arrays_zip(F.split(text, alternatives).alias("gap"), F.regexp_extract_all(text, F.lit(alternatives), F.lit(0)).alias("hit"))
+    sized = F.transform(F.filter(pairs, lambda p: p["hit"].isNotNull()), lambda p: F.struct(p["hit"].alias("text"), utf16.length(p["gap"]).alias("gap"), utf16.length(p["hit"]).alias("n")))
 
     def placed(z: Column) -> Column:
         spans = lambda ends: F.transform(z, lambda p, i: F.struct(p["text"].alias("text"), (F.get(ends, i) - p["n"]).alias("start"), F.get(ends, i).alias("end")))
