@@ -101,8 +101,9 @@ def test_licences_held_out():
     buried = " ".join(prose * 20) + " Released under the MIT License. " + " ".join(prose * 20)
     assert set(found(buried)) <= {"mit"}
     assert licences.scan(None, model) == []
-    hit = licences.scan("x\nReleased under the MIT License.", model)[0]
-    assert (hit["start"], hit["end"]) == (2, 31)
+    text = "x\nReleased under the MIT License."
+    hit = licences.scan(text, model)[0]
+    assert (hit["start"], hit["end"]) == (2, 32) and text[hit["start"] : hit["end"]] == "Released under the MIT License"
 
 
 def test_licence_tables(spark):
