@@ -154,9 +154,13 @@ def train(paragraphs: list[list[str]]) -> Model:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    rows = docs.select(F.xxhash64(F.lit(SEED), F.col(key)).alias("h"), F.col(text).alias("t")).where("t is not null").select("h", F.sha2("t", 256).alias("s"), "t")
-    sample = rows.orderBy("h", "s").limit(SAMPLE).collect()
-    return train([w for r in sample for *_, w in windows(r.t)])
+    """From the documents with the SAMPLE smallest hashes; repeated rows count once. Hashes choose, so that only chosen texts travel."""
+    rows = docs.select(F.xxhash64(F.lit(SEED), F.col(key)).alias("h"), F.xxhash64(F.lit(SEED), F.col(text)).alias("s"), F.col(text).alias("t")).where("t is not null")
+    last = rows.select("h", "s").orderBy("h", "s").limit(SAMPLE).agg(F.max(F.struct("h", "s")).alias("last")).first()["last"]
+    if last is None:
+        return train([])
+    chosen = rows.where(F.struct("h", "s") <= F.struct(F.lit(last.h).cast("long"), F.lit(last.s).cast("long"))).dropDuplicates(["h", "s"])
+    return train([w for r in chosen.orderBy("h", "s").collect() for *_, w in windows(r.t)])
 
 
 HITS = "array<struct<family:string,start:int,end:int,probability:double,match:double>>"
