@@ -97,7 +97,9 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding")
     count = clean.df.count()
 
     by_size: dict[int, list] = {}
-    for row in clean.df.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).collect():
+    hashed = clean.df.select("v", F.xxhash64("id").alias("h"), "id")
+    last = hashed.select("h", "id").orderBy("h", "id").limit(SAMPLE).agg(F.max(F.struct("h", "id")).alias("last")).first()["last"]
+    for row in hashed.where(F.struct("h", "id") <= F.struct(F.lit(last.h).cast("long"), F.lit(last.id).cast("long"))).orderBy("h", "id").collect() if last else ():  # ids are unique: SAMPLE rows at most
         by_size.setdefault(len(row.v), []).append(row.v)
     chosen = {size: pivots(np.array(x, np.float64).reshape(len(x), size)) for size, x in by_size.items()}
 
