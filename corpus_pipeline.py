@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotomill.llm import decontam, mixing, neardup, pii, quality
-from kotomill.llm.common import Cut, small_side, table
+from kotomill.llm.common import Cut, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id; five-word Jaccard 0.8 links two."""
-    found = neardup.near_copies(docs)
-    # a group's rows other than those of its smallest id; a group of null ids only has no smallest
-    extra = small_side(Cut(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("extra")).distinct(), "extra"))
-    return docs.join(extra, docs["doc_id"] == extra["extra"], "left_anti")
+    """One row of each group of near copies stays, the one with the smallest doc_id (null last); five-word Jaccard 0.8 links two."""
+    return neardup.survivors(docs)
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

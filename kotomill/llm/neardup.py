@@ -113,12 +113,19 @@ def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.df.unionByName(_alike(pairs.df, sets))
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, node, component_id) for every row; component_id is the smallest key of the row's near copies."""
-    texts = docs.select(F.col(key).alias("key"), node_of(text).alias("node"), F.col(text).alias("text"))
-    nodes = Cut(texts.select("node", "text").mapInArrow(_signed, "node long, n int, bands array<long>").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "copy-signatures")
-    found = Cut(texts.select("key", "node"), "copy-rows")
+def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies: the one with the smallest key, null keys last, then with the smallest hash of its text.
+
+    Rows are told apart by a number that is written with them, so repeated rows and keys count as the rows they are.
+    """
+    rows = Cut(docs.withColumns({"_row": F.monotonically_increasing_id(), "_node": node_of(text)}), "copy-rows")
+    texts = rows.df.select(F.col("_node").alias("node"), F.col(text).alias("text"))
+    signed = texts.mapInArrow(_signed, "node long, n int, bands array<long>")
+    nodes = Cut(signed.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "copy-signatures")
     roots = Cut(components(links(texts, nodes.df), "x", "y"), "copy-roots")
-    rows = found.df.join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    low = Cut(rows.groupBy("root").agg(F.min("key").alias("component_id")), "copy-lowest")
-    return rows.join(low.df, "root").select(F.col("key").alias(key), "node", "component_id")
+    named = rows.df.select("_row", F.col("_node").alias("node"), F.col(key).alias("key")).join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("key").isNull().alias("last"), "key", "node", "_row")
+    first = Cut(named.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("k")), "copy-first")
+    extra = named.join(small_side(Cut(first.df.where("k > 1").select("root", F.col("first._row").alias("first")), "copy-groups")), "root").where("_row != first")
+    gone = small_side(Cut(extra.select("_row"), "copy-extra"))
+    return rows.df.join(gone, "_row", "left_anti").select(docs.columns)

@@ -82,3 +82,11 @@ def test_signatures_meet():
 
 def test_stage_of_nothing(spark):
     assert corpus_pipeline.distinct(spark, spark.createDataFrame([], "doc_id long, text string"), None).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Copies without an id, repeated rows, and an id on two texts of which one is a copy."""
+    text = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcdef"]
+    rows = [(None, text[0]), (None, text[0]), (1, text[1]), (1, text[1]), (2, text[2]), (3, text[2]), (3, text[3]), (None, text[4]), (9, text[4]), (None, text[5])]
+    got = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), None).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, text[0]), (1, text[1]), (2, text[2]), (3, text[3]), (9, text[4]), (None, text[5])], key=str)
