@@ -6,8 +6,8 @@ calibrated on held-out labels. In each round, either view labels the unlabelled
 class it is most sure (calibrated probability of at least SURE, at most EXCHANGE of each class a round) for the other
 view. At the end both calibrated views are combined by a logistic regression on the held-out labels.
 
-Fitting uses a bounded sample, MOST_LABELLED labelled and MOST_POOL further documents with the smallest
-hashes of their ids; scoring covers every document in full. A document is rejected if its probability of
+Fitting uses a bounded sample: of at most 2 * MOST_LABELLED labelled documents and MOST_POOL further ones, the
+MOST_LABELLED + MOST_POOL with the smallest hashes of their ids; scoring covers every document in full. A document is rejected if its probability of
 good quality lies under the cut: one half, or lower if more than LOSS of the held-out good documents lay
 under that.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Cut, small_side, table
 from .learn import fit_logistic, platt, sigmoid
 
-MOST_LABELLED, MOST_POOL = 5000, 3000
+MOST_LABELLED, MOST_POOL = 8000, 4000
 ROUNDS, EXCHANGE, SURE = 4, 250, 0.97
 LOSS = 0.002
 SEED = 3
@@ -164,8 +164,9 @@ COLUMNS = ("text", "lang", "source", "n_chars")
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Model:
     """The model of a bounded sample of the documents."""
     order = F.xxhash64(F.lit(SEED), "k")
-    mean = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    labelled = Cut(mean.orderBy(order, "k").limit(MOST_LABELLED), "labelled")  # those without a document are not made up for
+    mean = Cut(labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("int").alias("y")), "label-means")
+    present = docs.select(F.col(key).alias("k")).join(small_side(mean), "k").select("k", "y").distinct()  # labels without a document do not count
+    labelled = Cut(present.orderBy(order, "k").limit(MOST_LABELLED * 2), "labelled")
     pool = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).orderBy(order, "k").limit(MOST_POOL)
     chosen = Cut(labelled.df.unionByName(pool.join(small_side(labelled).select("k"), "k", "left_anti").distinct().withColumn("y", F.lit(-1))), "chosen")
     rows = docs.select(F.col(key).alias("k"), *COLUMNS).join(small_side(chosen), "k").dropDuplicates(["k"])

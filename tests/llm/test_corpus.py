@@ -92,6 +92,18 @@ def test_quality_without_labels(spark):
     assert quality.keep(docs.where("false"), labels).count() == 0
 
 
+def test_quality_labels_without_documents(spark, monkeypatch):
+    """Labels of documents that are gone take no place among those that are fitted."""
+    monkeypatch.setattr(quality, "MOST_LABELLED", 50)
+    monkeypatch.setattr(quality, "MOST_POOL", 60)
+    docs = spark.createDataFrame([r[:5] for r in corpus(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(0, 200, 2)] + [(k, 1, 0) for k in range(1000, 9000)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "cotrain", lambda text, meta, label: seen.extend(label.tolist()) or quality.constant(1.0))
+    quality.fit(docs, labels)
+    assert sum(y >= 0 for y in seen) > 50 and sum(y >= 0 for y in seen) + sum(y < 0 for y in seen) == 110
+
+
 # --- mixing ---------------------------------------------------------------------------------------
 
 
