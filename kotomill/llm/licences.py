@@ -9,6 +9,11 @@ use licence words for other things. A temperature fitted on held-out variations
 predicted only if its probability reaches SURE. A prediction counts if the window's word pairs are CONFIRM
 contained in one of the family's templates, or that template in the window.
 
+A short notice in a long line is diluted in a full window, so windows of the lengths of the templates (of
+at most half a WINDOW) are scored too, from every word pair that a template holds. Such a window counts if
+CONFIRM of a template's pairs lie in it, and inside a hit of another family only if all do. Windows without
+a template's pair could not be confirmed and are not scored.
+
 Defined edge cases: null and empty texts have no licence; repeated rows give repeated results; ties between
 families go to the first by name; an empty table gives an empty result and trains on the templates alone;
 extra columns are ignored; texts of any length are read whole.
@@ -99,6 +104,8 @@ class Model:
     weights: np.ndarray
     temperature: float
     templates: tuple[tuple[frozenset, ...], ...]
+    pairs: frozenset = frozenset()
+    lengths: tuple[int, ...] = ()
 
     def features(self, tokens: list[str]) -> tuple[list[int], float, float]:
         """(slots of the known n-grams, their value, share of words that no template knows)."""
@@ -150,7 +157,8 @@ def train(paragraphs: list[list[str]]) -> Model:
     w = fit_softmax(x[~held], y[~held], len(FAMILIES), weight[~held], l2=1e-5, steps=400)
     z = np.concatenate([x[held], np.ones((held.sum(), 1), np.float32)], 1) @ w
     loss = {t: float(-(weight[held] * np.log(softmax(z / t)[np.arange(len(z)), y[held]] + 1e-12)).sum()) for t in (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0)}
-    return Model(slots, w, min(loss, key=loss.get), templates)
+    lengths = {len(t) for group in notices for t in group if len(t) <= WINDOW // 2}
+    return Model(slots, w, min(loss, key=loss.get), templates, frozenset().union(*every), tuple(sorted(lengths | {3})))
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
@@ -166,18 +174,51 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
 HITS = "array<struct<family:string,start:int,end:int,probability:double,match:double>>"
 
 
+def short(tokens: list[str], model: Model) -> list[tuple[int, int, str, float, float]]:
+    """(first word, last word + 1, family, probability, match) of windows as long as templates; of overlapping ones the best stays."""
+    known = [i for i, x in enumerate(zip(tokens, tokens[1:], strict=False)) if x in model.pairs]
+    found = []
+    for i in known:
+        for n in model.lengths:
+            if i + n > len(tokens) or n == len(tokens):
+                continue
+            own = pairs(tokens[i : i + n])
+            fits = [max(len(own & t) / max(1, len(t)) for t in group) for group in model.templates]
+            if max(fits) < CONFIRM:
+                continue
+            p = model.probabilities(tokens[i : i + n])
+            k = int(p.argmax())
+            if FAMILIES[k] != UNKNOWN and p[k] >= SURE and fits[k] >= CONFIRM:
+                found.append((i, i + n, FAMILIES[k], float(p[k]), fits[k]))
+    best: list[tuple[int, int, str, float, float]] = []
+    for x in sorted(found, key=lambda x: (-x[4], -x[3], x[0], x[1])):
+        if all(x[1] <= y[0] or y[1] <= x[0] for y in best):
+            best.append(x)
+    return best
+
+
 def scan(text: str | None, model: Model) -> list[dict]:
     """The confirmed windows of a text; overlapping windows of one family join."""
-    out: list[dict] = []
+    hits = []
     for start, end, tokens in windows(text or ""):
-        family, p, match = model.family(tokens)
-        if family == UNKNOWN:
+        if not any(x in model.pairs for x in zip(tokens, tokens[1:], strict=False)):
             continue
-        last = out[-1] if out else None
-        if last and last["family"] == family and start <= last["end"]:
-            last |= {"end": end, "probability": max(last["probability"], p), "match": max(last["match"], match)}
+        family, p, match = model.family(tokens)
+        if family != UNKNOWN:
+            hits.append((start, end, family, p, match))
+        part = list(TOKEN.finditer(text, start, end))
+        for i, j, other, q, fit_ in short(tokens, model):
+            if family in (UNKNOWN, other) or fit_ == 1:
+                hits.append((part[i].start(), part[j - 1].end(), other, q, fit_))
+    out: list[dict] = []
+    open_: dict[str, dict] = {}
+    for start, end, family, p, match in sorted(hits, key=lambda x: (x[0], -x[1], x[2])):
+        last = open_.get(family)
+        if last and start <= last["end"]:
+            last |= {"end": max(last["end"], end), "probability": max(last["probability"], p), "match": max(last["match"], match)}
         else:
             out.append({"family": family, "start": start, "end": end, "probability": p, "match": match})
+            open_[family] = out[-1]
     return out
 
 

@@ -106,6 +106,20 @@ def test_licences_held_out():
     assert (hit["start"], hit["end"]) == (2, 32) and text[hit["start"] : hit["end"]] == "Released under the MIT License"
 
 
+def test_short_notices_in_long_lines():
+    """A short notice is found in a full window, alone and behind foreign words; the words around it alone are not."""
+    prose = ["the rivers of the land were said to follow the old roads down to the sea", "nothing here is about rights or works at all", "und die kleine Stadt lag still am Fluss"]
+    model = licences.train([p.split() for p in prose] * 50)
+    found = lambda t: [h["family"] for h in licences.scan(t, model)]
+    around = " ".join(prose * 20)
+    assert found(around) == []
+    for text, family in (("Released under the MIT License.", "mit"), ("All rights reserved.", "proprietary"), ("Released under CC0 1.0 Universal.", "cc0")):
+        line = f"{around} {text} {around}"
+        hits = licences.scan(line, model)
+        assert [h["family"] for h in hits] == [family]
+        assert hits[0]["start"] <= line.index(text) + 1 and hits[0]["end"] >= line.index(text) + len(text) - 1
+
+
 def test_licence_tables(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.", 0), (1, "Released under the MIT License.", 0), (None, None, 0), (3, "", 0)], "doc_id long, text string, hits int")
     rows = licences.licences(docs).select("doc_id", F.size("hits").alias("n")).collect()
