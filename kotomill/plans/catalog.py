@@ -185,6 +185,18 @@ def stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{where}/out")
 
 
+# --- whole texts ----------------------------------------------------------------------------------
+
+
+def _whole(rule: str, options: dict) -> Query:
+    return lambda spark, sf_dir: findings_of(table(spark, sf_dir, "documents").select("doc_id", "text"), (rule, options))
+
+
+#: Rules without another query over whole texts; no SQL follows them, tests hold brute force where there is one.
+for _rule, _options in {"D001": {"style": "consistent"}, "D002": {"normalization": "NFC"}, "D003": {}, "D006": {"maxConsecutive": 1}, "H102": {}, "H104": {}, "H106": {}, "H107": {}, "H108": {}}.items():
+    query(f"{_rule.lower()}_text")(_whole(_rule, _options))
+
+
 # --- tiled cases ----------------------------------------------------------------------------------
 
 
