@@ -1,14 +1,23 @@
-"""Near copies: texts whose sets of WIDTH-word shingles have a Jaccard similarity of at least LEAST.
-
-The words are those of ``simhash``; fewer than WIDTH words are one shingle. A text's MinHash signature is
-cut into BANDS bands of ROWS minima; two texts that agree in a band are candidates, and a pair at
-similarity 0.8 fails to meet in any band with probability (1 - 0.8 ** 4) ** 40, less than 10 ** -9. Every
-candidate that can join two components is verified on the whole shingle sets, so no link is estimated.
-
-Equal texts are one node. In a band's group each member is first compared with the group's smallest node;
-then the members outside the group's largest component are compared with all members of other components.
-Pairs inside one component cannot change it and are left out, so a large group of near copies costs
-a multiple of its size.
+"""Near copies by Golay-keyed SimHash: texts whose sets of WIDTH-word shingles have a Jaccard similarity of at least LEAST.
+
+The words are those of ``simhash``; fewer than WIDTH words are one shingle. A text's SimHash over its
+distinct shingles has 256 bits, of which eleven segments of 23 bits are read as words of the Golay code.
+``Golay.near`` names the codewords near a segment, five on average; two segments that differ in at most two
+bits always share one, and in three or four bits more often than not. By the pigeonhole principle,
+fingerprints within 32 bits have such a segment. A codeword index alone has 12 bits, under which unrelated texts meet
+in numbers that grow with the square of the corpus, so each segment's keys also hold an anchor, the
+smallest of the shingles' hashes in an order of its own: texts without common shingles never meet, and
+texts that share only a passage meet under few keys. A pair at similarity 0.8 agrees in an anchor with
+probability 0.8 and in the segment beside it with 0.6, so it misses all eleven with probability 0.0007;
+at 0.9 with 10^-6.
+
+A meeting is verified twice: on the 256 bits, of which two texts at 0.8 differ in 39 on average, 5.7 being the
+standard deviation, and more than FAR of them fewer than once in 1000 times; then on the whole shingle sets.
+
+Equal texts are one node. In a key's group each member is first compared with the group's lead, the node that
+meets most others in all its groups; then members outside the group's largest component with a lead of
+that component; at last, the members that remain outside with all members of other components. Pairs inside one
+component cannot change it and are left out, so a large group of near copies costs a multiple of its size.
 
 Defined edge cases: null and empty texts and texts without a word are copies of each other; nodes are
 64-bit hashes of texts and shingles 64-bit hashes of words; an empty table gives an empty result; extra
@@ -18,6 +27,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,35 +37,56 @@ from pyspark.sql import functions as F
 
 from .common import Cut, small_side
 from .components import components
+from .simhash import LENGTH, Golay, counted
 
 WIDTH, SEED = 5, 42
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-BANDS, ROWS = 40, 4
+#: 64-bit words of a fingerprint, its segments, and the most bits in which near copies differ.
+WORDS, SEGMENTS, FAR = 4, 11, 58
+PRINT = tuple(f"f{i}" for i in range(WORDS))
 
 _RANDOM = np.random.default_rng(SEED)
-_XOR, _ODD = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64), _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_MIX = _RANDOM.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
-_BAND = _RANDOM.integers(0, 1 << 64, BANDS, np.uint64)
+_XOR, _ODD = (_RANDOM.integers(0, 1 << 64, SEGMENTS, np.uint64) for _ in range(2))
+_ODD |= np.uint64(1)
+_MIX = _RANDOM.integers(0, 1 << 64, 2, np.uint64) | np.uint64(1)
+_PLACE = 1 << np.arange(LENGTH - 1, -1, -1)
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The distinct hashes of a text's shingles, in order."""
+    """The distinct 128-bit hashes of a text's shingles as rows of two words, by the first of them."""
     words = text.encode().lower().split() if text else []
     if len(words) < WIDTH:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
-    every = zip(*(words[k:] for k in range(WIDTH)), strict=False)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in every), np.uint64, len(words) - WIDTH + 1))
+        found = [xxhash.xxh3_128_digest(b" ".join(words), SEED)] if words else []
+    else:
+        found = [xxhash.xxh3_128_digest(b" ".join(x), SEED) for x in zip(*(words[k:] for k in range(WIDTH)), strict=False)]
+    every = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+    return every[np.unique(every[:, 0], return_index=True)[1]]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits of the fingerprint, anchors) of the hashes of a set of shingles."""
+    bits = np.zeros(64 * WORDS, np.int64)
+    low = np.full(SEGMENTS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 4096):  # bounded memory on very long texts
+        part = found[at : at + 4096]
+        bits += counted(np.concatenate([part, _mixed(part)], axis=1).view(np.uint8))
+        low = np.minimum(low, ((part[:, :1] ^ _XOR) * _ODD).min(0))
+    return 2 * bits > len(found), low
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A key for each band of the signature of a set of shingles."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 1024):
-        low = np.minimum(low, ((found[at : at + 1024, None] ^ _XOR) * _ODD).min(0))
-    low ^= low >> np.uint64(29)
-    mixed = (low.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64) ^ _BAND
-    return mixed ^ (mixed >> np.uint64(32))
+def keys(bits: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of rows of fingerprint bits and anchors: an anchor, a segment's number and a codeword near it."""
+    words = (bits[:, : LENGTH * SEGMENTS].reshape(-1, LENGTH) @ _PLACE).astype(np.int32)
+    at, home = Golay.get().near(words, LENGTH)
+    segment = (at % SEGMENTS).astype(np.uint64) << np.uint64(12) | home.astype(np.uint64)
+    return at // SEGMENTS, _mixed(_mixed(low.reshape(-1)[at]) ^ segment)
 
 
 def node_of(text: str) -> Column:
@@ -63,15 +94,21 @@ def node_of(text: str) -> Column:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [shingles(x.as_py()) for x in batch.column(1)]
-        keys = pa.array([bands(x).view(np.int64) for x in rows], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in rows], pa.int32()), keys], ["node", "n", "bands"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            sets = [shingles(x.as_py()) for x in batch.column(1)]
+            bits, low = (np.stack(x) for x in zip(*map(sketch, sets), strict=True))
+            at, key = keys(bits, low)
+            ends = np.searchsorted(at, np.arange(len(sets) + 1))
+            filed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key.view(np.int64)))
+            prints = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(prints[:, i].copy()) for i in range(WORDS)), filed], ["node", "n", *PRINT, "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = pa.array([shingles(x.as_py()).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))
+        rows = pa.array([shingles(x.as_py())[:, 0].view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["node", "shingles"])
 
 
@@ -83,34 +120,53 @@ def _alike(pairs: DataFrame, sets: Cut) -> DataFrame:
     return both.where(common * LEAST[1] >= (total - common) * LEAST[0]).select("x", "y")
 
 
-def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
-    roots = Cut(components(links, "x", "y"), "copy-roots")
-    named = small_side(roots).select("node", "root")
-    return members.join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _may(a: str, b: str) -> Column:
+    """Whether two sketched members can be near copies, by their sizes and fingerprints."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    far = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in PRINT))
+    return (F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]) & (far <= FAR)
+
+
+def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
+    roots = Cut(components(found, "x", "y"), "copy-roots")
+    return members.join(small_side(roots).select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(x, y): links between nodes that connect all near copies; texts has node and text, nodes has node, n and bands."""
-    filed = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = Cut(filed.groupBy("band").agg(F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n"), F.count("*").alias("k")).where("k > 1").drop("k"), "copy-bands")
-    members = Cut(filed.join(small_side(shared), "band"), "copy-members")
-    wanted = Cut(members.df.select("node").distinct(), "copy-nodes")
-    chosen = texts.join(small_side(wanted), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
+    """(x, y): links between nodes that connect all near copies; texts has node and text, nodes the columns of _signed."""
+    filed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = Cut(filed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "copy-keys")
+    met = Cut(filed.join(small_side(shared), "key"), "copy-met")
+    central = Cut(met.df.groupBy("node").agg(F.sum("k").alias("weight")), "copy-weights")
+    members = Cut(met.df.select("node", "key").join(small_side(central), "node").join(nodes.select("node", "n", *PRINT), "node"), "copy-members")
+    met.drop()
+    chosen = texts.join(small_side(central).select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
     sets = Cut(chosen.mapInArrow(_sets, "node long, shingles array<long>"), "copy-sets")
-    near = lambda a, b: F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
+    own, first = F.struct("weight", "node", "n", *PRINT), F.col("lead")
+
+    def to_lead(rows: DataFrame, leads: Cut) -> DataFrame:
+        pairs = rows.alias("m").join(small_side(leads).select("key", "lead.*").alias("lead"), F.col("m.key") == F.col("lead.key")).where((F.col("m.node") != F.col("lead.node")) & _may("m", "lead"))
+        return _alike(Cut(pairs.select(F.col("lead.node").alias("x"), F.col("m.node").alias("y")).distinct(), "copy-pairs").df, sets)
+
+    leads = Cut(members.df.groupBy("key").agg(F.max(own).alias("lead")), "copy-leads")
+    found = Cut(to_lead(members.df, leads), "copy-stars")
+    rooted = Cut(_rooted(members.df, found.df), "copy-rooted")
+
+    def main(rows: DataFrame) -> Cut:
+        """The keys that still hold several components, with the largest and its lead."""
+        counts = rows.groupBy("key", "root").agg(F.count("*").alias("k"), F.max(own).alias("lead"))
+        return Cut(counts.groupBy("key").agg(F.max_by(F.struct("root", "lead"), F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main.*"), "copy-open")
 
-    stars = members.df.where((F.col("node") != F.col("lead")) & near("n", "lead_n")).select(F.col("lead").alias("x"), F.col("node").alias("y")).distinct()
-    first = Cut(_alike(stars, sets), "copy-stars")
+    leads = main(rooted.df)
+    outside = rooted.df.alias("o").join(small_side(leads).alias("l"), "key").where("o.root != l.root").select("o.*")
+    again = Cut(found.df.unionByName(to_lead(outside, leads)), "copy-stars")
+    rooted = Cut(_rooted(members.df, again.df), "copy-rooted")
 
-    rooted = Cut(_rooted(members.df, first.df), "copy-rooted")
-    counts = rooted.df.groupBy("band", "root").agg(F.count("*").alias("k"))
-    main = Cut(counts.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots"), "copy-open")
-    open_ = Cut(rooted.df.join(small_side(main), "band"), "copy-open-members")
-    x = open_.df.where("root != main").select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    y = open_.df.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("in_main"))
-    cross = x.join(y, "band").where((F.col("rx") != F.col("ry")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & near("nx", "ny"))
-    pairs = Cut(cross.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "copy-pairs")
-    return first.df.unionByName(_alike(pairs.df, sets))
+    open_ = Cut(rooted.df.join(small_side(main(rooted.df)).select("key", F.col("root").alias("main")), "key"), "copy-open-members")
+    x, y = open_.df.where("root != main").alias("x"), open_.df.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    cross = x.join(y, apart & _may("x", "y")).select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y"))
+    return again.df.unionByName(_alike(Cut(cross.distinct(), "copy-pairs").df, sets))
 
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,14 +174,14 @@ def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     Rows are told apart by a number that is written with them, so repeated rows and keys count as the rows they are.
     """
-    rows = Cut(docs.withColumns({"_row": F.monotonically_increasing_id(), "_node": node_of(text)}), "copy-rows")
-    texts = rows.df.select(F.col("_node").alias("node"), F.col(text).alias("text"))
-    signed = texts.mapInArrow(_signed, "node long, n int, bands array<long>")
-    nodes = Cut(signed.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "copy-signatures")
+    packed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # no column of the input can clash
+    rows = Cut(docs.select(packed, F.monotonically_increasing_id().alias("at"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node")), "copy-rows")
+    texts = rows.df.select("node", F.col(f"row.`{text}`").alias("text"))
+    signed = texts.mapInArrow(_signed, f"node long, n int, {', '.join(f'{f} long' for f in PRINT)}, keys array<long>")
+    nodes = Cut(signed.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n", *PRINT, "keys"))), "copy-sketches")
     roots = Cut(components(links(texts, nodes.df), "x", "y"), "copy-roots")
-    named = rows.df.select("_row", F.col("_node").alias("node"), F.col(key).alias("key")).join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    order = F.struct(F.col("key").isNull().alias("last"), "key", "node", "_row")
-    first = Cut(named.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("k")), "copy-first")
-    extra = named.join(small_side(Cut(first.df.where("k > 1").select("root", F.col("first._row").alias("first")), "copy-groups")), "root").where("_row != first")
-    gone = small_side(Cut(extra.select("_row"), "copy-extra"))
-    return rows.df.join(gone, "_row", "left_anti").select(docs.columns)
+    named = rows.df.select("at", "node", F.col(f"row.`{key}`").alias("key")).join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("key").isNull().alias("last"), "key", "node", "at")
+    first = Cut(named.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1").select("root", F.col("first.at").alias("first")), "copy-groups")
+    gone = Cut(named.join(small_side(first), "root").where("at != first").select("at"), "copy-extra")
+    return rows.df.join(small_side(gone), "at", "left_anti").select("row.*")

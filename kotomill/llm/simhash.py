@@ -1,18 +1,19 @@
 """SimHash near-duplicates found by Golay-code fuzzy hashing.
 
-A fingerprint of 64 bits is cut into three segments of at most 23 bits. Two fingerprints that differ in
-at most three bits have two segments that differ in at most one bit each (three segments, and two with
-two or more errors would need four). Each segment is read as a word of the perfect (23, 12) Golay code:
-every word lies within three errors of exactly one codeword. ``home(x)`` is that codeword's 12-bit index
-and ``near(x)`` holds the homes of x and of all words one error away, one to six indices. If x and y
-differ in at most one bit, home(y) is in near(x) and home(x) is in near(y).
-
-So for each of the three pairs of segments (a, b) a fingerprint is filed under the keys
-near(a) x home(b) and looked up under home(a) x near(b), about five keys each way; every pair within
-three bits meets under a key, and the meeting is verified on all 64 bits.
-
-Keys under which few fingerprints meet are joined directly. Fuller keys are dealt out in blocks: each
-cell of at most about BLOCK x BLOCK fingerprints compares them and returns only a spanning forest of
+A fingerprint of 64 bits is cut into five blocks. Two fingerprints that differ in at most three bits agree in
+at least two blocks, whichever they are; the bits of the other three blocks form two segments, of which one
+differs in at most one bit. Each segment is read as a word of the perfect (23, 12) Golay code (shortened: its
+high bits are zero): every word lies within three errors of exactly one codeword. ``home(x)`` is that
+codeword's 12-bit index and ``near(x)`` holds the homes of x and of all words one error away, one to six
+indices; if x and y differ in at most two bits, near(x) and near(y) share an index.
+
+So for each of the ten pairs of blocks and both segments, a fingerprint is filed under the blocks' bits and each
+index near the segment: about a hundred keys of 37 or 38 bits, of which unrelated fingerprints hardly share any before
+there are 10^9 of them, so that what meets grows with the near copies and not with the square of the table. Every
+pair within three bits meets under a key, and the meeting is verified on all 64 bits.
+
+Keys of one fingerprint are dropped. Keys of up to DIRECT are joined directly. Fuller keys are dealt out in blocks:
+each cell of at most about BLOCK x BLOCK fingerprints compares them and returns only a spanning forest of
 its links, so that large groups of near copies neither meet in one task nor return all their pairs.
 Copies of a fingerprint are one node throughout.
 
@@ -41,14 +42,23 @@ SHINGLE, SEED, BITS = 3, 42, 3
 
 #: The generator polynomial of the (23, 12) code, highest power first.
 GENERATOR, LENGTH, CHECKS = 0b110001110101, 23, 11
-#: Bits of the three segments, from the top.
-SEGMENTS = (22, 21, 21)
-#: A key with more than this many meetings is dealt out in cells.
-DIRECT = 4096
+#: Bits of the five blocks, from the top.
+BLOCKS = (13, 13, 13, 13, 12)
+#: A key with more fingerprints is dealt out in cells.
+DIRECT = 64
 #: Fingerprints on either side of a cell, about.
 BLOCK = 512
 
 
+def counted(rows: np.ndarray) -> np.ndarray:
+    """How many rows of bytes have each bit set."""
+    total = np.zeros(8 * rows.shape[1], np.int64)
+    bits = np.unpackbits(rows, axis=1)
+    for at in range(0, len(bits), 255):  # a byte holds the sum of so many rows
+        total += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    return total
+
+
 def fingerprint(text: str | None) -> int:
     """Unsigned; a bit is set if it is set in over half the shingles' hashes."""
     words = text.encode().lower().split() if text else []  # bytes lower only A-Z and split at exactly the contract's separators
@@ -61,7 +71,7 @@ def fingerprint(text: str | None) -> int:
     for at in range(0, n, 8192):  # bounded memory on very long texts
         part = words[at : at + 8192 + SHINGLE - 1]
         hashes = [xxhash.xxh64_digest(b" ".join(x), SEED) for x in zip(*(part[k:] for k in range(SHINGLE)), strict=False)]
-        counts += np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        counts += counted(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8))
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
@@ -122,36 +132,38 @@ class Golay:
         return np.nonzero(fresh)[0], homes[fresh]
 
 
-def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, side) of unsigned fingerprints; side 0 is filed, side 1 looks up."""
-    golay, at, segments = Golay.get(), 64, []
-    for bits in SEGMENTS:
+def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of unsigned fingerprints: number of the pair of blocks and segment, bits of the blocks, codeword index."""
+    golay, at, blocks = Golay.get(), 64, []
+    for bits in BLOCKS:
         at -= bits
-        segments.append(((fp >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int32))
-    home = [golay.home(x) for x in segments]
-    near = [golay.near(x, bits) for x, bits in zip(segments, SEGMENTS, strict=True)]
-    rows, found, sides = [], [], []
-    for k, (a, b) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        for side, (row, index) in ((0, near[a]), (1, near[b])):
-            first, second = (index, home[b][row]) if side == 0 else (home[a][row], index)
+        blocks.append((fp >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1))
+    rows, found = [], []
+    for k, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2)):
+        held = blocks[a] << BLOCKS[b] | blocks[b]
+        rest, width = np.zeros(len(fp), np.int64), 0
+        for i in set(range(len(BLOCKS))) - {a, b}:
+            rest, width = rest << BLOCKS[i] | blocks[i], width + BLOCKS[i]
+        half = width // 2
+        for s, (word, bits) in enumerate(((rest >> half, width - half), (rest & ((1 << half) - 1), half))):
+            row, index = golay.near(word.astype(np.int32), bits)
             rows.append(row)
-            found.append((k << 24) | (first << 12) | second)
-            sides.append(np.full(len(row), side, np.int8))
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(sides)
+            found.append((np.int64(2 * k + s) << 26 | held[row]) << 12 | index)
+    return np.concatenate(rows), np.concatenate(found)
 
 
 def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         every = batch.column(0).to_numpy()
-        for at in range(0, len(every), 4096):
-            fp = every[at : at + 4096]
-            row, key, side = keys(fp.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(fp[row])], ["key", "side", "fp"])
+        for at in range(0, len(every), 2048):
+            fp = every[at : at + 2048]
+            row, key = keys(fp.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["key", "fp"])
 
 
 def _forest(cell: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the links between the two sides of a cell."""
-    x, y = (np.unique(cell.loc[cell.side == s, "fp"].to_numpy()) for s in (0, 1))
+    """A spanning forest of the links between the cell's two blocks, which may be the same."""
+    x, y = (np.unique(cell.loc[cell["slot"] == cell[c], "fp"].to_numpy()) for c in ("i", "j"))
     nodes = np.union1d(x, y)
     top = np.arange(len(nodes))
     i, j = np.nonzero(np.bitwise_count(x.view(np.uint64)[:, None] ^ y.view(np.uint64)[None, :]) <= BITS)
@@ -171,22 +183,19 @@ def _forest(cell: pd.DataFrame) -> pd.DataFrame:
 
 def links(nodes: DataFrame) -> DataFrame:
     """(x, y): links between distinct fingerprints that connect all pairs within BITS bits."""
-    filed = Cut(nodes.select("fp").mapInArrow(_filed, "key int, side byte, fp long"), "golay-keys")
-    of = lambda side: F.sum((F.col("side") == side).cast("long"))
-    full = Cut(filed.df.groupBy("key").agg(of(0).alias("nx"), of(1).alias("ny")).where(F.col("nx") * F.col("ny") > DIRECT), "golay-full")
-
-    few = filed.df.join(small_side(full).select("key"), "key", "left_anti")
-    x = few.where("side = 0").select("key", F.col("fp").alias("x"))
-    y = few.where("side = 1").select("key", F.col("fp").alias("y"))
-    meet = x.join(y, (x.key == y.key) & (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS))
-    direct = meet.select("x", "y")
-
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    many = filed.df.join(small_side(full), "key").withColumns({"bx": blocks("nx"), "by": blocks("ny")})
-    slot = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cells = many.where("side = 0").select("key", "side", "fp", slot("bx").alias("i"), every("by").alias("j"))
-    cells = cells.unionByName(many.where("side = 1").select("key", "side", "fp", every("bx").alias("i"), slot("by").alias("j")))
+    filed = nodes.select("fp").mapInArrow(_filed, "key long, fp long")
+    shared = Cut(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "golay-shared")
+    met = Cut(filed.join(small_side(shared), "key"), "golay-met")
+
+    few = met.df.where(F.col("n") <= DIRECT)
+    x, y = few.select("key", F.col("fp").alias("x")), few.select("key", F.col("fp").alias("y"))
+    close = (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS)
+    direct = x.join(y, (x.key == y.key) & close).select("x", "y").distinct()
+
+    many = met.df.where(F.col("n") > DIRECT).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    slot = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    cells = many.select("key", "fp", slot.alias("slot"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("key", "fp", "slot", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
     return direct.unionByName(cells.groupBy("key", "i", "j").applyInPandas(_forest, "x long, y long"))
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -68,16 +69,32 @@ def test_stage_on_a_table(spark):
     assert {r.doc_id for r in corpus_pipeline.distinct(spark, rows, None).collect()} == {ids[k] for k in roots}
 
 
-def test_signatures_meet():
-    """Pairs at 0.8 share a band; unrelated texts do not."""
+def test_sketches_meet():
+    """Of pairs just over 0.8 nearly all share a key and none is too far; unrelated texts share none."""
     rng = random.Random(3)
+    missed = 0
     for _ in range(300):
         words = [str(rng.random()) for _ in range(104)]
         other = [*words[:-11], *(str(rng.random()) for _ in range(11))]
-        a, b = (neardup.shingles(" ".join(x)) for x in (words, other))
-        assert 0.8 < len(set(a) & set(b)) / len(set(a) | set(b)) < 0.81
-        assert (neardup.bands(a) == neardup.bands(b)).any()
-        assert not (neardup.bands(a) == neardup.bands(neardup.shingles(" ".join(words[::-1])))).any()
+        a, b, c = (neardup.shingles(" ".join(x)) for x in (words, other, words[::-1]))
+        same = len(set(a[:, 0]) & set(b[:, 0]))
+        assert 0.8 < same / (len(a) + len(b) - same) < 0.81
+        bits, low = (np.stack(x) for x in zip(*map(neardup.sketch, (a, b, c)), strict=True))
+        row, key = neardup.keys(bits, low)
+        x, y, z = (set(key[row == k]) for k in range(3))
+        missed += not x & y or (bits[0] != bits[1]).sum() > neardup.FAR
+        assert not x & z
+    assert missed <= 3
+
+
+@pytest.mark.parametrize("n", [0, 1, 300, 5000])
+def test_sketch_against_counting(n):
+    found = np.random.default_rng(n).integers(0, 1 << 63, (n, 2), np.uint64)
+    bits, low = neardup.sketch(found)
+    for b in (0, 63, 127):
+        byte = found.view(np.uint8)[:, b // 8]
+        assert bits[b] == (2 * int((byte >> (7 - b % 8) & 1).sum()) > n)
+    assert low[3] == min([int(x) for x in (found[:, 0] ^ neardup._XOR[3]) * neardup._ODD[3]], default=2**64 - 1)
 
 
 def test_stage_of_nothing(spark):
@@ -90,3 +107,18 @@ def test_one_row_of_each_group_stays(spark):
     rows = [(None, text[0]), (None, text[0]), (1, text[1]), (1, text[1]), (2, text[2]), (3, text[2]), (3, text[3]), (None, text[4]), (9, text[4]), (None, text[5])]
     got = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), None).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, text[0]), (1, text[1]), (2, text[2]), (3, text[3]), (9, text[4]), (None, text[5])], key=str)
+
+
+def test_hot_family(spark):
+    """A family of hundreds with similarities on both sides of 0.8: one row of each component, as brute force finds them."""
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(150)]
+    texts = []
+    for _ in range(500):
+        words = base[:]
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(150)] = rng.choice(WORDS)
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, node int")
+    got = {r.doc_id for r in neardup.survivors(docs).collect()}
+    assert got == set(plain_roots(texts)) and neardup.survivors(docs).columns == docs.columns
