@@ -4,7 +4,8 @@ A subset of CommonMark with GFM tables: headings (ATX, setext), thematic breaks,
 HTML blocks, block quotes and lists with lazy continuation, reference definitions, front matter, footnote
 definitions; in paragraphs code spans, emphasis, strikethrough, links, images, autolinks, inline HTML,
 entities, escapes and hard breaks. Not covered: tab stops inside containers, nested link edge cases.
-All offsets are code points. Every line is visited once per container level, of which LEVELS are opened.
+All offsets are code points. Containers may nest to any depth: they are worked off a list, not by recursion, and the
+levels that all lines of a block quote share are opened at once.
 """
 
 from __future__ import annotations
@@ -14,13 +15,11 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 from html import unescape
 
-LEVELS = 24
-
 _FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 _ATX = re.compile(r" {0,3}#{1,6}(?:[ \t]|$)")
 _SETEXT = re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
-_BREAK = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 _QUOTE = re.compile(r" {0,3}> ?")
+_QUOTES = re.compile(r"(?: {0,3}> ?)+")
 _ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])([ \t]+|$)")
 _HTML = re.compile(r" {0,3}<(?:!--|[?]|![A-Za-z]|!\[CDATA\[|/?(?:address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|pre|script|section|source|style|summary|table|tbody|td|textarea|tfoot|th|thead|title|tr|track|ul)(?:[\s/>]|$))", re.I)
 _HTML_END = ((re.compile(r" {0,3}<!--"), "-->"), (re.compile(r" {0,3}<[?]"), "?>"), (re.compile(r" {0,3}<!\[CDATA\["), "]]>"), (re.compile(r" {0,3}<(?:script|pre|style|textarea)(?:[\s>]|$)", re.I), "</"))
@@ -66,15 +65,28 @@ def _blank(line: str) -> bool:
     return not line.strip(" \t")
 
 
+def _break(line: str) -> bool:
+    """Whether a line is a thematic break: three or more of one mark, with white space."""
+    mark = line.lstrip(" ")[:1]
+    return mark in ("*", "-", "_") and mark != "" and _indent(line) < 4 and not line.strip(f"{mark} \t") and line.count(mark) >= 3
+
+
 def _interrupts(line: str) -> bool:
     """Whether a line may not continue a paragraph."""
-    if _FENCE.match(line) or _ATX.match(line) or _BREAK.match(line) or _QUOTE.match(line) or _HTML.match(line):
+    if _FENCE.match(line) or _ATX.match(line) or _break(line) or _QUOTE.match(line) or _HTML.match(line):
         return True
     item = _ITEM.match(line)
     return bool(item and not _blank(line[item.end() :]) and (not item[2][0].isdigit() or item[2][:-1] == "1"))
 
 
-def _blocks(lines: list[Line], out: Structure, level: int) -> None:
+def _blocks(lines: list[Line], out: Structure) -> None:
+    """Every container's lines are a task of their own; the order does not matter, as what they hold is sorted at last."""
+    todo = [lines]
+    while todo:
+        _level(todo.pop(), out, todo)
+
+
+def _level(lines: list[Line], out: Structure, todo: list[list[Line]]) -> None:
     i, n = 0, len(lines)
     paragraph: list[Line] = []
 
@@ -122,7 +134,7 @@ def _blocks(lines: list[Line], out: Structure, level: int) -> None:
             paragraph.clear()
             i += 1
             continue
-        if _BREAK.match(line):
+        if _break(line):
             close()
             i += 1
             continue
@@ -133,26 +145,32 @@ def _blocks(lines: list[Line], out: Structure, level: int) -> None:
                 i += 1
             i += stop is not None
             continue
-        if _QUOTE.match(line) and level < LEVELS:
+        if _QUOTE.match(line):
             close()
             inner: list[Line] = []
+            shared, j = line[: _QUOTES.match(line).end()].count(">"), i + 1
+            while j < n and ((q := _QUOTES.match(lines[j][1])) or (not _blank(lines[j][1]) and not _interrupts(lines[j][1]))):
+                shared = min(shared, q[0].count(">")) if q else shared  # the levels that all lines of the quote have
+                j += 1
             lazy = False
             while i < n:
                 a, x = lines[i]
-                q = _QUOTE.match(x)
-                if q:
-                    rest = x[q.end() :]
-                    inner.append((a + q.end(), rest))
-                    lazy = not _blank(rest) and not (_FENCE.match(rest) or _ATX.match(rest) or _BREAK.match(rest) or _indent(rest) >= 4 and not lazy)
+                if q := _QUOTE.match(x):
+                    end, more = q.end(), 1
+                    while more < shared:
+                        end, more = _QUOTE.match(x, end).end(), more + 1
+                    rest = x[end:]
+                    inner.append((a + end, rest))
+                    lazy = not _blank(rest) and not (_FENCE.match(rest) or _ATX.match(rest) or _break(rest) or _indent(rest) >= 4 and not lazy)
                 elif lazy and not _blank(x) and not _interrupts(x):
                     inner.append((a + len(x) - len(x.lstrip(" \t")), x.lstrip(" \t")))
                 else:
                     break
                 i += 1
-            _blocks(inner, out, level + 1)
+            todo.append(inner)
             continue
         item = _ITEM.match(line)
-        if item and level < LEVELS and (not paragraph or _interrupts(line)):
+        if item and (not paragraph or _interrupts(line)):
             close()
             pad = len(item[3]) if 1 <= len(item[3]) <= 4 and not _blank(line[item.end() :]) else 1
             width = len(item[1]) + len(item[2]) + pad
@@ -176,7 +194,7 @@ def _blocks(lines: list[Line], out: Structure, level: int) -> None:
                 i += 1
             while inner and _blank(inner[-1][1]):
                 inner.pop()
-            _blocks(inner, out, level + 1)
+            todo.append(inner)
             continue
         if not paragraph and "|" in line and i + 1 < n and "-" in lines[i + 1][1] and "|" in lines[i + 1][1] + line and _RULE_ROW.match(lines[i + 1][1]):
             j = i
@@ -331,8 +349,13 @@ def _emphasis(runs: list[list]) -> None:
             stack.append(k)
 
 
-def parse(text: str) -> Structure:
-    """Code ranges sorted by start, and the paragraphs in source order."""
+def may_hold_code(text: str) -> bool:
+    """Whether a text has any of what code needs: a fence, a code span's mark or an indent."""
+    return "`" in text or "~~~" in text or "    " in text or "\t" in text
+
+
+def parse(text: str, visible: bool = True) -> Structure:
+    """Code ranges sorted by start, and the paragraphs in source order; if not visible, without their projected texts."""
     out = Structure()
     lines, at = [], 0
     for raw in re.split(r"(?<=\n)", text):
@@ -344,15 +367,16 @@ def parse(text: str) -> Structure:
         close = next((k for k in range(1, len(lines)) if lines[k][1] in ("---", "...")), None)
         if close is not None:
             lines = lines[close + 1 :]
-    _blocks(lines, out, 0)
+    _blocks(lines, out)
     for group in out.waiting:
-        out.code += _inline(group, out.references)[1]
+        if any("`" in x for _, x in group):
+            out.code += _inline(group, out.references)[1]
     for group in out.open_paragraphs:
         last, body = group[-1]
         group[-1] = (last, body.rstrip(" \t"))
-        visible, spans = _inline(group, out.references)
+        shown, spans = _inline(group, out.references) if visible or any("`" in x for _, x in group) else ("", [])
         out.code += spans
-        out.paragraphs.append((visible, group[0][0], last + len(group[-1][1])))
+        out.paragraphs.append((shown, group[0][0], last + len(group[-1][1])))
     out.code.sort()
     out.paragraphs.sort(key=lambda p: p[1])
     return out

@@ -11,7 +11,9 @@ import re
 
 # What ends a sentence and what protects it.
 PAIR = {"「": "」", "『": "』", "（": "）", "(": ")", "【": "】", "[": "]", "“": "”", "‘": "’"}
-_STOP = re.compile(r"[。．！？!?]+|\.+(?=\s|\Z)|[「『（(【\[“‘」』）)】\]”’]|\n[^\S\n]*\n")
+_STOP = re.compile(r"[。．！？!?]+|\.+(?=\s|\Z)")
+_OPENER = re.compile(r"[「『（(【\[“‘]")
+_MARKS = re.compile(r"[「『（(【\[“‘」』）)】\]”’]|\n[^\S\n]*\n")
 _CLOSERS = frozenset(PAIR.values())
 #: ECMAScript white space.
 SPACE = "\t\n\v\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -20,41 +22,46 @@ SPACE = "\t\n\v\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u
 def _protected(text: str) -> list[tuple[int, int]]:
     """Outermost balanced spans (start, end) of pair marks, in order; a blank line ends all open ones."""
     stack: list[tuple[str, int]] = []
+    where: dict[str, list[int]] = {c: [] for c in _CLOSERS}  # the places in the stack of each closing mark's openers
     spans: list[tuple[int, int]] = []
-    for m in _STOP.finditer(text):
+    for m in _MARKS.finditer(text):
         c = m[0]
         if c in PAIR:
+            where[PAIR[c]].append(len(stack))
             stack.append((PAIR[c], m.start()))
         elif c in _CLOSERS:
-            at = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 33), -1) if stack[i][0] == c), None)
-            if at is not None:
+            if where[c]:
+                at = where[c][-1]
                 start = stack[at][1]
-                del stack[at:]
+                while len(stack) > at:
+                    where[stack.pop()[0]].pop()
                 while spans and spans[-1][0] > start:
                     spans.pop()
                 spans.append((start, m.end()))
-        elif c[0] == "\n":
-            stack.clear()
+        else:
+            while stack:
+                where[stack.pop()[0]].pop()
     return spans
 
 
 def split(text: str) -> list[tuple[int, int]]:
     """(start, end) of the trimmed sentences in code points."""
-    spans, k, cuts = _protected(text), 0, []
+    spans = _protected(text) if _OPENER.search(text) else []
+    out, at, k = [], 0, 0
+
+    def add(end: int) -> None:
+        part = text[at:end]
+        body = part.lstrip(SPACE)
+        if body := body.rstrip(SPACE) if (left := len(part) - len(body)) < len(part) else "":
+            out.append((at + left, at + left + len(body)))
+
     for m in _STOP.finditer(text):
-        if m[0][0] not in "。．！？!?.":
-            continue
-        while k < len(spans) and spans[k][1] <= m.start():
+        start = m.start()
+        while k < len(spans) and spans[k][1] <= start:
             k += 1
-        if k < len(spans) and spans[k][0] <= m.start():
+        if k < len(spans) and spans[k][0] <= start:
             continue
-        cuts.append(m.end())
-    out, at = [], 0
-    for cut in [*cuts, len(text)]:
-        part = text[at:cut]
-        left = len(part) - len(part.lstrip(SPACE))
-        body = part.strip(SPACE)
-        if body:
-            out.append((at + left, at + left + len(body)))
-        at = cut
+        add(m.end())
+        at = m.end()
+    add(len(text))
     return out

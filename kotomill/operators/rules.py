@@ -12,20 +12,43 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import PAIRS, Config, Rule
+from ..config import PAIRS, Rule
 from ..functions import japanese as ja
 from ..functions import utf16
 from ..functions.utf16 import let
 from ..schema import DETERMINISTIC, FINDING
-from .structure import FILLER
+from .scans import Brackets, Terms, repeat_scan, segments
 
-#: Structure columns that each rule reads; {s} is the sentence column that code exclusion selects.
+#: Structure that each rule reads; {s} is the sentence field that code exclusion selects.
 NEEDS = {
-    "D001": ("sentences",), "D002": ("decomposed",), "D003": ("masked",), "D004": ("masked",), "D005": ("masked",), "D006": ("code",), "D007": ("masked",), "D008": ("masked",),
-    **{r: ("{s}",) for r in ("H101", "H102", "H103", "H104", "H106", "H107", "H108")}, "H112": ("paragraphs",), "H113": ("paragraphs",),
+    "D001": ("sentences", "texts"), "D002": ("decomposed",), "D006": ("code",), "H101": ("{s}",), **{r: ("{s}", "texts") for r in ("H102", "H103", "H104", "H106")},
+    **{r: ("{s}", "texts", "homes") for r in ("H107", "H108")}, "H112": ("paragraphs",), "H113": ("paragraphs", "counts"),
 }
 
 
+def scan_of(rule: Rule) -> Terms | Brackets | None:
+    """The scan of the text outside code whose hits a rule reports."""
+    if rule.rule_id == "D003":
+        return Brackets(rule.pairs)
+    if rule.rule_id in ("D004", "D007"):
+        return Terms(rule.terms, rule.rule_id == "D004")
+    return Terms(tuple(rule.mapping)) if rule.rule_id in ("D005", "D008") else None
+
+
+class Pass:
+    """The columns that rules read: the text, and fields of the structure pass."""
+
+    def __init__(self, text: Column, found: Column, exclude_code: bool):
+        self.text, self._found, self._exclude = text, found, exclude_code
+
+    def __getitem__(self, name: str) -> Column:
+        return self._found[name]
+
+    @property
+    def sentences(self) -> Column:
+        return self["outside" if self._exclude else "sentences"]
+
+
 def finding(rule: Rule, span: Column, message: Column, actual: Column | None = None) -> Column:
     kind = "deterministic" if rule.rule_id in DETERMINISTIC else "heuristic"
     seen = [F.lit(None) if actual is None else actual, F.lit(rule.threshold)]
@@ -45,111 +68,49 @@ def none() -> Column:
     return F.array().cast(f"array<{FINDING}>")
 
 
-def matches(text: Column, alternatives: str) -> Column:
-    """array<(text, start, end)> of the leftmost matches in UTF-16 units.
-
-    Each match is paired with the gap in front of it; running sums over the few matches give the offsets.
-    """
-    pairs = F.arrays_zip(F.split(text, alternatives).alias("gap"), F.regexp_extract_all(text, F.lit(alternatives), F.lit(0)).alias("hit"))
-    sized = F.transform(F.filter(pairs, lambda p: p["hit"].isNotNull()), lambda p: F.struct(p["hit"].alias("text"), utf16.length(p["gap"]).alias("gap"), utf16.length(p["hit"]).alias("n")))
-
-    def placed(z: Column) -> Column:
-        spans = lambda ends: F.transform(z, lambda p, i: F.struct(p["text"].alias("text"), (F.get(ends, i) - p["n"]).alias("start"), F.get(ends, i).alias("end")))
-        return let(running(F.transform(z, lambda p: p["gap"] + p["n"])), spans)
-
-    return let(sized, placed)
-
-
-def _sums(values: Column) -> Column:
-    zero = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("t"))
-    return F.aggregate(values, zero, lambda s, x: F.struct(F.concat(s["a"], F.array(s["t"] + x)).alias("a"), (s["t"] + x).alias("t")), lambda s: s["a"])
-
-
-def running(values: Column, block: int = 512) -> Column:
-    """Running sums of an array of ints, in blocks, as a fold copies its array at each step."""
-
-    def whole(v: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(v) / block).cast("int") - 1)), lambda b: _sums(F.slice(v, b * block + 1, F.lit(block))))
-        shifted = lambda p: let(_sums(F.transform(p, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0)))), lambda base: F.flatten(F.transform(p, lambda x, b: F.transform(x, lambda y: y + F.coalesce(F.get(base, b - 1), F.lit(0))))))
-        return let(parts, shifted)
-
-    return let(values, whole)
-
-
-def _literal(words: tuple[str, ...]) -> str:
-    return "|".join(re.escape(w).replace("\\ ", " ") for w in sorted(dict.fromkeys(words), key=lambda w: -len(w.encode("utf-16-le"))))
-
-
-def _script(c: str) -> str | None:
-    if "ぁ" <= c <= "ゖ" or "ゝ" <= c <= "ゟ":
-        return "IsHiragana"
-    if "ァ" <= c <= "ヺ" or "ヽ" <= c <= "ヿ" or "ㇰ" <= c <= "ㇿ" or "ｦ" <= c <= "ｯ" or "ｱ" <= c <= "ﾝ":
-        return "IsKatakana"
-    return None
-
-
-def _bounded(word: str) -> str:
-    """The word, not continued by its edge's own kana script."""
-    left, right = _script(word[0]), _script(word[-1])
-    return (rf"(?<!\p{{{left}}})" if left else "") + _literal((word,)) + (rf"(?!\p{{{right}}})" if right else "")
-
-
 def _lookup(key: Column, table) -> Column:
     return reduce(lambda c, kv: c.when(key == kv[0], F.lit(kv[1])), table.items(), F.when(F.lit(False), F.lit("")))
 
 
-def d001(rule: Rule, _: Config) -> Column:
+def d001(rule: Rule, of: Pass) -> Column:
     quoted, stops = "「[^」]*」|『[^』]*』|“[^”]*”|‘[^’]*’", r"[。！？!?]+\z"
     outer = lambda t: utf16.trim(F.regexp_replace(utf16.trim(F.regexp_replace(t, quoted, "")), stops, ""))
     polite, plain = r"(?:です|ます|でした|ました|ません|ませんでした|でしょう|ましょう)\z", r"(?:である|であった|だ|だった)\z"
     style = lambda t: F.when(outer(t).rlike(polite), F.lit("desu-masu")).when(outer(t).rlike(plain), F.lit("da-dearu"))
-    told = F.filter(F.transform("sentences", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), style(s["text"]).alias("style"))), lambda s: s["style"].isNotNull())
+    told = F.filter(F.transform(of["sentences"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), style(s["text"]).alias("style"))), lambda s: s["style"].isNotNull())
     report = lambda rows, base: F.transform(F.filter(rows, lambda s: s["style"] != base), lambda s: finding(rule, s, text_of("文体が基準の{a}と一致しません（{b}）。", a=base, b=s["style"])))
     if rule.style != "consistent":
         return report(told, F.lit(rule.style))
     return let(told, lambda t: let(F.get(t, F.lit(0))["style"], lambda base: report(t, base)))
 
 
-def d002(rule: Rule, _: Config) -> Column:
-    return F.transform("decomposed", lambda s: finding(rule, s, F.lit("NFCで合成可能な文字列です。")))
-
+def d002(rule: Rule, of: Pass) -> Column:
+    return F.transform(of["decomposed"], lambda s: finding(rule, s, F.lit("NFCで合成可能な文字列です。")))
 
-def d003(rule: Rule, _: Config) -> Column:
-    from .scans import bracket_scan
 
-    return F.transform(bracket_scan(rule.pairs)(F.col("masked")), lambda s: finding(rule, s, text_of("括弧「{t}」の対応が一致しません。", t=s["text"])))
+def d003(rule: Rule, of: Pass) -> Column:
+    return F.transform(of["D003"], lambda s: finding(rule, s, text_of("括弧「{t}」の対応が一致しません。", t=s["text"])))
 
 
-def d004(rule: Rule, _: Config) -> Column:
-    words = sorted(dict.fromkeys(rule.terms), key=lambda w: -len(w.encode("utf-16-le")))
-    return F.transform(matches(F.col("masked"), "|".join(map(_bounded, words))), lambda s: finding(rule, s, text_of("禁止語「{t}」が使われています。", t=s["text"])))
+def d004(rule: Rule, of: Pass) -> Column:
+    return F.transform(of["D004"], lambda s: finding(rule, s, text_of("禁止語「{t}」が使われています。", t=s["text"])))
 
 
-def d005(rule: Rule, _: Config) -> Column:
-    return F.transform(matches(F.col("masked"), _literal(tuple(rule.mapping))), lambda s: finding(rule, s, text_of("「{t}」は「{x}」に統一してください。", t=s["text"], x=_lookup(s["text"], rule.mapping))))
+def d005(rule: Rule, of: Pass) -> Column:
+    return F.transform(of["D005"], lambda s: finding(rule, s, text_of("「{t}」は「{x}」に統一してください。", t=s["text"], x=_lookup(s["text"], rule.mapping))))
 
 
-def d006(rule: Rule, _: Config) -> Column:
-    from .scans import repeat_scan, segments
-
-    spans = repeat_scan(rule.max_consecutive)(segments(F.col("text")), F.col("code"))
+def d006(rule: Rule, of: Pass) -> Column:
+    spans = repeat_scan(rule.max_consecutive)(segments(of.text), of["code"])
     return F.transform(spans, lambda s: finding(rule, s, F.lit("同一の語句が連続しています。")))
 
 
-def d007(rule: Rule, _: Config) -> Column:
-    if not rule.terms:
-        return none()
-    return F.transform(matches(F.col("masked"), _literal(rule.terms)), lambda s: finding(rule, s, text_of("固定的な二重否定「{t}」が使われています。", t=s["text"])))
-
-
-def d008(rule: Rule, _: Config) -> Column:
-    if not rule.mapping:
-        return none()
-    return F.transform(matches(F.col("masked"), _literal(tuple(rule.mapping))), lambda s: finding(rule, s, text_of("「{t}」は「{x}」に置き換えられます。", t=s["text"], x=_lookup(s["text"], rule.mapping))))
+def d007(rule: Rule, of: Pass) -> Column:
+    return F.transform(of["D007"], lambda s: finding(rule, s, text_of("固定的な二重否定「{t}」が使われています。", t=s["text"])))
 
 
-def _sentences(config: Config) -> Column:
-    return F.col("outside" if config.exclude_code_blocks else "sentences")
+def d008(rule: Rule, of: Pass) -> Column:
+    return F.transform(of["D008"], lambda s: finding(rule, s, text_of("「{t}」は「{x}」に置き換えられます。", t=s["text"], x=_lookup(s["text"], rule.mapping))))
 
 
 def _over(rule: Rule, rows: Column, metric: Callable[[Column], Column], message: str) -> Column:
@@ -158,16 +119,16 @@ def _over(rule: Rule, rows: Column, metric: Callable[[Column], Column], message:
     return F.transform(F.filter(seen, lambda s: s["actual"] > rule.threshold), lambda s: finding(rule, s, text_of(message, t=F.lit(rule.threshold), a=s["actual"]), s["actual"]))
 
 
-def h101(rule: Rule, config: Config) -> Column:
-    return _over(rule, _sentences(config), lambda s: utf16.length(s["text"]), "文の長さが閾値{t}を超えています（{a}）。")
+def h101(rule: Rule, of: Pass) -> Column:
+    return _over(rule, of.sentences, lambda s: s["end"] - s["start"], "文の長さが閾値{t}を超えています（{a}）。")
 
 
-def h102(rule: Rule, config: Config) -> Column:
-    return _over(rule, _sentences(config), lambda s: ja.predicate_count(s["text"]), "述語groupを{a}件検出しました（閾値{t}）。")
+def h102(rule: Rule, of: Pass) -> Column:
+    return _over(rule, of.sentences, lambda s: ja.predicate_count(s["text"]), "述語groupを{a}件検出しました（閾値{t}）。")
 
 
-def h103(rule: Rule, config: Config) -> Column:
-    return _over(rule, _sentences(config), lambda s: F.length(s["text"]) - F.length(F.replace(s["text"], F.lit("、"), F.lit(""))), "文中の読点数が閾値{t}を超えています（{a}）。")
+def h103(rule: Rule, of: Pass) -> Column:
+    return _over(rule, of.sentences, lambda s: F.length(s["text"]) - F.length(F.replace(s["text"], F.lit("、"), F.lit(""))), "文中の読点数が閾値{t}を超えています（{a}）。")
 
 
 def depth(text: Column) -> Column:
@@ -186,12 +147,12 @@ def depth(text: Column) -> Column:
     return F.aggregate(marks, start, step, lambda s: F.when(s["ok"] & (s["stack"] == ""), s["most"]))
 
 
-def h104(rule: Rule, config: Config) -> Column:
-    return _over(rule, _sentences(config), lambda s: depth(s["text"]), "括弧の最大ネスト深度が閾値{t}を超えています（{a}）。")
+def h104(rule: Rule, of: Pass) -> Column:
+    return _over(rule, of.sentences, lambda s: depth(s["text"]), "括弧の最大ネスト深度が閾値{t}を超えています（{a}）。")
 
 
-def h106(rule: Rule, config: Config) -> Column:
-    rows = _sentences(config)
+def h106(rule: Rule, of: Pass) -> Column:
+    rows = of.sentences
     n = F.size(rows)
     span = F.struct(F.get(rows, F.lit(0))["start"].alias("start"), F.get(rows, n - 1)["end"].alias("end"))
 
@@ -203,9 +164,9 @@ def h106(rule: Rule, config: Config) -> Column:
     return let(F.aggregate(rows, F.lit(0), lambda a, s: a + F.size(ja.demonstratives(s["text"]))), judged)
 
 
-def _runs(rule: Rule, config: Config, label: Callable[[Column], Column], message: str) -> Column:
+def _runs(rule: Rule, of: Pass, label: Callable[[Column], Column], message: str) -> Column:
     """Maximal runs of neighbours with one label in one paragraph, by the positions where a run starts and ends."""
-    keyed = F.transform(_sentences(config), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(s["paragraph"].cast("string"), F.lit(":"), label(s["text"])).alias("key")))
+    keyed = F.transform(of.sentences, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(s["paragraph"].cast("string"), F.lit(":"), label(s["text"])).alias("key")))
     # (run start, actual, end) grows only when a run ends; the open run is a struct
     empty = F.array().cast("array<struct<start:int,end:int,actual:int>>")
     zero = F.struct(F.lit(None).cast("string").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("n"), empty.alias("runs"))
@@ -222,24 +183,24 @@ def _runs(rule: Rule, config: Config, label: Callable[[Column], Column], message
     return F.transform(runs, lambda s: finding(rule, s, text_of(message, t=F.lit(rule.threshold), a=s["actual"]), s["actual"]))
 
 
-def h107(rule: Rule, config: Config) -> Column:
-    return _runs(rule, config, ja.leading, "同一文頭labelが{a}文連続しています（閾値{t}）。")
+def h107(rule: Rule, of: Pass) -> Column:
+    return _runs(rule, of, ja.leading, "同一文頭labelが{a}文連続しています（閾値{t}）。")
 
 
-def h108(rule: Rule, config: Config) -> Column:
-    return _runs(rule, config, ja.terminal, "同一文末labelが{a}文連続しています（閾値{t}）。")
+def h108(rule: Rule, of: Pass) -> Column:
+    return _runs(rule, of, ja.terminal, "同一文末labelが{a}文連続しています（閾値{t}）。")
 
 
-def h112(rule: Rule, _: Config) -> Column:
-    return _over(rule, F.col("paragraphs"), lambda p: utf16.length(p["text"]), "段落の可視テキスト長が閾値{t}を超えています（{a}）。")
+def h112(rule: Rule, of: Pass) -> Column:
+    return _over(rule, of["paragraphs"], lambda p: utf16.length(p["text"]), "段落の可視テキスト長が閾値{t}を超えています（{a}）。")
 
 
-def h113(rule: Rule, _: Config) -> Column:
-    return _over(rule, F.col("paragraphs"), lambda p: p["sentences"], "段落の文数が閾値{t}を超えています（{a}）。")
+def h113(rule: Rule, of: Pass) -> Column:
+    return _over(rule, of["paragraphs"], lambda p: p["sentences"], "段落の文数が閾値{t}を超えています（{a}）。")
 
 
-RULES: dict[str, Callable[[Rule, Config], Column]] = {
+RULES: dict[str, Callable[[Rule, Pass], Column]] = {
     "D001": d001, "D002": d002, "D003": d003, "D004": d004, "D005": d005, "D006": d006, "D007": d007, "D008": d008,
     "H101": h101, "H102": h102, "H103": h103, "H104": h104, "H106": h106, "H107": h107, "H108": h108, "H112": h112, "H113": h113,
 }
-__all__ = ["FILLER", "NEEDS", "RULES", "depth", "finding", "matches"]
+__all__ = ["NEEDS", "RULES", "Pass", "depth", "finding", "scan_of"]

@@ -1,16 +1,18 @@
-"""The scans that need a stack or a group search: Arrow-batched functions over whole texts."""
+"""The scans of the structure pass: literal terms, brackets, and repeated word groups."""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import cache
 from pathlib import Path
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .structure import FILLER, Offsets
+from .structure import FILLER
 
 SPANS = "array<struct<start:int,end:int>>"
 JAR = Path(__file__).parents[1] / "jvm" / "word-segments.jar"
@@ -38,17 +40,41 @@ def brackets(text: str, pairs: tuple[tuple[str, str], ...]) -> list[tuple[str, i
     return sorted(out + waiting, key=lambda x: x[1:])
 
 
-def bracket_scan(pairs: tuple[tuple[str, str], ...]):
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None):
-            if text is None:
-                return None
-            at = Offsets(text)
-            return [{"text": t, "start": at(s), "end": at(e)} for t, s, e in brackets(text, pairs)]
+@dataclass(frozen=True)
+class Brackets:
+    """The scan for marks without a partner."""
+
+    pairs: tuple[tuple[str, str], ...]
+
+    def __call__(self, text: str) -> list[tuple[str, int, int]]:
+        return brackets(text, self.pairs)
 
-        return texts.map(one)
 
-    return F.pandas_udf(run, "array<struct<text:string,start:int,end:int>>")
+def _kana(c: str) -> str | None:
+    return next((script for script in ("Hiragana", "Katakana") if regex.match(rf"\p{{Script={script}}}", c)), None)
+
+
+@cache
+def _alternatives(words: tuple[str, ...], bounded: bool):
+    """The words, the longest first, as a pattern; bounded: not continued by their edges' own kana script."""
+    longest = sorted(dict.fromkeys(words), key=lambda w: -len(w.encode("utf-16-le")))
+    edges = [(_kana(w[0]), _kana(w[-1])) if bounded else (None, None) for w in longest]
+    if not any(map(any, edges)):
+        return re.compile("|".join(map(re.escape, longest)))
+    before = lambda script: rf"(?<!\p{{Script={script}}})" if script else ""
+    after = lambda script: rf"(?!\p{{Script={script}}})" if script else ""
+    return regex.compile("|".join(f"{before(left)}{regex.escape(w)}{after(right)}" for w, (left, right) in zip(longest, edges, strict=True)))
+
+
+@dataclass(frozen=True)
+class Terms:
+    """The scan for literal words, leftmost and longest first."""
+
+    words: tuple[str, ...]
+    bounded: bool = False
+
+    def __call__(self, text: str) -> list[tuple[str, int, int]]:
+        return [(m[0], m.start(), m.end()) for m in _alternatives(self.words, self.bounded).finditer(text)] if self.words else []
 
 
 def repeats(words: list[str], most: int) -> list[tuple[int, int]]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kotomill.config import validate
 from kotomill.operators.lint import analyze, with_findings
-from kotomill.operators.scans import brackets, repeats
+from kotomill.operators.scans import Terms, brackets, repeats
 from kotomill.operators.structure import describe
 from kotomill.plans.golden import CASES
 
@@ -51,10 +51,10 @@ def test_wide_prefix_shifts_by_two(spark):
 
 
 def test_null_empty_and_clashing_columns(spark):
-    docs = spark.createDataFrame([(None, None, "a", 1, 2), (1, "", "b", 1, 2), (1, "（", "c", 1, 2), (1, "（", "c", 1, 2)], "key long, text string, masked string, code int, findings2 int")
+    docs = spark.createDataFrame([(None, None, "a", 1, 2), (1, "", "b", 1, 2), (1, "（", "c", 1, 2), (1, "（", "c", 1, 2)], "key long, text string, structure string, code int, findings2 int")
     rows = with_findings(docs, {"rules": {"D003": {"ruleId": "D003"}}}).collect()
     assert [r.findings if r.findings is None else len(r.findings) for r in rows] == [None, 0, 1, 1]
-    assert [r.masked for r in rows] == ["a", "b", "c", "c"]
+    assert [r.structure for r in rows] == ["a", "b", "c", "c"]
     assert analyze(docs.where("false").withColumnRenamed("key", "doc_id"), ALL).count() == 0
 
 
@@ -67,7 +67,7 @@ def test_code_exclusion(spark):
 
 
 def test_many_matches_and_long_text(spark):
-    """Running sums in blocks: offsets stay right far into a text."""
+    """Offsets stay right far into a text."""
     text = "ab 😀" * 5000
     docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
     rows = analyze(docs, {"rules": {"D007": {"ruleId": "D007", "patterns": ["ab"]}}}).select("start").collect()
@@ -105,13 +105,15 @@ def test_repeats_against_the_definition(words, most):
 @given(st.text(alphabet="あ。！（）「」 \n\n`*[]ab😀が>-", max_size=60))
 def test_structure_ranges(text):
     found = describe(text)
-    assert units(found["masked"]) == units(text)
-    for s in found["sentences"]:
-        assert cut(text, s["start"], s["end"]) == s["text"] and s["text"].strip()
-    for p in found["paragraphs"]:
-        assert cut(text, p["start"], p["end"]) == p["raw"]
-    starts = [s["start"] for s in found["sentences"]]
-    assert starts == sorted(starts)
+    for words, start, end, home in found["sentences"]:
+        assert cut(text, start, end) == words and words.strip()
+        assert home is None or found["paragraphs"][home][2] <= start < end <= found["paragraphs"][home][3]
+    for _, raw, start, end, count in found["paragraphs"]:
+        assert cut(text, start, end) == raw and count >= 0
+    for name in ("sentences", "outside", "code", "paragraphs"):
+        assert found[name] == sorted(found[name], key=lambda row: row[{"code": 0, "paragraphs": 2}.get(name, 1)])
+    for name in ("sentences", "outside", "code"):  # a part alone comes out like the whole
+        assert [r[-2:] if name == "code" else r[1:3] for r in describe(text, frozenset((name,)))[name]] == [r[-2:] if name == "code" else r[1:3] for r in found[name]]
 
 
 @settings(max_examples=80, deadline=None)
@@ -129,3 +131,16 @@ def test_sentence_counts_do_not_depend_on_partitions(spark):
     one, many = (sorted(map(tuple, analyze(docs.repartition(n), config).collect())) for n in (1, 7))
     assert one == many
     assert docs.select(F.count("*")).first()[0] == 50
+
+
+@pytest.mark.parametrize(("word", "text", "hits"), [("ああ", "ああ", 1), ("ああ", "あああ", 0), ("カ", "ｶカ", 0), ("カ", "漢カ漢", 1), ("𛀁", "𛀁あ", 0), ("𛀁", "x𛀁", 1), ("ｱ", "ア\U0001b164ｱ", 0), ("語", "語語", 2), ("a", "aa", 2)])
+def test_kana_edges(word, text, hits):
+    """A term whose edge is kana does not match inside a run of the same script, wherever its characters are encoded."""
+    assert len(Terms((word,), True)(text)) == hits
+
+
+def test_findings_are_computed_once(spark):
+    """The plan holds the findings' expression once: no filter of Spark's repeats it."""
+    docs = spark.createDataFrame([(0, "（")], "doc_id long, text string")
+    plan = analyze(docs, {"rules": {"D003": {"ruleId": "D003"}}})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("の対応が一致しません") == 1
