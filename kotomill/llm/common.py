@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 #: The separators of the word rule used by several contracts, as a Java character class.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -39,6 +40,7 @@ class Cut:
         self.path = f"{shared_dir(self.spark).rstrip('/')}/kotomill/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.schema = df.schema
+        self._rows: int | None = None
         where = self._path()
         where.getFileSystem(self._conf()).deleteOnExit(where)
 
@@ -56,18 +58,29 @@ class Cut:
         where = self._path()
         return where.getFileSystem(self._conf()).getContentSummary(where).getLength()
 
+    def rows(self) -> int:
+        self._rows = self.df.count() if self._rows is None else self._rows
+        return self._rows
+
     def drop(self) -> None:
         where = self._path()
         where.getFileSystem(self._conf()).delete(where, True)
 
 
-#: A written table of at most this many bytes (Parquet) may be broadcast; above it the same join shuffles.
-BROADCAST_BYTES = 8 << 20
+#: A written table may be broadcast if it is estimated to take at most this many bytes in memory; above it the same join shuffles.
+BROADCAST_BYTES = 32 << 20
+#: What a row takes in a hash table besides its values, and how far Parquet may shrink strings and arrays.
+ROW_BYTES, SHRUNK = 32, 32
 
 
 def small_side(cut: Cut, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The written table, marked for broadcast only if its measured size is within the limit."""
-    return F.broadcast(cut.df) if cut.bytes() <= limit else cut.df
+    """The written table, marked for broadcast only if its rows, counted and sized as decoded, stay within the limit."""
+    stored = cut.bytes()
+    if stored > limit:
+        return cut.df
+    fixed = sum(8 for f in cut.schema if not isinstance(f.dataType, (StringType, BinaryType, ArrayType, MapType, StructType)))
+    varying = SHRUNK * stored if fixed < 8 * len(cut.schema) else 0
+    return F.broadcast(cut.df) if cut.rows() * (fixed + ROW_BYTES) + varying <= limit else cut.df
 
 
 def n_words(text: str) -> Column:

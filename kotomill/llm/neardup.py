@@ -11,12 +11,12 @@ texts that share only a passage meet under few keys. A pair at similarity 0.8 ag
 probability 0.8 and in the segment beside it with 0.6, so it misses all eleven with probability 0.0007;
 at 0.9 with 10^-6.
 
-A meeting is verified twice: on the 256 bits, of which two texts at 0.8 differ in 39 on average, 5.7 being the
-standard deviation, and more than FAR of them fewer than once in 1000 times; then on the whole shingle sets.
+A meeting is verified twice: on a SimHash of 1024 bits, of which two texts at 0.8 differ in 155 on average, 11.5 being the
+standard deviation, and more than FAR of them in 3 of 10,000 cases; then on the whole shingle sets.
 
 Equal texts are one node. In a key's group each member is first compared with the group's lead, the node that
-meets most others in all its groups; then members outside the group's largest component with a lead of
-that component; at last, the members that remain outside with all members of other components. Pairs inside one
+meets most others in all its groups; then, for ROUNDS rounds or until that links nothing, the members outside the group's largest
+component with the one that leads them; at last, the members that remain outside with all members of other components. Pairs inside one
 component cannot change it and are left out, so a large group of near copies costs a multiple of its size.
 
 Defined edge cases: null and empty texts and texts without a word are copies of each other; nodes are
@@ -42,14 +42,17 @@ from .simhash import LENGTH, Golay, counted
 WIDTH, SEED = 5, 42
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-#: 64-bit words of a fingerprint, its segments, and the most bits in which near copies differ.
-WORDS, SEGMENTS, FAR = 4, 11, 58
+#: Segments of the keys' fingerprint, 64-bit words of the wide one, and the most bits of it in which near copies differ.
+SEGMENTS, WORDS, FAR = 11, 16, 194
+#: Rounds of comparisons with leads after the first.
+ROUNDS = 2
 PRINT = tuple(f"f{i}" for i in range(WORDS))
 
 _RANDOM = np.random.default_rng(SEED)
 _XOR, _ODD = (_RANDOM.integers(0, 1 << 64, SEGMENTS, np.uint64) for _ in range(2))
 _ODD |= np.uint64(1)
 _MIX = _RANDOM.integers(0, 1 << 64, 2, np.uint64) | np.uint64(1)
+_WIDE = _RANDOM.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
 _PLACE = 1 << np.arange(LENGTH - 1, -1, -1)
 
 
@@ -70,15 +73,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits of the fingerprint, anchors) of the hashes of a set of shingles."""
-    bits = np.zeros(64 * WORDS, np.int64)
+def fingerprint(found: np.ndarray, words: int) -> np.ndarray:
+    """The bits of the SimHash of a set of shingles, so many 64-bit words of it; a wider one begins like a narrower one."""
+    bits = np.zeros(64 * words, np.int64)
+    for at in range(0, len(found), 1024):  # bounded memory on very long texts
+        part = found[at : at + 1024]
+        wide = [part, *(_mixed(part[:, :1] * _WIDE[k] ^ part[:, 1:]) for k in range(2, words))]
+        bits += counted(np.ascontiguousarray(np.concatenate(wide, axis=1)).view(np.uint8))
+    return 2 * bits > len(found)
+
+
+def anchors(found: np.ndarray) -> np.ndarray:
+    """The smallest hash of the set in each of the orders."""
     low = np.full(SEGMENTS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 4096):  # bounded memory on very long texts
-        part = found[at : at + 4096]
-        bits += counted(np.concatenate([part, _mixed(part)], axis=1).view(np.uint8))
-        low = np.minimum(low, ((part[:, :1] ^ _XOR) * _ODD).min(0))
-    return 2 * bits > len(found), low
+    for at in range(0, len(found), 4096):
+        low = np.minimum(low, ((found[at : at + 4096, :1] ^ _XOR) * _ODD).min(0))
+    return low
 
 
 def keys(bits: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,84 +99,82 @@ def keys(bits: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at // SEGMENTS, _mixed(_mixed(low.reshape(-1)[at]) ^ segment)
 
 
-def node_of(text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-
-
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for start in range(0, whole.num_rows, 256):
             batch = whole.slice(start, 256)
             sets = [shingles(x.as_py()) for x in batch.column(1)]
-            bits, low = (np.stack(x) for x in zip(*map(sketch, sets), strict=True))
-            at, key = keys(bits, low)
+            at, key = keys(np.stack([fingerprint(x, 4) for x in sets]), np.stack([anchors(x) for x in sets]))
             ends = np.searchsorted(at, np.arange(len(sets) + 1))
-            filed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key.view(np.int64)))
-            prints = np.packbits(bits, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(prints[:, i].copy()) for i in range(WORDS)), filed], ["node", "n", *PRINT, "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key.view(np.int64)))], ["node", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = pa.array([shingles(x.as_py())[:, 0].view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["node", "shingles"])
-
-
-def _alike(pairs: DataFrame, sets: Cut) -> DataFrame:
-    """The pairs (x, y) whose sets are LEAST similar."""
-    of = lambda name, s: small_side(sets).select(F.col("node").alias(name), F.col("shingles").alias(s))
-    both = pairs.join(of("x", "sx"), "x").join(of("y", "sy"), "y")
-    common, total = F.size(F.array_intersect("sx", "sy")), F.size("sx") + F.size("sy")
-    return both.where(common * LEAST[1] >= (total - common) * LEAST[0]).select("x", "y")
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            sets = [shingles(x.as_py()) for x in batch.column(1)]
+            prints = np.packbits([fingerprint(x, WORDS) for x in sets], axis=1).view(np.int64)
+            held = pa.array([x[:, 0].view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), *(pa.array(prints[:, i].copy()) for i in range(WORDS)), held], ["node", "n", *PRINT, "shingles"])
 
 
 def _may(a: str, b: str) -> Column:
-    """Whether two sketched members can be near copies, by their sizes and fingerprints."""
+    """Whether two members can be near copies, by their sizes and fingerprints."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     far = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in PRINT))
     return (F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]) & (far <= FAR)
 
 
-def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
-    roots = Cut(components(found, "x", "y"), "copy-roots")
-    return members.join(small_side(roots).select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(x, y): links between nodes that connect all near copies; texts has node and text, nodes the columns of _signed."""
-    filed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = Cut(filed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "copy-keys")
-    met = Cut(filed.join(small_side(shared), "key"), "copy-met")
-    central = Cut(met.df.groupBy("node").agg(F.sum("k").alias("weight")), "copy-weights")
-    members = Cut(met.df.select("node", "key").join(small_side(central), "node").join(nodes.select("node", "n", *PRINT), "node"), "copy-members")
-    met.drop()
-    chosen = texts.join(small_side(central).select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
-    sets = Cut(chosen.mapInArrow(_sets, "node long, shingles array<long>"), "copy-sets")
-    own, first = F.struct("weight", "node", "n", *PRINT), F.col("lead")
-
-    def to_lead(rows: DataFrame, leads: Cut) -> DataFrame:
-        pairs = rows.alias("m").join(small_side(leads).select("key", "lead.*").alias("lead"), F.col("m.key") == F.col("lead.key")).where((F.col("m.node") != F.col("lead.node")) & _may("m", "lead"))
-        return _alike(Cut(pairs.select(F.col("lead.node").alias("x"), F.col("m.node").alias("y")).distinct(), "copy-pairs").df, sets)
-
-    leads = Cut(members.df.groupBy("key").agg(F.max(own).alias("lead")), "copy-leads")
-    found = Cut(to_lead(members.df, leads), "copy-stars")
-    rooted = Cut(_rooted(members.df, found.df), "copy-rooted")
-
-    def main(rows: DataFrame) -> Cut:
-        """The keys that still hold several components, with the largest and its lead."""
-        counts = rows.groupBy("key", "root").agg(F.count("*").alias("k"), F.max(own).alias("lead"))
-        return Cut(counts.groupBy("key").agg(F.max_by(F.struct("root", "lead"), F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main.*"), "copy-open")
-
-    leads = main(rooted.df)
-    outside = rooted.df.alias("o").join(small_side(leads).alias("l"), "key").where("o.root != l.root").select("o.*")
-    again = Cut(found.df.unionByName(to_lead(outside, leads)), "copy-stars")
-    rooted = Cut(_rooted(members.df, again.df), "copy-rooted")
-
-    open_ = Cut(rooted.df.join(small_side(main(rooted.df)).select("key", F.col("root").alias("main")), "key"), "copy-open-members")
-    x, y = open_.df.where("root != main").alias("x"), open_.df.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    cross = x.join(y, apart & _may("x", "y")).select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y"))
-    return again.df.unionByName(_alike(Cut(cross.distinct(), "copy-pairs").df, sets))
+class Links:
+    """Links between nodes that connect all near copies; texts has node and text, keyed has node and keys, rows may repeat."""
+
+    def __init__(self, texts: DataFrame, keyed: DataFrame):
+        filed = keyed.select("node", F.explode("keys").alias("key"))
+        shared = Cut(filed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key"), "copy-keys")
+        met = Cut(filed.join(small_side(shared), "key").distinct(), "copy-met")
+        sizes = Cut(met.df.groupBy("key").agg(F.count("*").alias("k")), "copy-sizes")
+        central = Cut(met.df.join(small_side(sizes), "key").groupBy("node").agg(F.sum("k").alias("weight")), "copy-weights")
+        chosen = texts.join(small_side(central).select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
+        self.sets = Cut(chosen.mapInArrow(_sets, f"node long, n int, {', '.join(f'{f} long' for f in PRINT)}, shingles array<long>"), "copy-sets")
+        self.members = Cut(met.df.join(small_side(central), "node"), "copy-members").df
+        self.prints = self.sets.df.select("node", "n", *PRINT)
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) whose sets are LEAST similar."""
+        of = lambda name, s: small_side(self.sets).select(F.col("node").alias(name), F.col("shingles").alias(s))
+        both = Cut(pairs.distinct(), "copy-pairs").df.join(of("x", "sx"), "x").join(of("y", "sy"), "y")
+        common, total = F.size(F.array_intersect("sx", "sy")), F.size("sx") + F.size("sy")
+        return both.where(common * LEAST[1] >= (total - common) * LEAST[0]).select("x", "y")
+
+    def with_lead(self, rows: DataFrame) -> DataFrame:
+        """Links of the rows (node, key, weight, root) with the node of most weight among those of their key, if it has another root."""
+        leads = Cut(rows.groupBy("key").agg(F.max(F.struct("weight", "node", "root")).alias("lead")).select("key", F.col("lead.node").alias("lead"), F.col("lead.root").alias("apart")), "copy-leads")
+        stars = rows.join(small_side(leads), "key").where("root != apart").select("node", "lead").distinct()
+        held = stars.join(self.prints.alias("m"), "node").join(self.prints.withColumnRenamed("node", "lead").alias("l"), "lead").where(_may("m", "l"))
+        return Cut(self.alike(held.select(F.col("lead").alias("x"), F.col("node").alias("y"))), "copy-stars").df
+
+    def rooted(self, found: DataFrame) -> DataFrame:
+        roots = Cut(components(found, "x", "y"), "copy-roots")
+        rows = Cut(self.members.join(small_side(roots).select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "copy-rooted").df
+        counts = rows.groupBy("key", "root").agg(F.count("*").alias("k"))
+        main = Cut(counts.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots"), "copy-open")
+        return Cut(rows.join(small_side(main), "key"), "copy-open-members").df
+
+    def all(self) -> DataFrame:
+        found = self.with_lead(self.members.withColumn("root", F.col("node")))
+        open_ = self.rooted(found)
+        for _ in range(ROUNDS):
+            more = self.with_lead(open_.where("root != main").select("node", "key", "weight", "root"))
+            if more.isEmpty():
+                break
+            found = found.unionByName(more)
+            open_ = self.rooted(found)
+        sketched = open_.select("key", "node", "root", "main").join(self.prints, "node")
+        x, y = sketched.where("root != main").alias("x"), sketched.alias("y")
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+        cross = x.join(y, apart & _may("x", "y")).select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y"))
+        return found.unionByName(self.alike(cross))
 
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,9 +185,8 @@ def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     packed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # no column of the input can clash
     rows = Cut(docs.select(packed, F.monotonically_increasing_id().alias("at"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node")), "copy-rows")
     texts = rows.df.select("node", F.col(f"row.`{text}`").alias("text"))
-    signed = texts.mapInArrow(_signed, f"node long, n int, {', '.join(f'{f} long' for f in PRINT)}, keys array<long>")
-    nodes = Cut(signed.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n", *PRINT, "keys"))), "copy-sketches")
-    roots = Cut(components(links(texts, nodes.df), "x", "y"), "copy-roots")
+    keyed = Cut(texts.mapInArrow(_keyed, "node long, keys array<long>"), "copy-sketches")
+    roots = Cut(components(Links(texts, keyed.df).all(), "x", "y"), "copy-roots")
     named = rows.df.select("at", "node", F.col(f"row.`{key}`").alias("key")).join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("key").isNull().alias("last"), "key", "node", "at")
     first = Cut(named.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1").select("root", F.col("first.at").alias("first")), "copy-groups")

@@ -79,8 +79,9 @@ def test_sketches_meet():
         a, b, c = (neardup.shingles(" ".join(x)) for x in (words, other, words[::-1]))
         same = len(set(a[:, 0]) & set(b[:, 0]))
         assert 0.8 < same / (len(a) + len(b) - same) < 0.81
-        bits, low = (np.stack(x) for x in zip(*map(neardup.sketch, (a, b, c)), strict=True))
-        row, key = neardup.keys(bits, low)
+        bits = [neardup.fingerprint(x, neardup.WORDS) for x in (a, b, c)]
+        assert all((neardup.fingerprint(x, 4) == w[:256]).all() for x, w in zip((a, b, c), bits, strict=True))
+        row, key = neardup.keys(np.stack(bits)[:, :256], np.stack([neardup.anchors(x) for x in (a, b, c)]))
         x, y, z = (set(key[row == k]) for k in range(3))
         missed += not x & y or (bits[0] != bits[1]).sum() > neardup.FAR
         assert not x & z
@@ -90,7 +91,7 @@ def test_sketches_meet():
 @pytest.mark.parametrize("n", [0, 1, 300, 5000])
 def test_sketch_against_counting(n):
     found = np.random.default_rng(n).integers(0, 1 << 63, (n, 2), np.uint64)
-    bits, low = neardup.sketch(found)
+    bits, low = neardup.fingerprint(found, 3), neardup.anchors(found)
     for b in (0, 63, 127):
         byte = found.view(np.uint8)[:, b // 8]
         assert bits[b] == (2 * int((byte >> (7 - b % 8) & 1).sum()) > n)
