@@ -226,15 +226,11 @@ def test_very_long_message(spark):
 
 
 def plain_topk(rows):
-    clean = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            whole = [int(np.floor(1024 * float(np.float32(x)))) for x in v]
-            clean[i] = min(clean.get(i, whole), whole)
+    clean = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, v in clean.items():
+    for n, (q, v) in enumerate(clean):
         if q % 100 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in clean.items() if i != q and len(w) == len(v))
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(clean) if m != n and len(w) == len(v))
             out += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:10])]
     return sorted(out)
 
@@ -250,13 +246,37 @@ def test_topk(spark):
     assert topk.nearest(table.where("vec_id = 0")).count() == 0
 
 
+def test_topk_of_repeated_ids(spark):
+    """Every row is a candidate: of two rows with one id both can be found, and each is a query of its own."""
+    rng = np.random.default_rng(4)
+    rows = [(7, [9.0, 0.0]), (7, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [2.0, 0.0]), (100, [2.0, 0.0])] + [(int(k), [float(x) for x in rng.normal(size=2)]) for k in range(8, 30)]
+    got = sorted(map(tuple, topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    assert got == plain_topk(rows) and [r[2] for r in got if r[1] == 1] == [7, 7, 7] and sum(r[2] == 7 for r in got) == 6
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_topk_in_cells_and_blocks(spark, monkeypatch, wide):
+    """Clusters, a vector that a third of the rows share, small cells and blocks; nothing broadcast."""
+    from kotomill.llm import common
+
+    monkeypatch.setattr(topk, "CANDIDATES", 100)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    if wide:
+        monkeypatch.setattr(topk, "small_side", lambda cut: common.small_side(cut, -1))
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 5)) * 20
+    rows = [(int(k), [float(x) for x in centres[k % 6] + rng.normal(size=5)]) for k in range(900)] + [(1000 + k, [1.0] * 5) for k in range(450)]
+    assert sorted(map(tuple, topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())) == plain_topk(rows)
+
+
 def test_bounds_stop_early():
     rng = np.random.default_rng(3)
     rows = np.concatenate([rng.integers(-5, 5, (2000, 8)), rng.integers(90, 110, (30, 8))]).astype(np.int64)
     p = topk.pivots(rows[:500].astype(float))
-    far = np.sqrt(((rows[:, None, :] - p[None]) ** 2).sum(-1))
+    far = topk.distances(rows, p)
     ids = np.arange(len(rows))
-    found, evaluated = topk.best(rows[-1:], ids[-1:], far[-1:], rows, ids, far)
     scores = rows @ rows[-1]
     scores[-1] = -(10**9)
-    assert [i for _, i, _ in found] == list(np.lexsort((ids, -scores))[:10]) and evaluated < 200
+    for floor in (-np.inf, float(np.sort(scores)[-10])):
+        found, evaluated = topk.best(rows[-1:], ids[-1:], far[-1:], np.array([floor]), rows, ids, ids, far)
+        assert [i for _, i, _ in found] == list(np.lexsort((ids, -scores))[:10]) and evaluated < 200
