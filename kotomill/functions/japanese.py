@@ -23,11 +23,11 @@ PRONOUNS = ("これら", "それら", "あれら", "あそこ", "これ", "そ
 DETERMINERS = ("この", "その", "あの")
 ADVERBS = ("こう", "そう", "ああ")
 ADVERB_FOLLOWERS = "しなだで言考思見話書読行進変、。！？!? "
-LEADERS = ("そのため", "しかし", "または", "そして", "ところで", "一方", "まず", "次に", "また", "さらに", *PRONOUNS[:4], "これ", "それ", "あれ", *DETERMINERS, "ここ", "そこ", *ADVERBS)
+LEADERS = ("そのため", "しかし", "または", "そして", "ところで", "一方", "まず", "次に", "また", "さらに", "これら", "それら", "あれら", "あそこ", "これ", "それ", "あれ", "この", "その", "あの", "ここ", "そこ", "こう", "そう", "ああ")
 SURU_ENDINGS = ("できませんでした", "できました", "できます", "しませんでした", "しました", "しません", "します", "して", "した", "する")
 MASU_FORMS = {"ませんでした": "polite-negative-past", "ました": "polite-past", "ません": "polite-negative-nonpast", "ます": "polite-nonpast"}
 COPULAS = {"でした": ("です", "polite-past"), "だった": ("だ", "plain-past"), "です": ("です", "polite-nonpast"), "だ": ("だ", "plain-nonpast")}
-CONJUNCTIVE = ("読み", "書き", "考え", "調べ", "説明し", "確認し", "実行し", "利用し", "検討し", "使い", "作り", "行い", "進め", "比べ")
+CONJUNCTIVE = {"読み": "読む", "書き": "書く", "考え": "考える", "調べ": "調べる", "説明し": "説明する", "確認し": "確認する", "実行し": "実行する", "利用し": "利用する", "検討し": "検討する", "使い": "使う", "作り": "作る", "行い": "行う", "進め": "進める", "比べ": "比べる"}
 POLITE_STEMS = {"読み": "読む", "書き": "書く", "話し": "話す", "使い": "使う", "行い": "行う", "進み": "進む", "調べ": "調べる", "考え": "考える", "見": "見る", "比べ": "比べる"}
 ADJECTIVES = {
     "美しくない": ("美しい", "plain-nonpast"), "難しくない": ("難しい", "plain-nonpast"), "易しくない": ("易しい", "plain-nonpast"), "少なくない": ("少ない", "plain-nonpast"),
@@ -86,7 +86,6 @@ def _bare_clause(clause: Column) -> Column:
 
 
 _SURU = rf"({STEM})({_any(SURU_ENDINGS)})\z"
-_CONJUNCTIVE_LEMMAS = {c: POLITE_STEMS.get(c, c[:-1] + "する") for c in CONJUNCTIVE} | {"作り": "作る", "進め": "進める"}
 
 
 def _predicate(body: Column) -> Column:
@@ -101,7 +100,7 @@ def _predicate(body: Column) -> Column:
         F.when(body.rlike(_SURU), both(of(_SURU), F.concat(of(_SURU, 1), F.when(of(_SURU, 2).startswith("でき"), F.lit("できる")).otherwise(F.lit("する")))))
         .when((masu != "") & (stem != ""), both(F.concat(stem, masu), let(stem, _polite_lemma)))
         .when(copula != "", both(copula, F.when(copula.startswith("で"), F.lit("です")).otherwise(F.lit("だ"))))
-        .when(conjunctive != "", both(conjunctive, let(conjunctive, lambda c: _pick(c, _CONJUNCTIVE_LEMMAS))))
+        .when(conjunctive != "", both(conjunctive, let(conjunctive, lambda c: _pick(c, CONJUNCTIVE))))
         .when(adjective != "", both(adjective, adjective))
         .when(verb != "", both(verb, verb))
     )

@@ -16,6 +16,7 @@ from ..config import PAIRS, Rule
 from ..functions import japanese as ja
 from ..functions import utf16
 from ..functions.utf16 import let
+from ..messages import TEXT
 from ..schema import DETERMINISTIC, FINDING
 from .scans import Brackets, Terms, repeat_scan, segments
 
@@ -78,39 +79,39 @@ def d001(rule: Rule, of: Pass) -> Column:
     polite, plain = r"(?:です|ます|でした|ました|ません|ませんでした|でしょう|ましょう)\z", r"(?:である|であった|だ|だった)\z"
     style = lambda t: F.when(outer(t).rlike(polite), F.lit("desu-masu")).when(outer(t).rlike(plain), F.lit("da-dearu"))
     told = F.filter(F.transform(of["sentences"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), style(s["text"]).alias("style"))), lambda s: s["style"].isNotNull())
-    report = lambda rows, base: F.transform(F.filter(rows, lambda s: s["style"] != base), lambda s: finding(rule, s, text_of("文体が基準の{a}と一致しません（{b}）。", a=base, b=s["style"])))
+    report = lambda rows, base: F.transform(F.filter(rows, lambda s: s["style"] != base), lambda s: finding(rule, s, text_of(TEXT["D001"], a=base, b=s["style"])))
     if rule.style != "consistent":
         return report(told, F.lit(rule.style))
     return let(told, lambda t: let(F.get(t, F.lit(0))["style"], lambda base: report(t, base)))
 
 
 def d002(rule: Rule, of: Pass) -> Column:
-    return F.transform(of["decomposed"], lambda s: finding(rule, s, F.lit("NFCで合成可能な文字列です。")))
+    return F.transform(of["decomposed"], lambda s: finding(rule, s, F.lit(TEXT["D002"])))
 
 
 def d003(rule: Rule, of: Pass) -> Column:
-    return F.transform(of["D003"], lambda s: finding(rule, s, text_of("括弧「{t}」の対応が一致しません。", t=s["text"])))
+    return F.transform(of["D003"], lambda s: finding(rule, s, text_of(TEXT["D003"], t=s["text"])))
 
 
 def d004(rule: Rule, of: Pass) -> Column:
-    return F.transform(of["D004"], lambda s: finding(rule, s, text_of("禁止語「{t}」が使われています。", t=s["text"])))
+    return F.transform(of["D004"], lambda s: finding(rule, s, text_of(TEXT["D004"], t=s["text"])))
 
 
 def d005(rule: Rule, of: Pass) -> Column:
-    return F.transform(of["D005"], lambda s: finding(rule, s, text_of("「{t}」は「{x}」に統一してください。", t=s["text"], x=_lookup(s["text"], rule.mapping))))
+    return F.transform(of["D005"], lambda s: finding(rule, s, text_of(TEXT["D005"], t=s["text"], x=_lookup(s["text"], rule.mapping))))
 
 
 def d006(rule: Rule, of: Pass) -> Column:
     spans = repeat_scan(rule.max_consecutive)(segments(of.text), of["code"])
-    return F.transform(spans, lambda s: finding(rule, s, F.lit("同一の語句が連続しています。")))
+    return F.transform(spans, lambda s: finding(rule, s, F.lit(TEXT["D006"])))
 
 
 def d007(rule: Rule, of: Pass) -> Column:
-    return F.transform(of["D007"], lambda s: finding(rule, s, text_of("固定的な二重否定「{t}」が使われています。", t=s["text"])))
+    return F.transform(of["D007"], lambda s: finding(rule, s, text_of(TEXT["D007"], t=s["text"])))
 
 
 def d008(rule: Rule, of: Pass) -> Column:
-    return F.transform(of["D008"], lambda s: finding(rule, s, text_of("「{t}」は「{x}」に置き換えられます。", t=s["text"], x=_lookup(s["text"], rule.mapping))))
+    return F.transform(of["D008"], lambda s: finding(rule, s, text_of(TEXT["D008"], t=s["text"], x=_lookup(s["text"], rule.mapping))))
 
 
 def _over(rule: Rule, rows: Column, metric: Callable[[Column], Column], message: str) -> Column:
@@ -120,15 +121,15 @@ def _over(rule: Rule, rows: Column, metric: Callable[[Column], Column], message:
 
 
 def h101(rule: Rule, of: Pass) -> Column:
-    return _over(rule, of.sentences, lambda s: s["end"] - s["start"], "文の長さが閾値{t}を超えています（{a}）。")
+    return _over(rule, of.sentences, lambda s: s["end"] - s["start"], TEXT["H101"])
 
 
 def h102(rule: Rule, of: Pass) -> Column:
-    return _over(rule, of.sentences, lambda s: ja.predicate_count(s["text"]), "述語groupを{a}件検出しました（閾値{t}）。")
+    return _over(rule, of.sentences, lambda s: ja.predicate_count(s["text"]), TEXT["H102"])
 
 
 def h103(rule: Rule, of: Pass) -> Column:
-    return _over(rule, of.sentences, lambda s: F.length(s["text"]) - F.length(F.replace(s["text"], F.lit("、"), F.lit(""))), "文中の読点数が閾値{t}を超えています（{a}）。")
+    return _over(rule, of.sentences, lambda s: F.length(s["text"]) - F.length(F.replace(s["text"], F.lit("、"), F.lit(""))), TEXT["H103"])
 
 
 def depth(text: Column) -> Column:
@@ -148,7 +149,7 @@ def depth(text: Column) -> Column:
 
 
 def h104(rule: Rule, of: Pass) -> Column:
-    return _over(rule, of.sentences, lambda s: depth(s["text"]), "括弧の最大ネスト深度が閾値{t}を超えています（{a}）。")
+    return _over(rule, of.sentences, lambda s: depth(s["text"]), TEXT["H104"])
 
 
 def h106(rule: Rule, of: Pass) -> Column:
@@ -158,7 +159,7 @@ def h106(rule: Rule, of: Pass) -> Column:
 
     def judged(found: Column) -> Column:
         actual = F.floor(F.when(n > 0, found / n * 100) + 0.5).cast("int")
-        one = F.array(finding(rule, span, text_of("指示表現率が閾値{t}%を超えています（{a}%）。", t=F.lit(rule.threshold), a=actual), actual))
+        one = F.array(finding(rule, span, text_of(TEXT["H106"], t=F.lit(rule.threshold), a=actual), actual))
         return F.when((n >= 3) & (found >= 3) & (actual > rule.threshold), one).otherwise(none())
 
     return let(F.aggregate(rows, F.lit(0), lambda a, s: a + F.size(ja.demonstratives(s["text"]))), judged)
@@ -184,19 +185,19 @@ def _runs(rule: Rule, of: Pass, label: Callable[[Column], Column], message: str)
 
 
 def h107(rule: Rule, of: Pass) -> Column:
-    return _runs(rule, of, ja.leading, "同一文頭labelが{a}文連続しています（閾値{t}）。")
+    return _runs(rule, of, ja.leading, TEXT["H107"])
 
 
 def h108(rule: Rule, of: Pass) -> Column:
-    return _runs(rule, of, ja.terminal, "同一文末labelが{a}文連続しています（閾値{t}）。")
+    return _runs(rule, of, ja.terminal, TEXT["H108"])
 
 
 def h112(rule: Rule, of: Pass) -> Column:
-    return _over(rule, of["paragraphs"], lambda p: utf16.length(p["text"]), "段落の可視テキスト長が閾値{t}を超えています（{a}）。")
+    return _over(rule, of["paragraphs"], lambda p: utf16.length(p["text"]), TEXT["H112"])
 
 
 def h113(rule: Rule, of: Pass) -> Column:
-    return _over(rule, of["paragraphs"], lambda p: p["sentences"], "段落の文数が閾値{t}を超えています（{a}）。")
+    return _over(rule, of["paragraphs"], lambda p: p["sentences"], TEXT["H113"])
 
 
 RULES: dict[str, Callable[[Rule, Pass], Column]] = {

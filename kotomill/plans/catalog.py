@@ -1,13 +1,14 @@
 """The registered queries of the core library and their equivalent SQL.
 
-The tables hold no Japanese, so three devices give every rule real input: prose is *lifted* (its
-punctuation becomes Japanese, the characters that mean something in Markdown go), hand-checked cases are
-tiled over the documents by id, and literal rules look for frequent Latin fragments.
+The tables hold no Japanese, so devices give every rule real input: prose is *lifted* (its
+punctuation becomes Japanese, the characters that mean something in Markdown go), literal rules look for frequent
+Latin fragments, ``built`` sets Markdown, brackets and Japanese into the prose, and dictionary entries stand among its words.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 
 from ..functions import japanese as ja
 from ..functions import utf16
+from ..messages import TEXT
 from ..operators import report as reports
 from ..operators import semantic
 from ..operators.lint import analyze
 from ..operators.structure import structure
 from ..sources.files import table
-from .golden import CASES, SENTENCES
+from . import built
+from .built import LIFTED_SQL, TRIM, lifted
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,15 +44,6 @@ def query(name: str, sql: str | None = None):
 
 # --- lifted prose ---------------------------------------------------------------------------------
 
-MARKS, JAPANESE, GONE = ",.!?", "、。！？", "()\"'`[]{}<>#*_|-+&\\~=$%@/:;^"
-LIFTED_SQL = "ltrim(regexp_replace(regexp_replace(translate(text, '" + (MARKS + GONE).replace("'", "''") + f"', '{JAPANESE}'), ' +', ' ', 'g'), '\\n ', chr(10), 'g'))"
-
-
-def lifted() -> Column:
-    plain = F.translate(F.col("text"), MARKS + GONE, JAPANESE)
-    return F.ltrim(F.regexp_replace(F.regexp_replace(plain, " +", " "), "\n ", "\n"))
-
-
 def prose(spark: SparkSession, sf_dir: str, apart: bool = False) -> DataFrame:
     """(doc_id, text, lang): lifted documents; apart: every line a paragraph."""
     docs = table(spark, sf_dir, "documents").select("doc_id", lifted().alias("text"), "lang")
@@ -57,7 +51,6 @@ def prose(spark: SparkSession, sf_dir: str, apart: bool = False) -> DataFrame:
 
 
 DOCS = f"docs AS (SELECT doc_id, lang, {LIFTED_SQL} AS t FROM documents)"
-TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 SENTENCES_SQL = f"""{DOCS},
 raw AS (SELECT doc_id, lang, regexp_extract_all(t, '[^。！？]*[。！？]+|[^。！？]+$') AS parts FROM docs),
 cut AS (SELECT doc_id, lang, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM raw),
@@ -107,14 +100,14 @@ FROM (SELECT doc_id, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORD
 FORBIDDEN = ["ation", "tion", "the", "que"]
 TERMS = {"ing": "ation", "sting": "st", "des": "der"}
 NEGATIONS, LONGER = ["anan", "nano", "ouou"], {"thth": "th", "enen": "en", "enenen": "en"}
-D004_SQL = _literal_sql("D004", FORBIDDEN, "error", "禁止語「{t}」が使われています。")
-D005_SQL = _literal_sql("D005", list(TERMS), "error", "「{t}」は「{x}」に統一してください。", TERMS)
-D007_SQL = _literal_sql("D007", NEGATIONS, "warning", "固定的な二重否定「{t}」が使われています。")
-D008_SQL = _literal_sql("D008", list(LONGER), "warning", "「{t}」は「{x}」に置き換えられます。", LONGER)
-H101_SQL = _metric_sql("H101", "sentences", "length(s)", 100, "文の長さが閾値{t}を超えています（{a}）。")
-H103_SQL = _metric_sql("H103", "sentences", "(length(s) - length(replace(s, '、', '')))", 4, "文中の読点数が閾値{t}を超えています（{a}）。")
-H112_SQL = _metric_sql("H112", "paragraphs", "length(s)", 500, "段落の可視テキスト長が閾値{t}を超えています（{a}）。")
-H113_SQL = _metric_sql("H113", "paragraphs", "n", 8, "段落の文数が閾値{t}を超えています（{a}）。")
+D004_SQL = _literal_sql("D004", FORBIDDEN, "error", TEXT["D004"])
+D005_SQL = _literal_sql("D005", list(TERMS), "error", TEXT["D005"], TERMS)
+D007_SQL = _literal_sql("D007", NEGATIONS, "warning", TEXT["D007"])
+D008_SQL = _literal_sql("D008", list(LONGER), "warning", TEXT["D008"], LONGER)
+H101_SQL = _metric_sql("H101", "sentences", "length(s)", 100, TEXT["H101"])
+H103_SQL = _metric_sql("H103", "sentences", "(length(s) - length(replace(s, '、', '')))", 4, TEXT["H103"])
+H112_SQL = _metric_sql("H112", "paragraphs", "length(s)", 500, TEXT["H112"])
+H113_SQL = _metric_sql("H113", "paragraphs", "n", 8, TEXT["H113"])
 
 LITERAL = {"D004": ({"forbiddenTerms": FORBIDDEN}, D004_SQL), "D005": ({"terminology": TERMS}, D005_SQL), "D007": ({"patterns": NEGATIONS}, D007_SQL), "D008": ({"replacements": LONGER}, D008_SQL)}
 
@@ -197,7 +190,7 @@ for _rule, _options in {"D001": {"style": "consistent"}, "D002": {"normalization
     query(f"{_rule.lower()}_text")(_whole(_rule, _options))
 
 
-# --- tiled cases ----------------------------------------------------------------------------------
+# --- dictionaries ---------------------------------------------------------------------------------
 
 
 def _quoted(x) -> str:
@@ -225,33 +218,35 @@ def tiled(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", pick.alias("text"))
 
 
-def _golden(name: str) -> None:
-    rule, options, cases = CASES[name]
-    heuristic = rule[0] == "H"
-    severity = "error" if rule < "D006" else "warning"
-    from ..config import THRESHOLD
+#: Sentences' ends and beginnings with what the analyser finds in them, set behind or before a document's words.
+ENDINGS = [(f"{stem}{m}", f"verb:{lemma}:{form}") for stem, lemma in ja.POLITE_STEMS.items() for m, form in ja.MASU_FORMS.items()]
+ENDINGS += [(c, f"copula:{lemma}:{form}") for c, (lemma, form) in ja.COPULAS.items()] + [(a, f"adjective:{lemma}:{form}") for a, (lemma, form) in ja.ADJECTIVES.items()]
+ENDINGS += [(v, f"verb:{lemma}:{form}") for v, (lemma, form) in ja.PLAIN_VERBS.items()] + [("例ですか", "copula:です:polite-nonpast|particle:か"), ("読みますね", "verb:読む:polite-nonpast|particle:ね"), ("", None)]
+#: Clauses and the surface of the predicate that ends each.
+CLAUSES = [(f"資料を確認{e}", f"確認{e}") for e in ja.SURU_ENDINGS] + [(c, c) for c in ("読みます", "書きません", "比べました", "である", *ja.COPULAS, *ja.ADJECTIVES, *ja.CONJUNCTIVE)] + [(f"本{v}", f"本{v}") for v in ja.CLAUSE_VERBS] + [("名詞", "")]
+POINTERS = [(f"{p}は", p) for p in ja.PRONOUNS] + [(f"{d}例", d) for d in ja.DETERMINERS] + [(f"{a}し", a) for a in ja.ADVERBS] + [("それぞれ", ""), ("このは", "この")]
 
-    rows = [(k, s, e, a, m) for k, (_, found) in enumerate(cases) for s, e, a, m in found] or [(-1, 0, 0, None, "")]
-    values = ", ".join(f"({', '.join(map(_quoted, r))})" for r in rows)
-    sql = f"""SELECT doc_id, '{rule}' AS rule_id, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", '{severity}' AS severity, m AS message, CAST(a AS INTEGER) AS actual, CAST({THRESHOLD[rule] if heuristic else "NULL"} AS INTEGER) AS threshold
-FROM documents JOIN (VALUES {values}) AS x(k, s, e, a, m) ON doc_id % {len(cases)} = k"""
-    query(name, sql)(lambda spark, sf_dir: findings_of(tiled(spark, sf_dir, [t for t, _ in cases]), (rule, options)))
 
+def _dictionary(name: str, rows: list[tuple[str, str | None]], build: str, of: Callable[[Column], Column]) -> None:
+    """Every entry in turn, with the words of a document around it; {} in ``build`` stands for the entry, # for the words."""
 
-for _name in CASES:
-    _golden(_name)
+    def text() -> Column:
+        words = F.regexp_replace(built.line(), "[。！？、 ]+", "")
+        entry = F.element_at(F.array(*(F.lit(a) for a, _ in rows)), (F.pmod(F.col("doc_id"), F.lit(len(rows))) + 1).cast("int"))
+        return F.concat(*(words if p == "#" else entry if p == "{}" else F.lit(p) for p in re.split(r"(#|\{\})", build) if p))
 
+    values = ", ".join(f"({k}, {_quoted(v)})" for k, (_, v) in enumerate(rows))
+    sql = f"SELECT doc_id, CAST(v AS VARCHAR) AS {name} FROM documents JOIN (VALUES {values}) AS x(k, v) ON doc_id % {len(rows)} = k"
+    query(name, sql)(lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", of(text()).alias(name)))
 
-def _labels(name: str, column: int, of: Callable[[Column], Column]) -> None:
-    values = ", ".join(f"({k}, {_quoted(row[column])})" for k, row in enumerate(SENTENCES))
-    sql = f"SELECT doc_id, CAST(v AS VARCHAR) AS {name} FROM documents JOIN (VALUES {values}) AS x(k, v) ON doc_id % {len(SENTENCES)} = k"
-    query(name, sql)(lambda spark, sf_dir: tiled(spark, sf_dir, [r[0] for r in SENTENCES]).select("doc_id", of(F.col("text")).alias(name)))
 
+_dictionary("terminal_label", ENDINGS, "#は{}。", ja.terminal)
+_dictionary("leading_label", [(w, w) for w in ja.LEADERS] + [("", None)], "{}、#。", ja.leading)
+_dictionary("predicates", CLAUSES, "#、{}。", lambda t: F.array_join(F.transform(ja.predicates(t), lambda p: p["surface"]), ","))
+_dictionary("demonstratives", POINTERS, "# {} #", lambda t: F.array_join(ja.demonstratives(t), ","))
 
-_labels("terminal_label", 1, ja.terminal)
-_labels("leading_label", 2, ja.leading)
-_labels("predicates", 3, lambda t: F.array_join(F.transform(ja.predicates(t), lambda p: p["surface"]), ","))
-_labels("demonstratives", 4, lambda t: F.array_join(ja.demonstratives(t), ","))
+QUERIES |= built.QUERIES
+ORACLES |= built.ORACLES
 
 
 @query(

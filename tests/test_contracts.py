@@ -1,6 +1,7 @@
 """Configuration, reports, saved judgements, the command line, sources, streams and the query catalogue."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def test_defaults():
 def test_report_order_and_exit_code(spark):
     docs = spark.createDataFrame([(0, "（長い文章です。]"), (1, "短い。"), (2, None)], "doc_id long, text string")
     rows = {r.doc_id: r for r in R.report(docs, {"rules": {"D003": {"ruleId": "D003"}, "H101": {"ruleId": "H101", "threshold": 5}}}).collect()}
-    assert [m.ruleId for m in rows[0].lintMessages] == ["D003", "H101", "D003"][: len(rows[0].lintMessages)] or rows[0].exitCode == 1
+    assert [(m.ruleId, m.range.start, m.range.end) for m in rows[0].lintMessages] == [("H101", 0, 8), ("D003", 8, 9)] and rows[2].lintMessages is None
     assert rows[0].exitCode == 1 and rows[1].exitCode == 0 and rows[2].exitCode == 2
 
 
@@ -130,7 +131,52 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, streaming.analyze(docs, config).collect()), key=str) and got
 
 
-@pytest.mark.parametrize("name", ["sentences", "lint_findings", "report", "semantic_validate", "utf16_ranges", "terminal_label"])
+def test_stream_counts_append(spark, tmp_path):
+    """Counts come out in append mode once the watermark has passed their window; later rows of such a window are dropped."""
+    start = 1_700_000_100  # a window's start
+    parts = [[(start + k, "いい") for k in range(3)] + [(start + 299, "いい。いい")], [(start + 2000, "い")], [(start + 2001, "いい")], [(start + 5, "いい"), (start + 2002, "い")], [(start + 9000, "い")]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, "at long, text string").select(F.timestamp_seconds("at").alias("at"), "text").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        os.utime(next((tmp_path / f"in/{k}").glob("part-*")), (start + k, start + k))
+    stream = streaming.documents(spark, f"{tmp_path}/in/*", "at timestamp, text string", files=1)
+    rows = streaming.counts(stream, {"rules": {"D007": {"ruleId": "D007", "patterns": ["いい"]}}}, "at")
+    streaming.write(rows.select(F.unix_timestamp("window.start").alias("w"), "rule_id", "n"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == [(start, "D007", 5), (start + 1800, "D007", 1)]
+
+
+def test_analyze_command(tmp_path, monkeypatch, capsys, spark):
+    """--analyze reads the configuration's file, prints one report and exits with its code."""
+    (tmp_path / "config.json").write_text(json.dumps({"rules": {"D003": {"ruleId": "D003"}, "H101": {"ruleId": "H101", "threshold": 5}}}))
+    (tmp_path / "a.md").write_text("（長い文章です。]", encoding="utf-8")
+    (tmp_path / "b.md").write_text("短い。", encoding="utf-8")
+    monkeypatch.setenv("KOTOMILL_CONFIG_HOME", str(tmp_path))
+    assert cli.main(["--analyze", str(tmp_path / "a.md")]) == 1
+    out = capsys.readouterr().out
+    built = json.loads(out)
+    R.check_report(built)
+    assert [m["ruleId"] for m in built["lintMessages"]] == ["H101", "D003"] and out.count("\n") == 1
+    assert cli.main(["--analyze", str(tmp_path / "b.md")]) == 0 and json.loads(capsys.readouterr().out)["lintMessages"] == []
+    (tmp_path / "config.json").write_text("{")
+    assert cli.main(["--analyze", str(tmp_path / "b.md")]) == 2 and capsys.readouterr().out == ""
+
+
+def test_envelope_files_and_lines(spark, tmp_path):
+    """Envelopes from files, one each or one a line; reports written one a line."""
+    (tmp_path / "e").mkdir()
+    for k, (text, *_) in enumerate(catalog.ENVELOPES):
+        (tmp_path / f"e/{k:02}.json").write_text(text, encoding="utf-8")
+    (tmp_path / "all.jsonl").write_text("\n".join(t for t, *_ in catalog.ENVELOPES), encoding="utf-8")
+    expected = sorted(c for _, c, *_ in catalog.ENVELOPES)
+    for rows in (files.envelopes(spark, str(tmp_path / "e")), files.envelopes(spark, str(tmp_path / "all.jsonl"), lines=True)):
+        assert sorted(r.exit_code for r in R.reports_of(rows, "value").collect()) == expected
+    docs = spark.createDataFrame([(0, "（"), (1, "")], "doc_id long, text string")
+    files.write_lines(R.as_json(R.report(docs, {"rules": {"D003": {"ruleId": "D003"}}})), str(tmp_path / "out"))
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(x["exitCode"] for x in lines) == [0, 1] and [R.check_report(x) for x in lines]
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_catalogue_against_sql(spark, name):
     import duckdb
 

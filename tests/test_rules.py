@@ -6,10 +6,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kotomill.config import validate
+from kotomill.functions import japanese as ja
 from kotomill.operators.lint import analyze, with_findings
 from kotomill.operators.scans import Terms, brackets, repeats
 from kotomill.operators.structure import describe
-from kotomill.plans.golden import CASES
+from tests.golden import CASES, SENTENCES
 
 ALL = {"rules": {rule: {"ruleId": rule, **options} for rule, options, _ in CASES.values()}}
 
@@ -31,6 +32,13 @@ def test_golden(spark, name):
     assert got == sorted((k, *f) for k, (_, fs) in enumerate(cases) for f in fs)
 
 
+def test_sentence_labels(spark):
+    rows = spark.createDataFrame([(t,) for t, *_ in SENTENCES], "t string")
+    t = F.col("t")
+    got = rows.select("t", ja.terminal(t), ja.leading(t), F.array_join(F.transform(ja.predicates(t), lambda p: p["surface"]), ","), F.array_join(ja.demonstratives(t), ",")).collect()
+    assert [tuple(r) for r in got] == SENTENCES
+
+
 def test_order_and_ranges(spark):
     """Findings come sorted, lie in the text, and keep the order of the configuration on ties."""
     texts = [t for _, _, cases in CASES.values() for t, _ in cases]
