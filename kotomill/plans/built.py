@@ -203,7 +203,7 @@ MARKED = chr(97) + chr(769)
 _rule("d002_marks", "D002", {"normalization": "NFC"}, {"ta": "t" + MARKED}, lambda t: f"""WITH docs AS ({t}), {_places(MARKED)}, spans AS (SELECT doc_id, CAST(b - 2 AS INTEGER) AS "start", CAST(b AS INTEGER) AS "end" FROM marks) {_rows("D002", "spans", said.TEXT["D002"])}""")
 
 #: Letters that become brackets, so that the prose opens and closes them in any order.
-BRACKETS = {"q": "（", "x": "）", "j": "「", "w": "」", "y": "（「"}
+BRACKETS = {"j": "（", "k": "）", "U": "「", "G": "」", "Q": "（「"}
 #: A stack as text: what each open mark waits for with its place, the last one first; a mark that breaks the order is reported and takes the last one with it.
 _rule("d003_stack", "D003", {}, BRACKETS, lambda t: f"""WITH RECURSIVE docs AS ({t}), {_places("[（）「」]")},
 walk AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, '' AS stack, CAST(NULL AS VARCHAR) AS bad, CAST(0 AS HUGEINT) AS place FROM docs
