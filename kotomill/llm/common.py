@@ -32,6 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: A written table may be broadcast if it is estimated to take at most this many bytes in memory; above it the same join shuffles.
+BROADCAST_BYTES = 32 << 20
+#: What a row takes in a hash table besides its values, and how far Parquet may shrink strings and arrays.
+ROW_BYTES, SHRUNK = 32, 32
+VARYING = (StringType, BinaryType, ArrayType, MapType, StructType)
+
+
 class Cut:
     """A table written to the shared folder: cuts lineage, survives lost executors, and can be pruned when read."""
 
@@ -62,25 +69,24 @@ class Cut:
         self._rows = self.df.count() if self._rows is None else self._rows
         return self._rows
 
+    def small(self, limit: int = 0) -> bool:
+        """Whether the rows, counted and sized as decoded, stay within the limit (BROADCAST_BYTES if 0)."""
+        limit = limit or BROADCAST_BYTES
+        stored = self.bytes()
+        if stored > limit:
+            return False
+        fixed = sum(8 for f in self.schema if not isinstance(f.dataType, VARYING))
+        varying = SHRUNK * stored if fixed < 8 * len(self.schema) else 0
+        return self.rows() * (fixed + ROW_BYTES) + varying <= limit
+
     def drop(self) -> None:
         where = self._path()
         where.getFileSystem(self._conf()).delete(where, True)
 
 
-#: A written table may be broadcast if it is estimated to take at most this many bytes in memory; above it the same join shuffles.
-BROADCAST_BYTES = 32 << 20
-#: What a row takes in a hash table besides its values, and how far Parquet may shrink strings and arrays.
-ROW_BYTES, SHRUNK = 32, 32
-
-
 def small_side(cut: Cut, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The written table, marked for broadcast only if its rows, counted and sized as decoded, stay within the limit."""
-    stored = cut.bytes()
-    if stored > limit:
-        return cut.df
-    fixed = sum(8 for f in cut.schema if not isinstance(f.dataType, (StringType, BinaryType, ArrayType, MapType, StructType)))
-    varying = SHRUNK * stored if fixed < 8 * len(cut.schema) else 0
-    return F.broadcast(cut.df) if cut.rows() * (fixed + ROW_BYTES) + varying <= limit else cut.df
+    return F.broadcast(cut.df) if cut.small(limit) else cut.df
 
 
 def n_words(text: str) -> Column:

@@ -1,25 +1,29 @@
 """HTML main text with a site style tree.
 
-Pages are parsed leniently into blocks of text; a block's style path lists the tags (with class names) of
-its ancestors. The pages of one host merge by these paths into a style tree. A node's importance combines
-
-* presentation: the entropy, over pages, of how many blocks the node has (weight 1 - GAMMA), and
-* content: for each distinct text under the node, one minus the entropy of its spread over the node's
-  pages, averaged over all blocks (weight GAMMA); text on every page counts 0, text on one page 1.
-
-An inner node averages what lies below it. Nodes under THRESHOLD, seen on LEAST_PAGES pages or more, are
-low-importance branches and are removed from every page of the host. Some styles carry their importance
-in their name: tags and class names that mean menus, adverts, forms, comments and the like count 0 on
-any host, which also serves hosts with too few pages for statistics. Of the rest, the article (or else
-the main part) of a page is its text, if it has one. A page that pruning by statistics would leave empty
-keeps its text: the host's pages are then copies of each other.
-
-Statistics are grouped sums over (host, path, text hash), added up before any shuffle; only the paths to
+Pages are parsed leniently, once per pass, into a tree of block elements; whatever its depth, an element is named by the hash of
+its style path, the tags with class names from the root. The pages of one host merge by these names into a style tree:
+
+* a presentation node is an element with the distribution of its styles, a style being the sequence of its children; its
+  importance is the entropy of that distribution over the host's pages, in units of the logarithm of the pages that have it;
+* a content node is a whole branch, by the digest of all text below it, at a presentation node; its importance is one minus the
+  logarithm of the pages that hold it over the logarithm of the pages that have the element: 0 for a branch that every page
+  repeats, 1 for one that no other page holds.
+
+An element weighs (1 - GAMMA) of its presentation and GAMMA of the mean importance of its branches. Under THRESHOLD its
+repeated branches, those that weigh no more themselves, are removed from the page with all below them, be they called a menu or
+not; a passage that articles share stays, as their elements hold other text too. An element that fewer than LEAST_PAGES of the host's pages have gives no
+statistics, and no statistics know an advert that changes from page to page; therefore some styles count 0 by their name on any host: tags
+and class names that mean menus, adverts, forms, comments and the like (NOISE_TAGS, NOISE_WORDS; a name with a word of
+KEPT_WORDS, such as "with-sidebar", is none). Of the rest, the page's text is its main part: what lies in articles, if that is
+at least SHARE of the text, and in main, else in parts named as content, if that is SHARE of it, else all. Names that would leave a page empty are
+disregarded, and so are statistics that would: the host's pages are then copies of each other.
+
+Statistics are grouped sums over (host, element, digest), added up before any shuffle; only the branches to
 remove travel back to the pages, by broadcast if they are few and else by a join on the host.
 
 Defined edge cases: null or empty html gives an empty text; a null or odd url belongs to the host '';
 repeated rows each give a row; an empty table gives an empty result; extra columns are ignored; pages of
-any length are read whole.
+any length and depth are read whole.
 """
 
 from __future__ import annotations
@@ -37,12 +41,12 @@ from pyspark.sql import functions as F
 from .common import Cut, small_side, table
 
 GAMMA, THRESHOLD, LEAST_PAGES = 0.9, 0.3, 8
-#: Style paths name this many levels; what lies deeper belongs to the last one.
-DEPTH = 64
+#: The share of a page's text that its main part has at least.
+SHARE = 0.3
 
 # Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes template xmp svg math".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes template xmp svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -52,7 +56,10 @@ CLOSES = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, a, b in (("
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 P_STOPS = frozenset("button table td th caption html body article main section div li".split())
 # Styles without importance, by tag and by the words of class, id and role.
-NOISE_TAGS = frozenset("nav footer aside form button select input head object audio video canvas dialog".split())
+NOISE_TAGS = frozenset("nav footer aside form button select head object audio video canvas dialog".split())
+HARD_TAGS = frozenset("nav footer aside head select button".split())  # even where the names leave nothing
+KEPT_WORDS = frozenset("with has have no without hide market stock results result layout".split())
+WEAK_WORDS = frozenset("alert widget widgets search banner hidden toolbar".split())  # not inside an article
 NOISE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside complementary contentinfo widget widgets ad ads advert adverts advertisement advertising "
     "adsense banner sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
@@ -75,41 +82,88 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    __slots__ = ("main", "noise", "path", "tag")
+    """An open element: its tag, the block element that it belongs to, whether its name or a parent's means noise, and its tier."""
 
-    def __init__(self, tag: str, path: str, noise: bool, main: int):
-        self.tag, self.path, self.noise, self.main = tag, path, noise, main
+    __slots__ = ("block", "hard", "noise", "tag", "tier")
 
+    def __init__(self, tag: str, block: int, noise: bool, hard: bool, tier: int):
+        self.tag, self.block, self.noise, self.hard, self.tier = tag, block, noise, hard, tier
 
-_styles: dict[tuple[str, str], tuple[str, frozenset[str], bool, bool]] = {}
 
+class Page:
+    """The block elements of a page, and its blocks of text in order.
+
+    ``parent`` and ``label`` are by element; ``items`` holds an element's children (their number) and texts (the text), in
+    order. A block of text is (element, text, tier, noise, hard, plain): tier 3 lies in an article, 2 in main, 1 in a part named as
+    content; noise lies under a style that counts 0 by its name, hard under one that always does; plain has text outside links.
+    """
 
-def _style(tag: str, attrs: str) -> tuple[str, frozenset[str], bool, bool]:
-    """(label, words of class, id and role, hidden, marked as main) of a start tag."""
+    def __init__(self) -> None:
+        self.parent, self.label = [-1], [""]
+        self.items: list[list[int | str]] = [[]]
+        self.texts: list[tuple[int, str, int, bool, bool, bool]] = []
+
+    def open(self, parent: int, label: str) -> int:
+        self.parent.append(parent)
+        self.label.append(label)
+        self.items.append([])
+        self.items[parent].append(len(self.label) - 1)
+        return len(self.label) - 1
+
+    def names(self) -> list[int]:
+        """The hash of each element's style path."""
+        out = [0]
+        for parent, label in zip(self.parent[1:], self.label[1:], strict=True):
+            out.append(xxhash.xxh64_intdigest(label, out[parent]))
+        return out
+
+    def digests(self) -> tuple[list[int], list[int]]:
+        """Of each element the hash of the text below it, 0 if it has none, and the hash of its children's labels."""
+        digest, style = [0] * len(self.label), [0] * len(self.label)
+        for k in range(len(self.label) - 1, -1, -1):
+            parts = [digest[x] if isinstance(x, int) else xxhash.xxh64_intdigest(x) for x in self.items[k]]
+            if any(parts):
+                digest[k] = xxhash.xxh64_intdigest(b"".join(x.to_bytes(8, "big") for x in parts if x)) or 1
+            style[k] = xxhash.xxh64_intdigest(">".join("" if isinstance(x, str) else self.label[x] for x in self.items[k]))
+        return digest, style
+
+
+_styles: dict[tuple[str, str], tuple[str, list[frozenset[str]], bool, bool]] = {}
+
+
+def _style(tag: str, attrs: str) -> tuple[str, list[frozenset[str]], bool, bool]:
+    """(label, the words of each class name, id and role, hidden, marked as main) of a start tag."""
     if not attrs or attrs.isspace():
-        return tag, frozenset(), False, False
+        return tag, [], False, False
     found = _styles.get((tag, attrs))
     if found is None:
         a = {k.lower(): unescape(x or y or z) for k, x, y, z in ATTR.findall(attrs)}
-        names = " ".join(a.get(k, "") for k in ("class", "id"))
-        words = frozenset(w.lower() for w in WORD.findall(f"{names} {a.get('role', '')}"))
-        label = re.sub(r"\d+", "N", ".".join([tag, *sorted(a.get("class", "").split())])).replace(">", "")
+        names = [*a.get("class", "").split(), a.get("id", "")]
+        words = [frozenset(w.lower() for w in WORD.findall(name)) for name in (*names, a.get("role", ""))]
+        label = re.sub(r"\d+", "N", ".".join([tag, *sorted(a.get("class", "").split())]))
         hidden = "hidden" in a or re.search(r"display\s*:\s*none", a.get("style", "")) is not None
-        joined = {re.sub(r"[^a-z]", "", x.lower()) for x in names.split()}
+        joined = {re.sub(r"[^a-z]", "", x.lower()) for x in names}
         main = a.get("role") == "main" or "articlebody" in a.get("itemprop", "").lower() or bool(joined & MAIN_WORDS)
-        found = label, words, hidden, main
+        found = label, [w for w in words if w], hidden, main
         if len(_styles) < 50_000 and len(attrs) < 500:
             _styles[tag, attrs] = found
     return found
 
 
-def blocks(html: str) -> list[tuple[str, str, int]]:
-    """(style path, text, tier) of the blocks in page order; tier 3 lies in an article, 2 in main, 1 in a part named as content.
+def _is_noise(tag: str, names: list[frozenset[str]], tier: int) -> bool:
+    """Whether an element's tag or one of its names says that it has no importance."""
+    if tag in ROOTS:
+        return tag == "article" and any(n & COMMENT_WORDS for n in names)
+    if tag in NOISE_TAGS or (tier < 2 and tag == "header"):
+        return True
+    words = NOISE_WORDS - WEAK_WORDS if tier == 3 else NOISE_WORDS | TOP_WORDS if tier < 2 else NOISE_WORDS
+    return any(n & words and not n & KEPT_WORDS for n in names)
 
-    Blocks under a style without importance are left out, and outside any such part those of links alone (menus).
-    """
-    out: list[tuple[str, str, int]] = []
-    stack = [Node("", "", False, 0)]
+
+def parsed(html: str) -> Page:
+    """The block elements and texts of a page; whatever is open at the end is closed."""
+    page = Page()
+    stack = [Node("", 0, False, False, 0)]
     open_: Counter = Counter()
     text: list[str] = []
     plain = False  # whether the block has text outside links
@@ -119,24 +173,31 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
             open_[n.tag] -= 1
         del stack[i:]
 
+    def add(part: str) -> None:
+        nonlocal plain
+        top = stack[-1]
+        if not top.noise or page.label[top.block] and blocked[-1]:
+            text.append(part)
+            plain = plain or (not open_["a"] and not part.isspace())
+
     def flush() -> None:
         nonlocal plain
         if text:
-            top = stack[-1]
-            if not top.noise and (plain or top.main) and (words := " ".join(unescape("".join(text)).split())):
-                out.append((top.path, words, top.main))
+            if words := " ".join(unescape("".join(text)).split()):
+                top = next(n for n in reversed(stack) if n.tag in BLOCK or not n.tag)
+                page.items[top.block].append(words)
+                page.texts.append((top.block, words, top.tier, top.noise, top.hard, plain))
             text.clear()
             plain = False
 
+    blocked = [True]  # for each open element whether all noise down to it began at a block: then its text is a block of noise, else it vanishes
     at, end = 0, len(html)
     while at < end:
         lt = html.find("<", at)
         if lt < 0:
             lt = end
         if lt > at:
-            if not stack[-1].noise:
-                text.append(html[at:lt])
-                plain = plain or (not open_["a"] and not text[-1].isspace())
+            add(html[at:lt])
             at = lt
             continue
         if html.startswith("<!--", at):
@@ -145,16 +206,11 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
             continue
         m = TAG.match(html, at)
         if m is None:
-            if html.startswith(("<!", "<?"), at):
-                close = html.find(">", at)
-                at = end if close < 0 else close + 1
-            elif html[at + 1 : at + 2].isalpha() or html.startswith("</", at):
+            if html.startswith(("<!", "<?", "</"), at) or html[at + 1 : at + 2].isalpha():
                 close = html.find(">", at)
                 at = end if close < 0 else close + 1
             else:
-                if not stack[-1].noise:
-                    text.append("&lt;")
-                    plain = plain or not open_["a"]
+                add("&lt;")
                 at += 1
             continue
         at = m.end()
@@ -164,22 +220,20 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
                 flush()
             for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[i].tag == tag:
-                    if stack[-1].noise != stack[i - 1].noise or stack[-1].main != stack[i - 1].main:
-                        flush()
                     drop(i)
+                    del blocked[i:]
                     break
                 if tag not in BLOCK and stack[i].tag in BLOCK:
                     break  # a stray inline end tag closes nothing outside its block
             continue
         if tag == "br":
-            text.append(" ")
+            add(" ")
             continue
         if tag in RAW:
-            if not m[3].endswith("/") or tag not in ("svg", "math"):
+            close = None
+            if not m[3].endswith("/") or tag != "svg":
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|</{tag}\Z", re.I).search(html, at)
                 at = end if close is None else close.end()
-            if tag == "title" and close is None:
-                break
             continue
         if tag in BLOCK:
             flush()
@@ -187,6 +241,7 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":
                         drop(i)
+                        del blocked[i:]
                         break
                     if stack[i].tag in P_STOPS:
                         break
@@ -200,84 +255,105 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
                         cut = i
                 if cut:
                     drop(cut)
+                    del blocked[cut:]
         if tag in VOID:
             continue
         top = stack[-1]
-        label, words, hidden, marked = _style(tag, m[3])
-        noise = top.noise or hidden or tag in NOISE_TAGS
-        if not noise:
-            if tag in ROOTS:
-                noise = bool(words & COMMENT_WORDS) and tag in ("article",)
-            else:
-                noise = bool(words & NOISE_WORDS) or (top.main < 2 and (tag == "header" or bool(words & TOP_WORDS)))
-        main = max(top.main, 3 if tag == "article" else 2 if tag == "main" or (marked and "main" in words) else 1 if marked else 0)
-        if noise and not top.noise:
-            flush()
-        stack.append(Node(tag, f"{top.path}>{label}" if tag in BLOCK and len(stack) < DEPTH else top.path, noise, main))
+        label, names, hidden, marked = _style(tag, m[3])
+        noise = top.noise or hidden or _is_noise(tag, names, top.tier)
+        tier = max(top.tier, 3 if tag == "article" else 2 if tag == "main" or (marked and any("main" in n for n in names)) else 1 if marked else 0)
+        block = page.open(top.block, label) if tag in BLOCK else top.block
+        stack.append(Node(tag, block, noise, top.hard or hidden or tag in HARD_TAGS, tier))
+        blocked.append(blocked[-1] and (top.noise or not noise or tag in BLOCK))
         open_[tag] += 1
     flush()
-    return out
+    return page
 
 
-def main_text(found: list[tuple[str, str, int]], low: frozenset[str] = frozenset()) -> str:
-    """The blocks of the page's best tier, without branches of low importance."""
-    tier = max((t for *_, t in found), default=0)
-    kept = [(p, x) for p, x, t in found if t == tier]
+def main_text(page: Page, low: frozenset[int] = frozenset()) -> str:
+    """The blocks of the page's main part, without branches of low importance."""
+    gone: list[bool] = []
     if low:
-        parts = lambda p: (p[:i] for i in [*(i for i, c in enumerate(p) if c == ">" and i), len(p)])
-        memo = {p: any(x in low for x in parts(p)) for p in {p for p, _ in kept}}
-        kept = [(p, x) for p, x in kept if not memo[p]] or kept
-    return "\n".join(x for _, x in kept)
+        digests = page.digests()[0]
+        for name, digest, parent in zip(page.names(), digests, page.parent, strict=True):
+            gone.append(parent >= 0 and (gone[parent] or branch(name, digest) in low))
+
+    def kept(by_name: bool, by_tree: bool) -> list[tuple]:
+        rows = [x for x in page.texts if not (x[4] or (by_name and x[3])) and not (by_tree and gone and gone[x[0]])]
+        return [x for x in rows if x[5] or x[2]]  # outside any main part, links alone are a menu
+
+    rows = kept(True, True) or kept(True, False) or kept(False, True) or kept(False, False)
+    total = sum(len(x[1]) for x in rows)
+    tiers = {x[2] for x in rows}
+    least = next((t for t in sorted(tiers, reverse=True) if t == 2 or sum(len(x[1]) for x in rows if x[2] >= t) >= SHARE * total), 0)
+    least = 2 if least == 3 and 2 in tiers else least  # an article's title and lead may stand beside it
+    return "\n".join(x[1] for x in rows if x[2] >= least)
+
+
+def branch(name: int, digest: int) -> int:
+    """A content node: a digest at an element."""
+    return (name ^ (digest * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) - (1 << 63)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (host, path, kind, hash): kind 0 is a text that a page has at the path, kind 1 the number of its blocks there."""
+    """Numbers of pages by (host, element, kind, hash): kind 0 is a branch that a page has at the element, 1 a style, 2 the page itself."""
     for batch in batches:
         counts: Counter = Counter()
         for url, html in zip(batch.column(0), batch.column(1), strict=True):
-            if (page := html.as_py()) is None:
+            if (source := html.as_py()) is None:
                 continue
-            host, at = host_of(url.as_py()), {}
-            for path, text, _ in blocks(page):
-                at.setdefault(path, []).append(xxhash.xxh64_intdigest(text) - (1 << 63))
-            for path, hashes in at.items():
-                counts[host, path, 1, len(hashes)] += 1
-                for h in set(hashes):
-                    counts[host, path, 0, h] += 1
+            host, page = host_of(url.as_py()), parsed(source)
+            digests, styles = page.digests()
+            own = set()
+            for name, digest, style in list(zip(page.names(), digests, styles, strict=True))[1:]:
+                own |= {(name, 1, style), (name, 2, 0)} | ({(name, 0, branch(name, digest) + (1 << 63))} if digest else set())
+            counts.update((host, name - (1 << 63), kind, h - (1 << 63)) for name, kind, h in own)
         keys = list(zip(*counts, strict=True)) if counts else [[], [], [], []]
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(keys, kinds, strict=True)), pa.array(list(counts.values()), pa.int64())], ["host", "path", "kind", "h", "n"])
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(keys, kinds, strict=True)), pa.array(list(counts.values()), pa.int64())], ["host", "element", "kind", "h", "n"])
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, pages, importance) for every node of every host's style tree."""
-    rows = pages.select(F.col(url).cast("string"), F.col(html).cast("string")).mapInArrow(_counted, "host string, path string, kind int, h long, n long")
-    each = Cut(rows.groupBy("host", "path", "kind", "h").agg(F.sum("n").alias("n")), "style-counts").df
-    is_count = F.col("kind") == 1
-    spread = each.where(is_count).groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"))
-    # -sum p log p over the page counts = log m - sum(n log n)/m, in units of log m
-    form = F.when(F.col("pages") > 1, 1 - F.col("nlogn") / (F.col("pages") * F.ln("pages"))).otherwise(1.0)
-    told = each.where(~is_count).groupBy("host", "path").agg(F.sum("n").alias("texts"), F.sum(F.col("n") * F.ln("n")).alias("tlogt"))
-    both = spread.join(told, ["host", "path"])
-    content = F.when(F.col("pages") > 1, 1 - F.col("tlogt") / (F.col("texts") * F.ln("pages"))).otherwise(1.0)
-    leaf = both.select("host", "path", "pages", "texts", ((1 - GAMMA) * form + GAMMA * content).alias("importance"))
-    steps = F.split(F.substring("path", 2, 1 << 30), ">")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.lit(">"), F.array_join(F.slice(steps, F.lit(1), i), ">")))
-    nodes = leaf.select("host", "pages", "texts", "importance", F.explode(F.when(F.col("path") == "", F.array("path")).otherwise(above)).alias("path"))
-    return nodes.groupBy("host", "path").agg(F.max("pages").alias("pages"), (F.sum(F.col("importance") * F.col("texts")) / F.sum("texts")).alias("importance"))
+    """(host, element, pages, importance, h, held): the content nodes of low importance, at elements of low importance.
+
+    Elements of fewer than LEAST_PAGES pages are left out. A branch held by n of m pages weighs (1 - log n / log m) GAMMA at least.
+    """
+    rows = pages.select(F.col(url).cast("string"), F.col(html).cast("string")).mapInArrow(_counted, "host string, element long, kind int, h long, n long")
+    each = Cut(rows.groupBy("host", "element", "kind", "h").agg(F.sum("n").alias("n")), "style-counts").df
+    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
+    log = F.col("n") * F.ln("n")
+    nodes = each.groupBy("host", "element").agg(of(2, F.col("n")).alias("pages"), of(1, F.col("n")).alias("styles"), of(1, log).alias("style_log"), of(0, F.col("n")).alias("texts"), of(0, log).alias("text_log"))
+    nodes = nodes.where((F.col("pages") >= LEAST_PAGES) & (F.col("texts") > 0))
+    # -sum p log p over the style counts = log s - sum(n log n)/s, in units of log m
+    spread = (F.ln("styles") - F.col("style_log") / F.col("styles")) / F.ln("pages")
+    content = 1 - F.col("text_log") / (F.col("texts") * F.ln("pages"))
+    weight = (1 - GAMMA) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), spread)) + GAMMA * content
+    nodes = Cut(nodes.select("host", "element", "pages", weight.alias("importance")), "style-nodes")
+    often = each.where((F.col("kind") == 0) & (F.col("n") >= LEAST_PAGES ** (1 - THRESHOLD / GAMMA)))
+    low = often.select("host", "element", "h", F.col("n").alias("held"))
+    near = nodes.df.where(F.col("importance") < THRESHOLD)
+    near = F.broadcast(near) if nodes.small() else near
+    found = low.join(near, ["host", "element"]).where((1 - F.ln("held") / F.ln("pages")) * GAMMA < THRESHOLD)
+    return found.select("host", "element", "pages", "importance", "h", "held")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) for every row."""
-    low = style_tree(pages, url, html).where((F.col("importance") < THRESHOLD) & (F.col("pages") >= LEAST_PAGES))
-    low = Cut(low.groupBy("host").agg(F.collect_list("path").alias("low")), "low-branches")
+    low = style_tree(pages, url, html)
+    low = Cut(low.groupBy("host").agg(F.collect_list("h").alias("low")), "low-branches")
     own = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("x"), own.alias("host"))
-    rows = rows.join(small_side(low), "host", "left").select("k", "u", "x", "low")
+    rows = rows.join(small_side(low), "host", "left").select("k", "u", "x", "low", "host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, frozenset[int]] = {}  # of the batch's hosts
         for batch in batches:
-            texts = [main_text(blocks(x.as_py() or ""), frozenset(low.as_py() or ())) for x, low in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = []
+            for x, low, host in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
+                if host not in held:
+                    held = held if len(held) < 256 else {}
+                    held[host] = frozenset(low.as_py() or ())
+                texts.append(main_text(parsed(x.as_py() or ""), held[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["k", "url", "text", "n_chars"])
 
     kind = pages.schema[key].dataType.simpleString()

@@ -1,6 +1,9 @@
 """HTML, quality, mixing and the pipeline: exact cases, held-out accuracy, brute force, edge cases."""
 
 import random
+import re
+from collections import Counter
+from math import log
 
 import numpy as np
 import pytest
@@ -24,6 +27,15 @@ PAGES = [
     ("<div role=main><p>r</p></div><p>out</p>", "r"),
     ("<div class=x><a href=/>Home</a> <a href=/b>News</a></div><p>See <a href=/c>this</a>.</p>", "See this."),
     ("<article><p><a href=/>linked</a></p></article>", "linked"),
+    ("<div class='layout with-sidebar'><p>Body</p></div>", "Body"),
+    ("<div class='search-results-page'><p>Body</p></div>", "Body"),
+    ("<article><p>a</p><section class='market-share'><p>m</p></section><div class='alert-box'>warn</div></article>", "a\nm\nwarn"),
+    ("<p>x <math><mi>y</mi></math> z</p>", "x y z"),
+    ("<div><p>A body that is much longer than any teaser beside it could be.</p></div><article><p>teaser</p></article>", "A body that is much longer than any teaser beside it could be.\nteaser"),
+    ("<main><h1>Title</h1><p>Lead</p><article><p>Text</p></article></main>", "Title\nLead\nText"),
+    ("<p>Press <button>OK</button> now</p>", "Press now"),
+    ("<form id=aspnetForm><div><p>All content</p></div></form>", "All content"),
+    ("<div>" * 100 + "<p>deep</p>" + "</div>" * 100 + "<p>shallow</p>", "deep\nshallow"),
     ("", ""),
     ("<!-- unclosed", ""),
     ("plain", "plain"),
@@ -32,12 +44,13 @@ PAGES = [
 
 @pytest.mark.parametrize(("page", "text"), PAGES)
 def test_main_text(page, text):
-    assert html.main_text(html.blocks(page)) == text
+    assert html.main_text(html.parsed(page)) == text
 
 
 @pytest.mark.parametrize("page", ["<p>" * 50_000, "<div>" * 20_000 + "x", "<b>" * 20_000 + "</p>" * 20_000, "<" * 100_000, '<a ="' * 20_000, "<p>" + "x " * 500_000, "<script>" * 20_000, "<table><tr><td>" * 5_000])
 def test_long_pages(page):
-    html.blocks(page)
+    page = html.parsed(page)
+    page.names(), page.digests(), html.main_text(page)
 
 
 def test_style_tree_removes_what_a_host_repeats(spark):
@@ -58,6 +71,71 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert html.extract(pages.where("false")).count() == 0
 
 
+def site(n, names=("top", "mid", "low"), seed=0, deep=0):
+    """Pages of one host: blocks that all repeat, one that half of them repeat, and text of their own, under class names that say nothing."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        own = "".join(f"<p>{' '.join(str(rng.random()) for _ in range(rng.randint(1, 9)))}</p>" for _ in range(rng.randint(1, 4)))
+        half = "<p>Half of the pages say this.</p>" if k % 2 else ""
+        wrap, close = "<div>" * deep, "</div>" * deep
+        out.append(f"<body><div class={names[0]}><ul><li>Start</li><li>Offers</li></ul></div>{wrap}<div class={names[1]}><h2>Page {k}</h2>{own}{half}</div>{close}<div class={names[2]}><p>All rights</p><p>Page of {n}</p></div></body>")
+    return out
+
+
+def plain_low(pages):
+    """{(style path, text below)} of the branches under the threshold, by definition."""
+    trees = []
+    for source in pages:
+        page, found = html.parsed(source), {}
+        path = [""]
+        for parent, label in zip(page.parent[1:], page.label[1:], strict=True):
+            path.append(f"{path[parent]}>{label}")
+        below = [[] for _ in path]
+        for k in range(len(path) - 1, -1, -1):
+            for x in page.items[k]:
+                below[k].append(below[x] if isinstance(x, int) else x)
+        for k in range(1, len(path)):
+            style = tuple(page.label[x] if isinstance(x, int) else "" for x in page.items[k])
+            texts, styles = found.setdefault(path[k], (set(), set()))
+            styles.add(style)
+            if "'" in str(below[k]):
+                texts.add(re.sub(r"\[\](, )?", "", str(below[k])))
+        trees.append(found)
+    low = set()
+    for p in {p for t in trees for p in t}:
+        held = [t[p] for t in trees if p in t]
+        m = len(held)
+        if m < html.LEAST_PAGES:
+            continue
+        styles = Counter(s for _, ss in held for s in ss)
+        total = sum(styles.values())
+        presentation = min(1, max(0, -sum(n / total * log(n / total) for n in styles.values()) / log(m)))
+        branches = Counter(x for xs, _ in held for x in xs)
+        if not branches:
+            continue
+        content = {x: 1 - log(n) / log(m) for x, n in branches.items()}
+        mean = sum(content[x] * n for x, n in branches.items()) / sum(branches.values())
+        if (1 - html.GAMMA) * presentation + html.GAMMA * mean < html.THRESHOLD:
+            low |= {(p, x, n) for x, n in branches.items() if html.GAMMA * content[x] < html.THRESHOLD}
+    return low
+
+
+@pytest.mark.parametrize(("n", "deep"), [(30, 0), (9, 0), (7, 0), (20, 80)])
+def test_tree_decides_without_names(spark, n, deep):
+    """Menus and footers with neutral names go where the host has pages enough for statistics, at any depth; what half of the pages say stays."""
+    sources = site(n, deep=deep)
+    pages = spark.createDataFrame([(k, "http://h.example/x", s) for k, s in enumerate(sources)], "page_id long, url string, html string")
+    low = html.style_tree(pages).collect()
+    assert sorted(r.held for r in low) == sorted(x[-1] for x in plain_low(sources))
+    text = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert bool(low) == (n >= html.LEAST_PAGES)
+    for k, source in enumerate(sources):
+        own = re.findall(r"<(?:p|h2)>(.*?)</(?:p|h2)>", source.split("class=mid")[1].split("</div>")[0])
+        rest = [] if low else ["All rights", f"Page of {n}"]
+        assert text[k] == "\n".join([*([] if low else ["Start", "Offers"]), *own, *rest])
+
+
 # --- quality --------------------------------------------------------------------------------------
 
 
