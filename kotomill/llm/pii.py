@@ -3,6 +3,11 @@
 ``spans(docs)`` gives an array of (kind, start, end, score) per document, offsets in code points,
 end exclusive. ``redact(docs)`` replaces the spans whose score reaches ``threshold``.
 
+A span's score is its kind's prior, raised by a word nearby that speaks for the kind and lowered by one that speaks against it.
+Either can decide: a number like a national phone number (kind ``tel``) or an IBAN of a country without a known length counts only
+with a word for it, and an ip or a phone number beside "version" or "order" is not redacted. The base kinds of the
+contract are reported whatever their score; the others from the threshold on.
+
 Defined edge cases: a null text has no spans (and stays null when redacted), an empty text has none,
 texts of any length are scanned whole in linear time, repeated rows give repeated results, an empty
 table gives an empty table, and further columns of any name pass through ``redact`` untouched.
@@ -15,13 +20,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban")
+KINDS = (*BASE, "iban", "tel")
 RANK = {kind: i for i, kind in enumerate(KINDS)}
 
 # Possessive repeats and one-character look-behinds keep every scan linear on long runs; the
@@ -39,16 +44,24 @@ FOR = {
     "ip": ("ip", "address", "host", "server", "login"),
     "card": ("card", "visa", "mastercard", "credit", "payment", "karte", "tarjeta", "carte"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono"),
+    "tel": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone", "handy"),
     "iban": ("iban", "bank", "account", "transfer", "konto", "cuenta", "compte", "bic"),
 }
 AGAINST = ("example", "sample", "dummy", "test", "version", "isbn", "order", "serial", "build")
-#: Score of a span by kind after its validator passed; iban starts below the threshold's reach by chance hits.
-PRIOR = {"email": 0.9, "ip": 0.8, "card": 0.85, "phone": 0.8, "iban": 0.8}
+# The lengths of IBANs by country.
+IBAN_LENGTH = {
+    "AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
+#: Score of a span by kind after its validator passed, and of an IBAN whose country has no known length.
+PRIOR, UNKNOWN_IBAN = {"email": 0.9, "ip": 0.8, "card": 0.85, "phone": 0.8, "iban": 0.8, "tel": 0.4}, 0.45
 #: Characters looked at on either side, and what one supporting or opposing word adds.
-NEAR, STEP = 48, 0.15
-#: Spans from here on are redacted; base kinds always stay above it.
+NEAR, STEP = 48, 0.25
+#: Spans from here on are redacted, and spans beyond the base kinds are reported.
 THRESHOLD = 0.6
-WORDS = re.compile(r"[^\W\d_][\w-]*")
+#: A word of its own: no part of an address or a path.
+WORDS = re.compile(r"(?<![\w@./-])[^\W\d_][\w-]*+(?![@/]|\.\w)")
+TEL = re.compile(r"(?<![\w+.-])\(?[0-9]{2,5}\)?(?:[ ./-][0-9]{2,5}){2,4}(?![\w-]|\.[0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -85,7 +98,7 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
             if len(code) < 15:
                 break
             follows = text[end : end + 1]
-            if text[end - 1] != " " and not (follows.isascii() and follows.isalnum()) and mod97(code):
+            if text[end - 1] != " " and not (follows.isascii() and follows.isalnum()) and IBAN_LENGTH.get(code[:2], len(code)) == len(code) and mod97(code):
                 yield m.start(), end
                 break
             end -= 1
@@ -109,6 +122,13 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
             if 10 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                 found.append(("phone", m.start(), m.end()))
     found += [("iban", s, e) for s, e in _ibans(text)]
+    taken = sorted((s, e) for _, s, e in found)
+    k, last = 0, 0
+    for m in TEL.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            k, last = k + 1, max(last, taken[k][1])
+        if last <= m.start() and 7 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
+            found.append(("tel", m.start(), m.end()))
     found.sort(key=lambda x: (x[1], RANK[x[0]]))
     return found
 
@@ -116,7 +136,8 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
 def score(text: str, kind: str, start: int, end: int) -> float:
     """The kind's prior, moved by context words within NEAR characters."""
     near = {w.lower() for w in WORDS.findall(text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR])}
-    value = PRIOR[kind] + STEP * any(w in near for w in FOR[kind]) - STEP * any(w in near for w in AGAINST)
+    prior = UNKNOWN_IBAN if kind == "iban" and text[start : start + 2] not in IBAN_LENGTH else PRIOR[kind]
+    value = prior + STEP * any(w in near for w in FOR[kind]) - STEP * any(w in near for w in AGAINST)
     return round(min(1.0, max(0.0, value)), 2)
 
 
@@ -164,18 +185,21 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of the contract, one row per document."""
-    return digest(spans(table(spark, sf_dir, "documents")), BASE)
+    """The digest of the contract, one row per document, with the spans' scores."""
+    found = spans(table(spark, sf_dir, "documents"))
+    sure = F.filter("spans", lambda x: x["kind"].isin(*BASE) | (x["score"] >= THRESHOLD))
+    scores = F.array_join(F.transform("spans", lambda x: F.format_number(x["score"], 2)), ",")
+    return digest(found.withColumn("spans", sure), BASE, scores.alias("scores"))
 
 
-def digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+def digest(found: DataFrame, base: tuple[str, ...], *more: Column) -> DataFrame:
     """Counts per base kind, the hash of the base spans and all spans as text; the spans come in the contract's order."""
     one = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
     basic = F.filter("spans", lambda x: x["kind"].isin(*base))
     of = lambda kind: F.filter("spans", lambda x: x["kind"] == kind)
     counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in base]
     line = lambda spans: F.array_join(F.transform(spans, one), ",")
-    return found.select("doc_id", *counts, F.sha2(line(basic).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(line(basic).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), *more)
 
 
 def base_digest(text: str | None) -> str:

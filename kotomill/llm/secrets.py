@@ -3,7 +3,8 @@
 For each character class, candidate strings are the runs of that class of at least a window's length.
 A window slides over the run; its counts and the sum of c*log2(c) change by one step per character, so
 a run costs time in proportion to its length. Windows over the class's threshold join into one span of
-kind ``entropy``, unless an allow-list pattern covers the candidate. The base kinds are never suppressed.
+kind ``entropy``. What the allow-list names inside a candidate is cut out of it first, and only what remains on either side is
+measured; a remainder of letters or of digits alone is none. The base kinds are never suppressed.
 
 Defined edge cases: a null or empty text has no spans; texts of any length are scanned whole; repeated
 rows give repeated results; an empty table gives an empty table; extra columns are ignored.
@@ -13,7 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,10 +38,9 @@ CLASSES = {
     "hex": (re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20,}+"), 20, 3.0),
     "base64": (re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"), 20, 3.7),
 }
-# What looks random but is known not to be secret.
-ALLOW = (
-    re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),  # UUID
-    re.compile(r".*(?:EXAMPLE|example|PLACEHOLDER|placeholder|xxxx|XXXX|0123456789|abcdefghij).*"),
+# What looks random but is known not to be secret, wherever it stands, and as a whole.
+ALLOW = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|EXAMPLE|example|PLACEHOLDER|placeholder|[xX]{4,}+|0123456789(?:abcdef)?|abcdefghij[a-z]*+")
+ALLOW_WHOLE = (
     re.compile(r"(?:[A-Za-z]+[/_-])*[A-Za-z]+"),  # words, paths and names of letters only
     re.compile(r"[0-9_/+-]+"),  # numbers, dates
 )
@@ -75,9 +77,11 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
     for pattern, width, least in CLASSES.values():
         for m in pattern.finditer(text):
-            run = m[0]
-            if any(c in "0123456789" for c in run) and not any(a.fullmatch(run) for a in ALLOW):
-                found += [(m.start() + s, m.start() + e) for s, e in windows(run, width, least)]
+            cuts = [m.start(), *(at for a in ALLOW.finditer(text, m.start(), m.end()) for at in a.span()), m.end()]
+            for start, end in zip(cuts[::2], cuts[1::2], strict=True):
+                run = text[start:end]
+                if end - start >= width and any(c in "0123456789" for c in run) and not any(a.fullmatch(run) for a in ALLOW_WHOLE):
+                    found += [(start + s, start + e) for s, e in windows(run, width, least)]
     merged: list[tuple[int, int]] = []
     for s, e in sorted(found):
         if merged and s <= merged[-1][1]:
@@ -94,8 +98,12 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    base = found[:]
-    found += [("entropy", s, e) for s, e in entropy_spans(text) if not any(bs <= s and e <= be for _, bs, be in base)]
+    base = sorted((s, e) for _, s, e in found)
+    reach = list(accumulate((e for _, e in base), max))
+    for s, e in entropy_spans(text):
+        k = bisect_right(base, (s, len(text)))  # the base spans that start no later
+        if not k or reach[k - 1] < e:
+            found.append(("entropy", s, e))
     found.sort(key=lambda x: (x[1], RANK[x[0]]))
     return found
 
