@@ -164,6 +164,70 @@ def test_quality_held_out(spark):
     assert kept.columns == docs.columns
 
 
+def test_quality_held_out_on_tables():
+    """Fitted on every second labelled document of a real table, judged on the others: junk found, good kept, scores calibrated."""
+    import pandas as pd
+
+    folder = "/root/testdata/sf0.1"
+    docs, labels = pd.read_parquet(f"{folder}/documents.parquet"), pd.read_parquet(f"{folder}/labels.parquet")
+    rows = docs.merge(labels[["doc_id", "quality"]], on="doc_id", how="left")
+    known = rows[rows.quality.notna()].reset_index(drop=True)
+    fitted, held = known[known.index % 2 == 0], known[known.index % 2 == 1].reset_index(drop=True)
+    pool = rows[rows.quality.isna()].head(1000)
+    views = lambda x: quality._views(*(x[c].reset_index(drop=True) for c in quality.COLUMNS))
+    taught = pd.concat([fitted, pool])
+    model = quality.cotrain(*views(taught), np.concatenate([fitted.quality.to_numpy().astype(int), -np.ones(len(pool), int)]))
+    good, score = held.quality.to_numpy().astype(int), model.score(*views(held))[2]
+    kept = score >= model.cut
+    assert (~kept & (good == 0)).sum() >= 0.95 * (good == 0).sum() and (~kept & (good == 1)).sum() <= 0.005 * (good == 1).sum()
+    bins = np.minimum((score * 10).astype(int), 9)
+    assert sum((bins == b).mean() * abs(score[bins == b].mean() - good[bins == b].mean()) for b in set(bins.tolist())) < 0.02
+
+
+def two_views(n, seed=0):
+    """Labels, a clear view and a noisy wide one of the same objects."""
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, n)
+    clear = ((2 * y - 1)[:, None] * 3 + rng.normal(size=(n, 2))).astype(np.float32)
+    noisy = ((2 * y - 1)[:, None] * 0.08 + rng.normal(size=(n, 200))).astype(np.float32)
+    return y, noisy, clear
+
+
+def test_exchange_teaches_the_weaker_view(monkeypatch):
+    y, noisy, clear = two_views(6000)
+    label = np.where(np.arange(6000) < 320, y, -1)
+    label[3000:] = -2  # judged on these, which no round may see
+    rows = label > -2
+    right = {}
+    for rounds in (0, 4):
+        monkeypatch.setattr(quality, "ROUNDS", rounds)
+        model = quality.cotrain(noisy[rows], clear[rows], label[rows])
+        right[rounds] = ((model.score(noisy[~rows], clear[~rows])[0] >= 0.5) == y[~rows]).mean()
+    assert right[4] > right[0] + 0.03
+
+
+def test_a_view_without_proof_teaches_nothing(monkeypatch):
+    """A view that cannot tell the classes apart leaves the other as it was."""
+    y, _, clear = two_views(2000, 1)
+    blind = np.random.default_rng(2).normal(size=(2000, 20)).astype(np.float32)
+    label = np.where(np.arange(2000) < 400, y, -1)
+    found = {}
+    for rounds in (0, 4):
+        monkeypatch.setattr(quality, "ROUNDS", rounds)
+        found[rounds] = quality.cotrain(clear, blind, label).weights[0]
+    assert (found[0] == found[4]).all()
+
+
+def test_quality_of_repeated_ids(spark):
+    """Rows that share an id: the same one is fitted whatever the partitions, and every row is judged."""
+    rows = [r[:5] for r in corpus(200)] + [(k, "other words " * k, "en", "s", k) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(0, 200, 2)], "doc_id long, quality int, toxic int")
+    one, two = (quality.fit(docs.repartition(n), labels) for n in (1, 5))
+    assert all((a == b).all() for a, b in zip(one.weights, two.weights, strict=True)) and one.cut == two.cut
+    assert docs.select(quality.scores(one)).count() == 400
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([r[:5] for r in corpus(20)], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
