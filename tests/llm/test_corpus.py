@@ -271,9 +271,11 @@ def test_targets(sizes):
 
 def test_splitting_tree():
     quotas = [100, 3, 0, 57]
-    cells = mixing.split(quotas, 7)
-    assert cells.sum(0).tolist() == quotas and (cells >= 0).all() and cells.sum(1).max() - cells.sum(1).min() <= 7
-    assert (mixing.split(quotas, 7) == cells).all()
+    cells = dict(mixing.split(quotas, 7))
+    every = np.stack(list(cells.values()))
+    assert sorted(cells) == list(range(7)) and every.sum(0).tolist() == quotas and (every >= 0).all() and every.sum(1).max() - every.sum(1).min() <= 7
+    assert all((cells[k] == q).all() for k, q in mixing.split(quotas, 7))
+    assert list(mixing.split([0, 0], 7)) == [] and sum(q.sum() for _, q in mixing.split([3], 1000)) == 3
 
 
 def mix_rows():
@@ -285,8 +287,11 @@ def mix_rows():
 def test_mix(spark):
     rows = mix_rows()
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, size int, block int")
-    plan = mixing.Mix(docs).plan.cache()
-    got = plan.collect()
+    def planned(docs, **more):
+        rows = mixing.numbered(docs)
+        return mixing.Mix(rows, **more).plan(rows.df).collect()
+
+    got = planned(docs)
     assert len(got) == len(rows)
     per = {}
     for r in got:
@@ -297,17 +302,40 @@ def test_mix(spark):
     assert [per[s][2] for s in order] == pytest.approx(plain_targets([per[s][0] for s in order]))
     for n, taken, target, full in per.values():
         assert n == full and abs(taken - target) <= 31
-    again = {(r.id, r["size"], tuple(map(tuple, r.units))) for r in mixing.Mix(docs.repartition(7)).plan.collect()}
-    assert again == {(r.id, r["size"], tuple(map(tuple, r.units))) for r in got}
-    assert mixing.Mix(docs.where("false")).plan.count() == 0
+    again = sorted(((r.id, r["size"], tuple(map(tuple, r.units))) for r in planned(docs.repartition(7))), key=str)
+    assert again == sorted(((r.id, r["size"], tuple(map(tuple, r.units))) for r in got), key=str)
+    assert planned(docs.where("false")) == []
+
+
+@pytest.mark.parametrize(("blocks", "fill", "groups"), [(4, 16, 3), (3, 5, 1000)])
+def test_mix_at_scale(spark, monkeypatch, blocks, fill, groups):
+    """Few and large blocks as a huge table has them: borders are cut again and again, shards dealt within groups; targets are met all the same."""
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", blocks)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(mixing, "FILL", fill)
+    monkeypatch.setattr(mixing, "BORDER", 1)
+    monkeypatch.setattr(mixing, "GROUPS", groups)
+    rng = random.Random(9)
+    rows = [(k, "x " * rng.randint(1, 40), rng.choice("aaaaabbc")) for k in range(3000)] + [(None, "y y y", "a")] * (400 if groups > 3 else 0)  # equal rows share a block
+    cut = mixing.numbered(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = mixing.Mix(cut, shards=40).plan(cut.df).collect()
+    assert len(got) == len(rows)
+    shards = Counter()
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(len(r.units) * r["size"] for r in own) - own[0].target) <= 20
+        shards.update(u.shard for r in own for u in r.units)
+    assert all(len({u.copy for u in r.units}) == len(r.units) <= 3 and all(0 <= u.shard < 40 for u in r.units) for r in got)
+    if groups == 3:
+        assert len(shards) == 40 and max(shards.values()) < 5 * min(shards.values())  # a unit is a quarter of its source here
 
 
 def test_mixed_rows(spark):
-    rows = [r for r in mix_rows() if r[0] is not None][:-1]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, h int")
-    plan = {r.id: r.units for r in mixing.Mix(docs).plan.collect()}
+    docs = spark.createDataFrame([(*r, 1) for r in mix_rows()], "doc_id long, text string, source string, h int")
+    cut = mixing.numbered(docs)
+    plan = mixing.Mix(cut).plan(cut.df).collect()
     got = mixing.mixed(docs).collect()
-    assert sorted((r.doc_id, r.mix_copy, r.mix_shard) for r in got) == sorted((d, u.copy, u.shard) for d, units in plan.items() for u in units)
+    assert sorted((str(r.doc_id), r.mix_copy, r.mix_shard) for r in got) == sorted((str(r.id), u.copy, u.shard) for r in plan for u in r.units)
     assert got[0].h == 1 and mixing.mixed(docs.where("false")).count() == 0
 
 
