@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,8 @@ BLOCKS = (13, 13, 13, 13, 12)
 DIRECT = 64
 #: Fingerprints on either side of a cell, about.
 BLOCK = 512
+#: Fingerprints that one task files under their keys, about.
+SPREAD = 16384
 
 
 def counted(rows: np.ndarray) -> np.ndarray:
@@ -183,7 +186,8 @@ def _forest(cell: pd.DataFrame) -> pd.DataFrame:
 
 def links(nodes: DataFrame) -> DataFrame:
     """(x, y): links between distinct fingerprints that connect all pairs within BITS bits."""
-    filed = nodes.select("fp").mapInArrow(_filed, "key long, fp long")
+    spread = max(nodes.sparkSession.sparkContext.defaultParallelism, ceil(nodes.count() / SPREAD))
+    filed = nodes.select("fp").repartition(spread, "fp").mapInArrow(_filed, "key long, fp long")  # a row becomes a hundred
     shared = Cut(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "golay-shared")
     met = Cut(filed.join(small_side(shared), "key"), "golay-met")
 
