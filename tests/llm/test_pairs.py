@@ -1,5 +1,6 @@
 """Near duplicates, leaks, quotations and exact search against brute force, and their edge cases."""
 
+import itertools
 import random
 import re
 
@@ -8,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kotomill.llm import components, decontam, quotes, simhash, topk
 
@@ -116,13 +118,14 @@ def test_components_of_long_chains(spark):
 
 
 def plain_leaks(docs, items):
-    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    cut = lambda t: re.findall(r"[一-鿿ぁ-ゖァ-ヺ]|(?:(?![一-鿿ぁ-ゖァ-ヺ])[^\W_])+", (t or "").lower())
     found = set()
     for d, text in docs:
         for i, item in items:
             x, y = cut(item), cut(text)
             n, width = len(x), min(13, len(x))
             if n < 5:
+                found |= {(d, i) for line in (text or "").splitlines() if x and cut(line) == x}
                 continue
             for shift in range(-n, len(y) + 1):
                 same = [0 <= j + shift < len(y) and x[j] == y[j + shift] for j in range(n)]
@@ -134,7 +137,7 @@ def plain_leaks(docs, items):
 
 def test_leaks(spark):
     rng = random.Random(5)
-    items = [(0, prose(rng, 30)), (1, prose(rng, 14)), (2, "Five words are quite enough"), (3, "too short, this"), (4, prose(rng, 8)), (5, None), (6, ""), (7, prose(rng, 11)), (1, prose(rng, 14))]
+    items = [(0, prose(rng, 30)), (1, prose(rng, 14)), (2, "Five words are quite enough"), (3, "too short, this"), (4, prose(rng, 8)), (5, None), (6, ""), (7, prose(rng, 11)), (1, prose(rng, 14)), (8, "Yes!"), (9, "in 1492"), (10, "春の朝に川辺を歩くと白い鳥が三羽静かに飛んだ"), (11, prose(rng, 5)), (12, prose(rng, 9)), (13, prose(rng, 12))]
     docs = [(k, prose(rng, 60)) for k in range(20)]
     for k in range(20, 90):
         words = rng.choice(items)[1] or ""
@@ -144,13 +147,14 @@ def test_leaks(spark):
                 words[rng.randrange(len(words))] = "changed"
         lo = rng.choice((0, 0, 3))
         docs.append((k, f"{prose(rng, 20)}\n{', '.join(words[lo:]).upper()}! {prose(rng, rng.choice((0, 20)))}"))
+    docs += [(110, "yes, and in 1492 too"), (111, "a\n> YES\nb"), (112, "x\r\nIn 1492."), (113, "昔、春の朝に川辺を歩くと黒い鳥が三羽静かに飛んだという。"), (114, "春の朝"), (None, "clean"), (None, "other " + items[0][1])]
     docs += [(100, None), (101, ""), (None, items[0][1]), (0, items[0][1]), (0, items[0][1]), (102, prose(rng, 20_000) + " " + items[1][1])]
     table = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, n int, item_id string")
     bench = spark.createDataFrame([(*i, 9) for i in items], "item_id long, text string, h int")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(table.drop("item_id"), bench).collect()}
     assert got == plain_leaks(docs, items)
-    kept = {r.doc_id for r in decontam.clean(table, bench).collect()}
-    assert kept == {d for d, _ in docs} - {d for d, _ in got}
+    bad = {t for d, t in docs if plain_leaks([(d, t)], items)}
+    assert sorted((str(r.doc_id), r.text) for r in decontam.clean(table, bench).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()) == sorted((str(d), t or "") for d, t in docs if t not in bad)
     assert decontam.clean(table, bench).columns == table.columns
     assert decontam.leaks(table.drop("item_id").where("false"), bench).count() == 0
     assert decontam.leaks(table.drop("item_id"), bench.where("false")).count() == 0
@@ -175,6 +179,15 @@ def test_masks_survive_substitutions(two, four):
         assert any(all(p + o not in lost for o in mask) for mask in decontam.MASKS for p in range(n - mask[-1]))
 
 
+@pytest.mark.parametrize("n", range(5, 13))
+def test_short_seeds_survive_substitutions(n):
+    """Whichever tokens of a short item are substituted, as many as are allowed, one seed has none of them and two fifths of the item."""
+    found = [{place + o for o in shape} for place, shape in decontam.short_seeds(n)]
+    assert all(0 <= min(f) and max(f) < n and 5 * len(f) >= 2 * n for f in found)
+    for lost in itertools.combinations(range(n), n - -(-8 * n // 10)):
+        assert any(not f & set(lost) for f in found)
+
+
 # --- quotations -----------------------------------------------------------------------------------
 
 TALK = [
