@@ -1,10 +1,11 @@
 """Quotation linking: reply-ordered conversations without quoted text, in DataFrame functions only.
 
 Each line's quote level is its number of leading ``>``. Neighbouring lines of one level form a passage.
-Passages and their lines are normalised (lower case, letters and digits, single spaces) and hashed. The
-original of a quoted hash is the first message of the conversation whose own lines hold it, and it has to
-come before the quoting message. A message replies to the latest original among its outermost linked
-quotes. Threads follow from pointer doubling over the reply links.
+A passage's units are itself, its paragraphs (between blank lines), its lines, and its sentences of LEAST words or more, so that a quote of a part,
+or one that a client wrapped anew, still has a unit in common with its original. Units are normalised (lower case, letters and digits, single
+spaces) and hashed. The original of a quoted unit is the first message of the conversation whose own passages hold it, and it has to
+come before the quoting message. A message replies to the original of its largest unit, in words, among its outermost linked
+quotes; of equal ones to the latest. Threads follow from pointer doubling over the reply links.
 
 Reply order: threads by the turn of their root; within a thread by turn, so parents come before replies;
 equal turns by hash. Positions come from sorted ranges and their counts, so a conversation that holds most
@@ -28,6 +29,8 @@ PREFIX = r"^[ \t]*(?:>[ \t]?)+"
 #: How a line ends that announces a quotation.
 ANNOUNCE = r"(?i)(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$"
 PART = 128
+#: Words that a sentence needs to be a unit.
+LEAST = 4
 
 
 def _level(line: Column) -> Column:
@@ -38,9 +41,19 @@ def norm(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _hashes(texts: Column) -> Column:
-    """Distinct hashes of the texts that are not empty once normalised."""
-    return F.array_distinct(F.transform(F.filter(F.transform(texts, norm), lambda x: x != ""), lambda x: F.xxhash64(x)))
+def units(passages: Column) -> Column:
+    """(n, h) of the units of passages (level, lines), which may repeat: words and hash of the normalised text."""
+
+    def of(p: Column) -> Column:
+        block = F.array_join(p["lines"], "\n")
+        paragraphs = F.split(block, r"\n[^\S\n]*\n\s*")
+        sentences = F.flatten(F.transform(paragraphs, lambda x: F.split(x, r"(?<=[.!?。！？])\s+")))
+        whole = F.transform(F.concat(F.array(block), paragraphs, p["lines"]), norm)
+        long = F.filter(F.transform(sentences, norm), lambda x: F.size(F.split(x, " ")) >= LEAST)
+        return F.filter(F.concat(whole, long), lambda x: x != "")
+
+    texts = F.flatten(F.transform(passages, of))
+    return F.transform(texts, lambda x: F.struct(F.size(F.split(x, " ")).alias("n"), F.xxhash64(x).alias("h")))
 
 
 def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -49,7 +62,8 @@ def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     rows = rows.withColumn("tie", F.xxhash64("role", "text")).groupBy("conv_id", "turn", "tie", "role", "text").agg(F.count("*").alias("n_rows"))
     lines = F.transform(F.split("text", "\r\n|\n|\r"), lambda x: F.struct(_level(x).alias("level"), F.regexp_replace(x, PREFIX, "").alias("text")))
     rows = rows.select("*", lines.alias("lines"), F.col("text").contains(">").alias("quotes"))
-    level = lambda i: F.get("lines.level", i)
+    rows = rows.select("*", F.transform("lines", lambda x: x["level"]).alias("levels"))  # computed, not extracted: an extraction would move into the lambdas, to be done for every line
+    level = lambda i: F.get("levels", i)
     first = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
     rows = rows.select("*", F.when(F.col("quotes"), first).otherwise(F.array(F.lit(0))).alias("first"))
 
@@ -61,16 +75,15 @@ def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     own = F.filter("passages", lambda p: p["level"] == 0)
     announced = lambda x, i: (x["level"] == 0) & ~(F.coalesce(level(i + 1) > 0, F.lit(False)) & x["text"].rlike(ANNOUNCE))
     kept = F.transform(F.filter("lines", announced), lambda x: x["text"])
-    units = F.concat(F.flatten(F.transform(own, lambda p: p["lines"])), F.transform(own, lambda p: F.array_join(p["lines"], " ")))
     quoted = F.filter("passages", lambda p: p["level"] > 0)
-    cited = F.flatten(F.transform(quoted, lambda p: F.transform(_hashes(F.concat(F.array(F.array_join(p["lines"], " ")), p["lines"])), lambda h: F.struct(p["level"].alias("level"), h.alias("h")))))
+    cited = F.flatten(F.transform(quoted, lambda p: F.transform(units(F.array(p)), lambda u: F.struct(p["level"].alias("level"), u["n"].alias("n"), u["h"].alias("h")))))
     clean = F.when(F.col("quotes"), F.regexp_replace(F.array_join(kept, "\n"), r"\A\s+|\s+\z", "")).otherwise(F.col("text"))
-    return rows.select("conv_id", "turn", "tie", "role", "n_rows", clean.alias("text"), _hashes(units).alias("own"), cited.alias("cited"), F.size(quoted).alias("n_quotes"))
+    return rows.select("conv_id", "turn", "tie", "role", "n_rows", clean.alias("text"), F.array_distinct(F.transform(units(own), lambda u: u["h"])).alias("own"), cited.alias("cited"), F.size(quoted).alias("n_quotes"))
 
 
 def replies(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, parent): the linked messages and what they reply to; rows as parsed() gives them."""
-    asked = Cut(rows.where("size(cited) > 0 and turn is not null").select("conv_id", "turn", F.explode("cited").alias("c")).select("conv_id", "turn", "c.level", "c.h"), "cited")
+    asked = Cut(rows.where("size(cited) > 0 and turn is not null").select("conv_id", "turn", F.explode("cited").alias("c")).select("conv_id", "turn", "c.level", "c.n", "c.h").distinct(), "cited")
     # only hashes that are quoted somewhere need an original
     wanted = Cut(asked.df.groupBy("conv_id", "h").agg(F.max("turn").alias("until")), "wanted")
     own = rows.where("turn is not null").select("conv_id", "turn", F.explode("own").alias("h")).alias("o")
@@ -78,7 +91,7 @@ def replies(rows: DataFrame) -> DataFrame:
     held = own.join(small_side(wanted).alias("w"), same("o", "w") & (F.col("o.turn") < F.col("w.until")))
     first = Cut(held.groupBy("o.conv_id", "o.h").agg(F.min("o.turn").alias("origin")), "origins")
     found = asked.df.alias("a").join(small_side(first).alias("f"), same("a", "f") & (F.col("origin") < F.col("turn")))
-    return found.groupBy("a.conv_id", "turn").agg(F.max(F.struct(-F.col("level"), F.col("origin"))).getField("origin").alias("parent"))
+    return found.groupBy("a.conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "n", "origin")).getField("origin").alias("parent"))
 
 
 def threads(links: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -218,6 +219,77 @@ def test_quotes(spark):
     assert quotes.conversations(rows.where("false")).count() == 0
 
 
+def plain_links(messages):
+    """{(conv, turn): parent} by the definition, message by message."""
+    norm = lambda t: re.sub(r"[\W_]+", " ", t.lower()).strip()
+
+    def passages(text):
+        out = []
+        for line in re.split("\r\n|\n|\r", text or ""):
+            mark = re.match(r"[ \t]*(?:>[ \t]?)+", line)
+            level = mark[0].count(">") if mark else 0
+            if not out or out[-1][0] != level:
+                out.append((level, []))
+            out[-1][1].append(line[mark.end() :] if mark else line)
+        return out
+
+    def units(lines):
+        block = "\n".join(lines)
+        paragraphs = re.split(r"\n[^\S\n]*\n\s*", block)
+        sentences = [s for p in paragraphs for s in re.split(r"(?<=[.!?。！？])\s+", p)]
+        return {norm(x) for x in [block, *paragraphs, *lines]} - {""} | {n for n in map(norm, sentences) if len(n.split()) >= 4}
+
+    out = {}
+    for conv, turn, _, text in messages:
+        found = []
+        for level, lines in passages(text):
+            for unit in units(lines) if level else ():
+                origin = min((t for c, t, _, x in messages if c == conv and any(not lv and unit in units(own) for lv, own in passages(x))), default=None)
+                if origin is not None and origin < turn:
+                    found.append((-level, len(unit.split()), origin))
+        if found:
+            out[conv, turn] = max(found)[2]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_against_definition(spark, seed):
+    """Whole and partial quotes, wrapped anew, nested, edited and of nobody, in several conversations."""
+    rng = random.Random(seed)
+    sentence = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randint(2, 9))).capitalize() + rng.choice(".!?")
+    messages, kept = [], {}
+    for conv in range(4):
+        for turn in range(12):
+            own = [" ".join(sentence() for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 3))]
+            lines, earlier = [], kept.setdefault(conv, [])
+            for _ in range(rng.randrange(3) if earlier else 0):
+                part = rng.choice(earlier)
+                words = rng.choice([" ".join(part), rng.choice(part), rng.choice(re.split(r"(?<=[.!?])\s+", part[0])), sentence()]).split()
+                width = rng.choice((3, 100))
+                mark = "> " * rng.randint(1, 2)
+                lines += ["Ann wrote:"] + [mark + " ".join(words[k : k + width]) for k in range(0, len(words), width)] + [""]
+            earlier.append(own)
+            messages.append((conv, turn, "user", "\n".join(lines) + "\n\n".join(own)))
+    rows = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.parent for r in quotes.linked(rows).collect() if r.parent is not None}
+    assert got == plain_links(messages) and len(got) > 8
+
+
+def test_rewrapped_quote(spark):
+    rows = [(1, 0, "user", "The ferry leaves the old\nharbour at nine every\nmorning. Bring a coat.\n\nTickets are sold on board."), (1, 1, "user", "unrelated"), (1, 2, "user", "> The ferry leaves the old harbour at nine\n> every morning.\n\nAt nine? Fine.")]
+    got = {r.turn: r.parent for r in quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: 0}
+
+
+@pytest.mark.parametrize("lines", [1_000, 60_000])
+def test_time_follows_the_lines(spark, lines):
+    """A message of many lines and levels is parsed in time proportional to its length."""
+    text = "\n".join("> " * (k % 3) + f"line {k} of many" for k in range(lines))
+    began = time.perf_counter()
+    row = quotes.parsed(spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string")).select(F.size("own").alias("own"), F.size("cited").alias("cited")).first()
+    assert row.own >= lines // 3 and row.cited > lines // 2 and time.perf_counter() - began < 30
+
+
 def test_long_threads_and_parts(spark, monkeypatch):
     """A conversation cut into parts and ranges keeps its order; a chain of replies ends at its root."""
     monkeypatch.setattr(quotes, "PART", 16)
