@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
@@ -84,6 +88,36 @@ class Cut:
         where.getFileSystem(self._conf()).delete(where, True)
 
 
+#: Texts travel to Python in batches of at most this size.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches: a worker holds a batch several times over, as Arrow, as strings and as results."""
+    for key, most, unit in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, "b"), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, "")):
+        now = re.match(r"\d+", spark.conf.get(key, None) or "")
+        if not (now and 0 < int(now[0]) <= most):
+            spark.conf.set(key, f"{most}{unit}")
+
+
+def released() -> None:
+    """Gives what a finished piece of work held back to the system; workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of batches, followed by released()."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        released()
+
+    return wrapped
+
+
 def small_side(cut: Cut, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The written table, marked for broadcast only if its rows, counted and sized as decoded, stay within the limit."""
     return F.broadcast(cut.df) if cut.small(limit) else cut.df

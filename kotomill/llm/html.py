@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, small_side, table
+from .common import Cut, small_batches, small_side, table, tidy
 
 GAMMA, THRESHOLD, LEAST_PAGES = 0.9, 0.3, 8
 #: The share of a page's text that its main part has at least.
@@ -318,7 +318,7 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
     Elements of fewer than LEAST_PAGES pages are left out. A branch held by n of m pages weighs (1 - log n / log m) GAMMA at least.
     """
-    rows = pages.select(F.col(url).cast("string"), F.col(html).cast("string")).mapInArrow(_counted, "host string, element long, kind int, h long, n long")
+    rows = pages.select(F.col(url).cast("string"), F.col(html).cast("string")).mapInArrow(tidy(_counted), "host string, element long, kind int, h long, n long")
     each = Cut(rows.groupBy("host", "element", "kind", "h").agg(F.sum("n").alias("n")), "style-counts").df
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
     log = F.col("n") * F.ln("n")
@@ -339,6 +339,7 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) for every row."""
+    small_batches(pages.sparkSession)
     low = style_tree(pages, url, html)
     low = Cut(low.groupBy("host").agg(F.collect_list("h").alias("low")), "low-branches")
     own = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -357,7 +358,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["k", "url", "text", "n_chars"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, url string, text string, n_chars long").withColumnRenamed("k", key)
+    return rows.mapInArrow(tidy(run), f"k {kind}, url string, text string, n_chars long").withColumnRenamed("k", key)
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

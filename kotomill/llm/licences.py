@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, tidy
 from .learn import fit_softmax, softmax
 
 SAMPLE, NEGATIVES, VARIATIONS = 400, 4000, 120
@@ -224,6 +224,7 @@ def scan(text: str | None, model: Model) -> list[dict]:
 
 def licences(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """(key, hits) for every document."""
+    small_batches(docs.sparkSession)
     model = model or fit(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,7 @@ def licences(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Mo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scan(x.as_py(), model) for x in batch.column(1)], kind)], ["key", "hits"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, hits {HITS}").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, hits {HITS}").withColumnRenamed("key", key)
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

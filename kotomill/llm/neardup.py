@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cut, small_side
+from .common import Cut, small_batches, small_side, tidy
 from .components import components
 from .simhash import LENGTH, Golay, counted
 
@@ -136,7 +136,7 @@ class Links:
         sizes = Cut(met.df.groupBy("key").agg(F.count("*").alias("k")), "copy-sizes")
         central = Cut(met.df.join(small_side(sizes), "key").groupBy("node").agg(F.sum("k").alias("weight")), "copy-weights")
         chosen = texts.join(small_side(central).select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
-        self.sets = Cut(chosen.mapInArrow(_sets, f"node long, n int, {', '.join(f'{f} long' for f in PRINT)}, shingles array<long>"), "copy-sets")
+        self.sets = Cut(chosen.mapInArrow(tidy(_sets), f"node long, n int, {', '.join(f'{f} long' for f in PRINT)}, shingles array<long>"), "copy-sets")
         self.members = Cut(met.df.join(small_side(central), "node"), "copy-members").df
         self.prints = self.sets.df.select("node", "n", *PRINT)
 
@@ -182,10 +182,11 @@ def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     Rows are told apart by a number that is written with them, so repeated rows and keys count as the rows they are.
     """
+    small_batches(docs.sparkSession)
     packed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # no column of the input can clash
     rows = Cut(docs.select(packed, F.monotonically_increasing_id().alias("at"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node")), "copy-rows")
     texts = rows.df.select("node", F.col(f"row.`{text}`").alias("text"))
-    keyed = Cut(texts.mapInArrow(_keyed, "node long, keys array<long>"), "copy-sketches")
+    keyed = Cut(texts.mapInArrow(tidy(_keyed), "node long, keys array<long>"), "copy-sketches")
     roots = Cut(components(Links(texts, keyed.df).all(), "x", "y"), "copy-roots")
     named = rows.df.select("at", "node", F.col(f"row.`{key}`").alias("key")).join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("key").isNull().alias("last"), "key", "node", "at")

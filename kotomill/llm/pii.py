@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import released, small_batches, table, tidy
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "tel")
@@ -158,8 +158,9 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             found = [[{"kind": k, "start": s, "end": e, "score": score(t, k, s, e)} for k, s, e in scan(t)] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["key", "spans"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, spans {SPANS}").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, spans {SPANS}").withColumnRenamed("key", key)
 
 
 def masked(text: str | None, threshold: float = THRESHOLD) -> str | None:
@@ -179,8 +180,11 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
 
     @F.pandas_udf("string")
     def hide(values):
-        return values.map(lambda x: masked(x, threshold), na_action="ignore")
+        out = values.map(lambda x: masked(x, threshold), na_action="ignore")
+        released()
+        return out
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(text, hide(F.col(text)))
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, small_side, table
+from .common import Cut, released, small_batches, small_side, table
 from .learn import fit_logistic, linear, platt, sigmoid
 
 MOST_LABELLED, MOST_POOL = 8000, 4000
@@ -171,8 +171,11 @@ def _views(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Seri
 
 
 def _packed(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-    t, m = _views(text, lang, source, n_chars) if len(text) else ([], [])
-    return pd.DataFrame({"t": [x.astype(PACKED).tobytes() for x in t], "m": [x.astype(PACKED).tobytes() for x in m]})
+    out: list[tuple[bytes, bytes]] = []
+    for at in range(0, len(text), 256):
+        out += [(t.tobytes(), m.tobytes()) for t, m in zip(*(x.astype(PACKED) for x in _views(*(c.iloc[at : at + 256] for c in (text, lang, source, n_chars)))), strict=True)]
+    released()
+    return pd.DataFrame(out, columns=["t", "m"])
 
 
 COLUMNS = ("text", "lang", "source", "n_chars")
@@ -180,6 +183,7 @@ COLUMNS = ("text", "lang", "source", "n_chars")
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Model:
     """The model of a bounded sample of the documents."""
+    small_batches(docs.sparkSession)
     order = F.xxhash64(F.lit(SEED), "k")
     mean = Cut(labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("int").alias("y")), "label-means")
     present = docs.select(F.col(key).alias("k")).join(small_side(mean), "k").select("k", "y").distinct()  # labels without a document do not count
@@ -212,6 +216,7 @@ def scores(model: Model) -> Column:
         for at in range(0, len(text), 512):
             part = [x.iloc[at : at + 512] for x in (text, lang, source, n_chars)]
             out.append(np.stack(model.score(*_views(*part)), 1))
+        released()
         return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3)), columns=["p_text", "p_meta", "score"], dtype="float64")
 
     return run(*COLUMNS)

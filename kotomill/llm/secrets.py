@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, tidy
 from .pii import digest
 
 BASE = ("assign", "access", "hex")
@@ -117,8 +117,9 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(x.as_py())] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["key", "spans"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, spans array<struct<kind:string,start:int,end:int>>").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, spans array<struct<kind:string,start:int,end:int>>").withColumnRenamed("key", key)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, small_side, table
+from .common import Cut, small_batches, small_side, table, tidy
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
 def _syndrome(word: int) -> int:
@@ -187,7 +187,7 @@ def _forest(cell: pd.DataFrame) -> pd.DataFrame:
 def links(nodes: DataFrame) -> DataFrame:
     """(x, y): links between distinct fingerprints that connect all pairs within BITS bits."""
     spread = max(nodes.sparkSession.sparkContext.defaultParallelism, ceil(nodes.count() / SPREAD))
-    filed = nodes.select("fp").repartition(spread, "fp").mapInArrow(_filed, "key long, fp long")  # a row becomes a hundred
+    filed = nodes.select("fp").repartition(spread, "fp").mapInArrow(tidy(_filed), "key long, fp long")  # a row becomes a hundred
     shared = Cut(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "golay-shared")
     met = Cut(filed.join(small_side(shared), "key"), "golay-met")
 
@@ -205,6 +205,7 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id) for every row."""
+    small_batches(docs.sparkSession)
     found = Cut(fingerprints(docs, key, text), "fingerprints")
     nodes = Cut(found.df.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
     roots = Cut(components(links(nodes.df), "x", "y"), "roots")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Cut, small_side, table
+from .common import Cut, small_batches, small_side, table, tidy
 
 SCALE, K, EVERY = 1024, 10, 100
 PIVOTS, SAMPLE = 64, 2048
@@ -114,6 +114,7 @@ class Table:
     """
 
     def __init__(self, vectors: DataFrame, key: str, vector: str):
+        small_batches(vectors.sparkSession)
         whole = F.transform(vector, lambda x: F.floor(SCALE * x.cast("double")))
         sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
         clean = Cut(vectors.where(sound).select(F.monotonically_increasing_id().alias("n"), F.col(key).cast("long").alias("id"), whole.alias("v")), "vectors").df
@@ -139,7 +140,7 @@ class Table:
                     square = (rows.astype(np.float64) ** 2).sum(1)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([size] * part.num_rows, pa.int32()), pa.array(far.argmin(1).astype(np.int32)), pa.array(square), raws, pa.ListArray.from_arrays(pa.array(ends), pa.array(far.reshape(-1)))], ["n", "id", "dim", "g", "square", "raw", "far"])
 
-        self.rows = Cut(clean.mapInArrow(measured, ROW), "pivoted").df
+        self.rows = Cut(clean.mapInArrow(tidy(measured), ROW), "pivoted").df
         self.asked = self.rows.where(F.col("id") % EVERY == 0)
         ends = [f(F.get("far", F.lit(i))).alias(f"{name}{i}") for i in range(PIVOTS) for name, f in (("lo", F.min), ("hi", F.max))]
         groups = self.rows.groupBy("dim", "g").agg(F.count("*").alias("n"), F.sum((F.col("id") % EVERY == 0).cast("long")).alias("asked"), F.max("square").alias("square"), *ends)
@@ -199,7 +200,7 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding")
                     to, cell = (pa.array([x[i] for x in group], pa.int32()) for i in range(2))
                     yield pa.RecordBatch.from_arrays([*taken.columns[:3], to, *taken.columns[4:], pa.array(least[own], pa.float64()), cell, pa.array(block[own], pa.int32())], ["n", "id", "dim", "g", "square", "raw", "far", "floor", "cell", "block"])
 
-    left = Cut(held.asked.mapInArrow(routed, f"{ROW}, floor double, cell int, block int"), "routed").df
+    left = Cut(held.asked.mapInArrow(tidy(routed), f"{ROW}, floor double, cell int, block int"), "routed").df
     visited = Cut(left.select("dim", "g", "cell", "block").distinct(), "visited")
     several = [(*at, n) for at, n in cells.items() if n > 1]
 
