@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .utf16 import SPACE, let
+from .utf16 import SPACE, length, let
 
 STEM = r"[\p{IsHan}\p{IsKatakana}ー]+"
 
@@ -136,17 +136,75 @@ def terminal(sentence: Column) -> Column:
 
 
 def _labelled(bare: Column, particle: Column) -> Column:
-    tail = F.when(particle == "", F.lit("")).otherwise(F.concat(F.lit("|particle:"), particle))
-    return F.concat(let(F.substring(bare, F.lit(1), F.length(bare) - F.length(particle)), _ending), tail)
+    return F.concat(_ending(_without(bare, particle))["label"], _tail(particle))
+
+
+def _without(bare: Column, particle: Column) -> Column:
+    return F.substring(bare, F.lit(1), F.length(bare) - F.length(particle))
+
+
+def _tail(particle: Column) -> Column:
+    return F.when(particle == "", F.lit("")).otherwise(F.concat(F.lit("|particle:"), particle))
 
 
 def _ending(body: Column) -> Column:
+    """(surface, lemma, label) of the form that ends a sentence without its marks and particle, or null."""
     of = lambda words: F.regexp_extract(body, rf"(?:{_any(words)})\z", 0)
-    labels = lambda kind, table: {k: f"{kind}:{lemma}:{form}" for k, (lemma, form) in table.items()}
+    whole = lambda surface, lemma, label: F.struct(surface.alias("surface"), lemma.alias("lemma"), label.alias("label"))
+    known = lambda kind, key, table: whole(key, _pick(key, {k: lemma for k, (lemma, _) in table.items()}), _pick(key, {k: f"{kind}:{lemma}:{form}" for k, (lemma, form) in table.items()}))
     masu, copula, adjective, verb = of(MASU_FORMS), of(COPULAS), of(ADJECTIVES), of(PLAIN_VERBS)
+    polite = lambda stem, m: let(_polite_lemma(stem), lambda lemma: whole(F.concat(stem, m), lemma, F.concat_ws(":", F.lit("verb"), lemma, _pick(m, MASU_FORMS))))
     return (
-        F.when(masu != "", let(masu, lambda m: F.concat_ws(":", F.lit("verb"), let(_before(body, m), _polite_lemma), _pick(m, MASU_FORMS))))
-        .when((copula != "") & (verb == ""), let(copula, lambda c: _pick(c, labels("copula", COPULAS))))
-        .when(adjective != "", let(adjective, lambda a: _pick(a, labels("adjective", ADJECTIVES))))
-        .when(verb != "", let(verb, lambda v: _pick(v, labels("verb", PLAIN_VERBS))))
+        F.when(masu != "", let(masu, lambda m: let(_before(body, m), lambda stem: polite(stem, m))))
+        .when((copula != "") & (verb == ""), let(copula, lambda c: known("copula", c, COPULAS)))
+        .when(adjective != "", let(adjective, lambda a: known("adjective", a, ADJECTIVES)))
+        .when(verb != "", let(verb, lambda v: known("verb", v, PLAIN_VERBS)))
     )
+
+
+TOKEN = "struct<start:int,role:string,surfaceForm:string,lemma:string,end:int,morphologyLabel:string>"
+
+
+def _token(role: str, surface: Column, lemma: Column, start: Column, label: Column | None = None) -> Column:
+    end = start + length(surface)
+    return F.struct(start.cast("int").alias("start"), F.lit(role).alias("role"), surface.alias("surfaceForm"), lemma.alias("lemma"), end.cast("int").alias("end"), (F.lit(None).cast("string") if label is None else label).alias("morphologyLabel"))
+
+
+def _placed(pieces: Column) -> Column:
+    """The pieces of a sentence with the offsets where they start; a sentence has few."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,text:string>>").alias("out"))
+    step = lambda a, x: F.struct((a["at"] + length(x)).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), x.alias("text")))).alias("out"))
+    return F.aggregate(pieces, zero, step, lambda a: a["out"])
+
+
+def tokens(sentence: Column, offset: Column) -> Column:
+    """The sentence's leading, predicate, demonstrative and terminal tokens, sorted by start and role; ranges are UTF-16 units from ``offset``."""
+    none = F.array().cast(f"array<{TOKEN}>")
+    one = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(none)
+    opened = F.regexp_extract(sentence, rf"\A[{SPACE}「『（【\[(]*+", 0)
+    first = let(leading(sentence), lambda word: one(F.when(word.isNotNull(), _token("leading", word, word, offset + length(opened)))))
+    parts = _placed(F.regexp_extract_all(sentence, F.lit("[^、，,；;]+|[、，,；;]+"), F.lit(0)))
+
+    def ended(p: Column) -> Column:
+        start = lambda found: offset + p["at"] + length(_bare_clause(p["text"])) - length(found["surface"])
+        return let(predicate(p["text"]), lambda found: F.when(found.isNotNull(), _token("predicate", found["surface"], found["lemma"], start(found))))
+
+    second = F.filter(F.transform(parts, ended), lambda t: t.isNotNull())
+    gaps = F.arrays_zip(F.split(sentence, DEMONSTRATIVE).alias("gap"), demonstratives(sentence).alias("hit"))
+    pieces = F.flatten(F.transform(F.filter(gaps, lambda g: g["hit"].isNotNull()), lambda g: F.array(g["gap"], g["hit"])))
+    third = F.transform(F.filter(F.transform(_placed(pieces), lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: x["i"] % 2 == 1), lambda x: _token("demonstrative", x["p"]["text"], x["p"]["text"], offset + x["p"]["at"]))
+
+    def last(bare: Column, particle: Column) -> Column:
+        body = _without(bare, particle)
+        return let(_ending(body), lambda e: one(F.when(e.isNotNull(), _token("terminal", e["surface"], e["lemma"], offset + length(body) - length(e["surface"]), F.concat(e["label"], _tail(particle))))))
+
+    fourth = let(F.regexp_replace(sentence, TERMINAL_MARKS, ""), lambda bare: let(F.regexp_extract(bare, r"[かねよぞ]\z", 0), lambda p: last(bare, p)))
+    return F.array_sort(F.concat(first, second, third, fourth))
+
+
+def analysis(sentence: Column, offset: Column) -> Column:
+    """What the analyser finds in a sentence: its tokens, the number of predicates, demonstratives, and the labels of either end."""
+    return F.struct(
+        tokens(sentence, offset).alias("tokens"), predicate_count(sentence).alias("predicateGroupCount"), demonstratives(sentence).alias("demonstrativeLemmas"),
+        leading(sentence).alias("leadingSurfaceLabel"), terminal(sentence).alias("terminalMorphologyLabel"),
+    )

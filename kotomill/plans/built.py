@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import japanese as ja
 from ..operators import report as reports
 from ..operators.lint import analyze, with_findings
 from ..operators.structure import structure
@@ -190,6 +191,24 @@ runs AS (SELECT doc_id, min("start") AS "start", max("end") AS "end", count(*) A
 _rule("h107_runs", "H107", {}, {f"{m} {c}": f"{m} {'また' if c in 'ABCDEFGHIabcdefghi' else 'しかし'}、{c}" for m in "。！？" for c in "ABCDEFGHIJKLMNOPQRSTUVWabcdefghijklmnopqrstuvw"}, _runs_sql("H107", "nullif(regexp_extract(s, '^(また|しかし)、', 1), '')"))
 _rule("h108_runs", "H108", {}, {"a。": "です。", "e。": "です。", "s。": "だ。", "n。": "だ。", "i。": "難しい。"}, _runs_sql("H108", "nullif(regexp_extract(s, '(です|だ|難しい)[。！？]+$', 1), '')"))
 
+
+
+def sentence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a sentence with a document's words in it; ranges count from an offset, as in a text."""
+    words = F.regexp_replace(line(), "[。！？、 ]+", "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("「しかし、😀"), words, F.lit("は、これを説明しますね。")).alias("s"))
+    rows = docs.select("doc_id", F.explode(ja.tokens(F.col("s"), F.pmod("doc_id", F.lit(100)).cast("int"))).alias("t"))
+    return rows.select("doc_id", "t.role", "t.start", "t.end", F.col("t.surfaceForm").alias("surface"), "t.lemma", F.col("t.morphologyLabel").alias("label"))
+
+
+_add(
+    "sentence_tokens",
+    f"""WITH w AS (SELECT doc_id, doc_id % 100 AS o, length(regexp_replace({LINE_SQL}, '[。！？、 ]+', '', 'g')) AS n FROM documents),
+x(role, a, k, surface, lemma, label) AS (VALUES ('leading', 1, 0, 'しかし', 'しかし', NULL), ('demonstrative', 9, 1, 'これ', 'これ', NULL), ('terminal', 12, 1, '説明します', '説明する', 'verb:説明する:polite-nonpast|particle:ね'))
+SELECT doc_id, role, CAST(o + a + k * n AS INTEGER) AS "start", CAST(o + a + k * n + length(surface) AS INTEGER) AS "end", surface, lemma, label FROM w, x""",
+    sentence_tokens,
+)
+
 # --- scans ----------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from kotomill import cli
 from kotomill.config import PAIRS, THRESHOLD, load, validate
-from kotomill.errors import ConfigurationError, ContractValidationError
+from kotomill.errors import ConfigurationError, ContractValidationError, InputValidationError
+from kotomill.operators import candidates as C
 from kotomill.operators import report as R
 from kotomill.operators import semantic
 from kotomill.plans import catalog
@@ -71,6 +72,25 @@ def test_report_checks():
             R.check_report(broken)
 
 
+def test_checked_construction():
+    """Findings built by hand keep their invariants; judgements need evidence of a violation only."""
+    assert C.deterministic("あい", "D004", 0, 2, "error", "m")["category"] == "deterministic"
+    assert C.heuristic("😀", "H101", 0, 2, 3, 2, "m")["severity"] == "warning"
+    assert C.semantic("あい", "S201", "uncertain", 0, 1, [], "r", 0)["evidence"] == [] and C.semantic("あい", "S201", "violation", 0, 1, ["う"], "r", 1, "x")["suggestedAction"] == "x"
+    for text in (None, 3, b"x"):
+        with pytest.raises(InputValidationError):
+            C.deterministic(text, "D004", 0, 1, "error", "m")
+    bad = [
+        lambda: C.deterministic("あ", "H101", 0, 1, "error", "m"), lambda: C.deterministic("あ", "D004", 0, 2, "error", "m"), lambda: C.deterministic("あ", "D004", 0, 1, "notice", "m"), lambda: C.deterministic("あ", "D004", 0, 1, "error", ""),
+        lambda: C.heuristic("あ", "D004", 0, 1, 1, 0, "m"), lambda: C.heuristic("あ", "H101", 0, 1, -1, 0, "m"), lambda: C.heuristic("あ", "H101", 0, 1, 1.5, 0, "m"), lambda: C.heuristic("あ", "H101", 1, 1, 1, 0, "m"),
+        lambda: C.semantic("", "S201", "uncertain", 0, 1, [], "r", 0), lambda: C.semantic("あ", "S201", "violation", 0, 1, [], "r", 0), lambda: C.semantic("あ", "S201", "uncertain", 0, 1, [""], "r", 0), lambda: C.semantic("あ", "S201", "uncertain", 0, 2, [], "r", 0),
+        lambda: C.semantic("あ", "S201", "maybe", 0, 1, [], "r", 0), lambda: C.semantic("あ", "S201", "uncertain", 0, 1, [], "", 0), lambda: C.semantic("あ", "S201", "uncertain", 0, 1, [], "r", 1.1), lambda: C.semantic("あ", "S201", "uncertain", 0, 1, [], "r", 0, ""),
+    ]
+    for make in bad:
+        with pytest.raises(ContractValidationError):
+            make()
+
+
 def test_native_semantic_problems(spark):
     schema = "text string, f struct<ruleId:string,status:string,range:struct<start:int,end:int>,evidence:array<string>,reason:string,confidence:double,suggestedAction:string>"
     good = ("S203", "violation", (0, 3), ["あい"], "r", 0.9, None)
