@@ -170,10 +170,12 @@ class Links:
                 break
             found = found.unionByName(more)
             open_ = self.rooted(found)
-        sketched = open_.select("key", "node", "root", "main").join(self.prints, "node")
+        held = open_.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as a text has keys at most
+        sketched = open_.select("key", "node", "root", "main").join(held, "node").join(self.prints, "node")
         x, y = sketched.where("root != main").alias("x"), sketched.alias("y")
         apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        cross = x.join(y, apart & _may("x", "y")).select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y"))
+        once = F.col("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys"))  # a pair meets under several keys and counts under the first
+        cross = x.join(y, apart & _may("x", "y") & once).select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y"))
         return found.unionByName(self.alike(cross))
 
 
