@@ -4,8 +4,8 @@ Paragraphs are lines; longer ones are read in windows of WINDOW words, half over
 seen. A multinomial logistic regression over sparse word n-grams (one and two words, from the templates)
 plus the share of words that no template knows gives each window a probability per licence family and for
 ``unknown``. It is trained on variations of the templates and, for ``unknown``, on a bounded sample of the
-corpus (paragraphs of at most SAMPLE documents, by the smallest hashes of their ids) and on sentences that
-use licence words for other things. A temperature fitted on held-out variations calibrates it; a family is
+corpus (NEGATIVES windows of SAMPLE documents, by the smallest hashes; those that hold half of a template are left out, the rest
+is labelled unknown) and on sentences that use licence words for other things. A temperature fitted on held-out variations calibrates it; a family is
 predicted only if its probability reaches SURE. A prediction counts if the window's word pairs are CONFIRM
 contained in one of the family's templates, or that template in the window.
 
@@ -162,13 +162,22 @@ def train(paragraphs: list[list[str]]) -> Model:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """From the documents with the SAMPLE smallest hashes; repeated rows count once. Hashes choose, so that only chosen texts travel."""
+    """From the documents with the SAMPLE smallest hashes, and of their windows the NEGATIVES with the smallest hashes.
+
+    Hashes choose both times, so that only chosen texts and windows travel: the driver gets NEGATIVES windows of WINDOW words at most.
+    """
     rows = docs.select(F.xxhash64(F.lit(SEED), F.col(key)).alias("h"), F.xxhash64(F.lit(SEED), F.col(text)).alias("s"), F.col(text).alias("t")).where("t is not null")
     last = rows.select("h", "s").orderBy("h", "s").limit(SAMPLE).agg(F.max(F.struct("h", "s")).alias("last")).first()["last"]
     if last is None:
         return train([])
     chosen = rows.where(F.struct("h", "s") <= F.struct(F.lit(last.h).cast("long"), F.lit(last.s).cast("long"))).dropDuplicates(["h", "s"])
-    return train([w for r in chosen.orderBy("h", "s").collect() for *_, w in windows(r.t)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for x in batch.column(0) for *_, w in windows(x.as_py())], pa.list_(pa.string()))], ["w"])
+
+    found = chosen.select("t").mapInArrow(tidy(cut), "w array<string>").select("w", F.xxhash64(F.lit(SEED), "w").alias("h"))
+    return train([list(r.w) for r in found.orderBy("h", "w").limit(NEGATIVES).collect()])
 
 
 HITS = "array<struct<family:string,start:int,end:int,probability:double,match:double>>"

@@ -361,6 +361,10 @@ def test_pipeline_stages(spark):
     assert len(set(before) - set(after)) > 0
     gone = [labels[d] for d in set(before) - set(after) if d in labels]
     assert sum(gone) <= 0.1 * len(labels)
+    model = quality.fit(held["quality"][0], spark.read.parquet(f"{folder}/labels.parquet"))
+    rows = held["quality"][0].toPandas()
+    scores = model.score(*quality._views(*(rows[c] for c in quality.COLUMNS)))[2]
+    assert set(after) == set(rows.doc_id[scores >= model.cut])
     before, after = held["near_duplicates"]
     rows = before.orderBy("doc_id").collect()
     assert sorted(r.doc_id for r in after.collect()) == sorted({rows[k].doc_id for k in plain_roots([r.text for r in rows])})
@@ -378,6 +382,30 @@ def test_pipeline_stages(spark):
     assert after.where(F.col("mix_copy").isNull() | F.col("mix_shard").isNull()).count() == 0
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in any column, repeated ids and rows, very long and empty texts, further columns with clashing names, and empty tables."""
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet").limit(60)
+    bench = spark.read.parquet(f"{source}/benchmark.parquet")
+    leaked = bench.where("item_id is not null").first().text
+    long = " ".join(f"w{k}" for k in range(40_000))
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (1, None, None, "src0", None), (1, "An unlike text under a known id.", "en", "src0", 33), (7001, long, "en", "src1", len(long)), (7002, long + " end", "en", "src1", len(long) + 4), (None, f"so {leaked} then", "en", "src1", 9), (7003, "x", "xx", "一", 1)]
+    more = spark.createDataFrame(odd + odd[2:4], docs.schema)
+    clash = {"size": F.lit(1), "row": F.lit("r"), "node": F.lit(2), "at": F.lit(3), "h": F.lit("h"), "block": F.lit(4), "th": F.lit(5), "k": F.lit(6), "units": F.lit(None).cast("string")}
+    every = docs.unionByName(more).withColumns(clash)
+    spark.read.parquet(f"{source}/labels.parquet").write.parquet(str(tmp_path / "full/labels.parquet"))
+    bench.write.parquet(str(tmp_path / "full/benchmark.parquet"))
+    every.write.parquet(str(tmp_path / "full/documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "full"))
+    assert got.columns == [*every.columns, "mix_copy", "mix_shard"]
+    texts = [r.text for r in got.collect()]
+    assert "An unlike text under a known id." in texts and not any(t and leaked in t for t in texts) and not {long, long + " end"} <= set(texts)
+    for name, rows in (("labels", spark.read.parquet(f"{source}/labels.parquet").limit(0)), ("benchmark", bench.limit(0)), ("documents", every.limit(0))):
+        rows.write.parquet(str(tmp_path / f"none/{name}.parquet"))
+    nothing = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert nothing.columns == got.columns and nothing.count() == 0
+
+
 def test_registered():
     names = __spark_entry__.queries()
     for n in range(1, 11):

@@ -158,3 +158,18 @@ def test_licence_tables(spark):
     rows = licences.licences(docs).select("doc_id", F.size("hits").alias("n")).collect()
     assert sorted((r.doc_id or 0, r.n) for r in rows) == [(0, 0), (1, 1), (1, 1), (3, 0)]
     assert licences.licences(docs.where("false")).count() == 0
+
+
+def test_licence_lines_of_a_table(spark):
+    """Every line of a real table that grants a licence is found, and nothing in documents without one."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 4 = 0")
+    grants = re.compile(r"(?i)\b(?:licen[sc]ed? under|released under|creative commons|all rights reserved|gnu (?:affero |lesser )?general public|apache license|mit license|spdx-license-identifier|mozilla public license)\b")
+    model = licences.fit(docs)
+    found = {r.doc_id: r.hits for r in licences.licences(docs, model=model).collect()}
+    lines, caught = 0, 0
+    for r in docs.collect():
+        spans = [m.span() for m in re.finditer(r"[^\n]+", r.text or "") if grants.search(m[0])]
+        lines += len(spans)
+        caught += sum(any(h.start < e and s < h.end for h in found[r.doc_id]) for s, e in spans)
+        assert spans or not found[r.doc_id]
+    assert lines > 20 and caught >= 0.95 * lines
