@@ -44,7 +44,9 @@ def quarantine(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFram
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local master may use a temporary one."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local master may use a temporary one, deleted at exit."""
+    import atexit
+    import shutil
     import tempfile
 
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,4 +54,6 @@ def scratch(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="kotomill-")
+    folder = tempfile.mkdtemp(prefix="kotomill-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
