@@ -27,6 +27,12 @@ NEEDS = {
 }
 
 
+# What D001 leaves out of a sentence, and the endings of either style.
+QUOTED = "「[^」]*」|『[^』]*』|“[^”]*”|‘[^’]*’"
+POLITE = ("です", "ます", "でした", "ました", "ません", "ませんでした", "でしょう", "ましょう")
+PLAIN = ("である", "であった", "だ", "だった")
+
+
 def scan_of(rule: Rule) -> Terms | Brackets | None:
     """The scan of the text outside code whose hits a rule reports."""
     if rule.rule_id == "D003":
@@ -74,10 +80,9 @@ def _lookup(key: Column, table) -> Column:
 
 
 def d001(rule: Rule, of: Pass) -> Column:
-    quoted, stops = "「[^」]*」|『[^』]*』|“[^”]*”|‘[^’]*’", r"[。！？!?]+\z"
-    outer = lambda t: utf16.trim(F.regexp_replace(utf16.trim(F.regexp_replace(t, quoted, "")), stops, ""))
-    polite, plain = r"(?:です|ます|でした|ました|ません|ませんでした|でしょう|ましょう)\z", r"(?:である|であった|だ|だった)\z"
-    style = lambda t: F.when(outer(t).rlike(polite), F.lit("desu-masu")).when(outer(t).rlike(plain), F.lit("da-dearu"))
+    outer = lambda t: utf16.trim(F.regexp_replace(utf16.trim(F.regexp_replace(t, QUOTED, "")), r"[。！？!?]+\z", ""))
+    ends = lambda t, words: outer(t).rlike(rf"(?:{'|'.join(words)})\z")
+    style = lambda t: F.when(ends(t, POLITE), F.lit("desu-masu")).when(ends(t, PLAIN), F.lit("da-dearu"))
     told = F.filter(F.transform(of["sentences"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), style(s["text"]).alias("style"))), lambda s: s["style"].isNotNull())
     report = lambda rows, base: F.transform(F.filter(rows, lambda s: s["style"] != base), lambda s: finding(rule, s, text_of(TEXT["D001"], a=base, b=s["style"])))
     if rule.style != "consistent":
