@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,31 @@ ROW_BYTES, SHRUNK = 32, 32
 VARYING = (StringType, BinaryType, ArrayType, MapType, StructType)
 
 
+_scopes: list[list[Cut]] = []
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[Cut], Cut]]:
+    """Every table that is written within is deleted at the end, but for those given to the function: what a result still reads."""
+    mine: list[Cut] = []
+    kept: list[Cut] = []
+
+    def keep(cut: Cut) -> Cut:
+        kept.append(cut)
+        return cut
+
+    _scopes.append(mine)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for cut in mine:
+            if not any(cut is k for k in kept):
+                cut.drop()
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 class Cut:
     """A table written to the shared folder: cuts lineage, survives lost executors, and can be pruned when read."""
 
@@ -50,6 +76,8 @@ class Cut:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/kotomill/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        if _scopes:
+            _scopes[-1].append(self)
         self.schema = df.schema
         self._rows: int | None = None
         where = self._path()

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, small_batches, small_side, table, tidy
+from .common import Cut, passing, small_batches, small_side, table, tidy
 
 GAMMA, THRESHOLD, LEAST_PAGES = 0.9, 0.3, 8
 #: The share of a page's text that its main part has at least.
@@ -340,8 +340,8 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) for every row."""
     small_batches(pages.sparkSession)
-    low = style_tree(pages, url, html)
-    low = Cut(low.groupBy("host").agg(F.collect_list("h").alias("low")), "low-branches")
+    with passing() as keep:
+        low = keep(Cut(style_tree(pages, url, html).groupBy("host").agg(F.collect_list("h").alias("low")), "low-branches"))
     own = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("x"), own.alias("host"))
     rows = rows.join(small_side(low), "host", "left").select("k", "u", "x", "low", "host")

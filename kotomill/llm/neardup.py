@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cut, small_batches, small_side, tidy
+from .common import Cut, passing, small_batches, small_side, tidy
 from .components import components
 from .simhash import LENGTH, Golay, counted
 
@@ -184,14 +184,15 @@ def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     Rows are told apart by a number that is written with them, so repeated rows and keys count as the rows they are.
     """
-    small_batches(docs.sparkSession)
-    packed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # no column of the input can clash
-    rows = Cut(docs.select(packed, F.monotonically_increasing_id().alias("at"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node")), "copy-rows")
-    texts = rows.df.select("node", F.col(f"row.`{text}`").alias("text"))
-    keyed = Cut(texts.mapInArrow(tidy(_keyed), "node long, keys array<long>"), "copy-sketches")
-    roots = Cut(components(Links(texts, keyed.df).all(), "x", "y"), "copy-roots")
-    named = rows.df.select("at", "node", F.col(f"row.`{key}`").alias("key")).join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    order = F.struct(F.col("key").isNull().alias("last"), "key", "node", "at")
-    first = Cut(named.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1").select("root", F.col("first.at").alias("first")), "copy-groups")
-    gone = Cut(named.join(small_side(first), "root").where("at != first").select("at"), "copy-extra")
-    return rows.df.join(small_side(gone), "at", "left_anti").select("row.*")
+    with passing() as keep:
+        small_batches(docs.sparkSession)
+        packed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # no column of the input can clash
+        rows = keep(Cut(docs.select(packed, F.monotonically_increasing_id().alias("at"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node")), "copy-rows"))
+        texts = rows.df.select("node", F.col(f"row.`{text}`").alias("text"))
+        keyed = Cut(texts.mapInArrow(tidy(_keyed), "node long, keys array<long>"), "copy-sketches")
+        roots = Cut(components(Links(texts, keyed.df).all(), "x", "y"), "copy-roots")
+        named = rows.df.select("at", "node", F.col(f"row.`{key}`").alias("key")).join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        order = F.struct(F.col("key").isNull().alias("last"), "key", "node", "at")
+        first = Cut(named.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1").select("root", F.col("first.at").alias("first")), "copy-groups")
+        gone = keep(Cut(named.join(small_side(first), "root").where("at != first").select("at"), "copy-extra"))
+        return rows.df.join(small_side(gone), "at", "left_anti").select("row.*")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, small_batches, small_side, table, tidy
+from .common import Cut, passing, small_batches, small_side, table, tidy
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -205,14 +205,15 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id) for every row."""
-    small_batches(docs.sparkSession)
-    found = Cut(fingerprints(docs, key, text), "fingerprints")
-    nodes = Cut(found.df.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
-    roots = Cut(components(links(nodes.df), "x", "y"), "roots")
-    low = Cut(nodes.df.join(roots.df, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("first").alias("low")), "lowest")
-    linked = roots.df.join(low.df, "root").select(F.col("node").alias("fp"), "low")
-    named = Cut(nodes.df.join(linked, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")), "named")
-    return found.df.join(named.df, "fp").select(key, "fp", "component_id")
+    with passing() as keep:
+        small_batches(docs.sparkSession)
+        found = keep(Cut(fingerprints(docs, key, text), "fingerprints"))
+        nodes = Cut(found.df.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
+        roots = Cut(components(links(nodes.df), "x", "y"), "roots")
+        low = Cut(nodes.df.join(roots.df, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("first").alias("low")), "lowest")
+        linked = roots.df.join(low.df, "root").select(F.col("node").alias("fp"), "low")
+        named = keep(Cut(nodes.df.join(linked, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")), "named"))
+        return found.df.join(small_side(named), "fp").select(key, "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,3 +123,14 @@ def test_hot_family(spark):
     docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, node int")
     got = {r.doc_id for r in neardup.survivors(docs).collect()}
     assert got == set(plain_roots(texts)) and neardup.survivors(docs).columns == docs.columns
+
+
+def test_passing_tables_go(spark):
+    """Of the tables that the stage writes, only those stay that its result reads."""
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "kotomill"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    docs = spark.createDataFrame([(k, f"some words {k // 2} that are the same twice") for k in range(20)], "doc_id long, text string")
+    assert neardup.survivors(docs).count() == 10
+    assert sorted(x.name.rsplit("-", 1)[0] for x in set(folder.iterdir()) - before) == ["copy-extra", "copy-rows"]
