@@ -159,7 +159,7 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language and rule: the rows stay with their documents, so only the counts shuffle."""
     from ..operators.lint import with_findings
 
-    rows = with_findings(prose(spark, sf_dir), CONFIG).select("doc_id", "lang", F.explode("findings.rule_id").alias("rule_id"))
+    rows = with_findings(prose(spark, sf_dir), CONFIG).select("doc_id", "lang", F.explode_outer("findings.rule_id").alias("rule_id")).where("rule_id is not null")
     per = rows.groupBy("doc_id", "lang", "rule_id").agg(F.count("*").alias("k"))
     return per.groupBy("lang", "rule_id").agg(F.sum("k").alias("n"), F.count("*").alias("n_docs"))
 
