@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, html, licences, mixing, pii, quality, quotes, secrets, simhash, topk
+from . import clusters, decontam, divergence, html, licences, mixing, pii, quality, quotes, records, secrets, simhash, topk
 
-MODULES = (decontam, html, quality, quotes, pii, secrets, simhash, mixing, topk, licences)
+MODULES = (decontam, html, quality, quotes, pii, secrets, simhash, mixing, topk, licences, clusters, records, divergence)
 
 
 def queries() -> dict:
