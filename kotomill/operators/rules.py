@@ -18,7 +18,7 @@ from ..functions import utf16
 from ..functions.utf16 import let
 from ..messages import TEXT
 from ..schema import DETERMINISTIC, FINDING
-from .scans import Brackets, Terms, repeat_scan, segments
+from .scans import Brackets, Terms, repeated
 
 #: Structure that each rule reads; {s} is the sentence field that code exclusion selects.
 NEEDS = {
@@ -107,8 +107,7 @@ def d005(rule: Rule, of: Pass) -> Column:
 
 
 def d006(rule: Rule, of: Pass) -> Column:
-    spans = repeat_scan(rule.max_consecutive)(segments(of.text), of["code"])
-    return F.transform(spans, lambda s: finding(rule, s, F.lit(TEXT["D006"])))
+    return F.transform(repeated(of.text, of["code"], rule.max_consecutive), lambda s: finding(rule, s, F.lit(TEXT["D006"])))
 
 
 def d007(rule: Rule, of: Pass) -> Column:

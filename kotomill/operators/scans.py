@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from functools import cache
 from pathlib import Path
 
-import pandas as pd
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from .structure import FILLER
 
 SPANS = "array<struct<start:int,end:int>>"
 JAR = Path(__file__).parents[1] / "jvm" / "word-segments.jar"
-SEGMENTS = "kotomill_word_segments"
+SEGMENTS, REPEATS = "kotomill_word_segments", "kotomill_repeated_groups"
 
 
 def brackets(text: str, pairs: tuple[tuple[str, str], ...]) -> list[tuple[str, int, int]]:
@@ -77,89 +76,13 @@ class Terms:
         return [(m[0], m.start(), m.end()) for m in _alternatives(self.words, self.bounded).finditer(text)] if self.words else []
 
 
-def repeats(words: list[str], most: int) -> list[tuple[int, int]]:
-    """(first, last) words of the copies beyond ``most`` of adjacent equal groups: at each start the longest group, then all its copies."""
-    n, out, start = len(words), [], 0
-    ids = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    if len(ids) == n:
-        return []
-    code = [ids[w] for w in words]
-    where: dict[int, list[int]] = {}
-    for i, c in enumerate(code):
-        where.setdefault(c, []).append(i)
-    # rolling hashes compare groups in constant time; equality is then confirmed
-    base, mod = 1_000_003, (1 << 61) - 1
-    total, power = [0] * (n + 1), [1] * (n + 1)
-    for i, c in enumerate(code):
-        total[i + 1] = (total[i] * base + c + 1) % mod
-        power[i + 1] = power[i] * base % mod
-    part = lambda i, size: (total[i + size] - total[i] * power[size]) % mod
-    while start < n:
-        size = 0
-        for again in reversed(where[code[start]]):  # a group of g words recurs g words on, so its first word does
-            g = again - start
-            if g <= 0:
-                break
-            if start + 2 * g <= n and part(start, g) == part(again, g) and code[start:again] == code[again : again + g]:
-                size = g
-                break
-        if not size:
-            start += 1
-            continue
-        copies = 2
-        while start + (copies + 1) * size <= n and code[start : start + size] == code[start + copies * size : start + (copies + 1) * size]:
-            copies += 1
-        out += [(start + k * size, start + (k + 1) * size - 1) for k in range(most, copies)]
-        start += copies * size
-    return out
-
-
-def repeated_spans(segments: list[str], code: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
-    """UTF-16 spans; words chain over white space, anything else and code break the chain."""
-    out: list[tuple[int, int]] = []
-    chain: list[tuple[str, int, int]] = []
-    at, k = 0, 0
-
-    def close() -> None:
-        if len(chain) > 1:
-            out.extend((chain[a][1], chain[b][2]) for a, b in repeats([w for w, _, _ in chain], most))
-        chain.clear()
-
-    for segment in segments:
-        text = segment[1:]
-        start, at = at, at + len(text.encode("utf-16-le")) // 2
-        while k < len(code) and code[k][1] <= start:
-            k += 1
-        if k < len(code) and start < code[k][1] and at > code[k][0]:
-            close()
-        elif segment[0] == "w":
-            chain.append((text, start, at))
-        elif not text.isspace():
-            close()
-    close()
-    return out
-
-
-def repeat_scan(most: int):
-    def run(segments: pd.Series, code: pd.Series) -> pd.Series:
-        def one(s, c):
-            if s is None:
-                return None
-            return [{"start": a, "end": b} for a, b in repeated_spans(list(s), sorted((x["start"], x["end"]) for x in c), most)]
-
-        return pd.Series([one(s, c) for s, c in zip(segments, code, strict=True)], dtype="object")
-
-    return F.pandas_udf(run, SPANS)
-
-
 def register(spark: SparkSession) -> None:
-    """Makes the JVM's dictionary word segmentation known to the session."""
+    """Makes the JVM's word segmentation and scan for repeated word groups known to the session."""
     known = _registered()
     if id(spark) not in known:
-        from pyspark.sql.types import ArrayType, StringType
-
         spark.sql(f"ADD JAR '{JAR}'")
-        spark.udf.registerJavaFunction(SEGMENTS, "kotomill.WordSegments", ArrayType(StringType()))
+        spark.udf.registerJavaFunction(SEGMENTS, "kotomill.WordSegments", "array<string>")
+        spark.udf.registerJavaFunction(REPEATS, "kotomill.RepeatedGroups", SPANS)
         known[id(spark)] = spark
 
 
@@ -169,4 +92,10 @@ def _registered() -> dict:
 
 
 def segments(text: Column) -> Column:
+    """The words of a text and what lies between them, in order, each behind w (a word) or o."""
     return F.call_udf(SEGMENTS, text)
+
+
+def repeated(text: Column, code: Column, most: int) -> Column:
+    """Ranges of the copies beyond ``most`` of word groups that follow each other outside code; time is n log n in the words of a text."""
+    return F.call_udf(REPEATS, text, code, F.lit(most))

@@ -1,5 +1,9 @@
 """Hand-checked cases of every rule, and properties of the findings."""
 
+import json
+import random
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +12,7 @@ from pyspark.sql import functions as F
 from kotomill.config import validate
 from kotomill.functions import japanese as ja
 from kotomill.operators.lint import analyze, with_findings
-from kotomill.operators.scans import Terms, brackets, repeats
+from kotomill.operators.scans import Terms, brackets, register, repeated
 from kotomill.operators.structure import describe
 from tests.golden import CASES, SENTENCES
 
@@ -104,24 +108,60 @@ def test_disabled_rules_and_one_narrow_stage(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from("abc"), max_size=14), st.integers(1, 2))
-def test_repeats_against_the_definition(words, most):
-    def plain():
-        out, start = [], 0
-        while start < len(words):
-            sizes = [g for g in range((len(words) - start) // 2, 0, -1) if words[start : start + g] == words[start + g : start + 2 * g]]
-            if not sizes:
-                start += 1
-                continue
-            g, copies = sizes[0], 2
-            while words[start : start + g] == words[start + copies * g : start + (copies + 1) * g]:
-                copies += 1
-            out += [(start + k * g, start + (k + 1) * g - 1) for k in range(most, copies)]
-            start += copies * g
-        return out
-
-    assert repeats(words, most) == plain()
+def plain_repeats(words, most):
+    out, start = [], 0
+    while start < len(words):
+        sizes = [g for g in range((len(words) - start) // 2, 0, -1) if words[start : start + g] == words[start + g : start + 2 * g]]
+        if not sizes:
+            start += 1
+            continue
+        g, copies = sizes[0], 2
+        while words[start : start + g] == words[start + copies * g : start + (copies + 1) * g]:
+            copies += 1
+        out += [(start + k * g, start + (k + 1) * g - 1) for k in range(most, copies)]
+        start += copies * g
+    return out
+
+
+def repeated_ranges(spark, texts, most, code=()):
+    register(spark)
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").withColumn("code", F.from_json(F.lit(json.dumps([{"start": s, "end": e} for s, e in code])), "array<struct<start:int,end:int>>"))
+    return [[tuple(x) for x in r.found] for r in rows.select("k", repeated(F.col("t"), F.col("code"), most).alias("found")).orderBy("k").collect()]
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_repeats_against_the_definition(spark, most):
+    """Random words of few kinds, periods within periods, and the words of a Fibonacci sequence."""
+    rng = random.Random(most)
+    lists = [[rng.choice("abc"[: rng.randrange(1, 4)]) for _ in range(rng.randrange(40))] for _ in range(1500)]
+    for _ in range(300):
+        one = [rng.choice("abcd") for _ in range(rng.randrange(1, 6))]
+        lists.append((one * rng.randrange(1, 5) + [rng.choice("abcd")]) * rng.randrange(1, 4) + one)
+    a, b = ["a"], ["a", "b"]
+    while len(b) < 200:
+        a, b = b, b + a
+    lists.append(b)
+    want = [[(2 * i, 2 * j + 1) for i, j in plain_repeats(words, most)] for words in lists]
+    assert repeated_ranges(spark, [" ".join(words) for words in lists], most) == want
+
+
+def test_repeats_end_at_marks_and_code(spark):
+    """White space of any kind chains words; marks and code do not; words of any script count, ranges are UTF-16."""
+    cases = ["😀 x x", "a\u3000\ufeff\n a", "a。a", "資料資料", "a\x85a", "１ １", ""]
+    assert repeated_ranges(spark, cases, 1) == [[(5, 6)], [(5, 6)], [], [(2, 4)], [], [(2, 3)], []]
+    assert repeated_ranges(spark, ["a a a a a"], 1, [(4, 5)]) == [[(2, 3), (8, 9)]]
+    assert repeated_ranges(spark, ["a a a a a"], 1, [(6, 7), (0, 1)]) == [[(4, 5)]]
+
+
+@pytest.mark.parametrize("kind", ["two words", "one word", "period"])
+def test_long_texts_repeat_in_little_time(spark, kind):
+    """320,000 words without a mark, of which most are one word."""
+    n, rng = 320_000, random.Random(0)
+    words = {"two words": lambda: [rng.choice("aaab") for _ in range(n)], "one word": lambda: ["a"] * n, "period": lambda: [f"w{k % 997}" for k in range(n)]}[kind]()
+    repeated_ranges(spark, ["a a"], 1)
+    began = time.perf_counter()
+    (found,) = repeated_ranges(spark, [" ".join(words)], 1)
+    assert time.perf_counter() - began < 15 and found
 
 
 @settings(max_examples=80, deadline=None)
