@@ -1,11 +1,13 @@
 """Surface analysis of one Japanese sentence, as column expressions.
 
-A sentence's clauses end at commas and semicolons; each ends in at most one predicate. All tests are
-regular expressions and table look-ups that stay in the JVM.
+A sentence's clauses end at commas and semicolons; each ends in at most one predicate. What ends a text is read from the text
+reversed: a pattern made from a trie of the reversed endings is tried at the first character only and walks once along the ending, instead of looking for it from
+every character on. All tests are regular expressions and table look-ups that stay in the JVM.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -45,8 +47,9 @@ PLAIN_VERBS = {
 }
 CLAUSE_VERBS = ("読む", "書く", "考える", "調べる", "使う", "作る", "行う", "進む", "進める", "比べる", "見る", "話す")
 
-TERMINAL_MARKS = rf"[{SPACE}。．.!！?？…」』）】\]]+\z"
-_STEM_CUT = r"\A(?s:.*)[はがをにでともへ]"
+MARKS = rf"[{SPACE}。．.!！?？…」』）】\]]"
+SEPARATORS = "、，,；;"
+STEM_CUTS = "はがをにでともへ"
 
 
 def _class(chars: str) -> str:
@@ -57,8 +60,24 @@ def _any(words) -> str:
     return "|".join(words)
 
 
+def reversed_endings(words: Iterable[str]) -> str:
+    """A pattern for the reversed words, the longest first, that reads every character of a common beginning once."""
+    trie: dict = {}
+    for word in words:
+        node = trie
+        for c in reversed(word):
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        more = "|".join(c + pattern(after) for c, after in node.items() if c)
+        return f"(?:{more}){'?' if '' in node else ''}" if more else ""
+
+    return pattern(trie)
+
+
 def clauses(sentence: Column) -> Column:
-    return F.regexp_extract_all(sentence, F.lit("[^、，,；;]+"), F.lit(0))
+    return F.regexp_extract_all(sentence, F.lit(f"[^{SEPARATORS}]+"), F.lit(0))
 
 
 def _pick(key: Column, table) -> Column:
@@ -71,49 +90,43 @@ def _polite_lemma(stem: Column) -> Column:
     return known.when(stem.endswith("でき"), F.concat(cut(2), F.lit("できる"))).when(stem.endswith("し"), F.concat(cut(1), F.lit("する"))).otherwise(stem)
 
 
-def _before(text: Column, ending: Column) -> Column:
-    """The lexical stem in front of an ending: what follows the last particle."""
-    return F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(ending)), _STEM_CUT, "")
+_STEM_BACK = rf"[^{STEM_CUTS}]"
+_COPULA_ENDS = ("でした", "だった", "である", "です", "だ")
+#: The kinds of predicates, reversed, in the order in which they are tried: suru verbs with their stem, polite verbs with theirs, copulas, conjunctive forms, adjectives, plain verbs with what stands before them.
+_PREDICATE = rf"\A{MARKS}*+(?:({reversed_endings(SURU_ENDINGS)})({STEM})|({reversed_endings(MASU_FORMS)})({_STEM_BACK}+)|({reversed_endings(_COPULA_ENDS)})|({reversed_endings(CONJUNCTIVE)})|({reversed_endings(ADJECTIVES)})|({reversed_endings(CLAUSE_VERBS)}{STEM}))"
 
 
 def predicate(clause: Column) -> Column:
     """(surface, lemma) of the predicate that ends a clause, or null; the first kind that fits wins."""
-    return let(_bare_clause(clause), _predicate)
-
+    return let(F.reverse(clause), _predicate)
 
-def _bare_clause(clause: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(clause, TERMINAL_MARKS, ""), rf"[{SPACE}]+\z", "")
 
-
-_SURU = rf"({STEM})({_any(SURU_ENDINGS)})\z"
-
-
-def _predicate(body: Column) -> Column:
-    of = lambda pattern, group=0: F.regexp_extract(body, pattern, group)
+def _predicate(back: Column) -> Column:
+    part = lambda group: F.reverse(F.regexp_extract(back, _PREDICATE, group))
     both = lambda surface, lemma: F.struct(surface.alias("surface"), lemma.alias("lemma"))
-    masu = of(rf"(?:{_any(MASU_FORMS)})\z")
-    stem = _before(body, masu)
-    copula = of(r"(?:でした|だった|である|です|だ)\z")
-    conjunctive, adjective = of(rf"(?:{_any(CONJUNCTIVE)})\z"), of(rf"(?:{_any(ADJECTIVES)})\z")
-    verb = of(rf"{STEM}(?:{_any(CLAUSE_VERBS)})\z")
-    return (
-        F.when(body.rlike(_SURU), both(of(_SURU), F.concat(of(_SURU, 1), F.when(of(_SURU, 2).startswith("でき"), F.lit("できる")).otherwise(F.lit("する")))))
-        .when((masu != "") & (stem != ""), both(F.concat(stem, masu), let(stem, _polite_lemma)))
-        .when(copula != "", both(copula, F.when(copula.startswith("で"), F.lit("です")).otherwise(F.lit("だ"))))
-        .when(conjunctive != "", both(conjunctive, let(conjunctive, lambda c: _pick(c, CONJUNCTIVE))))
-        .when(adjective != "", both(adjective, adjective))
-        .when(verb != "", both(verb, verb))
-    )
+    suru = lambda end, stem: both(F.concat(stem, end), F.concat(stem, F.when(end.startswith("でき"), F.lit("できる")).otherwise(F.lit("する"))))
+    masu = lambda end, stem: both(F.concat(stem, end), _polite_lemma(stem))
+    named = lambda group, lemma: F.when(part(group) != "", let(part(group), lambda x: both(x, lemma(x))))
+    found = F.coalesce(
+        F.when(part(1) != "", let(part(1), lambda end: let(part(2), lambda stem: suru(end, stem)))),
+        F.when(part(3) != "", let(part(3), lambda end: let(part(4), lambda stem: masu(end, stem)))),
+        named(5, lambda c: F.when(c.startswith("で"), F.lit("です")).otherwise(F.lit("だ"))),
+        named(6, lambda c: _pick(c, CONJUNCTIVE)), named(7, lambda a: a), named(8, lambda v: v),
+    )
+    return F.when(back.rlike(_PREDICATE), found)
 
 
 def predicates(sentence: Column) -> Column:
     return F.filter(F.transform(clauses(sentence), predicate), lambda p: p.isNotNull())
 
 
+#: A reversed clause with a predicate: behind the sentence's end or a separator; the character before a polite form must be of the same clause.
+_PREDICATES = rf"(?:\A|[{SEPARATORS}]){MARKS}*+(?:{reversed_endings((*_COPULA_ENDS, *CONJUNCTIVE, *ADJECTIVES))}|{reversed_endings(SURU_ENDINGS)}{STEM[:-1]}|{reversed_endings(MASU_FORMS)}[^{STEM_CUTS}{SEPARATORS}]|{reversed_endings(CLAUSE_VERBS)}{STEM[:-1]})"
+
+
 def predicate_count(sentence: Column) -> Column:
-    """Number of clauses that end in a predicate, by one test per clause: a masu form needs a stem, a bare character before it."""
-    ends = rf"(?:{STEM}(?:{_any(SURU_ENDINGS)})|[^はがをにでともへ](?:{_any(MASU_FORMS)})|でした|だった|である|です|だ|{_any(CONJUNCTIVE)}|{_any(ADJECTIVES)}|{STEM}(?:{_any(CLAUSE_VERBS)}))\z"
-    return F.size(F.filter(clauses(sentence), lambda c: _bare_clause(c).rlike(ends)))
+    """Number of clauses that end in a predicate, in one pass over the reversed sentence."""
+    return F.regexp_count(F.reverse(sentence), F.lit(_PREDICATES))
 
 
 _NEXT = _class(PARTICLES + STOPS)
@@ -130,36 +143,33 @@ def leading(sentence: Column) -> Column:
     return F.nullif(F.regexp_extract(sentence, pattern, 1), F.lit(""))
 
 
-def terminal(sentence: Column) -> Column:
-    """The morphology label of a sentence's end, or null."""
-    return let(F.regexp_replace(sentence, TERMINAL_MARKS, ""), lambda bare: let(F.regexp_extract(bare, r"[かねよぞ]\z", 0), lambda p: _labelled(bare, p)))
-
-
-def _labelled(bare: Column, particle: Column) -> Column:
-    return F.concat(_ending(_without(bare, particle))["label"], _tail(particle))
+#: What ends a sentence, reversed: the particle and the longest known ending before it.
+_ENDS = rf"\A{MARKS}*+([かねよぞ]?+)({reversed_endings((*MASU_FORMS, *COPULAS, *ADJECTIVES, *PLAIN_VERBS))})"
+_MASU_STEM = rf"\A{MARKS}*+[かねよぞ]?+{reversed_endings(MASU_FORMS)}({_STEM_BACK}*)"
+_FORMS = {c: ("copula", *known) for c, known in COPULAS.items()} | {a: ("adjective", *known) for a, known in ADJECTIVES.items()} | {v: ("verb", *known) for v, known in PLAIN_VERBS.items()}
+_LABELS, _LEMMAS = {x: ":".join(known) for x, known in _FORMS.items()}, {x: known[1] for x, known in _FORMS.items()}
 
 
-def _without(bare: Column, particle: Column) -> Column:
-    return F.substring(bare, F.lit(1), F.length(bare) - F.length(particle))
+def terminal(sentence: Column) -> Column:
+    """The morphology label of a sentence's end, or null."""
+    label = lambda back: F.when(back.rlike(_ENDS), F.concat(_ending(back)["label"], _tail(F.regexp_extract(back, _ENDS, 1))))
+    return let(F.reverse(sentence), label)
 
 
 def _tail(particle: Column) -> Column:
     return F.when(particle == "", F.lit("")).otherwise(F.concat(F.lit("|particle:"), particle))
 
 
-def _ending(body: Column) -> Column:
-    """(surface, lemma, label) of the form that ends a sentence without its marks and particle, or null."""
-    of = lambda words: F.regexp_extract(body, rf"(?:{_any(words)})\z", 0)
+def _ending(back: Column) -> Column:
+    """(surface, lemma, label) of the form that ends a reversed sentence before its marks and particle, or null.
+
+    The longest known ending decides: a plain verb in だ goes before the copula, a negative adjective before ない.
+    """
     whole = lambda surface, lemma, label: F.struct(surface.alias("surface"), lemma.alias("lemma"), label.alias("label"))
-    known = lambda kind, key, table: whole(key, _pick(key, {k: lemma for k, (lemma, _) in table.items()}), _pick(key, {k: f"{kind}:{lemma}:{form}" for k, (lemma, form) in table.items()}))
-    masu, copula, adjective, verb = of(MASU_FORMS), of(COPULAS), of(ADJECTIVES), of(PLAIN_VERBS)
-    polite = lambda stem, m: let(_polite_lemma(stem), lambda lemma: whole(F.concat(stem, m), lemma, F.concat_ws(":", F.lit("verb"), lemma, _pick(m, MASU_FORMS))))
-    return (
-        F.when(masu != "", let(masu, lambda m: let(_before(body, m), lambda stem: polite(stem, m))))
-        .when((copula != "") & (verb == ""), let(copula, lambda c: known("copula", c, COPULAS)))
-        .when(adjective != "", let(adjective, lambda a: known("adjective", a, ADJECTIVES)))
-        .when(verb != "", let(verb, lambda v: known("verb", v, PLAIN_VERBS)))
-    )
+    polite = lambda end, stem, lemma: whole(F.concat(stem, end), lemma, F.concat_ws(":", F.lit("verb"), lemma, _pick(end, MASU_FORMS)))
+    stem = F.reverse(F.regexp_extract(back, _MASU_STEM, 1))
+    of = lambda end: F.when(end.isin(*MASU_FORMS), let(stem, lambda stem: let(_polite_lemma(stem), lambda lemma: polite(end, stem, lemma)))).when(end != "", whole(end, _pick(end, _LEMMAS), _pick(end, _LABELS)))
+    return let(F.reverse(F.regexp_extract(back, _ENDS, 2)), of)
 
 
 TOKEN = "struct<start:int,role:string,surfaceForm:string,lemma:string,end:int,morphologyLabel:string>"
@@ -185,8 +195,11 @@ def tokens(sentence: Column, offset: Column) -> Column:
     first = let(leading(sentence), lambda word: one(F.when(word.isNotNull(), _token("leading", word, word, offset + length(opened)))))
     parts = _placed(F.regexp_extract_all(sentence, F.lit("[^、，,；;]+|[、，,；;]+"), F.lit(0)))
 
+    def before_marks(text: Column) -> Column:
+        return length(text) - length(F.regexp_extract(F.reverse(text), rf"\A{MARKS}*+", 0))
+
     def ended(p: Column) -> Column:
-        start = lambda found: offset + p["at"] + length(_bare_clause(p["text"])) - length(found["surface"])
+        start = lambda found: offset + p["at"] + before_marks(p["text"]) - length(found["surface"])
         return let(predicate(p["text"]), lambda found: F.when(found.isNotNull(), _token("predicate", found["surface"], found["lemma"], start(found))))
 
     second = F.filter(F.transform(parts, ended), lambda t: t.isNotNull())
@@ -194,11 +207,12 @@ def tokens(sentence: Column, offset: Column) -> Column:
     pieces = F.flatten(F.transform(F.filter(gaps, lambda g: g["hit"].isNotNull()), lambda g: F.array(g["gap"], g["hit"])))
     third = F.transform(F.filter(F.transform(_placed(pieces), lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: x["i"] % 2 == 1), lambda x: _token("demonstrative", x["p"]["text"], x["p"]["text"], offset + x["p"]["at"]))
 
-    def last(bare: Column, particle: Column) -> Column:
-        body = _without(bare, particle)
-        return let(_ending(body), lambda e: one(F.when(e.isNotNull(), _token("terminal", e["surface"], e["lemma"], offset + length(body) - length(e["surface"]), F.concat(e["label"], _tail(particle))))))
+    def last(back: Column) -> Column:
+        particle = F.regexp_extract(back, _ENDS, 1)
+        start = lambda e: offset + before_marks(sentence) - length(particle) - length(e["surface"])
+        return let(_ending(back), lambda e: one(F.when(e.isNotNull(), _token("terminal", e["surface"], e["lemma"], start(e), F.concat(e["label"], _tail(particle))))))
 
-    fourth = let(F.regexp_replace(sentence, TERMINAL_MARKS, ""), lambda bare: let(F.regexp_extract(bare, r"[かねよぞ]\z", 0), lambda p: last(bare, p)))
+    fourth = let(F.reverse(sentence), last)
     return F.array_sort(F.concat(first, second, third, fourth))
 
 

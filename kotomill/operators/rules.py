@@ -80,9 +80,9 @@ def _lookup(key: Column, table) -> Column:
 
 
 def d001(rule: Rule, of: Pass) -> Column:
-    outer = lambda t: utf16.trim(F.regexp_replace(utf16.trim(F.regexp_replace(t, QUOTED, "")), r"[。！？!?]+\z", ""))
-    ends = lambda t, words: outer(t).rlike(rf"(?:{'|'.join(words)})\z")
-    style = lambda t: F.when(ends(t, POLITE), F.lit("desu-masu")).when(ends(t, PLAIN), F.lit("da-dearu"))
+    ends = lambda words: rf"\A[{utf16.SPACE}]*+[。！？!?]*+[{utf16.SPACE}]*+{ja.reversed_endings(words)}"
+    spoken = lambda t: F.when(t.rlike("[「『“‘]"), F.regexp_replace(t, QUOTED, "")).otherwise(t)
+    style = lambda t: let(F.reverse(spoken(t)), lambda back: F.when(back.rlike(ends(POLITE)), F.lit("desu-masu")).when(back.rlike(ends(PLAIN)), F.lit("da-dearu")))
     told = F.filter(F.transform(of["sentences"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), style(s["text"]).alias("style"))), lambda s: s["style"].isNotNull())
     report = lambda rows, base: F.transform(F.filter(rows, lambda s: s["style"] != base), lambda s: finding(rule, s, text_of(TEXT["D001"], a=base, b=s["style"])))
     if rule.style != "consistent":
