@@ -17,7 +17,7 @@ and every attempt of a task writes under a name of its own; files that the index
 pyarrow's file systems, in the folder that all nodes share.
 
 Encoding: white space separates words for the tokenizer and belongs to none, so a text's ids are those of its parts between spaces, tabs and
-line ends, which each worker remembers for the CACHE last short ones.
+line ends, and each worker remembers the ids of CACHE recent short ones.
 
 ``read`` streams whole files in order, ``shuffled`` deals the index rows, not the records, in a random order and reads each record by its
 offset. Both verify lengths and checksums, and raise OSError on a damaged file.
@@ -29,6 +29,7 @@ empty table gives an index without rows; extra columns are ignored; texts of any
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -39,6 +40,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +51,8 @@ from .common import shared_dir, small_batches, table, tidy
 END = 2
 #: Text bytes of a file, about, and of the least work worth a file.
 FILE_BYTES, LEAST_BYTES = 256 << 20, 4 << 20
-#: Words that a worker remembers, and their most characters.
-CACHE, WORD_CHARS = 1 << 18, 64
+#: Words of a generation that a worker remembers, and their most characters.
+CACHE, WORD_CHARS = 1 << 18, 32
 #: Bytes of ids in a batch that is returned to Spark.
 BATCH = 8 << 20
 HEAD, KEY, CHECK = struct.Struct("<Q"), struct.Struct("<qBB"), struct.Struct("<I")
@@ -95,37 +97,76 @@ def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class Encoder:
-    """Texts to the bytes of their ids, by a tokenizer file of the tokenizers library."""
+    """Texts to the bytes of their ids, by a tokenizer file of the tokenizers library.
 
-    def __init__(self, path: str, end: int = END):
+    Words are remembered in two generations: when the younger holds CACHE words it becomes the older one, and what the older one held
+    and nobody asked for since is forgotten. Unknown words are encoded many at a time. ``apart`` may be a pattern of whole words with two
+    groups, a head and a tail that the tokenizer is known to keep apart; these are then remembered by themselves.
+    """
+
+    def __init__(self, path: str, end: int = END, apart: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end], self.kind).tobytes()
-        self.known: dict[str, bytes] = {"": b""}
+        self.apart = re.compile(apart).fullmatch if apart else None
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     def _bytes(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(x or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        fresh = list(set().union(*parts) - self.known.keys())
-        own = {}
-        for start in range(0, len(fresh), 4096):
-            some = fresh[start : start + 4096]
-            own.update(zip(some, self._bytes(some), strict=True))
-        self.known.update((w, b) for w, b in own.items() if len(w) <= WORD_CHARS)
-        of = lambda w, known=self.known: known[w] if w in known else own[w]
-        return [b"".join([*map(of, words), self.end]) for words in parts]
+        """The ids of each word by itself: all are encoded as one text, and a token is of the word in which it starts."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, starts = np.array(found.ids, self.kind), np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        begin = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cuts = (np.searchsorted(starts, begin) * self.width).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The bytes of words that the younger generation lacks; short ones and parts are remembered."""
+        found = {w: b for w in words if (b := self.old.get(w)) is not None}
+        fresh = words.difference(found)
+        cut = {w: m.groups() for w in fresh if (m := self.apart(w))} if self.apart else {}
+        parts = fresh.difference(cut).union(*cut.values()).difference(self.young, found)
+        held = {p: b for p in parts if (b := self.old.get(p)) is not None} if cut else {}
+        todo = list(parts.difference(held))
+        for start in range(0, len(todo), 1024):
+            some = todo[start : start + 1024]
+            held.update(zip(some, self._bytes(some), strict=True))
+        found.update(held)
+        of = lambda p: found[p] if p in found else self.young[p]
+        found.update([(w, of(a) + of(b)) for w, (a, b) in cut.items()])
+        self.young.update((w, b) for w, b in found.items() if len(w) <= WORD_CHARS)
+        return found
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Each distinct word of the texts is looked up once; the ids of the texts are then gathered by the words' numbers."""
+        if len(self.young) > CACHE:
+            self.young, self.old = {"": b""}, self.young
+        plain = pc.fill_null(texts, "")
+        for space in "\n\t\r":
+            plain = pc.replace_substring(plain, space, " ")
+        parts = pc.split_pattern(plain, " ")
+        coded = parts.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        held = list(map(self.young.get, words))
+        if None in held:
+            more = self._learn({w for w, b in zip(words, held, strict=True) if b is None})
+            held = [more[w] if b is None else b for w, b in zip(words, held, strict=True)]
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // self.width
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(held), self.kind)
+        sizes, starts = sizes[at], starts[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        edges = ends[np.asarray(parts.offsets) - parts.offsets[0].as_py()].tolist()
+        return [ids[a:b].tobytes() + self.end for a, b in zip(edges, edges[1:], strict=False)]
 
 
 @cache
-def encoder(path: str, end: int) -> Encoder:
-    return Encoder(path, end)
+def encoder(path: str, end: int, apart: str | None) -> Encoder:
+    return Encoder(path, end, apart)
 
 
 def opened(folder: str) -> tuple[fs.FileSystem, str]:
@@ -133,10 +174,10 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1) if "://" in folder or not folder.startswith("file:") else "file://" + folder.removeprefix("file:"))
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END, parts: int | None = None) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END, parts: int | None = None, apart: str | None = None) -> DataFrame:
     """Writes the documents' records to ``folder``/data and their index to ``folder``/index, and returns the index.
 
-    ``parts`` is the number of files; by default it follows from the bytes of all texts.
+    ``parts`` is the number of files; by default it follows from the bytes of all texts. ``apart`` is a pattern of words that Encoder may cut.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -152,16 +193,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", tex
     files.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode = TaskContext.get().partitionId(), encoder(tokenizer, end)
+        part, encode = TaskContext.get().partitionId(), encoder(tokenizer, end, apart)
         name = f"part-{part:08d}-{uuid.uuid4().hex}.rec"
         files, root = opened(f"{folder}/data")
         out, at, offset = None, 0, 0
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
                 out = out or files.open_output_stream(f"{root}/{name}", buffer_size=1 << 20)
                 keys, offsets, lengths, sizes = batch.column(0).to_pylist(), [], [], []
-                for k, ids in zip(keys, encode(batch.column(1).to_pylist()), strict=True):
+                for k, ids in zip(keys, encode(batch.column(1)), strict=True):
                     payload = packed(k, ids, encode.width)
                     out.write(frame(payload))
                     offsets.append(offset)
@@ -262,13 +303,17 @@ def shuffled(spark: SparkSession, folder: str, seed: int, parts: int | None = No
     return dealt.mapInArrow(tidy(run), RECORD).drop("start")
 
 
+#: word_bpe_49k splits texts into runs of letters, single digits and runs of other signs, so marks behind Latin letters stand apart (but for İ, whose small letter holds a mark).
+LATIN_MARKS = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?#$%&*)]+)"
+
+
 def op12_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = f"{shared_dir(spark).rstrip('/')}/kotomill/records-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), apart=LATIN_MARKS)
     rows = read(spark, folder)
     return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
