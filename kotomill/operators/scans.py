@@ -49,7 +49,9 @@ class Brackets:
         return brackets(text, self.pairs)
 
 
-def _kana(c: str) -> str | None:
+@cache
+def kana_script(c: str) -> str | None:
+    """Hiragana or Katakana for a character of either script."""
     return next((script for script in ("Hiragana", "Katakana") if regex.match(rf"\p{{Script={script}}}", c)), None)
 
 
@@ -57,7 +59,7 @@ def _kana(c: str) -> str | None:
 def _alternatives(words: tuple[str, ...], bounded: bool):
     """The words, the longest first, as a pattern; bounded: not continued by their edges' own kana script."""
     longest = sorted(dict.fromkeys(words), key=lambda w: -len(w.encode("utf-16-le")))
-    edges = [(_kana(w[0]), _kana(w[-1])) if bounded else (None, None) for w in longest]
+    edges = [(kana_script(w[0]), kana_script(w[-1])) if bounded else (None, None) for w in longest]
     if not any(map(any, edges)):
         return re.compile("|".join(map(re.escape, longest)))
     before = lambda script: rf"(?<!\p{{Script={script}}})" if script else ""

@@ -66,6 +66,11 @@ def _mask(text: str, code: list[tuple[int, int, bool]]) -> str:
     return "".join([*parts, text[last:]]) if parts else text
 
 
+def masked_text(text: str) -> str:
+    """The text with FILLER for every character of code."""
+    return _mask(text, markdown.parse(text, False).code) if markdown.may_hold_code(text) else text
+
+
 def describe(text: str, wanted: frozenset[str] = frozenset((*FIELDS, *DETAILS)), scans: Mapping[str, Scan] = {}) -> dict[str, list[tuple]]:
     """The wanted fields of one text as rows of tuples, and what the scans find outside code."""
     at, out = Offsets(text), {}

@@ -223,15 +223,21 @@ _rule("d002_marks", "D002", {"normalization": "NFC"}, {"ta": "t" + MARKED}, lamb
 
 #: Letters that become brackets, so that the prose opens and closes them in any order.
 BRACKETS = {"j": "（", "k": "）", "U": "「", "G": "」", "Q": "（「"}
-#: A stack as text: what each open mark waits for with its place, the last one first; a mark that breaks the order is reported and takes the last one with it.
-_rule("d003_stack", "D003", {}, BRACKETS, lambda t: f"""WITH RECURSIVE docs AS ({t}), {_places("[（）「」]")},
+
+
+def stack_sql(t: str) -> str:
+    """A stack as text: what each open mark waits for with its place, the last one first; a mark that breaks the order is reported and takes the last one with it."""
+    return f"""WITH RECURSIVE docs AS ({t}), {_places("[（）「」]")},
 walk AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, '' AS stack, CAST(NULL AS VARCHAR) AS bad, CAST(0 AS HUGEINT) AS place FROM docs
 UNION ALL SELECT w.doc_id, m.i, CASE WHEN m.m IN ('（', '「') THEN CASE m.m WHEN '（' THEN '）' ELSE '」' END || CAST(m.b AS VARCHAR) || ' ' || stack ELSE regexp_replace(stack, '^[^ ]* ', '') END,
   CASE WHEN m.m IN ('）', '」') AND (stack = '' OR left(stack, 1) <> m.m) THEN m.m END, m.b FROM walk w JOIN marks m ON m.doc_id = w.doc_id AND m.i = w.i + 1),
 last AS (SELECT doc_id, stack FROM walk QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1),
 open AS (SELECT doc_id, unnest(regexp_extract_all(stack, '[^ ]+')) AS o FROM last),
 spans AS (SELECT doc_id, bad AS m, CAST(place - 1 AS INTEGER) AS "start", CAST(place AS INTEGER) AS "end" FROM walk WHERE bad IS NOT NULL
-UNION ALL SELECT doc_id, CASE left(o, 1) WHEN '）' THEN '（' ELSE '「' END, CAST(substr(o, 2) AS INTEGER) - 1, CAST(substr(o, 2) AS INTEGER) FROM open) {_rows("D003", "spans", said.TEXT["D003"].format(t="{m}"))}""")
+UNION ALL SELECT doc_id, CASE left(o, 1) WHEN '）' THEN '（' ELSE '「' END, CAST(substr(o, 2) AS INTEGER) - 1, CAST(substr(o, 2) AS INTEGER) FROM open) {_rows("D003", "spans", said.TEXT["D003"].format(t="{m}"))}"""
+
+
+_rule("d003_stack", "D003", {}, BRACKETS, stack_sql)
 
 
 def d006_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from ..operators import semantic
 from ..operators.lint import analyze
 from ..operators.structure import structure
 from ..sources.files import table
-from . import built
+from . import built, relations
 from .built import LIFTED_SQL, TRIM, lifted
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,8 +245,8 @@ _dictionary("leading_label", [(w, w) for w in ja.LEADERS] + [("", None)], "{}、
 _dictionary("predicates", CLAUSES, "#、{}。", lambda t: F.array_join(F.transform(ja.predicates(t), lambda p: p["surface"]), ","))
 _dictionary("demonstratives", POINTERS, "# {} #", lambda t: F.array_join(ja.demonstratives(t), ","))
 
-QUERIES |= built.QUERIES
-ORACLES |= built.ORACLES
+QUERIES |= built.QUERIES | relations.QUERIES
+ORACLES |= built.ORACLES | relations.ORACLES
 
 
 @query(
