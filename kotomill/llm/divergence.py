@@ -33,7 +33,7 @@ SALTS = 256
 def terms(text: Column) -> Column:
     """The sorted terms of a text, repeats included."""
     lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.array_sort(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)))
+    return F.sort_array(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)))
 
 
 def _counted(sorted_: str) -> Column:
