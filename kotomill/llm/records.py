@@ -52,7 +52,7 @@ END = 2
 #: Text bytes of a file, about, and of the least work worth a file.
 FILE_BYTES, LEAST_BYTES = 256 << 20, 4 << 20
 #: Words of a generation that a worker remembers, and their most characters.
-CACHE, WORD_CHARS = 1 << 18, 32
+CACHE, WORD_CHARS = 1 << 19, 32
 #: Bytes of ids in a batch that is returned to Spark.
 BATCH = 8 << 20
 HEAD, KEY, CHECK = struct.Struct("<Q"), struct.Struct("<qBB"), struct.Struct("<I")
@@ -150,7 +150,7 @@ class Encoder:
             plain = pc.replace_substring(plain, space, " ")
         parts = pc.split_pattern(plain, " ")
         coded = parts.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         held = list(map(self.young.get, words))
         if None in held:
             more = self._learn({w for w, b in zip(words, held, strict=True) if b is None})
@@ -198,8 +198,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", tex
         files, root = opened(f"{folder}/data")
         out, at, offset = None, 0, 0
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
                 out = out or files.open_output_stream(f"{root}/{name}", buffer_size=1 << 20)
                 keys, offsets, lengths, sizes = batch.column(0).to_pylist(), [], [], []
                 for k, ids in zip(keys, encode(batch.column(1)), strict=True):
