@@ -13,8 +13,11 @@ An element weighs (1 - GAMMA) of its presentation and GAMMA of the mean importan
 repeated branches, those that weigh no more themselves, are removed from the page with all below them, be they called a menu or
 not; a passage that articles share stays, as their elements hold other text too. An element that fewer than LEAST_PAGES of the host's pages have gives no
 statistics, and no statistics know an advert that changes from page to page; therefore some styles count 0 by their name on any host: tags
-and class names that mean menus, adverts, forms, comments and the like (NOISE_TAGS, NOISE_WORDS; a name with a word of
-KEPT_WORDS, such as "with-sidebar", is none). Of the rest, the page's text is its main part: what lies in articles, if that is
+that mean menus, footers, asides and forms, and blocks with a class of a closed vocabulary. A class counts as a whole: all words of it must mean such a part
+(NOISE_WORDS, COMMENT_WORDS) or only its place or form (PLACE_WORDS), so "cookie-notice" and "ad-slot" count and "profit-share" does not; headings, table cells and inline
+elements have no such names, paragraphs and list items only those of adverts and comments, and ids count outside articles only. A block that holds more
+than MOST of the page's text is not removed by its name (MOST_COMMENTS if it is one of comments, MOST_FORM if it is a form): it is a frame around the
+content. Of the rest, the page's text is its main part: what lies in articles, if that is
 at least SHARE of the text, and in main, else in parts named as content, if that is SHARE of it, else all. Names that would leave a page empty are
 disregarded, and so are statistics that would: the host's pages are then copies of each other.
 
@@ -43,6 +46,8 @@ from .common import Cut, passing, small_batches, small_side, table, tidy
 GAMMA, THRESHOLD, LEAST_PAGES = 0.9, 0.3, 8
 #: The share of a page's text that its main part has at least.
 SHARE = 0.3
+#: The most of a page's text that a block may hold and still be removed by its name.
+MOST, MOST_COMMENTS, MOST_FORM = 0.5, 0.8, 0.9
 
 # Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,20 +60,27 @@ BLOCK = frozenset(
 CLOSES = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, a, b in (("li", "li p", "ul ol menu"), ("dt", "dt dd p", "dl"), ("dd", "dt dd p", "dl"), ("tr", "tr td th p", "table"), ("td", "td th p", "tr table"), ("th", "td th p", "tr table"), ("tbody", "tr td th p thead tbody tfoot", "table"), ("thead", "tr td th p thead tbody tfoot", "table"), ("tfoot", "tr td th p thead tbody tfoot", "table"), ("option", "option", "select"), ("optgroup", "option optgroup", "select"))}
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 P_STOPS = frozenset("button table td th caption html body article main section div li".split())
-# Styles without importance, by tag and by the words of class, id and role.
-NOISE_TAGS = frozenset("nav footer aside form button select head object audio video canvas dialog".split())
-HARD_TAGS = frozenset("nav footer aside head select button".split())  # even where the names leave nothing
-KEPT_WORDS = frozenset("with has have no without hide market stock results result layout".split())
-WEAK_WORDS = frozenset("alert widget widgets search banner hidden toolbar".split())  # not inside an article
+# Styles without importance, by tag, role and the words of a class.
+HARD_TAGS = frozenset("nav footer aside head".split())  # even where the names leave nothing
+SOFT_TAGS = frozenset("form dialog".split())
+LOST_TAGS = frozenset("select object audio video canvas".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog".split())
 NOISE_WORDS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside complementary contentinfo widget widgets ad ads advert adverts advertisement advertising "
-    "adsense banner sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "search share sharing social related recommended recommendations comment comments disqus respond reply replies pagination pager toolbar copyright skip hidden outbrain taboola".split()
+    "nav navbar navigation menubar breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement advertising "
+    "adsense sponsor sponsors sponsored promo promos cookie cookies consent gdpr notice notices popup modal newsletter subscribe "
+    "share sharing social related recommended recommendations pagination pager skip outbrain taboola".split()
 )
-TOP_WORDS = frozenset("header masthead topbar".split())  # only outside an article
-COMMENT_WORDS = frozenset("comment comments reply replies disqus respond related recommended sponsored ad ads advert promo".split())
+WEAK_WORDS = frozenset("menu alert widget widgets search banner hidden toolbar overlay login signup subscription promotion copyright header masthead topbar".split())  # not inside an article
+COMMENT_WORDS = frozenset("comment comments commentlist feedback disqus respond reply replies responses".split())
+PLACE_WORDS = frozenset(
+    "site main page global top bottom left right inner outer upper lower primary secondary first last sub mobile desktop sticky fixed floating wrapper wrap container box bar block section area "
+    "zone slot unit panel pane column col row list lists item items link links button buttons icon icons form thread post posts article articles story stories entry entries head body text title media js".split()
+)
+AD_WORDS = frozenset("ad ads advert advertisement sponsored".split())
+#: Elements whose class never says that they are no content, and those of which only adverts and comments do.
+UNNAMED = frozenset("html body main h1 h2 h3 h4 h5 h6 td th tr tbody thead tfoot caption table dt dd pre figure figcaption legend".split())
+HALF_NAMED = frozenset("p li blockquote".split())
 MAIN_WORDS = frozenset("content maincontent articlebody articlecontent postcontent entrycontent story".split())
-ROOTS = frozenset("html body article main".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=|[\"'])*+)>")
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -82,34 +94,49 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    """An open element: its tag, the block element that it belongs to, whether its name or a parent's means noise, and its tier."""
+    """An open element: its tag, the block element that it belongs to, whether its text is lost, and its tier."""
 
-    __slots__ = ("block", "hard", "noise", "tag", "tier")
+    __slots__ = ("block", "lost", "tag", "tier")
 
-    def __init__(self, tag: str, block: int, noise: bool, hard: bool, tier: int):
-        self.tag, self.block, self.noise, self.hard, self.tier = tag, block, noise, hard, tier
+    def __init__(self, tag: str, block: int, lost: bool, tier: int):
+        self.tag, self.block, self.lost, self.tier = tag, block, lost, tier
 
 
 class Page:
     """The block elements of a page, and its blocks of text in order.
 
-    ``parent`` and ``label`` are by element; ``items`` holds an element's children (their number) and texts (the text), in
-    order. A block of text is (element, text, tier, noise, hard, plain): tier 3 lies in an article, 2 in main, 1 in a part named as
-    content; noise lies under a style that counts 0 by its name, hard under one that always does; plain has text outside links.
+    ``parent``, ``label`` and ``most`` are by element; ``items`` holds an element's children (their number) and texts (the text), in
+    order. ``most`` is the most of the page's text that the element may hold and still be none of its content: 0 says that it is content, 1 that its tag
+    or attributes rule it out whatever it holds. A block of text is (element, text, tier, plain): tier 3 lies in an article, 2 in main, 1 in a part
+    named as content; plain has text outside links.
     """
 
     def __init__(self) -> None:
-        self.parent, self.label = [-1], [""]
+        self.parent, self.label, self.most = [-1], [""], [0.0]
         self.items: list[list[int | str]] = [[]]
-        self.texts: list[tuple[int, str, int, bool, bool, bool]] = []
+        self.texts: list[tuple[int, str, int, bool]] = []
 
-    def open(self, parent: int, label: str) -> int:
+    def open(self, parent: int, label: str, most: float) -> int:
         self.parent.append(parent)
         self.label.append(label)
+        self.most.append(most)
         self.items.append([])
         self.items[parent].append(len(self.label) - 1)
         return len(self.label) - 1
 
+    def ruled_out(self) -> tuple[list[bool], list[bool]]:
+        """Whether each element, or one around it, is no content by its tag or attributes, and by those or by its name."""
+        hard, noise, size = [False], [False], [0] * len(self.label)
+        for parent, most in zip(self.parent[1:], self.most[1:], strict=True):
+            hard.append(hard[parent] or most == 1)
+        for k, words, *_ in self.texts:
+            size[k] += 0 if hard[k] else len(words)
+        for k in range(len(size) - 1, 0, -1):
+            size[self.parent[k]] += size[k]
+        for k in range(1, len(size)):
+            noise.append(noise[self.parent[k]] or hard[k] or (self.most[k] > 0 and size[k] <= self.most[k] * size[0]))
+        return hard, noise
+
     def names(self) -> list[int]:
         """The hash of each element's style path."""
         out = [0]
@@ -128,45 +155,62 @@ class Page:
         return digest, style
 
 
-_styles: dict[tuple[str, str], tuple[str, list[frozenset[str]], bool, bool]] = {}
+def _kind(name: str) -> str:
+    """What a class or id means as a whole: "comment", "ad", "noise", "weak" (noise outside articles) or nothing."""
+    words = {w.lower() for w in WORD.findall(name)}
+    told = words - PLACE_WORDS
+    if not told or not told <= NOISE_WORDS | WEAK_WORDS | COMMENT_WORDS:
+        return ""
+    return "comment" if told & COMMENT_WORDS else "ad" if words <= AD_WORDS else "noise" if told & NOISE_WORDS else "weak"
+
+
+_styles: dict[tuple[str, str], tuple] = {}
 
 
-def _style(tag: str, attrs: str) -> tuple[str, list[frozenset[str]], bool, bool]:
-    """(label, the words of each class name, id and role, hidden, marked as main) of a start tag."""
+def _style(tag: str, attrs: str) -> tuple[str, frozenset[str], str, bool, int]:
+    """(label, the kinds of the classes, the kind of the id, whether an attribute rules it out, 2 for main or 1 for a part named as content) of a start tag."""
     if not attrs or attrs.isspace():
-        return tag, [], False, False
+        return tag, frozenset(), "", False, 0
     found = _styles.get((tag, attrs))
     if found is None:
         a = {k.lower(): unescape(x or y or z) for k, x, y, z in ATTR.findall(attrs)}
-        names = [*a.get("class", "").split(), a.get("id", "")]
-        words = [frozenset(w.lower() for w in WORD.findall(name)) for name in (*names, a.get("role", ""))]
-        label = re.sub(r"\d+", "N", ".".join([tag, *sorted(a.get("class", "").split())]))
-        hidden = "hidden" in a or re.search(r"display\s*:\s*none", a.get("style", "")) is not None
-        joined = {re.sub(r"[^a-z]", "", x.lower()) for x in names}
-        main = a.get("role") == "main" or "articlebody" in a.get("itemprop", "").lower() or bool(joined & MAIN_WORDS)
-        found = label, [w for w in words if w], hidden, main
+        classes, own = a.get("class", "").split(), a.get("id", "")
+        label = re.sub(r"\d+", "N", ".".join([tag, *sorted(classes)]))
+        out = "hidden" in a or re.search(r"display\s*:\s*none", a.get("style", "")) is not None or a.get("role", "").lower() in NOISE_ROLES
+        joined = {re.sub(r"[^a-z]", "", x.lower()) for x in (*classes, own)} & MAIN_WORDS
+        main = 2 if a.get("role") == "main" or "maincontent" in joined else 1 if joined or "articlebody" in a.get("itemprop", "").lower() else 0
+        found = label, frozenset(map(_kind, classes)) - {""}, _kind(own), out, main
         if len(_styles) < 50_000 and len(attrs) < 500:
             _styles[tag, attrs] = found
     return found
 
 
-def _is_noise(tag: str, names: list[frozenset[str]], tier: int) -> bool:
-    """Whether an element's tag or one of its names says that it has no importance."""
-    if tag in ROOTS:
-        return tag == "article" and any(n & COMMENT_WORDS for n in names)
-    if tag in NOISE_TAGS or (tier < 2 and tag == "header"):
-        return True
-    words = NOISE_WORDS - WEAK_WORDS if tier == 3 else NOISE_WORDS | TOP_WORDS if tier < 2 else NOISE_WORDS
-    return any(n & words and not n & KEPT_WORDS for n in names)
+def _most(tag: str, kinds: frozenset[str], own: str, tier: int) -> float:
+    """The most of the page's text that a block may hold and still be no content by its tag and name; 0 if these say nothing."""
+    if tag in HARD_TAGS:
+        return 1
+    if tag in SOFT_TAGS:
+        return MOST_FORM
+    if tag in UNNAMED:
+        return 0
+    if tag == "header" and tier < 2:
+        return MOST
+    if tier < 2:
+        kinds = kinds | {own}
+    if tag in HALF_NAMED or tag == "article":
+        kinds = kinds & {"ad", "comment"}
+    if tier == 3:
+        kinds = kinds - {"weak"}
+    return MOST_COMMENTS if "comment" in kinds else MOST if kinds - {""} else 0
 
 
 def parsed(html: str) -> Page:
     """The block elements and texts of a page; whatever is open at the end is closed."""
     page = Page()
-    stack = [Node("", 0, False, False, 0)]
+    stack = [Node("", 0, False, 0)]
     open_: Counter = Counter()
     text: list[str] = []
-    plain = False  # whether the block has text outside links
+    plain = said = False  # whether the block has text outside links and buttons, and outside buttons
 
     def drop(i: int) -> None:
         for n in stack[i:]:
@@ -174,23 +218,22 @@ def parsed(html: str) -> Page:
         del stack[i:]
 
     def add(part: str) -> None:
-        nonlocal plain
-        top = stack[-1]
-        if not top.noise or page.label[top.block] and blocked[-1]:
+        nonlocal plain, said
+        if not stack[-1].lost:
             text.append(part)
-            plain = plain or (not open_["a"] and not part.isspace())
+            if not open_["button"] and not part.isspace():
+                said, plain = True, plain or not open_["a"]
 
     def flush() -> None:
-        nonlocal plain
+        nonlocal plain, said
         if text:
-            if words := " ".join(unescape("".join(text)).split()):
+            if said and (words := " ".join(unescape("".join(text)).split())):
                 top = next(n for n in reversed(stack) if n.tag in BLOCK or not n.tag)
                 page.items[top.block].append(words)
-                page.texts.append((top.block, words, top.tier, top.noise, top.hard, plain))
+                page.texts.append((top.block, words, top.tier, plain))
             text.clear()
-            plain = False
+            plain = said = False
 
-    blocked = [True]  # for each open element whether all noise down to it began at a block: then its text is a block of noise, else it vanishes
     at, end = 0, len(html)
     while at < end:
         lt = html.find("<", at)
@@ -221,7 +264,6 @@ def parsed(html: str) -> Page:
             for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[i].tag == tag:
                     drop(i)
-                    del blocked[i:]
                     break
                 if tag not in BLOCK and stack[i].tag in BLOCK:
                     break  # a stray inline end tag closes nothing outside its block
@@ -241,7 +283,6 @@ def parsed(html: str) -> Page:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":
                         drop(i)
-                        del blocked[i:]
                         break
                     if stack[i].tag in P_STOPS:
                         break
@@ -255,16 +296,16 @@ def parsed(html: str) -> Page:
                         cut = i
                 if cut:
                     drop(cut)
-                    del blocked[cut:]
         if tag in VOID:
             continue
         top = stack[-1]
-        label, names, hidden, marked = _style(tag, m[3])
-        noise = top.noise or hidden or _is_noise(tag, names, top.tier)
-        tier = max(top.tier, 3 if tag == "article" else 2 if tag == "main" or (marked and any("main" in n for n in names)) else 1 if marked else 0)
-        block = page.open(top.block, label) if tag in BLOCK else top.block
-        stack.append(Node(tag, block, noise, top.hard or hidden or tag in HARD_TAGS, tier))
-        blocked.append(blocked[-1] and (top.noise or not noise or tag in BLOCK))
+        label, kinds, own, out, main = _style(tag, m[3])
+        tier, block, lost = top.tier, top.block, top.lost
+        if tag in BLOCK:
+            block = page.open(top.block, label, 1 if out else _most(tag, kinds, own, tier))
+        else:
+            lost = lost or out or tag in LOST_TAGS
+        stack.append(Node(tag, block, lost, max(tier, 3 if tag == "article" else 2 if tag == "main" else main)))
         open_[tag] += 1
     flush()
     return page
@@ -278,9 +319,11 @@ def main_text(page: Page, low: frozenset[int] = frozenset()) -> str:
         for name, digest, parent in zip(page.names(), digests, page.parent, strict=True):
             gone.append(parent >= 0 and (gone[parent] or branch(name, digest) in low))
 
+    hard, noise = page.ruled_out()
+
     def kept(by_name: bool, by_tree: bool) -> list[tuple]:
-        rows = [x for x in page.texts if not (x[4] or (by_name and x[3])) and not (by_tree and gone and gone[x[0]])]
-        return [x for x in rows if x[5] or x[2]]  # outside any main part, links alone are a menu
+        rows = [x for x in page.texts if not (noise if by_name else hard)[x[0]] and not (by_tree and gone and gone[x[0]])]
+        return [x for x in rows if x[3] or x[2]]  # outside any main part, links alone are a menu
 
     rows = kept(True, True) or kept(True, False) or kept(False, True) or kept(False, False)
     total = sum(len(x[1]) for x in rows)

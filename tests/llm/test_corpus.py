@@ -33,7 +33,7 @@ PAGES = [
     ("<p>x <math><mi>y</mi></math> z</p>", "x y z"),
     ("<div><p>A body that is much longer than any teaser beside it could be.</p></div><article><p>teaser</p></article>", "A body that is much longer than any teaser beside it could be.\nteaser"),
     ("<main><h1>Title</h1><p>Lead</p><article><p>Text</p></article></main>", "Title\nLead\nText"),
-    ("<p>Press <button>OK</button> now</p>", "Press now"),
+    ("<p>Press <button>OK</button> now</p><div><button>Send</button></div>", "Press OK now"),
     ("<form id=aspnetForm><div><p>All content</p></div></form>", "All content"),
     ("<div>" * 100 + "<p>deep</p>" + "</div>" * 100 + "<p>shallow</p>", "deep\nshallow"),
     ("", ""),
@@ -47,6 +47,45 @@ def test_main_text(page, text):
     assert html.main_text(html.parsed(page)) == text
 
 
+ARTICLE = "<h1>Title</h1><p>A first paragraph that is not short.</p><ul><li>one</li><li>two</li></ul><p>And a last one.</p>"
+TEXT = "Title\nA first paragraph that is not short.\none\ntwo\nAnd a last one."
+#: Names that slugs of headings, layouts and subjects give to parts of an article.
+INNOCENT = [
+    '<h2 id="related-work">{}</h2>', '<h2 id="comments">{}</h2>', '<p id="ad-hoc">{}</p>', '<section id="navigation-at-sea"><p>{}</p></section>', '<section id="comments"><p>{}</p></section>',
+    '<div class="profit-share">{}</div>', '<p class="notice-period">{}</p>', '<div class="login-flow">{}</div>', '<table><tr><td class="share">{}</td></tr></table>', '<p class="footer">{}</p>', '<p><span class="comment">{}</span></p>',
+    '<div class="menu">{}</div>', '<div class="ad-hoc-network">{}</div>', '<div class="market-share-related">{}</div>', '<h3 class="comments">{}</h3>', '<p>{}</p>',
+]
+
+
+@pytest.mark.parametrize("part", INNOCENT)
+def test_parts_of_an_article_stay_whatever_they_are_called(part):
+    page = f"<html><body><nav>menu</nav><article>{ARTICLE}{part.format('Words of this part.')}</article><footer>f</footer>"
+    assert html.main_text(html.parsed(page)) == f"{TEXT}\nWords of this part."
+
+
+@pytest.mark.parametrize("part", ['<ol class="commentlist"><li>first!</ol>', '<div class="feedback">first!</div>', '<div class="comment-list">first!</div>', '<div class="ad">buy</div>', '<div class="top-ad-slot">buy</div>', '<p class="advert">buy</p>', '<div class="cookieNotice">we use</div>', '<div class="post-comments"><article class="comment">x</article></div>', '<div role="navigation">x</div>', '<section class="related-posts">more</section>', '<aside>x</aside>', '<form><p>name</p></form>'])
+def test_parts_that_are_no_content_go(part):
+    assert html.main_text(html.parsed(f"<html><body>{part}<article>{ARTICLE}{part}</article>{part}")) == TEXT
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_any_names_around_an_article_lose_nothing(seed):
+    """Frames with random classes and ids of the vocabulary and others, around an article or a plain body."""
+    rng = random.Random(seed)
+    words = sorted(html.NOISE_WORDS | html.WEAK_WORDS | html.COMMENT_WORDS | html.PLACE_WORDS) + ["with", "layout", "right", "x", "story"]
+    name = lambda: rng.choice("-_").join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+    for _ in range(50):
+        page = ARTICLE if rng.random() < 0.5 else f"<article>{ARTICLE}</article>"
+        for _ in range(rng.randrange(1, 4)):
+            page = f"<div class='{name()} {name()}' id='{name()}'>{page}</div>"
+        assert html.main_text(html.parsed(f"<html><body class='{name()}' id='{name()}'><nav>n</nav>{page}<div class='sidebar'><p>s.</p></div>")) == TEXT
+
+
+def test_a_frame_with_a_short_neighbour():
+    page = f'<body><div class="container sidebar-right"><div class="post">{ARTICLE}</div></div><div><p>Short.</p></div>'
+    assert html.main_text(html.parsed(page)) == f"{TEXT}\nShort."
+
+
 @pytest.mark.parametrize("page", ["<p>" * 50_000, "<div>" * 20_000 + "x", "<b>" * 20_000 + "</p>" * 20_000, "<" * 100_000, '<a ="' * 20_000, "<p>" + "x " * 500_000, "<script>" * 20_000, "<table><tr><td>" * 5_000])
 def test_long_pages(page):
     page = html.parsed(page)
