@@ -17,7 +17,7 @@ that mean menus, footers, asides and forms, and blocks with a class of a closed
 (NOISE_WORDS, COMMENT_WORDS) or only its place or form (PLACE_WORDS), so "cookie-notice" and "ad-slot" count and "profit-share" does not; headings, table cells and inline
 elements have no such names, paragraphs and list items only those of adverts and comments, and ids count outside articles only. A block that holds more
 than MOST of the page's text is not removed by its name (MOST_COMMENTS if it is one of comments, MOST_FORM if it is a form): it is a frame around the
-content. Of the rest, the page's text is its main part: what lies in articles, if that is
+content, unless more of the articles' text lies outside it. Of the rest, the page's text is its main part: what lies in articles, if that is
 at least SHARE of the text, and in main, else in parts named as content, if that is SHARE of it, else all. Names that would leave a page empty are
 disregarded, and so are statistics that would: the host's pages are then copies of each other.
 
@@ -126,15 +126,18 @@ class Page:
 
     def ruled_out(self) -> tuple[list[bool], list[bool]]:
         """Whether each element, or one around it, is no content by its tag or attributes, and by those or by its name."""
-        hard, noise, size = [False], [False], [0] * len(self.label)
+        hard, noise, size, main = [False], [False], [0] * len(self.label), [0] * len(self.label)
         for parent, most in zip(self.parent[1:], self.most[1:], strict=True):
             hard.append(hard[parent] or most == 1)
-        for k, words, *_ in self.texts:
+        for k, words, tier, _ in self.texts:
             size[k] += 0 if hard[k] else len(words)
+            main[k] += len(words) if tier > 1 and not hard[k] else 0
         for k in range(len(size) - 1, 0, -1):
             size[self.parent[k]] += size[k]
+            main[self.parent[k]] += main[k]
         for k in range(1, len(size)):
-            noise.append(noise[self.parent[k]] or hard[k] or (self.most[k] > 0 and size[k] <= self.most[k] * size[0]))
+            frame = size[k] > self.most[k] * size[0] and 2 * main[k] >= main[0]
+            noise.append(noise[self.parent[k]] or hard[k] or (self.most[k] > 0 and not frame))
         return hard, noise
 
     def names(self) -> list[int]:

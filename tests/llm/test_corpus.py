@@ -81,6 +81,10 @@ def test_any_names_around_an_article_lose_nothing(seed):
         assert html.main_text(html.parsed(f"<html><body class='{name()}' id='{name()}'><nav>n</nav>{page}<div class='sidebar'><p>s.</p></div>")) == TEXT
 
 
+def test_an_advert_longer_than_its_article():
+    assert html.main_text(html.parsed(f"<body><div class=ad>{'buy ' * 50}</div><article><h1>T</h1></article><ol class=comments>{'<li>no!' * 99}</ol>")) == "T"
+
+
 def test_a_frame_with_a_short_neighbour():
     page = f'<body><div class="container sidebar-right"><div class="post">{ARTICLE}</div></div><div><p>Short.</p></div>'
     assert html.main_text(html.parsed(page)) == f"{TEXT}\nShort."
