@@ -188,9 +188,13 @@ runs AS (SELECT doc_id, min("start") AS "start", max("end") AS "end", count(*) A
 {_rows(rule, "runs", said.TEXT[rule].format(t=2, a="{n}"), "n", 2, "n > 2")}"""
 
 
-_rule("h107_runs", "H107", {}, {f"{m} {c}": f"{m} {'また' if c in 'ABCDEFGHIabcdefghi' else 'しかし'}、{c}" for m in "。！？" for c in "ABCDEFGHIJKLMNOPQRSTUVWabcdefghijklmnopqrstuvw"}, _runs_sql("H107", "nullif(regexp_extract(s, '^(また|しかし)、', 1), '')"))
-_rule("h108_runs", "H108", {}, {"a。": "です。", "e。": "です。", "s。": "だ。", "n。": "だ。", "i。": "難しい。"}, _runs_sql("H108", "nullif(regexp_extract(s, '(です|だ|難しい)[。！？]+$', 1), '')"))
-
+#: Rules on runs, with what replaces parts of the prose.
+RUNS = {
+    "h107_runs": ("H107", {f"{m} {c}": f"{m} {'また' if c in 'ABCDEFGHIabcdefghi' else 'しかし'}、{c}" for m in "。！？" for c in "ABCDEFGHIJKLMNOPQRSTUVWabcdefghijklmnopqrstuvw"}),
+    "h108_runs": ("H108", {"a。": "です。", "e。": "です。", "s。": "だ。", "n。": "だ。", "i。": "難しい。"}),
+}
+_rule("h107_runs", "H107", {}, RUNS["h107_runs"][1], _runs_sql("H107", "nullif(regexp_extract(s, '^(また|しかし)、', 1), '')"))
+_rule("h108_runs", "H108", {}, RUNS["h108_runs"][1], _runs_sql("H108", "nullif(regexp_extract(s, '(です|だ|難しい)[。！？]+$', 1), '')"))
 
 
 def sentence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import messages as said
-from ..operators import dictionary
+from ..operators import dictionary, intervals, runs
+from ..operators.structure import structure
+from ..functions import japanese as ja
 from ..sources.files import table
+from ..sources.written import Written
 from . import built
 from .built import A, B, C, LINE_SQL, THIRDS_SQL, line
 
@@ -135,3 +138,70 @@ spans AS (SELECT doc_id, term, CAST(base + s - 1 AS INTEGER) AS "start", CAST(ba
 
 
 _add("d004_code_kana", _guards_sql(), lambda spark, sf_dir: built._findings(coded(spark, sf_dir), "D004", {"forbiddenTerms": EDGED}))
+
+
+# --- ranges in separate tables --------------------------------------------------------------------
+
+
+def _apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prose with every line a paragraph."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(built.lifted(), "\n", "\n\n").alias("text"))
+
+
+def sentence_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sentence with the first paragraph that contains it, from two written tables; sentences across paragraphs have none."""
+    docs = _apart(spark, sf_dir)
+    sentences = Written(structure(docs, fields=("sentences",)).select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.start", "s.end"), "sentences")
+    paragraphs = Written(structure(docs, fields=("paragraphs",)).select("doc_id", F.posexplode("paragraphs")).select("doc_id", "pos", "col.start", "col.end"), "paragraphs")
+    found = intervals.first_containing(sentences.df, paragraphs.df, "pos")
+    return found.select("doc_id", "start", "end", F.col("range.pos").alias("paragraph"), F.col("range.start").alias("home"))
+
+
+_add(
+    "sentence_homes",
+    f"""WITH {built.sentences_sql(f"SELECT doc_id, lang, 0 AS base, replace({built.LIFTED_SQL}, chr(10), chr(10) || chr(10)) AS t FROM documents")},
+lines AS (SELECT doc_id, string_split(t, chr(10)) AS parts FROM docs), pieces AS (SELECT doc_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS k FROM lines),
+spread AS (SELECT *, sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 - length(ltrim(p)) AS a FROM pieces),
+paragraphs AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS pos, CAST(a AS INTEGER) AS a, CAST(a + length(trim(p)) AS INTEGER) AS b FROM spread WHERE trim(p) <> '')
+SELECT s.doc_id, s."start", s."end", p.pos AS paragraph, p.a AS home FROM sentences s LEFT JOIN paragraphs p ON p.doc_id = s.doc_id AND p.a <= s."start" AND s."end" <= p.b""",
+    sentence_homes,
+)
+
+
+def sentences_outside_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences that no code range overlaps, and those that none contains, from tables of sentences and of code."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", built._text(A, " `", B, "` ", C).alias("text"))
+    sentences = Written(structure(docs, fields=("sentences",)).select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.start", "s.end"), "sentences").df
+    code = Written(structure(docs, fields=("code",)).select("doc_id", F.inline("code")), "code").df
+    kept = [intervals.outside(sentences, code, how).withColumn("free_of", F.lit(how)) for how in (intervals.OVERLAPPING, intervals.CONTAINED)]
+    return kept[0].unionByName(kept[1])
+
+
+_add(
+    "sentences_outside_code",
+    f"""WITH {THIRDS_SQL}, {built.sentences_sql("SELECT doc_id, lang, 0 AS base, a || ' `' || b || '` ' || c AS t FROM thirds")}, code AS (SELECT doc_id, length(a) + 1 AS c, length(a) + length(b) + 3 AS d FROM thirds)
+SELECT x.doc_id, "start", "end", 'overlapping' AS free_of FROM sentences x JOIN code USING (doc_id) WHERE NOT ("start" < d AND "end" > c)
+UNION ALL SELECT x.doc_id, "start", "end", 'contained' FROM sentences x JOIN code USING (doc_id) WHERE NOT (c <= "start" AND "end" <= d)""",
+    sentences_outside_code,
+)
+
+# --- runs over rows of sentences ------------------------------------------------------------------
+
+
+def _row_runs(name: str, of: str, label: Callable[[Column], Column]) -> None:
+    """The runs of the query ``of``, from a table with a row for each sentence instead of arrays in documents."""
+    rule, pairs = built.RUNS[of]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = built._built(spark, sf_dir, built._swapped(pairs))
+        rows = structure(docs, fields=("sentences", "texts", "homes")).select("doc_id", F.posexplode("sentences").alias("n", "s"))
+        keyed = rows.select("doc_id", "n", "s.start", "s.end", F.concat(F.col("s.paragraph").cast("string"), F.lit(":"), label(F.col("s.text"))).alias("label"))
+        found = runs.runs(keyed).where(F.col("length") > 2)
+        message = F.format_string(said.TEXT[rule].replace("{t}", "2").replace("{a}", "%d"), F.col("length"))
+        return found.select("doc_id", F.lit(rule).alias("rule_id"), "start", "end", F.lit("warning").alias("severity"), message.alias("message"), F.col("length").cast("int").alias("actual"), F.lit(2).alias("threshold"))
+
+    _add(name, built.ORACLES[of], query)
+
+
+_row_runs("h107_rows", "h107_runs", ja.leading)
+_row_runs("h108_rows", "h108_runs", ja.terminal)
