@@ -1,12 +1,13 @@
-"""Reports: findings and saved semantic judgements of a document in one canonical order, with an exit code."""
+"""Reports: findings and saved semantic judgements of a document in one canonical order, with an exit code.
+
+Texts compare by UTF-16 units, as their UTF-16BE bytes do: U+FFFD comes after any character beyond U+FFFF.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +18,22 @@ from .lint import exit_code, with_findings
 VERSION = "1.0.0"
 
 
+def _units(text: Column) -> Column:
+    """The sort key of a text by UTF-16 units."""
+    return F.encode(text, "UTF-16BE")
+
+
 def lint_messages(findings: Column) -> Column:
     """The messages in report order: start, end, rule, category, severity, text; repeats stay."""
-    keyed = F.transform(findings, lambda f: F.struct(f["start"].alias("a"), f["end"].alias("b"), f["rule_id"].alias("c"), f["category"].alias("d"), f["severity"].alias("e"), f["message"].alias("g")))
+    keyed = F.transform(findings, lambda f: F.struct(f["start"].alias("a"), f["end"].alias("b"), f["rule_id"].alias("c"), f["category"].alias("d"), f["severity"].alias("e"), _units(f["message"]).alias("f"), f["message"].alias("g")))
     return F.transform(F.array_sort(keyed), lambda x: F.struct(x["c"].alias("ruleId"), x["d"].alias("category"), F.struct(x["a"].alias("start"), x["b"].alias("end")).alias("range"), x["g"].alias("message"), x["e"].alias("level")))
 
 
 def semantic_notices(findings: Column) -> Column:
     """The notices in report order; array fields compare item by item and a missing action comes first."""
     names = ("ruleId", "status", "evidence", "reason", "confidence", "suggestedAction")
-    keyed = F.transform(findings, lambda f: F.struct(f["range"]["start"].alias("start"), f["range"]["end"].alias("end"), *(f[n].alias(n) for n in names)))
+    order = {"evidence": lambda f: F.transform(f["evidence"], _units), "reason": lambda f: _units(f["reason"]), "suggestedAction": lambda f: _units(f["suggestedAction"])}
+    keyed = F.transform(findings, lambda f: F.struct(f["range"]["start"].alias("start"), f["range"]["end"].alias("end"), *(order.get(n, lambda f, n=n: f[n])(f).alias(f"by_{n}") for n in names), *(f[n].alias(n) for n in names)))
     notice = lambda x: F.struct(x["ruleId"].alias("ruleId"), x["status"].alias("status"), F.struct(x["start"].alias("start"), x["end"].alias("end")).alias("range"), *(x[n].alias(n) for n in names[2:]), F.lit("notice").alias("level"))
     return F.transform(F.array_sort(keyed), notice)
 
@@ -76,7 +83,7 @@ def semantic_problems(text: Column, finding: Column) -> Column:
     )
 
 
-# Closed-schema checks of JSON envelopes and reports, in plain Python as JSON types matter here.
+# Closed-schema checks of one JSON envelope or report on the driver; tables of envelopes go through ``envelopes``.
 
 
 def _check(ok: bool, what: str) -> None:
@@ -160,8 +167,9 @@ def parse_envelope(text: str) -> dict:
 def build_report(findings: list[dict], semantic: list[dict]) -> dict:
     """The report of one document."""
     place = lambda f: (f["range"]["start"], f["range"]["end"], f["ruleId"])
-    lint = sorted(findings, key=lambda f: (*place(f), f["category"], f["severity"], f["message"]))
-    notes = sorted(semantic, key=lambda f: (*place(f), f["status"], f["evidence"], f["reason"], f["confidence"], "suggestedAction" in f, f.get("suggestedAction", "")))
+    units = lambda x: x.encode("utf-16-be", "surrogatepass")
+    lint = sorted(findings, key=lambda f: (*place(f), f["category"], f["severity"], units(f["message"])))
+    notes = sorted(semantic, key=lambda f: (*place(f), f["status"], [*map(units, f["evidence"])], units(f["reason"]), f["confidence"], "suggestedAction" in f, units(f.get("suggestedAction", ""))))
     failed = any(f["category"] == "deterministic" and f["severity"] == "error" for f in lint)
     messages = [{"ruleId": f["ruleId"], "category": f["category"], "range": dict(f["range"]), "message": f["message"], "level": f["severity"]} for f in lint]
     notices = [{k: f[k] for k in ("ruleId", "status", "range", "evidence", "reason", "confidence")} | {"level": "notice"} | ({"suggestedAction": f["suggestedAction"]} if "suggestedAction" in f else {}) for f in notes]
@@ -186,23 +194,3 @@ def line(value: dict) -> str:
     """Canonical JSON: whole numbers without a fraction."""
     plain = lambda x: int(x) if isinstance(x, float) and x.is_integer() else {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else [plain(v) for v in x] if isinstance(x, list) else x
     return json.dumps(plain(value), ensure_ascii=False, separators=(",", ":"))
-
-
-def reports_of(envelopes: DataFrame, column: str = "value") -> DataFrame:
-    """The rows with exit_code, report and error: envelopes that break the contract have code 2, no report and a reason."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for text in texts:
-                try:
-                    value = parse_envelope(text or "")
-                    built = build_report(value["findings"], value["semanticFindings"])
-                    rows.append((built["exitCode"], line(built), None))
-                except ContractValidationError as e:
-                    rows.append((2, None, str(e)))
-            yield pd.DataFrame(rows, columns=["exit_code", "report", "error"])
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    checked = F.pandas_udf(run, "struct<exit_code:int,report:string,error:string>")
-    return envelopes.withColumn("_checked", checked(F.col(column))).select(*envelopes.columns, "_checked.*")

@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from ..functions import japanese as ja
 from ..functions import utf16
 from ..messages import TEXT
+from ..operators import envelopes
 from ..operators import report as reports
 from ..operators import semantic
 from ..operators.lint import analyze
 from ..operators.structure import structure
 from ..sources.files import table
-from . import built, relations
+from . import built, judgements, relations
 from .built import LIFTED_SQL, TRIM, lifted
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,8 +246,8 @@ _dictionary("leading_label", [(w, w) for w in ja.LEADERS] + [("", None)], "{}、
 _dictionary("predicates", CLAUSES, "#、{}。", lambda t: F.array_join(F.transform(ja.predicates(t), lambda p: p["surface"]), ","))
 _dictionary("demonstratives", POINTERS, "# {} #", lambda t: F.array_join(ja.demonstratives(t), ","))
 
-QUERIES |= built.QUERIES | relations.QUERIES
-ORACLES |= built.ORACLES | relations.ORACLES
+QUERIES |= built.QUERIES | relations.QUERIES | judgements.QUERIES
+ORACLES |= built.ORACLES | relations.ORACLES | judgements.ORACLES
 
 
 @query(
@@ -296,7 +297,7 @@ JOIN (VALUES {", ".join(f"({k}, {c}, {_quoted(n)}, {_quoted(s)})" for k, (_, c,
 )
 def semantic_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved envelopes, checked and turned into reports."""
-    rows = reports.reports_of(tiled(spark, sf_dir, [e for e, *_ in ENVELOPES]), "text")
+    rows = envelopes.reports_of(tiled(spark, sf_dir, [e for e, *_ in ENVELOPES]), "text")
     size = lambda name: F.json_array_length(F.get_json_object("report", f"$.{name}"))
     return rows.select("doc_id", "exit_code", size("lintMessages").alias("n_lint"), size("semanticNotices").alias("n_notices"))
 

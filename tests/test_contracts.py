@@ -10,6 +10,7 @@ from kotomill import cli
 from kotomill.config import PAIRS, THRESHOLD, load, validate
 from kotomill.errors import ConfigurationError, ContractValidationError, InputValidationError
 from kotomill.operators import candidates as C
+from kotomill.operators import envelopes
 from kotomill.operators import report as R
 from kotomill.operators import semantic
 from kotomill.plans import catalog
@@ -189,7 +190,7 @@ def test_envelope_files_and_lines(spark, tmp_path):
     (tmp_path / "all.jsonl").write_text("\n".join(t for t, *_ in catalog.ENVELOPES), encoding="utf-8")
     expected = sorted(c for _, c, *_ in catalog.ENVELOPES)
     for rows in (files.envelopes(spark, str(tmp_path / "e")), files.envelopes(spark, str(tmp_path / "all.jsonl"), lines=True)):
-        assert sorted(r.exit_code for r in R.reports_of(rows, "value").collect()) == expected
+        assert sorted(r.exit_code for r in envelopes.reports_of(rows, "value").collect()) == expected
     docs = spark.createDataFrame([(0, "（"), (1, "")], "doc_id long, text string")
     files.write_lines(R.as_json(R.report(docs, {"rules": {"D003": {"ruleId": "D003"}}})), str(tmp_path / "out"))
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
