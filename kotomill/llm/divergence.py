@@ -1,7 +1,6 @@
 """Divergence of a language's sources by their terms, in relational operations only.
 
-Terms are the matches of TERM with A-Z lower-cased. They are counted within a row first (sorted, the ends of equal stretches), so
-a row sends each of its terms once, with its count. A language keeps the terms that LEAST of its documents hold. The groups
+Terms are the matches of TERM with A-Z lower-cased, sorted within a text, so that a document counts once for a term where the term before differs. A language keeps the terms that LEAST of its documents hold. The groups
 (lang, source) cross the kept terms of their language, with 0 where a group lacks a term; p is a term's smoothed
 share in a group, q that in the language. The divergence of two sources sums f = (p-q)^2 / (p+q) over all kept terms, by a self-join on
 language and term; f is symmetric, so each pair is joined once and read both ways. A group's terms rank by f against its language.
@@ -38,21 +37,17 @@ def terms(text: Column) -> Column:
     return F.sort_array(F.array_remove(F.split(lowered, BETWEEN), ""))
 
 
-def _counted(sorted_: str) -> Column:
-    """(term, n) of a column of sorted terms: a stretch of equal terms starts where the term differs from the one before."""
-    starts = F.filter(F.transform(sorted_, lambda t, i: F.struct(t.alias("term"), i.alias("at"), ((i > 0) & (F.get(sorted_, i - 1) == t)).alias("same"))), lambda x: ~F.coalesce(x["same"], F.lit(False)))
-    return F.transform(starts, lambda x: F.struct(x["term"].alias("term"), x["at"].alias("at")))
-
-
 def counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> Cut:
-    """(lang, source, term, n, docs): occurrences of each term in each group and the documents that hold it; a null term for a group that occurs."""
+    """(lang, source, term, n, docs): occurrences of each term in each group and the documents that hold it; a null term for a group that occurs.
+
+    A text's sorted terms are exploded beside the terms before them; where the two differ a document's first occurrence of the term stands. The term before
+    the end that none follows makes the row of the group.
+    """
     read = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     rows = docs.select(read(lang).alias("lang"), read(source).alias("source"), terms(read(text)).alias("all"))
-    starts = rows.select("lang", "source", _counted("all").alias("starts"), F.size("all").alias("size"))
-    ended = F.transform("starts", lambda x, i: F.struct(x["term"].alias("term"), (F.coalesce(F.get("starts", i + 1)["at"], F.col("size")) - x["at"]).cast("long").alias("n")))
-    marked = F.concat(ended, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"))))
-    each = starts.select("lang", "source", F.explode(marked).alias("t")).select("lang", "source", "t.term", "t.n")
-    return Cut(each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")), "term-counts")
+    beside = F.arrays_zip(F.col("all").alias("term"), F.concat(F.array(F.lit("")), "all").alias("before"))
+    each = rows.select("lang", "source", F.explode(beside).alias("t")).select("lang", "source", "t.term", (F.col("t.term") != F.col("t.before")).cast("long").alias("first"))
+    return Cut(each.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs")), "term-counts")
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:
