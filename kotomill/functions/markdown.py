@@ -1,9 +1,9 @@
 """Markdown structure in plain Python: code ranges and projected paragraphs.
 
 A subset of CommonMark with GFM tables: headings (ATX, setext), thematic breaks, fenced and indented code,
-HTML blocks, block quotes and lists with lazy continuation, reference definitions, front matter, footnote
-definitions; in paragraphs code spans, emphasis, strikethrough, links, images, autolinks, inline HTML,
-entities, escapes and hard breaks. Not covered: tab stops inside containers, nested link edge cases.
+HTML blocks, block quotes and lists with lazy continuation, task items, reference definitions, front matter, footnote
+definitions; in paragraphs code spans, emphasis, strikethrough, links, images, autolinks, footnote references, inline HTML,
+entities, escapes and hard breaks. A task item's paragraph begins behind its box, and a footnote reference shows nothing. Not covered: tab stops inside containers, nested link edge cases.
 All offsets are code points. Containers may nest to any depth: they are worked off a list, not by recursion, and the
 levels that all lines of a block quote share are opened at once.
 """
@@ -25,12 +25,14 @@ _HTML = re.compile(r" {0,3}<(?:!--|[?]|![A-Za-z]|!\[CDATA\[|/?(?:address|article
 _HTML_END = ((re.compile(r" {0,3}<!--"), "-->"), (re.compile(r" {0,3}<[?]"), "?>"), (re.compile(r" {0,3}<!\[CDATA\["), "]]>"), (re.compile(r" {0,3}<(?:script|pre|style|textarea)(?:[\s>]|$)", re.I), "</"))
 _RULE_ROW = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 _DEFINITION = re.compile(r" {0,3}\[(?!\^)((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*(?:<[^<>]*>|\S+)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*$")
+_TASK = re.compile(r"\[[ \txX]\][ \t]+(?=\S)")
 _FOOTNOTE = re.compile(r" {0,3}\[\^[^\]\s]+\]:[ \t]*")
 
 _INLINE_HTML = re.compile(r"<(?:/[A-Za-z][A-Za-z0-9-]*\s*|[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?|!--.*?--|[?].*?[?]|![A-Z][^>]*)>", re.S)
 _AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[\w-]+(?:\.[\w-]+)*)>")
 _ENTITY = re.compile(r"&(?:#[xX][0-9a-fA-F]{1,6}|#\d{1,7}|[A-Za-z][A-Za-z0-9]{1,31});")
 _DESTINATION = re.compile(r"\(\s*(?:<(?:[^<>\\\n]|\\.)*>|(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*)(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)", re.S)
+_REFERENCE = re.compile(r"\[\^[^\]\s]+\]")
 _MARK = re.compile(r"`+|\\|&|<|!\[|\[|\]|\*+|_+|~~|\n")
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -174,7 +176,9 @@ def _level(lines: list[Line], out: Structure, todo: list[list[Line]]) -> None:
             close()
             pad = len(item[3]) if 1 <= len(item[3]) <= 4 and not _blank(line[item.end() :]) else 1
             width = len(item[1]) + len(item[2]) + pad
-            inner = [(at + min(width, len(line)), line[width:])]
+            box = _TASK.match(line, width)
+            start = box.end() if box else min(width, len(line))
+            inner = [(at + start, line[start:])]
             lazy, gap = not _blank(line[width:]), False
             i += 1
             while i < n:
@@ -279,6 +283,8 @@ def _inline(lines: list[Line], references: set[str]) -> tuple[str, list[tuple[in
                 at = (link or tag).end()
             else:
                 out.append("<")
+        elif mark == "[" and (note := _REFERENCE.match(text, i)):
+            at = note.end()
         elif mark in ("[", "!["):
             brackets.append((len(out), at))
             out.append(mark)

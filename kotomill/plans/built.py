@@ -15,7 +15,7 @@ from ..functions import japanese as ja
 from ..operators import report as reports
 from ..operators.lint import analyze, with_findings
 from ..operators.structure import structure
-from ..sources.files import scratch, table
+from ..sources.files import table, temporary
 from ..streaming import lint as streaming
 from .. import messages as said
 
@@ -145,6 +145,23 @@ SELECT doc_id, CAST(s AS INTEGER) AS "start", CAST(s + n AS INTEGER) AS "end", t
 )
 
 
+def markdown_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projected paragraphs of task items, of footnotes and of texts that refer to them: boxes and references are no text."""
+    docs = _built(spark, sf_dir, _text("- [ ] ", A, "\n- [x] ", B, "[^1]！\n\n", C, "[^n]！\n\n[^n]: ", A))
+    rows = structure(docs, fields=("paragraphs",)).select("doc_id", F.explode("paragraphs").alias("p"))
+    return rows.select("doc_id", "p.start", "p.end", F.col("p.text").alias("projection"))
+
+
+_add(
+    "markdown_notes",
+    f"""WITH {THIRDS_SQL}, x AS (SELECT *, length(a) AS la, length(b) AS lb, length(c) AS lc FROM thirds),
+p AS (SELECT doc_id, 6 AS s, la AS n, a AS t FROM x UNION ALL SELECT doc_id, la + 13, lb + 5, b || '！' FROM x
+UNION ALL SELECT doc_id, la + lb + 20, lc + 5, c || '！' FROM x UNION ALL SELECT doc_id, la + lb + lc + 33, la, a FROM x)
+SELECT doc_id, CAST(s AS INTEGER) AS "start", CAST(s + n AS INTEGER) AS "end", t AS projection FROM p""",
+    markdown_notes,
+)
+
+
 def code_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences outside a fence, which also ends them."""
     return _findings(_built(spark, sf_dir, _text(A, "\n\n```\n", B, "\n```\n\n", C)), "H101", {"threshold": 40}, exclude={"codeBlocks": True})
@@ -244,21 +261,44 @@ UNION ALL SELECT doc_id, CASE left(o, 1) WHEN '）' THEN '（' ELSE '「' END, C
 _rule("d003_stack", "D003", {}, BRACKETS, stack_sql)
 
 
+#: A document's words as three words, by whether their length is even, odd or one; a mark ends every chain of 40.
+WORDS = (("[^ 。！？、]{2}", "z"), ("[^ 。！？、z]", "y"), ("z+", "z"), ("((?:[zy]+ ){40})", "{}1。"))
+
+
+def _three_words() -> Column:
+    column = line()
+    for a, b in WORDS:
+        column = F.regexp_replace(column, a, b.format("$"))
+    return column
+
+
+def _three_words_sql() -> str:
+    sql = LINE_SQL
+    for a, b in WORDS:
+        sql = f"regexp_replace({sql}, '{a}', '{b.format(chr(92))}', 'g')"
+    return sql
+
+
 def d006_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's first two words three times, and its third twice."""
-    words = F.regexp_extract_all(F.lower(line()), F.lit("[a-z]{2,}"), F.lit(0))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("size(w) > 2")
-    one, two, three = (F.get("w", F.lit(k)) for k in range(3))
-    return _findings(docs.select("doc_id", F.concat(F.repeat(F.concat(one, F.lit(" "), two, F.lit(" ")), F.lit(3)), F.lit("。"), three, F.lit("　"), three).alias("text")), "D006", {"maxConsecutive": 1})
+    """Repeated groups of every length in the whole prose, whose words become three."""
+    return _findings(_built(spark, sf_dir, _three_words()), "D006", {"maxConsecutive": 1})
 
 
+#: By the definition: of each word the longest group that repeats at once, all its copies, and a walk that jumps over them.
 _add(
     "d006_groups",
-    f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower({LINE_SQL}), '[a-z]{{2,}}') AS w FROM documents),
-n AS (SELECT doc_id, w[1] = w[2] AS same, length(w[1]) AS a, length(w[2]) AS b, length(w[3]) AS c, length(w[1]) + length(w[2]) + 2 AS p FROM w WHERE len(w) > 2),
-every AS (SELECT doc_id, p AS s, 2 * p - 1 AS e FROM n WHERE NOT same UNION ALL SELECT doc_id, 2 * p, 3 * p - 1 FROM n WHERE NOT same
-UNION ALL SELECT doc_id, 3 * (a + 1), 6 * (a + 1) - 1 FROM n WHERE same UNION ALL SELECT doc_id, 3 * p + 2 + c, 3 * p + 2 + 2 * c FROM n),
-spans AS (SELECT doc_id, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end" FROM every) {_rows("D006", "spans", said.TEXT["D006"])}""",
+    f"""WITH RECURSIVE docs AS (SELECT doc_id, {_three_words_sql()} AS t FROM documents),
+cut AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^。！？、]+|[。！？、]+')) AS c, generate_subscripts(regexp_extract_all(t, '[^。！？、]+|[。！？、]+'), 1) AS i FROM docs),
+placed AS (SELECT *, sum(length(c)) OVER (PARTITION BY doc_id ORDER BY i) - length(ltrim(c)) AS base FROM cut),
+words AS (SELECT doc_id, i, base, [x for x in string_split(c, ' ') if x <> ''] AS w FROM placed WHERE regexp_matches(c, '[zy]')),
+chains AS (SELECT DISTINCT w FROM words), starts AS (SELECT w, unnest(range(1, len(w))) AS s FROM chains), sizes AS (SELECT w, s, unnest(range(1, (len(w) - s + 1) // 2 + 1)) AS g FROM starts),
+longest AS (SELECT w, s, max(g) AS g FROM sizes WHERE w[s:s + g - 1] = w[s + g:s + 2 * g - 1] GROUP BY w, s),
+groups AS (SELECT *, list_min([k for k in range(2, len(w) + 1) if w[s:s + g - 1] <> w[s + k * g:s + (k + 1) * g - 1]]) AS copies FROM longest),
+walk AS (SELECT w, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS g, CAST(0 AS BIGINT) AS copies, CAST(1 AS BIGINT) AS after FROM chains
+UNION ALL SELECT w, s, g, copies, s + copies * g FROM (SELECT h.*, row_number() OVER (PARTITION BY h.w ORDER BY h.s) AS turn FROM walk k JOIN groups h ON h.w = k.w AND h.s >= k.after) WHERE turn = 1),
+told AS (SELECT w, s, g, unnest(range(1, copies)) AS k FROM walk WHERE copies > 0),
+spread AS (SELECT w, list_sum([length(x) + 1 for x in w[1:s + k * g - 1]]) AS a, list_sum([length(x) + 1 for x in w[1:s + (k + 1) * g - 1]]) - 1 AS b FROM told),
+spans AS (SELECT doc_id, CAST(base + coalesce(a, 0) AS INTEGER) AS "start", CAST(base + b AS INTEGER) AS "end" FROM words JOIN spread USING (w)) {_rows("D006", "spans", said.TEXT["D006"])}""",
     d006_groups,
 )
 
@@ -305,14 +345,12 @@ _add("report_order", f"""{_EVERY} SELECT doc_id, CAST(row_number() OVER (PARTITI
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings per rule and five minutes of arrival, appended once the watermark has passed the window; a document arrives each minute."""
-    import uuid
-
     docs = table(spark, sf_dir, "documents")
     stream = streaming.documents(spark, f"{sf_dir}/documents.parquet*", docs.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), files=1 << 20)
     arrived = stream.select(F.timestamp_seconds(F.col("doc_id") * 60).alias("arrived"), line().alias("text"))
     rows = streaming.counts(arrived, {"rules": {"D007": {"ruleId": "D007", "patterns": ["ti", "at"]}, "H101": {"ruleId": "H101", "threshold": 60}}}, "arrived")
     flat = rows.select(F.unix_timestamp("window.start").alias("opened"), "rule_id", "n")
-    where = f"{scratch(spark)}/counts-{uuid.uuid4().hex}"
+    where = temporary(spark, "counts")
     streaming.write(flat, f"{where}/out", f"{where}/state").awaitTermination()
     return spark.read.schema(flat.schema).parquet(f"{where}/out")
 

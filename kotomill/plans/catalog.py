@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -168,13 +167,13 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_findings", f"WITH {DOCS} {D004_SQL}")
 def stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rule over a stream of the documents' files, written exactly once and read back."""
-    from ..sources.files import scratch
+    from ..sources.files import temporary
     from ..streaming import lint as streaming
 
     docs = table(spark, sf_dir, "documents")
     stream = streaming.documents(spark, f"{sf_dir}/documents.parquet*", docs.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
     rows = streaming.findings(stream.select("doc_id", lifted().alias("text")), {"rules": {"D004": {"ruleId": "D004", "forbiddenTerms": FORBIDDEN}}}).select(*OUT)
-    where = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    where = temporary(spark, "stream")
     streaming.write(rows, f"{where}/out", f"{where}/state").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{where}/out")
 

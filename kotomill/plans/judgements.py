@@ -17,8 +17,9 @@ from ..functions import utf16
 from ..operators import envelopes, intervals, semantic
 from ..operators import report as reports
 from ..operators.lint import analyze, with_findings
-from ..sources.files import table
+from ..sources.files import table, temporary
 from ..sources.written import Written
+from ..streaming import reports as run_reports
 from .built import LINE_SQL, _places, line
 
 QUERIES: dict = {}
@@ -158,3 +159,35 @@ def gates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GATES_SQL = ("count(*) >= 20", "avg(length(text)) < 2600", "max(length(text)) < 30000", "count(DISTINCT lang) >= 4", "min(doc_id) < 60")
 _add("gates_by_source", "SELECT source, " + " AND ".join(f"coalesce({g}, false)" for g in _GATES_SQL) + " AS accepted, CAST(" + " + ".join(f"CASE WHEN {g} THEN 1 ELSE 0 END" for g in _GATES_SQL) + " AS INTEGER) AS passed FROM documents GROUP BY source", gates_by_source)
+
+
+def _told(spark: SparkSession, folder: str) -> DataFrame:
+    """How many envelopes of a run have each exit code and error."""
+    reported, refused = run_reports.results(spark, folder)
+    each = reported.select(F.get_json_object("value", "$.exitCode").cast("int").alias("exit_code"), F.lit(None).cast("string").alias("error")).unionByName(refused.select(F.lit(2).alias("exit_code"), "error"))
+    return each.groupBy("exit_code", "error").agg(F.count("*").alias("n"))
+
+
+def _envelope_files(spark: SparkSession, sf_dir: str) -> str:
+    path = temporary(spark, "envelope-lines")
+    envelope_table(spark, sf_dir).select("value").repartition(4).write.text(path)
+    return path
+
+
+def envelope_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over files of envelopes, one a line: reports and quarantine, counted."""
+    folder = temporary(spark, "run")
+    run_reports.run(spark, _envelope_files(spark, sf_dir), folder)
+    return _told(spark, folder)
+
+
+def envelope_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream of one file a micro-batch."""
+    folder, state = temporary(spark, "run"), temporary(spark, "state")
+    run_reports.stream(spark, _envelope_files(spark, sf_dir), folder, state, files=1).awaitTermination()
+    return _told(spark, folder)
+
+
+_RUN_SQL = f"SELECT exit_code, error, count(*) AS n FROM ({ORACLES['envelope_reports']}) GROUP BY ALL"
+_add("envelope_run", _RUN_SQL, envelope_run)
+_add("envelope_stream", _RUN_SQL, envelope_stream)

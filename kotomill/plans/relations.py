@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import messages as said
-from ..operators import dictionary, intervals, runs
+from ..config import PAIRS
+from ..operators import dictionary, intervals, nesting, runs
 from ..operators.structure import structure
 from ..functions import japanese as ja
 from ..sources.files import table
@@ -205,3 +206,19 @@ def _row_runs(name: str, of: str, label: Callable[[Column], Column]) -> None:
 
 _row_runs("h107_rows", "h107_runs", ja.leading)
 _row_runs("h108_rows", "h108_runs", ja.terminal)
+
+# --- texts in pieces ------------------------------------------------------------------------------
+
+PIECE = 97
+
+
+def d003_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marks without a partner of texts that lie in many rows each."""
+    docs = built._built(spark, sf_dir, built._swapped(built.BRACKETS))
+    begin = F.expr(f"transform(sequence(0, greatest(length(text) - 1, 0), {PIECE}), o -> struct(o AS offset, substring(text, o + 1, {PIECE}) AS text))")
+    pieces = docs.select("doc_id", F.posexplode(begin).alias("n", "p")).select("doc_id", "n", "p.offset", "p.text")
+    found, _ = nesting.nested(pieces, pairs=PAIRS)
+    return found.select("doc_id", F.col("start").cast("int").alias("start"), F.format_string(said.TEXT["D003"].replace("{t}", "%s"), "mark").alias("message"))
+
+
+_add("d003_pieces", f"""SELECT doc_id, "start", message FROM ({built.stack_sql(f"SELECT doc_id, lang, 0 AS base, {built._swapped_sql(built.BRACKETS)} AS t FROM documents")})""", d003_pieces)

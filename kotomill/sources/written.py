@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import scratch
+from .files import temporary
 
 #: A side of a join is broadcast if its rows take at most this much, by rows and lengths of strings; above it the same join shuffles.
 BROADCAST_BYTES = 32 << 20
@@ -18,9 +16,8 @@ class Written:
 
     def __init__(self, rows: DataFrame, name: str):
         self.spark, self.schema = rows.sparkSession, rows.schema
-        self.path = f"{scratch(self.spark)}/kotomill/{name}-{uuid.uuid4().hex}"
+        self.path = temporary(self.spark, name)
         rows.write.parquet(self.path)
-        self._files().deleteOnExit(self._path())
 
     def _path(self):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)

@@ -45,7 +45,7 @@ def test_defaults():
 
 
 def test_report_order_and_exit_code(spark):
-    docs = spark.createDataFrame([(0, "（長い文章です。]"), (1, "短い。"), (2, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(0, "（港に船が着く。]"), (1, "短い。"), (2, None)], "doc_id long, text string")
     rows = {r.doc_id: r for r in R.report(docs, {"rules": {"D003": {"ruleId": "D003"}, "H101": {"ruleId": "H101", "threshold": 5}}}).collect()}
     assert [(m.ruleId, m.range.start, m.range.end) for m in rows[0].lintMessages] == [("H101", 0, 8), ("D003", 8, 9)] and rows[2].lintMessages is None
     assert rows[0].exitCode == 1 and rows[1].exitCode == 0 and rows[2].exitCode == 2
@@ -142,7 +142,7 @@ def test_usage(capsys):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    docs = spark.createDataFrame([(k, "必ず成功する。" * (k % 3)) for k in range(20)], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, "必ず雨が降る。" * (k % 3)) for k in range(20)], "doc_id long, text string")
     docs.repartition(3).write.parquet(str(tmp_path / "in"))
     config = {"rules": {"D004": {"ruleId": "D004", "forbiddenTerms": ["必ず"]}, "H107": {"ruleId": "H107", "threshold": 1}}}
     stream = streaming.documents(spark, str(tmp_path / "in"), "doc_id long, text string", files=1)
@@ -169,7 +169,7 @@ def test_stream_counts_append(spark, tmp_path):
 def test_analyze_command(tmp_path, monkeypatch, capsys, spark):
     """--analyze reads the configuration's file, prints one report and exits with its code."""
     (tmp_path / "config.json").write_text(json.dumps({"rules": {"D003": {"ruleId": "D003"}, "H101": {"ruleId": "H101", "threshold": 5}}}))
-    (tmp_path / "a.md").write_text("（長い文章です。]", encoding="utf-8")
+    (tmp_path / "a.md").write_text("（港に船が着く。]", encoding="utf-8")
     (tmp_path / "b.md").write_text("短い。", encoding="utf-8")
     monkeypatch.setenv("KOTOMILL_CONFIG_HOME", str(tmp_path))
     assert cli.main(["--analyze", str(tmp_path / "a.md")]) == 1

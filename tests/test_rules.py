@@ -45,16 +45,16 @@ def test_sentence_labels(spark):
 
 def test_sentence_analysis(spark):
     """Tokens of all four roles with rebased ranges, sorted by start and role."""
-    cases = [("また、資料を読みます。", 10), ("それは駅です、これを😀説明するか？", 0), ("", 3), ("abc", 5)]
+    cases = [("一方、手紙を書きます。", 10), ("それは駅です、これを😀説明するか？", 0), ("", 3), ("abc", 5)]
     rows = spark.createDataFrame(cases, "t string, o int")
     got = [r[0] for r in rows.select(ja.analysis(F.col("t"), F.col("o"))).collect()]
     token = lambda t: (t.role, t.start, t.end, t.surfaceForm, t.lemma, t.morphologyLabel)
-    assert [token(t) for t in got[0].tokens] == [("leading", 10, 12, "また", "また", None), ("predicate", 16, 20, "読みます", "読む", None), ("terminal", 16, 20, "読みます", "読む", "verb:読む:polite-nonpast")]
+    assert [token(t) for t in got[0].tokens] == [("leading", 10, 12, "一方", "一方", None), ("predicate", 16, 20, "書きます", "書く", None), ("terminal", 16, 20, "書きます", "書く", "verb:書く:polite-nonpast")]
     assert [token(t) for t in got[1].tokens] == [
         ("demonstrative", 0, 2, "それ", "それ", None), ("leading", 0, 6, "それは駅です", "それは駅です", None), ("predicate", 4, 6, "です", "です", None),
         ("demonstrative", 7, 9, "これ", "これ", None), ("terminal", 12, 16, "説明する", "説明する", "verb:説明する:plain-nonpast|particle:か"),
     ]
-    assert (got[0].predicateGroupCount, got[0].leadingSurfaceLabel, got[0].terminalMorphologyLabel) == (1, "また", "verb:読む:polite-nonpast")
+    assert (got[0].predicateGroupCount, got[0].leadingSurfaceLabel, got[0].terminalMorphologyLabel) == (1, "一方", "verb:書く:polite-nonpast")
     assert got[1].demonstrativeLemmas == ["それ", "これ"] and got[2].tokens == [] and got[3].tokens == []
 
 
@@ -72,7 +72,7 @@ def test_order_and_ranges(spark):
 
 
 def test_wide_prefix_shifts_by_two(spark):
-    docs = spark.createDataFrame([(0, "必ず成功する。"), (1, "😀必ず成功する。")], "doc_id long, text string")
+    docs = spark.createDataFrame([(0, "必ず雨が降る。"), (1, "😀必ず雨が降る。")], "doc_id long, text string")
     rows = {r.doc_id: r.start for r in analyze(docs, {"rules": {"D004": {"ruleId": "D004", "forbiddenTerms": ["必ず"]}}}).collect()}
     assert rows[1] == rows[0] + 2
 
