@@ -110,7 +110,7 @@ ROW = "n long, id long, dim int, g int, square double, raw binary, far array<flo
 class Table:
     """The rows with their pivot distances, and what the driver knows of them: the sample, and the groups' ranges.
 
-    The driver holds SAMPLE vectors and at most SAMPLE groups, whatever the table's size.
+    The driver holds SAMPLE vectors and the groups: at most PIVOTS for each length that the sample has, one for each other length.
     """
 
     def __init__(self, vectors: DataFrame, key: str, vector: str):
