@@ -12,9 +12,9 @@ one document with equal numbers are taken in the order of their offsets; an empt
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import cache, reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,27 +25,33 @@ from ..sources.written import Written
 FAN = 64
 MARKS = "array<struct<mark:string,start:long>>"
 FIELDS = {"closers": MARKS, "code": "boolean", "openers": MARKS, "found": MARKS, "net": "long", "most": "long"}
-STATE = ", ".join(f"{name} {kind}" for name, kind in FIELDS.items())
+STRUCT = f"struct<{', '.join(f'{name}: {kind}' for name, kind in FIELDS.items())}>"
 _MARKS = pa.list_(pa.struct([("mark", pa.string()), ("start", pa.int64())]))
 Stretch = tuple[list, bool, list, list, int, int]  # closers, code, openers, found, net, most
 
 
+@cache
+def _marks(pairs: tuple[tuple[str, str], ...]) -> re.Pattern:
+    return re.compile("|".join(re.escape(m) for p in pairs for m in p) or r"(?!)")
+
+
 def stretch(text: str, offset: int, code: bool, pairs: dict[str, str]) -> Stretch:
     """What a piece of text does; a piece of code takes all that is open."""
     if code:
         return [], True, [], [], 0, 0
-    closers, openers, found, depth, most, closing = [], [], [], 0, 0, set(pairs.values())
-    for i, c in enumerate(text):
+    closers, openers, found, depth, most = [], [], [], 0, 0
+    for m in _marks(tuple(pairs.items())).finditer(text):
+        c, at = m[0], offset + m.start()
         if c in pairs:
-            openers.append((c, offset + i))
+            openers.append((c, at))
             depth += 1
             most = max(most, depth)
-        elif c in closing:
+        else:
             depth -= 1
             if not openers:
-                closers.append((c, offset + i))
+                closers.append((c, at))
             elif pairs[openers.pop()[0]] != c:
-                found.append((c, offset + i))
+                found.append((c, at))
     return closers, False, openers, found, depth, most
 
 
@@ -67,27 +73,28 @@ def combined(a: Stretch, b: Stretch, pairs: dict[str, str]) -> Stretch:
     return closers, a[1] or b[1], [*open_, *b[2]], found, a[4] + b[4], max(a[5], a[4] + b[5])
 
 
+def _arrays(rows: list[Stretch]) -> pa.StructArray:
+    held = lambda k: pa.array([[{"mark": m, "start": s} for m, s in r[k]] for r in rows], _MARKS)
+    plain = lambda k, t: pa.array([r[k] for r in rows], t)
+    return pa.StructArray.from_arrays([held(0), plain(1, pa.bool_()), held(2), held(3), plain(4, pa.int64()), plain(5, pa.int64())], list(FIELDS))
+
+
 def _merge(pairs: dict[str, str]):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "o"], kind="stable")
+    """An Arrow function of lists of neighbours in order: what those of a list do together."""
+
+    def run(lists: pa.Array) -> pa.Array:
         plain = lambda marks: [(m["mark"], m["start"]) for m in marks]
-        parts = [(plain(r.closers), bool(r.code), plain(r.openers), [], int(r.net), int(r.most)) for r in rows.itertuples(index=False)]
-        closers, code, openers, found, net, most = reduce(lambda a, b: combined(a, b, pairs), parts)
-        held = lambda marks: [{"mark": m, "start": s} for m, s in marks]
-        first = rows.iloc[0]
-        return pd.DataFrame({"k": [first["k"]], "n": [first["g"]], "o": [first["o"]], "closers": [held(closers)], "code": [code], "openers": [held(openers)], "found": [held(found)], "net": [net], "most": [most]})
+        part = lambda r: (plain(r["closers"]), r["code"], plain(r["openers"]), [], r["net"], r["most"])
+        return _arrays([reduce(lambda a, b: combined(a, b, pairs), map(part, x.as_py())) for x in lists])
 
-    return run
+    return F.arrow_udf(run, STRUCT)
 
 
 def _started(pairs: dict[str, str]):
     def run(texts: pa.Array, offsets: pa.Array, codes: pa.Array) -> pa.Array:
-        rows = [stretch(t or "", o or 0, bool(c), pairs) for t, o, c in zip(texts.to_pylist(), offsets.to_pylist(), codes.to_pylist(), strict=True)]
-        held = lambda k: pa.array([[{"mark": m, "start": s} for m, s in r[k]] for r in rows], _MARKS)
-        plain = lambda k, t: pa.array([r[k] for r in rows], t)
-        return pa.StructArray.from_arrays([held(0), plain(1, pa.bool_()), held(2), held(3), plain(4, pa.int64()), plain(5, pa.int64())], ["closers", "code", "openers", "found", "net", "most"])
+        return _arrays([stretch(t or "", o or 0, bool(c), pairs) for t, o, c in zip(texts.to_pylist(), offsets.to_pylist(), codes.to_pylist(), strict=True)])
 
-    return F.arrow_udf(run, f"struct<{', '.join(f'{name}: {kind}' for name, kind in FIELDS.items())}>")
+    return F.arrow_udf(run, STRUCT)
 
 
 def nested(pieces: DataFrame, key: str = "doc_id", order: str = "n", text: str = "text", offset: str = "offset", code: str | None = None, pairs: tuple[tuple[str, str], ...] = PAIRS) -> tuple[DataFrame, DataFrame]:
@@ -100,12 +107,12 @@ def nested(pieces: DataFrame, key: str = "doc_id", order: str = "n", text: str =
     now = Written(begun.select("k", "n", F.coalesce("o", F.lit(0)).alias("o"), "s.*"), "stretches")
     told = [now.df.select("k", F.explode("found").alias("m"))]
     most = now.df.agg(F.max("n")).first()[0] or 0
-    kind = dict(now.df.dtypes)["k"]
     ties = bool(now.df.groupBy("k", "n").count().where("count > 1").limit(1).count())
     while most > 0 or ties:
         ties = False
-        grouped = now.df.drop("found").withColumn("g", F.floor(F.col("n") / FAN)).groupBy("k", "g")
-        now = Written(grouped.applyInPandas(_merge(partner), f"k {kind}, n long, o long, {STATE}"), "stretches")
+        row = F.struct("n", "o", *(c for c in FIELDS if c != "found"))
+        lists = now.df.groupBy("k", F.floor(F.col("n") / FAN).alias("g")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+        now = Written(lists.select("k", F.col("g").alias("n"), F.col("rows")[0]["o"].alias("o"), _merge(partner)("rows").alias("s")).select("k", "n", "o", "s.*"), "stretches")
         told.append(now.df.select("k", F.explode("found").alias("m")))
         most //= FAN
     told.append(now.df.select("k", F.explode(F.concat("closers", "openers")).alias("m")))

@@ -48,3 +48,17 @@ def test_edges(spark):
     assert found.count() == 0 and depths.count() == 0
     with pytest.raises(ValueError, match="single"):
         nesting.nested(table, pairs=(("<<", ">>"),))
+
+
+def test_many_short_documents_without_a_call_for_each(spark, monkeypatch):
+    """The stretches of a document are combined in batches of many documents."""
+
+    def refuse(*_):
+        raise AssertionError("a pandas call for each document")
+
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandas", refuse)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("（）「」x") for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    rows = [r for k, t in enumerate(texts) for r in cut(rng, k, t, 3)]
+    found, _ = nesting.nested(spark.createDataFrame(rows, SCHEMA).repartition(4), code="code")
+    assert sorted(map(tuple, found.collect())) == sorted((k, m, s) for k, t in enumerate(texts) for m, s, _ in brackets(t, PAIRS))
