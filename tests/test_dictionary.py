@@ -59,3 +59,22 @@ def test_edges(spark, limit):
     assert sorted(map(tuple, matches(docs, one, broadcast_bytes=limit).collect()), key=str) == [(1, "ab", 0, 2), (1, "ab", 0, 2), (None, "ab", 0, 2)]
     assert matches(docs, one.where("false"), broadcast_bytes=limit).count() == 0
     assert matches(docs.where("false"), one, broadcast_bytes=limit).count() == 0
+
+
+def test_equal_segments_are_searched_once(spark, monkeypatch):
+    """Only the different segments of the texts, between the kana that guards read, ask for terms."""
+    from kotomill.operators import dictionary
+
+    tables = {}
+
+    class Kept(dictionary.Written):
+        def __init__(self, rows, name):
+            super().__init__(rows, name)
+            tables[name] = self
+
+    monkeypatch.setattr(dictionary, "Written", Kept)
+    texts = ["あb 漢あb うあb あbう 😀あb"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, matches(docs, spark.createDataFrame([("あb",), ("b",)], "term string"), bounded=True, broadcast_bytes=0).collect()))
+    assert got == sorted((k, *m) for k, t in enumerate(texts) for m in plain(t, ["あb", "b"], True))
+    assert tables["different-segments"].df.count() == 2
