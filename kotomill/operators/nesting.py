@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PAIRS
+from ..sources.batches import small_batches
 from ..sources.written import Written
 
 FAN = 64
@@ -101,6 +102,7 @@ def nested(pieces: DataFrame, key: str = "doc_id", order: str = "n", text: str =
     """((key, mark, start) of every mark without a partner, (key, depth) of every document: null if it has such a mark)."""
     if any(len(m) != 1 for p in pairs for m in p):
         raise ValueError("marks of texts in pieces are single characters")
+    small_batches(pieces.sparkSession)
     partner = dict(pairs)
     state = _started(partner)(F.col(f"`{text}`"), F.col(f"`{offset}`").cast("long"), F.col(f"`{code}`") if code else F.lit(False))
     begun = pieces.select(F.col(f"`{key}`").alias("k"), F.col(f"`{order}`").cast("long").alias("n"), F.col(f"`{offset}`").cast("long").alias("o"), state.alias("s"))

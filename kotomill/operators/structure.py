@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown, sentences
+from ..sources.batches import small_batches
 
 #: Stands for one character of code where texts are scanned.
 FILLER = "\ufdd0"
@@ -135,8 +136,8 @@ def structured(text: Column, wanted: tuple[str, ...], scans: Mapping[str, Scan]
 
     def run(texts: pa.Array) -> pa.Array:
         parts = []
-        for start in range(0, max(1, len(texts)), 256):
-            rows = [None if x is None else describe(x, chosen, scans) for x in texts[start : start + 256].to_pylist()]
+        for start in range(0, max(1, len(texts)), 64):
+            rows = [None if x is None else describe(x, chosen, scans) for x in texts[start : start + 64].to_pylist()]
             parts.append(pa.StructArray.from_arrays([_lists([r and r[name] for r in rows], kind) for name, kind in kinds.items()], list(kinds)))
         return pa.concat_arrays(parts)
 
@@ -154,5 +155,6 @@ def fresh(names: list[str], like: str) -> str:
 
 def structure(docs: DataFrame, text: str = "text", fields: tuple[str, ...] = (*FIELDS, *DETAILS)) -> DataFrame:
     """The same rows with the chosen structure columns added; a null text has null structure."""
+    small_batches(docs.sparkSession)
     name = fresh(docs.columns, "structure")
     return docs.withColumn(name, structured(F.col(f"`{text}`"), fields)).select(*(F.col(f"`{c}`") for c in docs.columns), f"{name}.*")

@@ -67,3 +67,15 @@ def test_utf16(spark):
     assert [(r.r and (r.r.start, r.r.end)) for r in got] == [(1, 3), (3, 5), None, None, (0, 1)]
     assert [r.n for r in got] == [6, 6, 1, 1, 5]
     assert got[-1].trim == "a"
+
+
+def test_batches_are_bounded(spark):
+    """Texts reach Python in batches of bounded rows and bytes, whatever the session had."""
+    from kotomill.operators.structure import structure
+    from kotomill.sources.batches import BATCH_BYTES, BATCH_ROWS
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "256m")
+    structure(spark.createDataFrame([(1, "a")], "doc_id long, text string"), fields=("sentences",))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{BATCH_BYTES}b"
