@@ -162,7 +162,7 @@ def h106(rule: Rule, of: Pass) -> Column:
     span = F.struct(F.get(rows, F.lit(0))["start"].alias("start"), F.get(rows, n - 1)["end"].alias("end"))
 
     def judged(found: Column) -> Column:
-        actual = F.floor(F.when(n > 0, found / n * 100) + 0.5).cast("int")
+        actual = F.floor(F.when(n > 0, found.cast("double") * 100 / n) + 0.5).cast("int")
         one = F.array(finding(rule, span, text_of(TEXT["H106"], t=F.lit(rule.threshold), a=actual), actual))
         return F.when((n >= 3) & (found >= 3) & (actual > rule.threshold), one).otherwise(none())
 

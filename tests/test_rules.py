@@ -207,3 +207,11 @@ def test_findings_are_computed_once(spark):
     docs = spark.createDataFrame([(0, "（")], "doc_id long, text string")
     plan = analyze(docs, {"rules": {"D003": {"ruleId": "D003"}}})._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("の対応が一致しません") == 1
+
+
+def test_h106_rounds_the_exact_share(spark):
+    """57 of 200 are 28.5 percent; 57 / 200 * 100 is less as a double."""
+    from kotomill.operators.lint import analyze
+
+    docs = spark.createDataFrame([(1, "これは本。" * 57 + "本。" * 143)], "doc_id long, text string")
+    assert [r.actual for r in analyze(docs, {"rules": {"H106": {"ruleId": "H106", "threshold": 5}}}).collect()] == [29]
