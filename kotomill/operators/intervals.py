@@ -1,7 +1,7 @@
 """Joins of spans and ranges that lie in separate tables: the first range that contains a span, spans without any, and all pairs.
 
 A range of length l is filed at the level of the smallest power of two that l does not exceed, in the one or two stretches of that length that it
-touches. A span asks at every level that occurs for the one stretch where it starts, so an equi-join on (key, level, stretch) finds every range
+touches. A span asks at every level that occurs (for ranges that contain it: at those not below its own) for the one stretch where it starts, so an equi-join on (key, level, stretch) finds every range
 that holds its start. Ranges that begin inside a span are found the other way round, with the spans filed. No task gets a document: its
 stretches are spread, however many ranges it has, and rows meet only where they are near. Equal spans and equal ranges of a key are joined once.
 
@@ -20,17 +20,21 @@ from pyspark.sql import functions as F
 CONTAINED, OVERLAPPING = "contained", "overlapping"
 
 
+def _level() -> Column:
+    return F.ceil(F.log2((F.col("e") - F.col("s")).cast("double"))).cast("int")
+
+
 def _filed(rows: DataFrame) -> DataFrame:
     """Rows with k, s, e, filed at their level and stretches."""
-    level = F.ceil(F.log2((F.col("e") - F.col("s")).cast("double"))).cast("int")
     width = F.expr("shiftleft(1L, level)")
-    return rows.withColumn("level", level).withColumn("stretch", F.explode(F.array_distinct(F.array(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width)))))
+    return rows.withColumn("level", _level()).withColumn("stretch", F.explode(F.array_distinct(F.array(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width)))))
 
 
-def _asking(rows: DataFrame, levels: list[int]) -> DataFrame:
-    """Rows with k, s, e, for each level with the stretch of their start."""
+def _asking(rows: DataFrame, levels: list[int], least: Column | None = None) -> DataFrame:
+    """Rows with k, s, e, for each level from ``least`` on with the stretch of their start."""
     asked = F.array(*(F.struct(F.lit(n).alias("level"), F.floor(F.col("s") / (1 << n)).alias("stretch")) for n in levels)) if levels else F.array().cast("array<struct<level:int,stretch:bigint>>")
-    return rows.withColumn("asked", F.explode(asked)).select(*rows.columns, "asked.level", "asked.stretch")
+    every = rows.withColumn("asked", F.explode(asked)).select(*rows.columns, "asked.level", "asked.stretch")
+    return every if least is None else every.where(F.col("level") >= least)
 
 
 def _met(filed: DataFrame, asking: DataFrame) -> DataFrame:
@@ -38,8 +42,8 @@ def _met(filed: DataFrame, asking: DataFrame) -> DataFrame:
     pack = lambda rows, name: rows.select("k", "level", "stretch", F.struct(*(c for c in rows.columns if c not in ("level", "stretch"))).alias(name))
     a, f = pack(asking, "a").alias("x"), pack(filed, "f").alias("y")
     same = F.col("x.k").eqNullSafe(F.col("y.k")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.stretch") == F.col("y.stretch"))
-    # a row is filed in two stretches, but only one of them holds the start that asks
-    return a.join(f, same).select("a", "f").where((F.col("a.s") >= F.col("f.s")) & (F.col("a.s") < F.col("f.e")))
+    # a row is filed in two stretches, but only one of them holds the start that asks; files of ranges are far smaller than their rows, so no side is broadcast by its files' size
+    return a.join(f.hint("merge"), same).select("a", "f").where((F.col("a.s") >= F.col("f.s")) & (F.col("a.s") < F.col("f.e")))
 
 
 def _levels(filed: DataFrame) -> list[int]:
@@ -55,7 +59,8 @@ def pairs(spans: DataFrame, ranges: DataFrame, how: str, key: str = "doc_id", st
     own = _sound(spans, key, start, end).distinct()
     others = _sound(ranges, key, start, end, F.struct(*(F.col(f"`{c}`") for c in ranges.columns)).alias("r"))
     filed = _filed(others)
-    found = _met(filed, _asking(own, _levels(filed))).select("a.k", "a.s", "a.e", F.col("f.e").alias("re"), F.col("f.r").alias("range"))
+    # a range that contains a span is no shorter, so its level is not below the span's
+    found = _met(filed, _asking(own, _levels(filed), _level() if how == CONTAINED else None)).select("a.k", "a.s", "a.e", F.col("f.e").alias("re"), F.col("f.r").alias("range"))
     if how == CONTAINED:
         return found.where("e <= re").drop("re")
     spread = _filed(own)
@@ -66,7 +71,7 @@ def pairs(spans: DataFrame, ranges: DataFrame, how: str, key: str = "doc_id", st
 def _joined(spans: DataFrame, found: DataFrame, how: str, key: str, start: str, end: str, *more: str) -> DataFrame:
     at = [("k", key), ("s", start), ("e", end)]
     same = reduce(lambda x, y: x & y, (F.col(f"_found.{a}").eqNullSafe(F.col(f"_spans.`{b}`")) for a, b in at))
-    return spans.alias("_spans").join(found.alias("_found"), same, how).select(*(F.col(f"_spans.`{c}`") for c in spans.columns), *(F.col(f"_found.{c}") for c in more))
+    return spans.alias("_spans").join(found.alias("_found").hint("merge"), same, how).select(*(F.col(f"_spans.`{c}`") for c in spans.columns), *(F.col(f"_found.{c}") for c in more))
 
 
 def first_containing(spans: DataFrame, ranges: DataFrame, order: str, key: str = "doc_id", start: str = "start", end: str = "end", into: str = "range") -> DataFrame:

@@ -52,3 +52,11 @@ def test_a_document_with_very_many_ranges(spark):
     assert found.where("home is not null").count() == sum(33 * k % 10 <= 5 for k in range(300_000))
     assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
     assert intervals.outside(spans, ranges).count() == sum(33 * k % 10 > 6 and 33 * k % 10 + 2 <= 10 for k in range(300_000))
+
+
+def test_no_side_is_broadcast_by_the_size_of_its_files(spark):
+    """Ranges take far less in Parquet than in the driver's memory."""
+    rows = spark.createDataFrame([(1, 0, 3, 0), (1, 5, 9, 1)], "doc_id long, start int, end int, n int")
+    found = intervals.outside(rows, rows.where("n = 1"))
+    assert [r.n for r in found.collect()] == [0]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
