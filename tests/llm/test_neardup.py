@@ -134,3 +134,45 @@ def test_passing_tables_go(spark):
     docs = spark.createDataFrame([(k, f"some words {k // 2} that are the same twice") for k in range(20)], "doc_id long, text string")
     assert neardup.survivors(docs).count() == 10
     assert sorted(x.name.rsplit("-", 1)[0] for x in set(folder.iterdir()) - before) == ["copy-extra", "copy-rows"]
+
+
+def star(rng, n):
+    """A text and copies of it, every third with so many edits that it is alike to none or few."""
+    base = [str(rng.random()) for _ in range(150)]
+    texts = [" ".join(base)]
+    for k in range(n):
+        words = base[:]
+        for at in rng.sample(range(150), 4 + k % 2 if k % 3 == 0 else rng.randrange(1, 4)):
+            words[at] = str(rng.random())
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_pairs_of_a_hot_family_grow_with_its_size(spark, monkeypatch):
+    """Members outside a large component are not compared with all of it."""
+    compared = []
+    plain = neardup.Links.alike
+    monkeypatch.setattr(neardup.Links, "alike", lambda self, pairs: compared.append(pairs.distinct().count()) or plain(self, pairs))
+    texts = star(random.Random(4), 400)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.distinct(spark, docs, None).collect()} == set(plain_roots(texts))
+    assert compared[-1] < 8 * len(texts)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_differences_leave_out_no_link(spark, monkeypatch, seed):
+    """Without leads and direct pairs: edits that members share, cuts at either end, and words left out."""
+    monkeypatch.setattr(neardup, "FEW", 0)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    rng = random.Random(seed)
+    texts = edited(rng)
+    for _ in range(2):
+        base = [rng.choice(WORDS) for _ in range(150)]
+        for _ in range(80):
+            words = base[rng.choice((0, 0, 10, 20, 30)) : 150 - rng.choice((0, 0, 10, 20))]
+            for _ in range(rng.randrange(4)):
+                at = 10 * rng.randrange(len(words) // 10)
+                words[at : at + 1] = rng.choice(([], ["same"], [rng.choice(WORDS)]))
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, None).collect()) == sorted(set(plain_roots(texts)))
