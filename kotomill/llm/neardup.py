@@ -23,7 +23,7 @@ Members that remain outside are paired with all members of other components in g
 group's square, and members are paired that differ from a reference (the member of the group's largest component that meets most others in open groups) in the same
 way. Let D be what a member adds to the reference's set or takes from it and n the size of its set. Two members differ in as many shingles as
 their D do, so they are alike if and only if 2 FOLD |D & D'| >= g + g', where g = FOLD |D| - n. Of D in the order of how many members have
-a difference, the rarest |D| - c + 1 then hold a common one, if c is the least number in common that this asks for, with the least g' of each of
+a difference (first those that could lead nowhere), the rarest |D| - c + 1 then hold a common one, if c is the least number in common that this asks for, with the least g' of each of
 the BANDS of g that the other may be in. Differences with the same members are one. This leaves out no pair that is alike.
 
 Defined edge cases: null and empty texts and texts without a word are copies of each other; nodes are
@@ -193,9 +193,11 @@ class Links:
         bands = Cut(each.groupBy("ref").agg(F.collect_list(F.struct("band", "least", "out")).alias("bands")), "copy-bands")  # at most some 9 BANDS for a size like the reference's
         listed = banded.select("node", "ref", "weight", "root", F.col("outside").alias("away"), "d", "g", "size", "band", F.size("added").alias("a"), F.posexplode(F.concat("added", "removed")).alias("at", "value"))
         rows = Cut(listed.withColumn("key", F.xxhash64("ref", "value", F.col("at") < F.col("a"))).drop("at", "value", "a"), "copy-filed")
-        often = Cut(rows.df.groupBy("key").agg(F.count("*").alias("often"), F.max("away").alias("met")), "copy-often")
-        ranked = rows.df.join(small_side(often), "key").withColumn("at", F.row_number().over(Window.partitionBy("node", "ref").orderBy("often", "key")))
-        placed = ranked.where("met and often > 1").join(small_side(bands), "ref")
+        met = rows.df.groupBy("key").agg(F.count("*").alias("often"), F.max("away").alias("met"), F.min("root").alias("low"), F.max("root").alias("high")).where("met and low != high")
+        often = Cut(met.select("key", "often"), "copy-often")
+        whole = Window.partitionBy("node", "ref")  # a text's differences from one other; those that lead nowhere come first
+        ranked = rows.df.join(small_side(often), "key").withColumn("at", F.col("d") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("often", "key")))
+        placed = ranked.join(small_side(bands), "ref")
         within = lambda c: F.col("at") <= F.col("d") + 1 - F.greatest(F.ceil(c), F.lit(1))
         common = lambda g: (F.col("g") + g) / (2 * FOLD)
         to = lambda mine, other, look: F.struct(F.xxhash64("key", mine, other).alias("key"), F.lit(look).alias("outside"), F.lit(not look).alias("head"))
