@@ -14,17 +14,15 @@ at 0.9 with 10^-6.
 A meeting is verified twice: on a SimHash of 1024 bits, of which two texts at 0.8 differ in 155 on average, 11.5 being the
 standard deviation, and more than FAR of them in 3 of 10,000 cases; then on the whole shingle sets.
 
-Equal texts are one node. In a key's group each member is first compared with the group's lead, the node that
-meets most others in all its groups; then, for ROUNDS rounds or until that links nothing, the members outside the group's largest
-component with the one that leads them. Pairs inside one component cannot change it and are left out, so a large group of near copies costs a
+Equal texts are one node. Each member is first compared with the lead of its fullest key's group, the node that
+meets most others in all its groups; then, for ROUNDS rounds or until one links at most FEW, the members outside the largest
+component of their fullest group that has several with the one that leads them there. Pairs inside one component cannot change it and are left out, so a large group of near copies costs a
 multiple of its size.
 
-Members that remain outside are paired with all members of other components in groups with at most FEW of them; beyond, such pairs grow with the
-group's square, and members are paired that differ from a reference (the member of the group's largest component that meets most others in open groups) in the same
-way. Let D be what a member adds to the reference's set or takes from it and n the size of its set. Two members differ in as many shingles as
-their D do, so they are alike if and only if 2 FOLD |D & D'| >= g + g', where g = FOLD |D| - n. Of D in the order of how many members have
-a difference (first those that could lead nowhere), the rarest |D| - c + 1 then hold a common one, if c is the least number in common that this asks for, with the least g' of each of
-the BANDS of g that the other may be in. Differences with the same members are one. This leaves out no pair that is alike.
+The nodes of groups that still hold several components are compared by the rarest shingles of their sets: two sets of n and m shingles are alike only if they share
+c = LEAST (n + m) / (1 + LEAST), so of either set in one order the first n - c + 1 (m - c + 1) hold the first shared one. The order is that of how many of these nodes have a shingle; those that
+lead to no other component come first, so that nodes with many shingles of their own meet nobody, however many share the rest. This leaves out no pair that is alike, and a pair counts under its first
+shared shingle only. Before that, each is compared with the lead of those that it meets.
 
 Defined edge cases: null and empty texts and texts without a word are copies of each other; nodes are
 64-bit hashes of texts and shingles 64-bit hashes of words; an empty table gives an empty result; extra
@@ -49,16 +47,12 @@ from .simhash import LENGTH, Golay, counted
 WIDTH, SEED = 5, 42
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-#: Sets are LEAST similar if so many times the number of shingles that only one has is at most the sum of their sizes.
-FOLD = (LEAST[1] + LEAST[0]) // (LEAST[1] - LEAST[0])
 #: Segments of the keys' fingerprint, 64-bit words of the wide one, and the most bits of it in which near copies differ.
 SEGMENTS, WORDS, FAR = 11, 16, 194
 #: Rounds of comparisons with leads after the first.
 ROUNDS = 2
-#: Keys with more members outside than this go by differences.
+#: A round that links no more than this is the last.
 FEW = 4
-#: Bands of g in the size of the reference's set.
-BANDS = 2
 PRINT = tuple(f"f{i}" for i in range(WORDS))
 
 _RANDOM = np.random.default_rng(SEED)
@@ -147,10 +141,11 @@ class Links:
         shared = Cut(filed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key"), "copy-keys")
         met = Cut(filed.join(small_side(shared), "key").distinct(), "copy-met")
         sizes = Cut(met.df.groupBy("key").agg(F.count("*").alias("k")), "copy-sizes")
-        central = Cut(met.df.join(small_side(sizes), "key").groupBy("node").agg(F.sum("k").alias("weight")), "copy-weights")
+        central = Cut(met.df.join(small_side(sizes), "key").groupBy("node").agg(F.sum("k").alias("weight"), F.max_by("key", F.struct("k", "key")).alias("key")), "copy-weights")
         chosen = texts.join(small_side(central).select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "text")
         self.sets = Cut(chosen.mapInArrow(tidy(_sets), f"node long, n int, {', '.join(f'{f} long' for f in PRINT)}, shingles array<long>"), "copy-sets")
-        self.members = Cut(met.df.join(small_side(central), "node"), "copy-members").df
+        self.fullest = central.df
+        self.members = Cut(met.df.join(small_side(central).select("node", "weight"), "node"), "copy-members").df
         self.prints = self.sets.df.select("node", "n", *PRINT)
 
     def alike(self, pairs: DataFrame) -> DataFrame:
@@ -168,75 +163,48 @@ class Links:
         return Cut(self.alike(held.select(F.col("lead").alias("x"), F.col("node").alias("y"))), "copy-stars").df
 
     def rooted(self, found: DataFrame, members: DataFrame) -> DataFrame:
-        """The members of keys with several components, with their root and main, the key's largest."""
+        """The members of keys with several components, with their root and the key's largest one (main) and number of members (held)."""
         roots = Cut(components(found, "x", "y"), "copy-roots")
         rows = Cut(members.join(small_side(roots).select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "copy-rooted").df
         counts = rows.groupBy("key", "root").agg(F.count("*").alias("k"))
-        main = Cut(counts.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots"), "copy-open")
+        main = Cut(counts.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("held"), F.count("*").alias("roots")).where("roots > 1").drop("roots"), "copy-open")
         return Cut(rows.join(small_side(main), "key"), "copy-open-members").df
 
-    def beside(self, open_: DataFrame) -> DataFrame:
-        """What the members of open keys add to a reference's set or take from it (added, removed), with g and size, the reference's; near members were outside and are alike to it."""
-        refs = Cut(open_.where("root = main").groupBy("main").agg(F.max(F.struct("weight", "node")).alias("ref")).select("main", F.col("ref.node").alias("ref")), "copy-refs")
-        met = open_.join(small_side(refs), "main").where("node != ref").select("node", "ref", "weight", "root", (F.col("root") != F.col("main")).alias("outside")).distinct()
-        of = lambda name, s: small_side(self.sets).select(F.col("node").alias(name), F.col("shingles").alias(s))
-        both = Cut(met, "copy-beside").df.join(of("node", "s"), "node").join(of("ref", "r"), "ref")
-        rows = both.withColumn("added", F.array_except("s", "r")).withColumn("removed", F.array_except("r", "s")).withColumn("d", F.size("added") + F.size("removed"))
-        near = F.col("outside") & (FOLD * F.col("d") <= F.size("s") + F.size("r"))
-        found = rows.withColumn("near", near).withColumn("outside", F.col("outside") & ~F.col("near")).withColumn("g", FOLD * F.col("d") - F.size("s")).withColumn("size", F.size("r"))
-        return Cut(found.drop("s", "r"), "copy-differences").df
-
-    def filed(self, differing: DataFrame) -> DataFrame:
-        """(node, key, weight, root, outside, head, away): the differences and bands under which members that are away (outside) meet those that are heads."""
-        banded = differing.withColumn("band", F.floor(BANDS * F.col("g") / F.greatest("size", F.lit(1))))
-        each = banded.groupBy("ref", "band").agg(F.min("g").alias("least"), F.min(F.when(F.col("outside"), F.col("g"))).alias("out"))
-        bands = Cut(each.groupBy("ref").agg(F.collect_list(F.struct("band", "least", "out")).alias("bands")), "copy-bands")  # at most some 9 BANDS for a size like the reference's
-        listed = banded.select("node", "ref", "weight", "root", F.col("outside").alias("away"), "d", "g", "size", "band", F.size("added").alias("a"), F.posexplode(F.concat("added", "removed")).alias("at", "value"))
-        rows = Cut(listed.withColumn("key", F.xxhash64("ref", "value", F.col("at") < F.col("a"))).drop("at", "value", "a"), "copy-filed")
-        met = rows.df.groupBy("key").agg(F.count("*").alias("often"), F.max("away").alias("met"), F.min("root").alias("low"), F.max("root").alias("high")).where("met and low != high")
-        often = Cut(met.select("key", "often"), "copy-often")
-        whole = Window.partitionBy("node", "ref")  # a text's differences from one other; those that lead nowhere come first
-        ranked = rows.df.join(small_side(often), "key").withColumn("at", F.col("d") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("often", "key")))
-        placed = ranked.join(small_side(bands), "ref")
-        within = lambda c: F.col("at") <= F.col("d") + 1 - F.greatest(F.ceil(c), F.lit(1))
-        common = lambda g: (F.col("g") + g) / (2 * FOLD)
-        to = lambda mine, other, look: F.struct(F.xxhash64("key", mine, other).alias("key"), F.lit(look).alias("outside"), F.lit(not look).alias("head"))
-        look = F.transform(F.filter("bands", lambda b: F.col("away") & within(F.greatest(common(b["least"]), (F.col("g") - F.col("size")) / (FOLD + 1)))), lambda b: to(F.col("band"), b["band"], True))
-        told = F.transform(F.filter("bands", lambda b: b["out"].isNotNull() & within(common(b["out"]))), lambda b: to(b["band"], F.col("band"), False))
-        rows = Cut(placed.select("node", "weight", "root", "away", F.inline(F.concat(look, told))), "copy-ahead").df
-        who = (F.count("*").alias("k"), *(F.bit_xor(F.xxhash64("node", "outside", F.lit(k))).alias(f"who{k}") for k in range(2)))
-        kept = rows.groupBy("key").agg(*who, F.max("outside").alias("met"), F.max("head").alias("told"), F.min("root").alias("low"), F.max("root").alias("high")).where("met and told and low != high")
-        once = Cut(kept.groupBy("k", "who0", "who1").agg(F.min("key").alias("key")).select("key"), "copy-ahead-once")
-        return Cut(rows.join(small_side(once), "key"), "copy-ahead-members").df
-
-    def crossed(self, members: DataFrame, once: Column) -> DataFrame:
-        """Pairs of members outside with heads of other components that meet under a key and may be alike."""
-        sketched = members.join(self.prints, "node")
-        x, y = sketched.where("outside").alias("x"), sketched.where("head").alias("y")
-        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.away") | (F.col("x.node") < F.col("y.node")))
-        return x.join(y, apart & _may("x", "y") & once).select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y"))
+    def rarest(self, open_: DataFrame) -> DataFrame:
+        """(node, weight, root, n, key, at): the shingles, and their places, under which nodes of open keys meet those of other components that may be alike."""
+        nodes = Cut(open_.select("node", "weight", "root").distinct(), "copy-apart")
+        listed = self.sets.df.join(small_side(nodes), "node").select("node", "weight", "root", "n", F.explode("shingles").alias("key"))
+        same, whole = Window.partitionBy("key"), Window.partitionBy("node")
+        shared = listed.withColumns({"often": F.count("*").over(same), "low": F.min("root").over(same), "high": F.max("root").over(same)}).where("low != high").drop("low", "high")
+        placed = shared.withColumn("at", F.col("n") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("often", "key")))  # a text's shingles only
+        rows = Cut(placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * LEAST[0] / LEAST[1]) + 1).drop("often"), "copy-ahead").df
+        met = Cut(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"), "copy-ahead-keys")
+        return Cut(rows.join(small_side(met), "key"), "copy-ahead-members").df
+
+    def crossed(self, rows: DataFrame) -> DataFrame:
+        """Pairs of different components that meet among their rarest shingles and may be alike."""
+        held = rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("held")).select("node", F.col("held.key").alias("keys"))  # a text's shingles only
+        sketched = rows.drop("n").join(held, "node").join(self.prints, "node")
+        x, y = sketched.alias("x"), sketched.alias("y")
+        least = F.ceil((F.col("x.n") + F.col("y.n")) * LEAST[0] / sum(LEAST))
+        ahead = (F.col("x.at") <= F.col("x.n") - least + 1) & (F.col("y.at") <= F.col("y.n") - least + 1)
+        once = F.col("x.key") == F.get(F.array_intersect("x.keys", "y.keys"), F.lit(0))  # both are in the one order
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
+        return x.join(y, apart & ahead & _may("x", "y") & once).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
 
     def all(self) -> DataFrame:
-        found = self.with_lead(self.members.withColumn("root", F.col("node")))
+        found = self.with_lead(self.fullest.withColumn("root", F.col("node")))
         open_ = self.rooted(found, self.members)
         for _ in range(ROUNDS):
-            more = self.with_lead(open_.where("root != main").select("node", "key", "weight", "root"))
-            if more.isEmpty():
-                break
+            outside = open_.where("root != main").groupBy("node", "weight", "root").agg(F.max_by("key", F.struct("held", "key")).alias("key"))
+            more = self.with_lead(outside)
             found = found.unionByName(more)
             open_ = self.rooted(found, self.members)
-        many = Cut(open_.groupBy("key").agg(F.sum((F.col("root") != F.col("main")).cast("int")).alias("out")).where(F.col("out") > FEW).select("key"), "copy-many")
-        few = open_.join(small_side(many), "key", "left_anti")
-        held = few.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as a text has keys at most
-        once = F.col("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys"))  # a pair meets under several keys and counts under the first
-        away = F.col("root") != F.col("main")
-        direct = self.crossed(few.join(held, "node").select("*", away.alias("outside"), F.lit(True).alias("head"), away.alias("away")), once)
-        differing = self.beside(open_.join(small_side(many), "key"))
-        near = differing.where("near").select(F.col("ref").alias("x"), F.col("node").alias("y"))
-        filed = self.filed(differing)
-        found = found.unionByName(near).unionByName(self.with_lead(filed.select("node", "key", "weight", "root")))
-        left = self.rooted(found, filed.drop("root"))
-        return found.unionByName(self.alike(direct.unionByName(self.crossed(left, F.lit(True)))))
+            if more.count() <= FEW:
+                break
+        rare = self.rarest(open_)
+        found = found.unionByName(self.with_lead(rare.select("node", "key", "weight", "root")))
+        return found.unionByName(self.alike(self.crossed(self.rooted(found, rare.drop("root")))))
 
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

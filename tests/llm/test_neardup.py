@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from kotomill.llm import neardup
+from kotomill.llm.common import Cut
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -176,3 +177,18 @@ def test_differences_leave_out_no_link(spark, monkeypatch, seed):
             texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, docs, None).collect()) == sorted(set(plain_roots(texts)))
+
+
+def test_texts_that_share_a_passage_stay_apart(spark, monkeypatch):
+    """Texts that share three quarters of their words are no near copies, and no table of the stage has a row for each of their differences."""
+    written = []
+    monkeypatch.setattr(neardup, "Cut", lambda df, name: written.append(Cut(df, name)) or written[-1])
+    monkeypatch.setattr(Cut, "drop", lambda self: None)
+    rng = random.Random(6)
+    passage = [str(rng.random()) for _ in range(150)]
+    texts = [" ".join([*passage, *(str(rng.random()) for _ in range(50))]) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert neardup.survivors(docs).count() == len(texts)
+    rows = {cut.path.rsplit("/", 1)[-1]: cut.df.count() for cut in written}
+    assert max(n for name, n in rows.items() if name.startswith("copy-met")) > 5 * len(texts)
+    assert max(rows.values()) < 60 * len(texts), rows
