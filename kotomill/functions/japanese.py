@@ -130,7 +130,9 @@ def predicate_count(sentence: Column) -> Column:
 
 
 _NEXT = _class(PARTICLES + STOPS)
-DEMONSTRATIVE = rf"(?<![^{_class(OPENERS + STOPS + PARTICLES)}])(?:(?:{_any(PRONOUNS)})(?=[{_NEXT}]|\z)|{_any(DETERMINERS)}|(?:{_any(ADVERBS)})(?=[{ADVERB_FOLLOWERS}]|\z))"
+#: What a demonstrative begins with is looked for first: nearly every character fails there.
+_BEGINS = _class("".join(sorted({w[0] for w in (*PRONOUNS, *DETERMINERS, *ADVERBS)})))
+DEMONSTRATIVE = rf"(?=[{_BEGINS}])(?<![^{_class(OPENERS + STOPS + PARTICLES)}])(?:(?:{_any(PRONOUNS)})(?=[{_NEXT}]|\z)|{_any(DETERMINERS)}|(?:{_any(ADVERBS)})(?=[{ADVERB_FOLLOWERS}]|\z))"
 
 
 def demonstratives(sentence: Column) -> Column:
