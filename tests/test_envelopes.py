@@ -77,3 +77,8 @@ def test_null_rows(spark):
     assert envelopes.reports_of(spark.createDataFrame([], "value string")).count() == 0
     row = envelopes.reports_of(spark.range(1).select(F.lit(None).cast("string").alias("value"))).first()
     assert (row.exit_code, row.report, row.error) == (2, None, "invalid JSON")
+
+
+def test_the_text_is_read_outside_the_lambdas(spark):
+    """An envelope's text is named once, before its findings and judgements are checked, so that none of them reads all of it."""
+    assert str(envelopes.envelope_problem(F.col("m"))).count("try_element_at(m, 'input')") == 2  # its kind and its value
