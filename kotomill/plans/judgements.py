@@ -57,10 +57,10 @@ def hits(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "start", "end")
 
 
-def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A judgement at each place: doc_id, start, end, ruleId, status, confidence."""
+def saved(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """A judgement at each place (found, if the places are known): doc_id, start, end, ruleId, status, confidence."""
     rule, status, confidence = _judged(F.col("start"))
-    return hits(_docs(spark, sf_dir)).select("doc_id", "start", "end", rule.alias("ruleId"), status.alias("status"), confidence.alias("confidence"))
+    return (hits(_docs(spark, sf_dir)) if found is None else found).select("doc_id", "start", "end", rule.alias("ruleId"), status.alias("status"), confidence.alias("confidence"))
 
 
 _RULE_SQL = "'S20' || CAST(1 + s % 8 AS VARCHAR)"
@@ -72,11 +72,11 @@ _add("judged_shown", f"""WITH {HITS_SQL} SELECT doc_id, s AS "start", {_RULE_SQL
 def judged_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was expected of each place against what is observed there: a violation wherever the place begins one of two longer words; some places are not observed."""
     place = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("start").cast("string"))
-    fixtures = saved(spark, sf_dir).select(place.alias("fixtureId"), "ruleId", F.when(F.col("status") == "violation", "violation").otherwise("no_violation").alias("expectedStatus"))
-    docs = _docs(spark, sf_dir)
-    longer = analyze(docs, {"rules": {"D007": {"ruleId": "D007", "patterns": ["tion", "and"]}}}).select("doc_id", "start", "end")
-    seen = hits(docs).where(F.pmod("start", F.lit(13)) > 0)
-    judged = intervals.first_containing(Written(seen, "seen").df, Written(longer, "longer").df, "start")
+    both = {"D005": {"ruleId": "D005", "terminology": dict.fromkeys(PAIRS, "x")}, "D007": {"ruleId": "D007", "patterns": ["tion", "and"]}}
+    found = Written(analyze(_docs(spark, sf_dir), {"rules": both}).select("doc_id", "start", "end", "rule_id"), "places").df  # the texts are read once
+    at, longer = (found.where(F.col("rule_id") == r).drop("rule_id") for r in both)
+    fixtures = saved(spark, sf_dir, at).select(place.alias("fixtureId"), "ruleId", F.when(F.col("status") == "violation", "violation").otherwise("no_violation").alias("expectedStatus"))
+    judged = intervals.first_containing(at.where(F.pmod("start", F.lit(13)) > 0), longer, "start")
     observed = judged.select(place.alias("fixtureId"), F.when(F.col("range").isNotNull(), "violation").otherwise("no_violation").alias("observedStatus"))
     return semantic.evaluate(fixtures, observed)
 
