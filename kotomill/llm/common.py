@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -44,6 +45,9 @@ ROW_BYTES, SHRUNK = 32, 32
 VARYING = (StringType, BinaryType, ArrayType, MapType, StructType)
 
 
+#: The setting of the session's cache of file listings.
+LISTED = "spark.sql.hive.filesourcePartitionFileCacheSize"
+
 _scopes: list[list[Cut]] = []
 
 
@@ -91,7 +95,13 @@ class Cut:
 
     @property
     def df(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        # each reading would leave its listing of the files in the session's cache, which holds up to 250 MB of the driver's heap and is never asked for it again
+        now = self.spark.conf.get(LISTED)
+        self.spark.conf.set(LISTED, "0")
+        try:
+            return self.spark.read.schema(self.schema).parquet(self.path)
+        finally:
+            self.spark.conf.set(LISTED, now)
 
     def bytes(self) -> int:
         where = self._path()
@@ -151,6 +161,12 @@ def small_side(cut: Cut, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(cut.df) if cut.small(limit) else cut.df
 
 
+def settled(spark: SparkSession) -> None:
+    """Lets Spark free the shuffle files, broadcasts and plans of finished steps: it does so once the driver has collected them, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def n_words(text: str) -> Column:
     """Number of words of the contracts in the named column; null counts 0."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_RE)), F.lit(0)).cast("long")

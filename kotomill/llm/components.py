@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star contraction.
 
 The links stay distributed: every step is a grouped minimum (partially aggregated, so a hub costs one
-row per task) and an equi-join with the written minima (which Spark may split when a hub is skewed).
+row per task) and an equi-join with the written minima (broadcast if small, else Spark may split it when a hub is skewed).
+An iteration deals its links out three times if the minima are small: for either minimum and for the distinct links at its end.
 """
 
 from __future__ import annotations
@@ -9,11 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cut
-
-
-def _seal(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+from .common import Cut, small_side
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -24,16 +21,18 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     u, v = F.col("u"), F.col("v")
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v))
     now = Cut(pairs.distinct(), "links")
-    before = None
-    while (seal := _seal(now.df)) != before:
-        before = seal
+    while True:
         both = now.df.unionByName(now.df.select(v.alias("u"), u.alias("v")))
-        low = Cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
-        wide = Cut(both.join(low.df, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        low = Cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")), "large")
+        if low.df.where("m < u AND d > 1").isEmpty():  # each node has one link, to a smaller one, or only larger ones
+            low.drop()
+            break
+        least = small_side(low).select("u", F.least("u", "m").alias("m"))
+        wide = Cut(both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")), "large-star")  # a row for each link, equal ones go below
         now.drop()
         low.drop()
         low = Cut(wide.df.groupBy("u").agg(F.min("v").alias("m")), "small")
-        near = wide.df.join(low.df, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
+        near = wide.df.join(small_side(low), "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
         now = Cut(near.unionByName(low.df.withColumnRenamed("m", "v")).distinct(), "small-star")
         wide.drop()
         low.drop()

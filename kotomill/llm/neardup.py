@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cut, passing, small_batches, small_side, tidy
+from .common import Cut, passing, settled, small_batches, small_side, tidy
 from .components import components
 from .simhash import LENGTH, Golay, counted
 
@@ -127,7 +127,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _may(a: str, b: str) -> Column:
-    """Whether two members can be near copies, by their sizes and fingerprints."""
+    """Whether two members can be near copies, by their sizes and fingerprints; the same for (b, a)."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     far = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in PRINT))
     return (F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]) & (far <= FAR)
@@ -148,22 +148,26 @@ class Links:
         self.members = Cut(met.df.join(small_side(central).select("node", "weight"), "node"), "copy-members").df
         self.prints = self.sets.df.select("node", "n", *PRINT)
 
+    def both(self, pairs: Cut, *columns: str) -> DataFrame:
+        """(x, y, a, b): the different pairs of nodes with the columns of both, as structs in no order; small pairs go to the sets, which then move for them only."""
+        ends = small_side(pairs).select("x", "y", F.explode(F.array("x", "y")).alias("node"))
+        held = self.sets.df.select("node", F.struct(*columns).alias("of")).join(ends, "node")
+        return held.groupBy("x", "y").agg(F.min("of").alias("a"), F.max("of").alias("b"))  # two rows for each pair
+
     def alike(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) whose sets are LEAST similar."""
-        of = lambda name, s: small_side(self.sets).select(F.col("node").alias(name), F.col("shingles").alias(s))
-        both = Cut(pairs.distinct(), "copy-pairs").df.join(of("x", "sx"), "x").join(of("y", "sy"), "y")
-        common, total = F.size(F.array_intersect("sx", "sy")), F.size("sx") + F.size("sy")
-        return both.where(common * LEAST[1] >= (total - common) * LEAST[0]).select("x", "y")
+        common, total = F.size(F.array_intersect("a.shingles", "b.shingles")), F.size("a.shingles") + F.size("b.shingles")
+        return self.both(Cut(pairs.distinct(), "copy-pairs"), "shingles").where(common * LEAST[1] >= (total - common) * LEAST[0]).select("x", "y")
 
     def with_lead(self, rows: DataFrame) -> DataFrame:
         """Links of the rows (node, key, weight, root) with the node of most weight among those of their key, if it has another root."""
         leads = Cut(rows.groupBy("key").agg(F.max(F.struct("weight", "node", "root")).alias("lead")).select("key", F.col("lead.node").alias("lead"), F.col("lead.root").alias("apart")), "copy-leads")
-        stars = rows.join(small_side(leads), "key").where("root != apart").select("node", "lead").distinct()
-        held = stars.join(self.prints.alias("m"), "node").join(self.prints.withColumnRenamed("node", "lead").alias("l"), "lead").where(_may("m", "l"))
-        return Cut(self.alike(held.select(F.col("lead").alias("x"), F.col("node").alias("y"))), "copy-stars").df
+        stars = Cut(rows.join(small_side(leads), "key").where("root != apart").select(F.col("lead").alias("x"), F.col("node").alias("y")).distinct(), "copy-stars")
+        return Cut(self.alike(self.both(stars, "n", *PRINT).where(_may("a", "b")).select("x", "y")), "copy-links").df
 
     def rooted(self, found: DataFrame, members: DataFrame) -> DataFrame:
         """The members of keys with several components, with their root and the key's largest one (main) and number of members (held)."""
+        settled(found.sparkSession)
         roots = Cut(components(found, "x", "y"), "copy-roots")
         rows = Cut(members.join(small_side(roots).select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "copy-rooted").df
         counts = rows.groupBy("key", "root").agg(F.count("*").alias("k"))
@@ -184,7 +188,8 @@ class Links:
     def crossed(self, rows: DataFrame) -> DataFrame:
         """Pairs of different components that meet among their rarest shingles and may be alike."""
         held = rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("held")).select("node", F.col("held.key").alias("keys"))  # a text's shingles only
-        sketched = rows.drop("n").join(held, "node").join(self.prints, "node")
+        lists = Cut(self.prints.join(small_side(Cut(held, "copy-held")), "node"), "copy-lists")
+        sketched = rows.drop("n").join(small_side(lists), "node")
         x, y = sketched.alias("x"), sketched.alias("y")
         least = F.ceil((F.col("x.n") + F.col("y.n")) * LEAST[0] / sum(LEAST))
         ahead = (F.col("x.at") <= F.col("x.n") - least + 1) & (F.col("y.at") <= F.col("y.n") - least + 1)
@@ -196,8 +201,8 @@ class Links:
         found = self.with_lead(self.fullest.withColumn("root", F.col("node")))
         open_ = self.rooted(found, self.members)
         for _ in range(ROUNDS):
-            outside = open_.where("root != main").groupBy("node", "weight", "root").agg(F.max_by("key", F.struct("held", "key")).alias("key"))
-            more = self.with_lead(outside)
+            outside = Cut(open_.where("root != main").groupBy("node", "weight", "root").agg(F.max_by("key", F.struct("held", "key")).alias("key")), "copy-outside")
+            more = self.with_lead(outside.df)
             found = found.unionByName(more)
             open_ = self.rooted(found, self.members)
             if more.count() <= FEW:
@@ -218,6 +223,7 @@ def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         rows = keep(Cut(docs.select(packed, F.monotonically_increasing_id().alias("at"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("node")), "copy-rows"))
         texts = rows.df.select("node", F.col(f"row.`{text}`").alias("text"))
         keyed = Cut(texts.mapInArrow(tidy(_keyed), "node long, keys array<long>"), "copy-sketches")
+        settled(docs.sparkSession)
         roots = Cut(components(Links(texts, keyed.df).all(), "x", "y"), "copy-roots")
         named = rows.df.select("at", "node", F.col(f"row.`{key}`").alias("key")).join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         order = F.struct(F.col("key").isNull().alias("last"), "key", "node", "at")

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kotomill.llm import components, decontam, quotes, simhash, topk
+from kotomill.llm.common import Cut
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -365,3 +366,26 @@ def test_bounds_stop_early():
     for floor in (-np.inf, float(np.sort(scores)[-10])):
         found, evaluated = topk.best(rows[-1:], ids[-1:], far[-1:], np.array([floor]), rows, ids, ids, far)
         assert [i for _, i, _ in found] == list(np.lexsort((ids, -scores))[:10]) and evaluated < 200
+
+
+def test_small_links_are_dealt_out_few_times(spark, monkeypatch):
+    """Links of stars settle in one iteration, which shuffles for the minima and the distinct links only."""
+    plans = []
+    monkeypatch.setattr(components, "Cut", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or Cut(df, name))
+    links = spark.createDataFrame([(60 + k % 2, 10 + k) for k in range(40)], "a long, b long")
+    assert {r.node: r.root for r in components.components(links, "a", "b").collect()} == {k: 10 + k % 2 for k in [*range(10, 50), 60, 61]}
+    assert sum(p.count("Exchange hashpartitioning") for p in plans) == 5
+
+
+def test_written_tables_leave_no_listing(spark):
+    """Reading a written table keeps nothing in the session's cache of listings, which would fill the driver's heap."""
+    spark.read.parquet(Cut(spark.range(9), "listed").path)  # now there is a cache
+    held = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.datasources.FileStatusCache$").getDeclaredField("sharedCache")
+    held.setAccessible(True)
+    shared = held.get(None)
+    inner = next(f for f in shared.getClass().getDeclaredFields() if f.getName().endswith("cache"))
+    inner.setAccessible(True)
+    cut = Cut(spark.range(9), "listed")
+    before = inner.get(shared).asMap().size()
+    assert [cut.df.count() for _ in range(3)] == [9, 9, 9]
+    assert inner.get(shared).asMap().size() == before
