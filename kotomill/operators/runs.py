@@ -69,8 +69,10 @@ def runs(rows: DataFrame, key: str = "doc_id", order: str = "n", label: str = "l
     """(key, label, start, end, length) of every maximal run; start is that of its first row and end that of its last."""
     plain = rows.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{label}`").cast("string").alias("w"), F.col(f"`{start}`").cast("int").alias("s"), F.col(f"`{end}`").cast("int").alias("e"), F.col(f"`{order}`").alias("o"))
     by = F.asc_nulls_last("k"), F.asc("o"), F.asc("s"), F.asc("e")
-    dealt = (plain.repartitionByRange(parts, *by) if parts else plain.repartitionByRange(*by)).sortWithinPartitions(*by).select("k", "w", "s", "e")
+    held = Written(plain, "labels")  # the ranges are found in a sample, which reads the rows once more
+    dealt = (held.df.repartitionByRange(parts, *by) if parts else held.df.repartitionByRange(*by)).sortWithinPartitions(*by).select("k", "w", "s", "e")
     pieces = Written(dealt.mapInArrow(_pieces, PIECE), "runs")
+    held.drop()
     turn = W.orderBy("part", "at")  # two rows a partition at most
     edge = pieces.df.where("border")
     before = F.struct("doc_id", "label")

@@ -158,3 +158,12 @@ def structure(docs: DataFrame, text: str = "text", fields: tuple[str, ...] = (*F
     small_batches(docs.sparkSession)
     name = fresh(docs.columns, "structure")
     return docs.withColumn(name, structured(F.col(f"`{text}`"), fields)).select(*(F.col(f"`{c}`") for c in docs.columns), f"{name}.*")
+
+
+def rows_of(docs: DataFrame, field: str, *columns: str, place: str | None = None) -> DataFrame:
+    """The columns with one row for each item of an array, the item under ``field`` and its place under ``place``; documents without items have no rows.
+
+    explode() would make Spark filter on the array's size first, and so pass all texts to Python once more for the filter.
+    """
+    item = F.explode_outer(field).alias(field) if place is None else F.posexplode_outer(field).alias(place, field)
+    return docs.select(*columns, item).where(F.col(field).isNotNull())

@@ -8,13 +8,15 @@ that are sums of lengths.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import japanese as ja
 from ..operators import report as reports
 from ..operators.lint import analyze, with_findings
-from ..operators.structure import structure
+from ..operators.structure import rows_of, structure
 from ..sources.files import table, temporary
 from ..streaming import lint as streaming
 from .. import messages as said
@@ -47,9 +49,28 @@ sentences AS (SELECT doc_id, lang, CAST(a AS INTEGER) AS "start", CAST(a + lengt
   row_number() OVER (PARTITION BY doc_id ORDER BY base, i) AS i FROM placed WHERE {TRIM.format("s")} <> '')"""
 
 
+def _insertions(pairs: dict[str, str]) -> dict[str, str] | None:
+    """Patterns and what goes behind their matches, for pairs that only insert a text before their last character and cannot meet: then they may be replaced in any order, many by one pattern. None for others."""
+    groups: dict[str, dict[str, str]] = {}
+    for a, b in pairs.items():
+        if len(a) < 2 or len(b) <= len(a) or not (b.startswith(a[:-1]) and b.endswith(a[-1])):
+            return None
+        held = groups.setdefault(b[len(a) - 1 : -1], {})
+        held[a[:-1]] = held.get(a[:-1], "") + a[-1]
+    # no key begins inside a key or an insertion, all keys are of one length, and no insertion makes a key of what it follows
+    firsts, lasts = {a[0] for a in pairs}, {a[-1] for a in pairs}
+    if len({len(a) for a in pairs}) > 1 or any(firsts & {*a[1:]} for a in pairs) or any(firsts & {*x} or x[0] in lasts for x in groups):
+        return None
+    return {f"(?=[{ja._class(''.join(sorted({p[0] for p in held})))}])(?:{'|'.join(f'{re.escape(p)}(?=[{ja._class(ends)}])' for p, ends in held.items())})": x for x, held in groups.items()}
+
+
 def _swapped(pairs: dict[str, str]) -> Column:
-    """The line with the pairs replaced in turn."""
-    column = line()
+    """The line with the pairs replaced in turn; each replacement reads the whole text, so pairs that may share a pattern do."""
+    column, patterns = line(), _insertions(pairs)
+    if patterns and len(patterns) < len(pairs):
+        for a, x in patterns.items():
+            column = F.regexp_replace(column, a, "$0" + re.sub(r"([\\$])", r"\\\1", x))
+        return column
     for a, b in pairs.items():
         column = F.replace(column, F.lit(a), F.lit(b))
     return column
@@ -129,7 +150,7 @@ UNION ALL SELECT doc_id, CAST(2 * a + b + c + 16 AS INTEGER), CAST(2 * a + 2 * b
 def markdown_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projected paragraphs of a list, a link, an emphasis in a quote and plain text; headings and tables are none."""
     docs = _built(spark, sf_dir, _text("# ", A, "\n\n* ", B, "\n* [", C, "](http://x.test/y)！\n\n> **", A, "** ", B, "\n\n| h | i |\n| - | - |\n| ", B, " | x |\n\n", C))
-    rows = structure(docs, fields=("paragraphs", "counts")).select("doc_id", F.explode("paragraphs").alias("p"))
+    rows = rows_of(structure(docs, fields=("paragraphs", "counts")), "paragraphs", "doc_id").withColumnRenamed("paragraphs", "p")
     return rows.select("doc_id", "p.start", "p.end", F.col("p.text").alias("projection"), F.col("p.sentences").alias("n_sentences"))
 
 
@@ -148,7 +169,7 @@ SELECT doc_id, CAST(s AS INTEGER) AS "start", CAST(s + n AS INTEGER) AS "end", t
 def markdown_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projected paragraphs of task items, of footnotes and of texts that refer to them: boxes and references are no text."""
     docs = _built(spark, sf_dir, _text("- [ ] ", A, "\n- [x] ", B, "[^1]！\n\n", C, "[^n]！\n\n[^n]: ", A))
-    rows = structure(docs, fields=("paragraphs",)).select("doc_id", F.explode("paragraphs").alias("p"))
+    rows = rows_of(structure(docs, fields=("paragraphs",)), "paragraphs", "doc_id").withColumnRenamed("paragraphs", "p")
     return rows.select("doc_id", "p.start", "p.end", F.col("p.text").alias("projection"))
 
 
@@ -177,7 +198,7 @@ PROTECTED = {"v": "「左。右。」", "k": "『"}
 
 def sentences_in_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks inside pairs end no sentence; an opener without its closer protects nothing."""
-    rows = structure(_built(spark, sf_dir, _swapped(PROTECTED)), fields=("sentences",)).select("doc_id", F.explode("sentences").alias("s"))
+    rows = rows_of(structure(_built(spark, sf_dir, _swapped(PROTECTED)), fields=("sentences",)), "sentences", "doc_id").withColumnRenamed("sentences", "s")
     return rows.select("doc_id", "s.start", "s.end")
 
 

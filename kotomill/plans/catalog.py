@@ -21,7 +21,7 @@ from ..operators import envelopes
 from ..operators import report as reports
 from ..operators import semantic
 from ..operators.lint import analyze
-from ..operators.structure import structure
+from ..operators.structure import rows_of, structure
 from ..sources.files import table
 from . import built, judgements, relations
 from .built import LIFTED_SQL, TRIM, lifted
@@ -72,13 +72,13 @@ def findings_of(docs: DataFrame, *rules: tuple[str, dict]) -> DataFrame:
 
 @query("sentences", f"""WITH {SENTENCES_SQL} SELECT doc_id, "start", "end", CAST(length(s) AS INTEGER) AS n_units FROM sentences""")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = structure(prose(spark, sf_dir).select("doc_id", "text"), fields=("sentences",)).select("doc_id", F.explode("sentences").alias("s"))
+    rows = rows_of(structure(prose(spark, sf_dir).select("doc_id", "text"), fields=("sentences",)), "sentences", "doc_id").withColumnRenamed("sentences", "s")
     return rows.select("doc_id", "s.start", "s.end", (F.col("s.end") - F.col("s.start")).alias("n_units"))
 
 
 @query("paragraphs", f"""WITH {PARAGRAPHS_SQL} SELECT doc_id, "start", "end", CAST(length(s) AS INTEGER) AS n_units, n AS n_sentences FROM paragraphs""")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = structure(prose(spark, sf_dir, apart=True).select("doc_id", "text"), fields=("paragraphs", "counts")).select("doc_id", F.explode("paragraphs").alias("p"))
+    rows = rows_of(structure(prose(spark, sf_dir, apart=True).select("doc_id", "text"), fields=("paragraphs", "counts")), "paragraphs", "doc_id").withColumnRenamed("paragraphs", "p")
     return rows.select("doc_id", "p.start", "p.end", utf16.length(F.col("p.text")).alias("n_units"), F.col("p.sentences").alias("n_sentences"))
 
 

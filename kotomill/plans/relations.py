@@ -15,7 +15,7 @@ from .. import messages as said
 from ..config import PAIRS
 from ..functions import japanese as ja
 from ..operators import dictionary, intervals, nesting, runs
-from ..operators.structure import structure
+from ..operators.structure import rows_of, structure
 from ..sources.files import table
 from ..sources.written import Written
 from . import built
@@ -152,8 +152,8 @@ def _apart(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sentence with the first paragraph that contains it, from two written tables; sentences across paragraphs have none."""
     docs = _apart(spark, sf_dir)
-    sentences = Written(structure(docs, fields=("sentences",)).select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.start", "s.end"), "sentences")
-    paragraphs = Written(structure(docs, fields=("paragraphs",)).select("doc_id", F.posexplode("paragraphs")).select("doc_id", "pos", "col.start", "col.end"), "paragraphs")
+    sentences = Written(rows_of(structure(docs, fields=("sentences",)), "sentences", "doc_id").select("doc_id", "sentences.start", "sentences.end"), "sentences")
+    paragraphs = Written(rows_of(structure(docs, fields=("paragraphs",)), "paragraphs", "doc_id", place="pos").select("doc_id", "pos", "paragraphs.start", "paragraphs.end"), "paragraphs")
     found = intervals.first_containing(sentences.df, paragraphs.df, "pos")
     return found.select("doc_id", "start", "end", F.col("range.pos").alias("paragraph"), F.col("range.start").alias("home"))
 
@@ -195,7 +195,7 @@ def _row_runs(name: str, of: str, label: Callable[[Column], Column]) -> None:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = built._built(spark, sf_dir, built._swapped(pairs))
-        rows = structure(docs, fields=("sentences", "texts", "homes")).select("doc_id", F.posexplode("sentences").alias("n", "s"))
+        rows = rows_of(structure(docs, fields=("sentences", "texts", "homes")), "sentences", "doc_id", place="n").withColumnRenamed("sentences", "s")
         keyed = rows.select("doc_id", "n", "s.start", "s.end", F.concat(F.col("s.paragraph").cast("string"), F.lit(":"), label(F.col("s.text"))).alias("label"))
         found = runs.runs(keyed).where(F.col("length") > 2)
         message = F.format_string(said.TEXT[rule].replace("{t}", "2").replace("{a}", "%d"), F.col("length"))
