@@ -33,6 +33,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored(spark: SparkSession, path: str) -> int:
+    """The bytes of a file, or of all files of a folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def write_lines(rows: DataFrame, path: str, column: str = "json") -> None:
     """One JSON line per row."""
     rows.select(F.col(column).alias("value")).write.text(path)

@@ -1,7 +1,7 @@
 """Runs over files of envelopes, as a batch or as a stream: reports, a quarantine for what breaks the contract, and one exit code.
 
 Files hold one envelope a line, which Spark splits however large a file is, or one envelope each. A run writes ``reports`` (one canonical JSON
-line a report) and ``quarantine`` (JSON lines of doc_id, value and error) under its folder. A stream writes both for every micro-batch in a
+line a report) and ``quarantine`` (JSON lines of doc_id, value and error) under its folder, both compressed by gzip. A stream writes both for every micro-batch in a
 folder of the batch's number, which a repeated batch replaces, so each envelope is reported once.
 
 The exit code of a run is the greatest of its envelopes': 2 if any is in quarantine, else 1 if any report has an error, else 0, also for no
@@ -24,9 +24,9 @@ def _named(rows: DataFrame) -> DataFrame:
 
 def _put(rows: DataFrame, folder: str) -> int:
     """Writes the checked rows under the folder; the exit code of these rows."""
-    checked = Written(rows, "checked")
-    checked.df.where("error is null").select(F.col("report").alias("value")).write.mode("overwrite").text(f"{folder}/reports")
-    checked.df.where("error is not null").select("doc_id", "value", "error").write.mode("overwrite").json(f"{folder}/quarantine")
+    checked = Written(rows.withColumn("value", F.when(F.col("error").isNotNull(), F.col("value"))), "checked")  # with a report its envelope is not needed any more
+    checked.df.where("error is null").select(F.col("report").alias("value")).write.mode("overwrite").text(f"{folder}/reports", compression="gzip")
+    checked.df.where("error is not null").select("doc_id", "value", "error").write.mode("overwrite").json(f"{folder}/quarantine", compression="gzip")
     code = checked.df.agg(F.max("exit_code")).first()[0] or 0
     checked.drop()
     return code
