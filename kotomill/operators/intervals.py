@@ -15,9 +15,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CONTAINED, OVERLAPPING = "contained", "overlapping"
+#: A block of ``outside`` is 2^BLOCK places.
+BLOCK = 12
 
 
 def _level() -> Column:
@@ -81,6 +84,25 @@ def first_containing(spans: DataFrame, ranges: DataFrame, order: str, key: str =
 
 
 def outside(spans: DataFrame, ranges: DataFrame, how: str = OVERLAPPING, key: str = "doc_id", start: str = "start", end: str = "end") -> DataFrame:
-    """The spans that no range of their key contains or overlaps, columns unchanged."""
-    bare = ranges.select(*(F.col(f"`{c}`") for c in (key, start, end))).distinct()
-    return _joined(spans, pairs(spans, bare, how, key, start, end).select("k", "s", "e").distinct(), "left_anti", key, start, end)
+    """The spans that no range of their key contains or overlaps, columns unchanged.
+
+    Whether there is one shows in how far the ranges reach that begin early enough: at the span's start at the latest to contain it, before its end
+    to overlap it. So every row is shuffled once, whatever the ranges' lengths: to its block of places, where a running maximum is taken in order.
+    How far the ranges of earlier blocks reach comes from one row a block.
+    """
+    s, e = F.col(f"`{start}`").cast("long"), F.col(f"`{end}`").cast("long")
+    sound = s < e
+    at = s if how == CONTAINED else e
+    # ranges that begin at the place itself count for a span's start, not for its end
+    turn = 2 if how == CONTAINED else 1
+    row = F.struct(*(F.col(f"`{c}`") for c in spans.columns))
+    own = spans.select(F.col(f"`{key}`").alias("k"), F.when(sound, at).alias("at"), F.lit(turn).alias("turn"), F.lit(None).cast("long").alias("reach"), F.when(sound, e if how == CONTAINED else s + 1).alias("least"), row.alias("row"))
+    others = _sound(ranges, key, start, end).select("k", F.col("s").alias("at"), F.lit(3 - turn).alias("turn"), F.col("e").alias("reach"))
+    block = F.shiftright("at", BLOCK)
+    blocks = own.where("at is not null").select("k", "at", "reach").unionByName(others.select("k", "at", "reach")).groupBy("k", block.alias("block")).agg(F.max("reach").alias("reach"))
+    before = F.max("reach").over(W.partitionBy("k").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    carried = blocks.select("k", F.shiftleft("block", BLOCK).alias("at"), F.lit(0).alias("turn"), before.alias("reach")).where("reach is not null")
+    every = own.unionByName(others.unionByName(carried), allowMissingColumns=True)
+    reached = F.max("reach").over(W.partitionBy("k", block).orderBy("at", "turn").rowsBetween(W.unboundedPreceding, W.currentRow))
+    kept = every.select("row", "least", reached.alias("reached")).where("row is not null and not coalesce(reached >= least, false)")
+    return kept.select(*(F.col("row")[c].alias(c) for c in spans.columns))

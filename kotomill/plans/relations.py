@@ -172,8 +172,8 @@ SELECT s.doc_id, s."start", s."end", p.pos AS paragraph, p.a AS home FROM senten
 def sentences_outside_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences that no code range overlaps, and those that none contains, from tables of sentences and of code."""
     docs = table(spark, sf_dir, "documents").select("doc_id", built._text(A, " `", B, "` ", C).alias("text"))
-    sentences = Written(structure(docs, fields=("sentences",)).select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.start", "s.end"), "sentences").df
-    code = Written(structure(docs, fields=("code",)).select("doc_id", F.inline("code")), "code").df
+    sentences = Written(rows_of(structure(docs, fields=("sentences",)), "sentences", "doc_id").select("doc_id", "sentences.start", "sentences.end"), "sentences").df
+    code = Written(rows_of(structure(docs, fields=("code",)), "code", "doc_id").select("doc_id", "code.*"), "code").df
     kept = [intervals.outside(sentences, code, how).withColumn("free_of", F.lit(how)) for how in (intervals.OVERLAPPING, intervals.CONTAINED)]
     return kept[0].unionByName(kept[1])
 
