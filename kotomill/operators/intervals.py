@@ -4,6 +4,7 @@ A range of length l is filed at the level of the smallest power of two that l do
 touches. A span asks at every level that occurs (for ranges that contain it: at those not below its own) for the one stretch where it starts, so an equi-join on (key, level, stretch) finds every range
 that holds its start. Ranges that begin inside a span are found the other way round, with the spans filed. No task gets a document: its
 stretches are spread, however many ranges it has, and rows meet only where they are near. Equal spans and equal ranges of a key are joined once.
+``outside`` needs no pairs and joins nothing: it takes a running maximum in blocks of places.
 
 Ranges are half open. Defined edge cases: a null key is a key of its own; spans and ranges with a null or an end not behind the start match nothing,
 and such spans stay in outer and anti joins; repeated spans each keep their row; empty tables are empty sides. Columns of the ranges come in
